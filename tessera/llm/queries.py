@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .bpe import round_trip_digest
 from .common import table
 from .exact_dedup import exact_dedup
+from .jaccard import jaccard_classes
 from .packing import pack
 from .topk import top_k
 from .url_filter import filter_urls
@@ -33,13 +34,17 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip_digest(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op4_topk, op6_exact_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op4_topk, op6_exact_dedup, op8_jaccard, op10_bpe)}
 
 
 OP1_SQL = r"""
