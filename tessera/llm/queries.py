@@ -11,6 +11,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .packing import pack
+from .substrings import remove_repeats
 from .topk import top_k
 from .url_filter import filter_urls
 
@@ -38,13 +39,17 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return round_trip_digest(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op4_topk, op6_exact_dedup, op8_jaccard, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op4_topk, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
 
 
 OP1_SQL = r"""
