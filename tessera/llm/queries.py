@@ -10,6 +10,7 @@ from .bpe import round_trip_digest
 from .common import table
 from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
+from .langid import held_out, identify, train
 from .packing import pack
 from .substrings import remove_repeats
 from .topk import top_k
@@ -27,6 +28,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
+    asked = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    return identify(asked, model).drop("text")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
 
@@ -49,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op4_topk, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
 
 
 OP1_SQL = r"""
