@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .jaccard import jaccard_classes
 from .langid import held_out, identify, train
 from .packing import pack
+from .pii import digest
 from .substrings import remove_repeats
 from .topk import top_k
 from .url_filter import filter_urls
@@ -39,6 +40,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op5_pii, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
 
 
 OP1_SQL = r"""
