@@ -13,6 +13,7 @@ from .jaccard import jaccard_classes
 from .langid import held_out, identify, train
 from .packing import pack
 from .pii import digest
+from .quality import classify
 from .substrings import remove_repeats
 from .topk import top_k
 from .url_filter import filter_urls
@@ -48,6 +49,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -62,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op5_pii, op6_exact_dedup, op8_jaccard, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op5_pii, op6_exact_dedup, op7_quality, op8_jaccard, op9_repeats, op10_bpe)}
 
 
 OP1_SQL = r"""
