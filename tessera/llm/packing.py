@@ -13,27 +13,38 @@ Sequence ids are unique over the table: the task's number and a count within it.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import defaultdict
-from itertools import chain
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batches
+from .common import split_batches, text_buffers
+from .shingles import words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that wait in a task before windows are filled down to half of them.
 WAITING = 20_000
-#: Distinct chunks of text whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Chunks whose ids a worker remembers, about 50 bytes each.
+REMEMBERED = 2_000_000
+_LETTER_CLASS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"  # letters that stay one letter under the vocabulary's normalisation
+_MARK_CLASS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe
+_SIMPLE = re.compile(f"[{_LETTER_CLASS}]+[{_MARK_CLASS}]*")
+_PARTS = re.compile(f"[{_LETTER_CLASS}]+|[0-9]|[{_MARK_CLASS}]+")
+_COMMON = re.compile(f"[{_LETTER_CLASS}0-9{_MARK_CLASS}]+")
+_LETTERS = np.random.default_rng(9021).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BETWEEN = np.zeros(256, bool)
+_BETWEEN[[0x20, 0x0A]] = True
 
 
 class ChunkEncoder:
     """Ids of whole texts, by chunks between spaces and newlines, which no token of the vocabulary spans.
 
-    Chunks are encoded by the tokenizers library and remembered as packed ids.
+    Distinct chunks (by a 64-bit hash) are encoded by the tokenizers library and their ids remembered.
+    Chunks of common letters, digits and marks are encoded many at a time and told apart by the tokens
+    that end a word.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -41,22 +52,65 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(chunks)
-        for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(parts)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def _encode(self, chunks: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(chunks)
+        plain, words = [], []
+        for i, c in enumerate(chunks):
+            if _SIMPLE.fullmatch(c):
+                plain.append(i)
+                words.append(1 if c[-1].isalpha() else 2)
+            elif _COMMON.fullmatch(c):
+                plain.append(i)
+                words.append(len(_PARTS.findall(c)))
+        for at in range(0, len(plain), 200):
+            some = plain[at : at + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([chunks[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(words[at : at + 200])
+            if len(ends) == last[-1]:
+                for i, lo, hi in zip(some, [0, *(cut := ends[last - 1].tolist())][:-1], cut, strict=True):
+                    out[i] = ids[lo:hi]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, "<u4")
+        return out
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = data.tobytes()
+        found = self._encode([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        size = np.array([len(x) for x in found], np.int64)
+        start = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, *found])
+        order = np.argsort(every := np.concatenate([self.hashes, hashes]))
+        self.hashes = every[order]
+        self.start = np.concatenate([self.start, start])[order]
+        self.size = np.concatenate([self.size, size])[order]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and where each text's begin (len + 1)."""
+        hashes, at, starts, ends = words(data, off, _LETTERS, _BETWEEN)
+        if not len(hashes):
+            return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > REMEMBERED:
+            self.clear()
+        near = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = np.flatnonzero(self.hashes[near] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            self._learn(distinct[new], data, starts[one[new]], ends[one[new]])
+        place = np.searchsorted(self.hashes, distinct)
+        start, size = self.start[place][which], self.size[place][which]
+        stop = np.cumsum(size)
+        ids = self.pool[np.arange(int(stop[-1])) + np.repeat(start - (stop - size), size)]
+        return ids, np.r_[0, stop][at]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -71,35 +125,37 @@ def encoder(tokenizer_file: str) -> ChunkEncoder:
     return _ENCODERS[tokenizer_file]
 
 
-def closest(counts: dict[int, int], room: int) -> dict[int, int]:
+def closest(lengths: list[int], waiting: dict[int, list], room: int) -> dict[int, int]:
     """How many of each length to take so that their sum is as close to room as can be, and not over it.
 
-    Longer lengths are offered first, their counts in powers of two; the program stops at an exact fill.
+    lengths: in order, with the pieces that wait of each. Longer lengths are offered first, their counts in
+    powers of two; the program stops at an exact fill.
     """
-    mask, reach = (1 << (room + 1)) - 1, 1
+    mask, reach, full = (1 << (room + 1)) - 1, 1, 1 << room
     steps = []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
-        left, part = min(counts[length], room // length), 1
-        while left and not reach >> room & 1:
+    for length in reversed(lengths[: bisect_right(lengths, room)]):
+        left, part = min(len(waiting[length]), room // length), 1
+        while left and not reach & full:
             part = min(part, left)
             steps.append((length, part, reach))
             reach |= reach << (length * part) & mask
             left -= part
             part *= 2
-        if reach >> room & 1:
+        if reach & full:
             break
-    at, taken = reach.bit_length() - 1, defaultdict(int)
+    at, taken = reach.bit_length() - 1, {}
     for length, part, before in reversed(steps):
         if not before >> at & 1:
             at -= length * part
-            taken[length] += part
+            taken[length] = taken.get(length, 0) + part
     return taken
 
 
 class Packer:
     def __init__(self, capacity: int, first_id: int):
         self.capacity, self.next_id = capacity, first_id
-        self.waiting: dict[int, list[tuple]] = defaultdict(list)
+        self.waiting: dict[int, list[tuple]] = {}
+        self.lengths: list[int] = []  # that wait, in order
         self.n = 0
         self.rows: list[tuple] = []
 
@@ -118,6 +174,9 @@ class Packer:
             if piece[2] == self.capacity:
                 self.place([piece])
             else:
+                if piece[2] not in self.waiting:
+                    self.waiting[piece[2]] = []
+                    insort(self.lengths, piece[2])
                 self.waiting[piece[2]].append(piece)
                 self.n += 1
         if self.n > WAITING:
@@ -127,14 +186,14 @@ class Packer:
         piece = self.waiting[length].pop()
         if not self.waiting[length]:
             del self.waiting[length]
+            del self.lengths[bisect_left(self.lengths, length)]
         self.n -= 1
         return piece
 
     def fill(self, down_to: int) -> None:
         while self.n > down_to:
-            window = [self.take(max(self.waiting))]
-            chosen = closest({k: len(v) for k, v in self.waiting.items()}, self.capacity - window[0][2])
-            for length, count in chosen.items():
+            window = [self.take(self.lengths[-1])]
+            for length, count in closest(self.lengths, self.waiting, self.capacity - window[0][2]).items():
                 window += [self.take(length) for _ in range(count)]
             self.place(window)
 
@@ -157,9 +216,9 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096,
             return out
 
         for batch in split_batches(batches, 4_000_000):
-            texts = batch.column(1).to_pylist()
-            for i, ids in zip(batch.column(0).to_pylist(), coder.encode(texts), strict=True):
-                packer.add(i, ids + end)
+            ids, at = coder.encode(*text_buffers(batch.column(1)))
+            for i, lo, hi in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                packer.add(i, ids[lo:hi].tobytes() + end)
             if len(packer.rows) > 10_000:
                 yield made()
         packer.fill(0)

@@ -21,18 +21,19 @@ _DOWN = np.ones(1, np.uint64)
 def _powers(n: int) -> None:
     global _UP, _DOWN
     if len(_UP) < n:
-        size = 1 << (n - 1).bit_length()
+        size = n + n // 4
         _UP = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _BASE, np.uint64)])
         _DOWN = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, pow(_BASE, -1, 2**64), np.uint64)])
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, A-Z lower-cased, and for each text the number of its first word (len + 1)."""
+def words(data: np.ndarray, off: np.ndarray, letter: np.ndarray = _LETTER, space: np.ndarray = _SPACE):
+    """Hash of each word (A-Z as a-z, by the default letters), the number of each text's first word (len + 1), and where words start and end."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), none, none
     _powers(n + 1)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first = np.zeros(n + 1, bool)
     first[off] = True  # a text starts here
     start = solid.copy()
@@ -41,9 +42,9 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     stop[:-1] &= first[1:n] | ~solid[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTER[data] * _UP[:n], out=total[1:])
+    np.cumsum(letter[data] * _UP[:n], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, off)
+    return hashes, np.searchsorted(starts, off), starts, ends
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +52,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
 
     A text of fewer words than the width has its whole sequence as one shingle; one without words has none.
     """
-    hashes, at = words(data, off)
+    hashes, at, _, _ = words(data, off)
     n = len(hashes)
     grams = np.zeros(n, np.uint64)
     for j in range(width):
