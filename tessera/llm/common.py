@@ -32,6 +32,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of a few MB: texts are long, and the default is by ten thousand rows."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")):
+        spark.conf.set(key, value)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

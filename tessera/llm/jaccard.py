@@ -36,18 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, split_batches, text_buffers
+from .common import bounded_batches, materialize, shuffle_partitions, split_batches, text_buffers
 from .components import components
 from .shingles import shingle_sets
 
 #: Bytes of a shingle's hash that the first bound compares; equal bytes of unequal shingles only let more texts go on.
 BOUND_BYTES = 5
 #: Shingles that a task packs together.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
 #: Texts of a block, and of a group of the matrix.
 BLOCK_DOCS = 1000
 GROUP_DOCS = 32
+#: Rows of three numbers that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Columns of a bit matrix held at once.
 COLUMNS = 8192
 
@@ -121,7 +123,7 @@ def _pack(width: int, n_buckets: int):
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "kind", "a", "b"])
 
         n_tokens = n_docs = 0
-        for batch in split_batches(batches):
+        for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
             tokens, at = shingle_sets(data, off, width)
             ids = batch.column(0)
@@ -276,7 +278,7 @@ def _token_rows(width: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in split_batches(batches):
+        for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
             tokens, at = shingle_sets(data, off, width)
             fp1, fp2 = _fingerprints(tokens, at)
@@ -305,6 +307,7 @@ def _explode(batches):
 
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows of docs (doc_id, text), and links (a, b) enough to connect every class."""
+    bounded_batches(docs.sparkSession)
     sig = materialize(signatures(docs, width), "signatures")
     first = sig.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"))
     able = sig.where((F.col("n") > 0) & (F.col("doc_id").isNotNull()) & (100 * F.col("shared") >= percent * F.col("n")))
@@ -312,20 +315,20 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     equal = sig.where("n > 0 and doc_id is not null").join(first, ["fp1", "fp2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
     wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "fp1", "fp2")
+    # few wanted texts are told to the readers of docs; with more of them, docs are shuffled
+    told = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = docs.select("doc_id", "text").join(told, "doc_id").select("doc_id", "text", "fp1", "fp2")
     sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary").dropDuplicates(["doc_id", "fp1", "fp2"]), "sets")
 
     # neighbourhoods: the shingles, rarest first, of which a linked text must share one
     rows = sets.select("doc_id", "n", "tokens").mapInArrow(_explode, "doc_id long, n long, token long")
     rows = materialize(rows, "rows")
-    freq = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("doc_id").alias("low"))
-    freq = freq.where("df > 1")
-    shared = rows.join(freq, "token")
-    shared = shared.select("doc_id", "n", "token", "df", "low")
+    freq = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(freq, "token").select("doc_id", "n", "token", "df")
     unique = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "token"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ties = shared.select("doc_id", "low", unique.alias("u"), place.alias("p"), prefix.alias("k"), "token").where("u + p <= k")
+    ties = shared.select("doc_id", unique.alias("u"), place.alias("p"), prefix.alias("k"), "token").where("u + p <= k")
     least = materialize(ties.select("doc_id", "token"), "ties")
     lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
     near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()
