@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from .operators import relational, scalars  # noqa: F401  registration
+from .plans.registry import COVERS, ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
+
+
+def covered() -> dict[str, str]:
+    """Inventory ids by query."""
+    return dict(COVERS)
