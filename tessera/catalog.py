@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import relational, scalars  # noqa: F401  registration
+from .operators import analytics, relational, scalars  # noqa: F401  registration
 from .plans.registry import COVERS, ORACLES, QUERIES
 
 

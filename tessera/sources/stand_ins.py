@@ -62,7 +62,7 @@ def results(d: Dialect) -> str:
     """Ranked rows of a snapshot: snapshot_id, position, domain, url, question, source_domain."""
     return """SELECT l_orderkey AS snapshot_id, l_linenumber AS position, 'd' || CAST(l_partkey % 50 AS string) || '.com' AS domain,
   'https://d' || CAST(l_partkey % 50 AS string) || '.com/p' || CAST(l_suppkey AS string) AS url, 'q' || CAST(l_suppkey % 12 AS string) AS question,
-  CASE WHEN l_returnflag = 'R' THEN NULL ELSE 's' || CAST(l_suppkey % 7 AS string) || '.org' END AS source_domain, l_shipdate AS first_seen, l_shipdate + INTERVAL '5' DAY AS last_seen
+  CASE WHEN l_returnflag = 'R' THEN NULL ELSE 's' || CAST((l_suppkey * 31 + l_partkey * 7) % 211 AS string) || '.org' END AS source_domain, l_shipdate AS first_seen, l_shipdate + INTERVAL '5' DAY AS last_seen
   FROM lineitem"""
 
 
