@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import analytics, relational, scalars  # noqa: F401  registration
+from .operators import analytics, learning, matching, pages, relational, scalars  # noqa: F401  registration
 from .plans.registry import COVERS, ORACLES, QUERIES
+from .streaming import state  # noqa: F401  registration
 
 
 def queries() -> dict:
