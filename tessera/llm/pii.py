@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, split_batches
+from .common import bounded_batches, materialize, split_batches
 
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct known instances that a pattern needs, its least confidence, and the rounds of the iteration.
@@ -143,6 +143,7 @@ def _scan(batches):
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, found: array of (kind, start, end, learned) by kind, then start; one row for each row of df."""
+    bounded_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, kinds array<int>, starts array<long>, ends array<long>, base int, patterns array<string>, instances array<string>"
     scanned = docs.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id())

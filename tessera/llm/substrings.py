@@ -31,18 +31,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shuffle_partitions, split_batches, text_buffers
+from .common import bounded_batches, materialize, mix64, shuffle_partitions, split_batches, text_buffers
 from .jaccard import _planes, _unplanes
 
 #: Bytes of an anchor (a sum of 16 and 8); must be less than the length of the strings.
 ANCHOR = 24
 #: Bytes of an anchor's hash that are sent.
 HASH_BYTES = 5
-CHUNK_ANCHORS = 2_000_000
+CHUNK_ANCHORS = 400_000
 CHUNK_DOCS = 12_000
-CHUNK_STRETCHES = 400_000
+CHUNK_STRETCHES = 100_000
+#: Buckets for each shuffle partition: a task holds one at a time.
+BUCKETS_PER_PARTITION = 4
 #: An anchor is dealt out string by string if it holds more than this share of its bucket, and so many texts.
-HOT_SHARE, HOT_LEAST = 0.2, 256
+HOT_SHARE, HOT_LEAST = 0.5, 256
 
 _RNG = np.random.default_rng(77003)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,31 +71,30 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int):
-    """Place, hash, text, first string and number of strings of each anchor (its strings are neighbours)."""
+    """Stretches of neighbouring strings with the same anchor: the anchor's hash, text, first string, number of strings (the width of a string's anchors at most)."""
     width = length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, np.zeros(0, np.uint64), none, none, none
-    h = _anchor_hashes(data)
-    low = _slide(h, width, np.minimum)  # of the string that starts here
-    inside = np.zeros(len(data) + 1, np.int32)
-    size = np.diff(off)
-    long = size >= length
-    np.add.at(inside, off[:-1][long], 1)
-    np.add.at(inside, off[1:][long] - length + 1, -1)
-    valid = np.cumsum(inside[: len(low)]) > 0
-    # a string's anchor is the first place of its smallest hash: neighbours with the same anchor are one stretch
-    starts = np.flatnonzero(valid)
-    edge = np.zeros(width - 1, np.uint64)
-    top = _slide(np.concatenate([edge, np.where(valid, low, 0), edge]), width, np.maximum)[: len(h)]
-    place = np.flatnonzero((h == top) & (h > 0))
-    first = place[np.searchsorted(place, starts)]  # the first anchor at or after the start; it is in the string, but may not be its smallest
-    while len(bad := np.flatnonzero(h[first] != low[starts])):
-        first[bad] = place[np.searchsorted(place, first[bad], side="right")]
-    new = np.r_[True, (first[1:] != first[:-1]) | (starts[1:] != starts[:-1] + 1)] if len(starts) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    doc = np.searchsorted(off, starts[at], side="right") - 1
-    return first[at], h[first[at]], doc, starts[at], np.diff(np.r_[at, len(starts)])
+        return np.zeros(0, np.uint64), none, none, none
+    low = _slide(_anchor_hashes(data), width, np.minimum)  # of the string that starts here
+    # strings that end beyond their text are no strings
+    valid = np.ones(len(low), bool)
+    for end in off[1:-1].tolist():
+        valid[max(0, end - length + 1) : end] = False
+    new = np.ones(len(low), bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    new[1:] |= valid[1:] != valid[:-1]
+    begin = np.flatnonzero(new)
+    n = np.diff(np.r_[begin, len(low)])
+    begin, n = begin[valid[begin]], n[valid[begin]]
+    doc = np.searchsorted(off, begin, side="right") - 1
+    h = low[begin]
+    if len(n) and n.max() > width:  # a periodic text
+        times = -(-n // width)
+        of = np.repeat(np.arange(len(n)), times)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        begin, n, doc, h = begin[of] + nth * width, np.minimum(n[of] - nth * width, width), doc[of], h[of]
+    return h, doc, begin, n
 
 
 def _short(h: np.ndarray) -> np.ndarray:
@@ -142,14 +143,14 @@ def _send_anchors(length: int, n_buckets: int):
             )
 
         n = m = 0
-        for batch in split_batches(batches, 2_000_000):
+        for batch in split_batches(batches, 1_000_000):
             for at in range(0, batch.num_rows, CHUNK_DOCS):
                 part = batch.slice(at, CHUNK_DOCS)
                 if m + part.num_rows > 0x3FFF:
                     yield flush()
                     n = m = 0
                 data, off = text_buffers(part.column(1))
-                _, h, doc, _, _ = anchors(data, off, length)
+                h, doc, _, _ = anchors(data, off, length)
                 held.append((*[part.column(k).to_numpy() for k in (0, 2, 3)], _short(h), doc))
                 n, m = n + len(h), m + part.num_rows
             if n > CHUNK_ANCHORS:
@@ -273,9 +274,9 @@ def _send_suffixes(length: int, n_buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "kind", "a", "b"])
 
         waiting = 0
-        for batch in split_batches(batches, 2_000_000):
+        for batch in split_batches((b.filter(b.column(4).is_valid()) for b in batches), 1_000_000):
             data, off = text_buffers(batch.column(1))
-            _, h, doc, first, n = anchors(data, off, length)
+            h, doc, first, n = anchors(data, off, length)
             marks = batch.column(4).fill_null(b"").to_pylist()
             mark = np.frombuffer(b"".join(marks), "<u8")
             owner = np.repeat(np.arange(len(marks), dtype=np.uint64), [len(m) // 8 for m in marks])
@@ -419,7 +420,8 @@ def repeated_spans(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text
     """doc_id, text, spans of each row of df: spans holds pairs of little-endian 64-bit numbers, the byte ranges to remove."""
     if not ANCHOR + 8 <= length <= ANCHOR + 31:
         raise ValueError(f"length must lie between {ANCHOR + 8} and {ANCHOR + 31}")
-    n_buckets = shuffle_partitions(df.sparkSession)
+    bounded_batches(df.sparkSession)
+    n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("f1"), F.xxhash64(F.lit(length), body).alias("f2"))
     own = ["doc_id", "f1", "f2"]
@@ -431,7 +433,8 @@ def repeated_spans(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text
     marks = marks.join(firsts, ["f1", "f2"]).withColumn("copy", F.col("doc_id") > F.col("first")).drop("first")
     known = marks.groupBy(*own).agg(F.max("copy").alias("copy"), F.max("marks").alias("marks"))
     known = materialize(known, "known")
-    asked = docs.join(known.where("not copy and octet_length(marks) > 0").drop("copy"), own)
+    # left joins both here and below, so that one exchange of the texts serves both; texts without marks are left out by the tasks
+    asked = docs.join(known.where("not copy and octet_length(marks) > 0").drop("copy"), own, "left")
     packed = asked.select("doc_id", "text", "f1", "f2", "marks").mapInArrow(_send_suffixes(length, n_buckets), _PACKED)
     sorted_ = packed.groupBy("bucket").applyInArrow(_own_suffixes(length), _ANSWER).groupBy("chunk").applyInArrow(_spans(length), "doc_id long, f1 long, f2 long, spans binary")
     found = sorted_.dropDuplicates(own).select(*own, "spans", F.lit(False).alias("copy"))
