@@ -55,7 +55,7 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     hashes, at, _, _ = words(data, off)
     n = len(hashes)
     grams = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         grams[: n - j] += hashes[j:] * _PLACE[j]
     grams = mix64(grams)
     parts, sizes = [], np.zeros(len(off) - 1, np.int64)
