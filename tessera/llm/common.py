@@ -77,6 +77,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a reused worker would hold on to its peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        return
+
+
 def split_batches(batches, max_bytes: int = 8_000_000, column: str = "text"):
     """Cut record batches so that each holds about max_bytes of text at most (one row at least)."""
     for batch in batches:
@@ -90,6 +103,7 @@ def split_batches(batches, max_bytes: int = 8_000_000, column: str = "text"):
             end = min(max(end, at + 1), batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+    give_back()
 
 
 def ceil_div(a: int, b: int) -> int:

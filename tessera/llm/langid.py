@@ -193,7 +193,10 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
             if names and len(data):
                 cell, blank, starts = _cells(data, off)
             if names and len(data) and len(starts):
-                scores = np.add.reduceat(table[cell], starts, axis=0)
+                scores = np.empty((len(starts), len(names)), np.float32)
+                for lo in range(0, len(starts), 100_000):  # of some hundred thousand bytes at a time
+                    end = starts[lo + 100_000] if lo + 100_000 < len(starts) else len(cell)
+                    scores[lo : lo + 100_000] = np.add.reduceat(table[cell[starts[lo] : end]], starts[lo : lo + 100_000] - starts[lo], axis=0)
                 size = np.add.reduceat((~blank).astype(np.int64), starts)
                 used = np.bitwise_or.reduceat(np.where(blank, 0, _SCRIPT[data]).astype(np.uint16), starts).astype(np.int64)
                 fits = (used[:, None] & scripts[None, :]) != 0
