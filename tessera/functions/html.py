@@ -159,6 +159,30 @@ def schema_types(html: str | None) -> list[str]:
     return sorted({str(t) for t in found})
 
 
+def schema_summary(html: str | None) -> tuple[list[str], int, int]:
+    """Types of the page's markup and how complete its business and organisation blocks are."""
+    fields = {"LocalBusiness": (("name", "address", "telephone"), ("url", "image", "priceRange", "openingHours", "geo")), "Organization": (("name", "url"), ("logo", "contactPoint", "sameAs", "address"))}
+    best = dict.fromkeys(fields, 0)
+
+    def look(x):
+        if isinstance(x, dict):
+            kind = x.get("@type") or ""
+            kind = kind[0] if isinstance(kind, list) and kind else kind
+            for name, (required, optional) in fields.items():
+                if name in str(kind):
+                    best[name] = max(best[name], int(70 * sum(f in x for f in required) / len(required) + 30 * sum(f in x for f in optional) / len(optional)))
+        for v in x.values() if isinstance(x, dict) else x if isinstance(x, list) else ():
+            look(v)
+
+    for n in parse(html).find("script"):
+        if (n.attrs.get("type") or "").lower() == "application/ld+json":
+            try:
+                look(json.loads("".join(c for c in n.children if isinstance(c, str))))
+            except ValueError:
+                continue
+    return schema_types(html), best["LocalBusiness"], best["Organization"]
+
+
 def site_content(html: str | None, base: str = "") -> dict:
     """Title, phones, mails, address, headings and main text of a page."""
     root = parse(html)

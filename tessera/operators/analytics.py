@@ -33,15 +33,24 @@ def rankings_of(d) -> str:
     return f"SELECT keyword, domain AS competitor, max_by(position, seq) AS position FROM ({T.rankings(d)}) r GROUP BY keyword, domain"
 
 
-@query("keyword_gaps", "G1 J30 R6 R7 R8 R9")
-def keyword_gaps(d, own: str = "view"):
-    """Keywords that competitors hold and we miss or trail by over five places, scored, classed and ranked for the plan."""
-    return f"""WITH r AS ({rankings_of(d)}), mine AS (SELECT keyword, position FROM r WHERE competitor = '{own}'),
+def _gaps(d, own: str) -> str:
+    return f""" r AS ({rankings_of(d)}), mine AS (SELECT keyword, position FROM r WHERE competitor = '{own}'),
 c AS (SELECT keyword, count(*) AS n, avg(position) AS average, min(position) AS best FROM r WHERE competitor <> '{own}' GROUP BY keyword), t AS (SELECT count(DISTINCT competitor) AS total FROM r WHERE competitor <> '{own}'),
 g AS (SELECT c.keyword, mine.position AS own, c.n, c.average, c.best, t.total, c.keyword * 7 % 2000 AS volume FROM c LEFT JOIN mine ON c.keyword = mine.keyword CROSS JOIN t WHERE mine.position IS NULL OR mine.position > c.average + 5),
 s AS (SELECT *, {S.gap_score('own', 'average', 'n', 'total', 'volume')} AS score, {S.gap_category('own', 'average')} AS category FROM g), p AS (SELECT *, {S.gap_priority('score', 'category', 'n * 1e0 / greatest(1, total)')} AS priority FROM s)
-SELECT keyword, own, n AS competitors, round(average, 6) AS average, best, round(score, 2) AS score, category, priority, average > 5 OR priority IN ('critical', 'high') AS quick_win,
-  row_number() OVER (ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, round(score, 2) DESC, keyword) AS plan_rank FROM p"""
+"""
+
+
+@query("keyword_gaps", "G1 J30 R6 R7 R8")
+def keyword_gaps(d, own: str = "view"):
+    """Keywords that competitors hold and we miss or trail by over five places, scored and classed."""
+    return f"""WITH {_gaps(d, own)}SELECT keyword, own, n AS competitors, round(average, 6) AS average, best, round(score, 2) AS score, category, priority, average > 5 OR priority IN ('critical', 'high') AS quick_win FROM p"""
+
+
+@query("keyword_plan", "R9")
+def keyword_plan(d, own: str = "view", most: int = 20):
+    """The gaps to go for first: by priority, then by score."""
+    return f"""WITH {_gaps(d, own)}SELECT keyword, category, priority, round(score, 2) AS score FROM p ORDER BY CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, round(score, 2) DESC, keyword LIMIT {most}"""
 
 
 @query("keyword_list_gaps", "R10")

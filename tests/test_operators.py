@@ -29,6 +29,12 @@ def test_sections_types_and_content():
     assert content["title"] == "T & x" and content["mails"] == ["me@site.com"] and content["phones"] == ["12125550100"]
 
 
+def test_schema_completeness():
+    page = '<script type="application/ld+json">{"@type": "LocalBusiness", "name": "a", "address": "b", "telephone": "c", "url": "d", "x": {"@type": "Organization", "name": "e"}}</script>'
+    assert H.schema_summary(page) == (["LocalBusiness", "Organization"], 76, 35)
+    assert H.schema_summary(None) == ([], 0, 0)
+
+
 def test_results_cards_and_reviews():
     page = '<a href="/url?q=https://www.a.com/x&sa=1"><h3>A</h3></a><a href="/other">no</a><a href="https://b.com">B</a>'
     assert [(r["position"], r["domain"]) for r in H.search_results(page)] == [(1, "a.com"), (2, "b.com")]
