@@ -124,9 +124,9 @@ def conflict_pairs(d):
     """Pairs of companies with the same host or phone; each ordered, so that it is recorded once for each key."""
     from ..functions import strings as X
 
-    return f"""WITH c AS ({T.companies(d)}), k AS (SELECT id, CASE WHEN {X.is_website(d, 'website')} THEN {X.host(d, 'website')} END AS host, {X.phone_e164(d, 'phone')} AS phone FROM c)
-SELECT a.id AS id_1, b.id AS id_2, 'domain' AS matched FROM k a JOIN k b ON a.host = b.host AND a.id < b.id WHERE a.host <> '' AND a.id % 40 = b.id % 40
-UNION ALL SELECT a.id, b.id, 'phone' FROM k a JOIN k b ON a.phone = b.phone AND a.id < b.id WHERE a.id % 50 = b.id % 50 AND b.id - a.id < 1000"""
+    return f"""WITH c AS ({T.companies(d)}), k AS (SELECT id, CASE WHEN NOT {d.contains_any('lower(website)', X.NOT_WEBSITES)} THEN {X.host(d, 'website')} END AS host, {X.phone_e164(d, 'phone')} AS phone FROM c)
+SELECT a.id AS id_1, b.id AS id_2, 'domain' AS matched FROM k a JOIN k b ON a.host = b.host AND a.id < b.id WHERE a.host <> ''
+UNION ALL SELECT a.id, b.id, 'phone' FROM k a JOIN k b ON a.phone = b.phone AND a.id < b.id"""
 
 
 @query("task_stats", "D1 D2 D23")
