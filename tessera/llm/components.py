@@ -14,8 +14,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then the label's own label,
     so that a chain of n nodes ends after about log n rounds. Rounds are cut by written tables.
     """
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("a", "b").distinct()
-    both = materialize(both, f"{name}-edges")
+    # written before they are turned round: both directions must come from one evaluation of edges
+    edges = materialize(edges.where("a <> b").select("a", "b"), f"{name}-given")
+    both = materialize(edges.union(edges.select("b", "a")).toDF("a", "b").distinct(), f"{name}-edges")
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
     labels = materialize(labels, f"{name}-0")
     step = 0

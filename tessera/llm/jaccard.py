@@ -201,6 +201,7 @@ def _links(percent: int):
         import pyarrow as pa
 
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])  # the forest returned doesn't depend on the order of arrival
         ids, sides = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
         sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
         left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)

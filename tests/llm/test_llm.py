@@ -369,6 +369,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_evaluate_their_edges_once(spark):
+    """Edges that come out another way round at each evaluation, as a forest of links may."""
+
+    def turn(batches):
+        import os
+
+        for pdf in batches:
+            flip = [b % 2 == 1 for b in os.urandom(len(pdf))]
+            yield pdf.assign(a=pdf["b"].where(flip, pdf["a"]), b=pdf["a"].where(flip, pdf["b"]))
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").mapInPandas(turn, "a long, b long")
+    assert {c for _, c in components(edges).collect()} == {0}
+
+
 # --- repeated substrings
 
 
