@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import split_batches, text_buffers
+from .common import bounded_batches, split_batches, text_buffers
 
 #: Trigrams are hashed to so many cells; a language's model is one number for each.
 CELLS = 1 << 16
@@ -107,6 +107,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
         total = np.sum([np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()], axis=0)
         return pa.table({"lang": pa.array([key[0].as_py()]), "shard": pa.array([key[1].as_py()], pa.int32()), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
+    bounded_batches(df.sparkSession)
     schema = "lang string, shard int, counts binary"
     taught = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counts = taught.mapInArrow(count, schema).groupBy("lang", "shard").applyInArrow(add, schema)
@@ -178,6 +179,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
     for field in made:
         if field.name in (c.lower() for c in df.columns):
             raise ValueError(f"the input has a column {field.name!r} already")
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

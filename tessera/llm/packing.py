@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_batches, text_buffers
+from .common import bounded_batches, split_batches, text_buffers
 from .shingles import words
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -89,10 +89,8 @@ class ChunkEncoder:
         size = np.array([len(x) for x in found], np.int64)
         start = len(self.pool) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, *found])
-        order = np.argsort(every := np.concatenate([self.hashes, hashes]))
-        self.hashes = every[order]
-        self.start = np.concatenate([self.start, start])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        at = np.searchsorted(self.hashes, hashes)  # both are in order
+        self.hashes, self.start, self.size = (np.insert(x, at, new) for x, new in ((self.hashes, hashes), (self.start, start), (self.size, size)))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's begin (len + 1)."""
@@ -200,6 +198,7 @@ class Packer:
 
 def pack(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    bounded_batches(df.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -215,7 +214,7 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096,
             packer.rows = []
             return out
 
-        for batch in split_batches(batches, 4_000_000):
+        for batch in split_batches(batches, 1_000_000):
             ids, at = coder.encode(*text_buffers(batch.column(1)))
             for i, lo, hi in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 packer.add(i, ids[lo:hi].tobytes() + end)
