@@ -8,9 +8,10 @@ The model is over bytes (A-Z lower-cased, digits as 0), ORDER of them at a time,
 2. Counts of counts over all shards give each order's three discounts. Each shard joins its counts with
    its contexts' totals to the discounted probabilities; what the discounts freed is the context's
    weight for the next lower order. Orders one and two are tables of 2^16 cells at most.
-3. If there are more than MAX_NGRAMS n-grams, those of the highest order with the smallest counts are
-   pruned, by a count that the counts of counts name; their mass goes to the lower order.
-   The model that is broadcast is thereby bounded.
+3. The probabilities stay in their shards; no n-gram is left out, however many there are, and only orders one
+   and two are sent to every task. Texts are packed in blocks. A block asks each shard once for its distinct
+   n-grams: questions meet the shard's probabilities in one task, one block's questions at a time, and the answers
+   meet the block's texts by a second shuffle.
 4. Texts fall into two halves by a hash of their text, copies together, and each half is scored by the
    model of the other half's trusted texts, so no text is scored by a model that has seen it.
 5. Each text's perplexity is compared with a quantile of the trusted texts' perplexities in its language.
@@ -23,17 +24,24 @@ no rows. A language with fewer than MIN_TRUSTED trusted texts takes the larger o
 
 from __future__ import annotations
 
+import bz2
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, split_batches, text_buffers
+from .common import bounded_batches, materialize, shuffle_partitions, split_batches, text_buffers
 from .jaccard import _planes, _unplanes
 
 ORDER = 5
 SHARDS = 64
-#: N-grams of all orders that a half's model holds, 12 bytes each.
-MAX_NGRAMS = 2_000_000
+#: A block's bytes of text and rows at most (one text at least).
+BLOCK_BYTES, BLOCK_ROWS = 4_000_000, 50_000
+#: In place of a shard's number and a level: a block's texts, and a question.
+TEXTS, QUESTION = 2 * SHARDS, ORDER + 1
+#: Answers are logarithms as whole numbers of five bytes, in parts of this.
+FIXED = 2.0**33
 QUANTILE, SLACK = 0.995, 1.5
 MIN_TRUSTED = 50
 #: Ids of trusted texts that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -134,29 +142,28 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, *[min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]])
 
 
-def _level(keys: np.ndarray, counts: np.ndarray, d: np.ndarray, least: int):
-    """Kept n-grams with their discounted probabilities, contexts with their weights for the lower order."""
+def _level(keys: np.ndarray, counts: np.ndarray, d: np.ndarray):
+    """N-grams with their discounted probabilities, contexts with their weights for the lower order."""
     context = keys >> _U(8)
     heads, which = np.unique(context, return_inverse=True)
     total = np.bincount(which, weights=counts)
     prob = (counts - d[np.minimum(counts, 3)]) / total[which]
-    kept = counts >= least
-    weight = 1 - np.bincount(which[kept], weights=prob[kept], minlength=len(heads))
-    return keys[kept], prob[kept].astype("<f4"), heads, weight.astype("<f4")
+    weight = 1 - np.bincount(which, weights=prob, minlength=len(heads))
+    return keys, prob.astype("<f4"), heads, weight.astype("<f4")
 
 
-def _probabilities(d: np.ndarray, least: np.ndarray):
+def _probabilities(d: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 levels = _lower(_unplanes(keys, ORDER), np.frombuffer(counts, "<i8"))
                 for order in range(3, ORDER + 1):
-                    rows.append((order, *[x.tobytes() for x in _level(*levels[order], d[order], int(least[order]))]))
-            kinds = (pa.int32(), *[pa.binary()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["level", "keys", "prob", "heads", "weight"])
+                    rows.append((shard, order, *[x.tobytes() for x in _level(*levels[order], d[order])]))
+            kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "level", "keys", "prob", "heads", "weight"])
 
     return run
 
@@ -196,8 +203,8 @@ class Model:
         return np.log(p)
 
 
-def train(trusted: DataFrame, text: str = "text", name: str = "counts") -> Model:
-    """A model of all texts of trusted."""
+def shares(trusted: DataFrame, text: str = "text", name: str = "counts") -> tuple[np.ndarray, DataFrame]:
+    """The bigrams' continuation counts, and each shard's probabilities of the higher orders, of all texts of trusted."""
     schema = "shard int, keys binary, counts binary"
     texts = trusted.where(F.length(text) > 0).select(F.col(text).alias("text"))
     shards = materialize(texts.mapInArrow(_count, schema).groupBy("shard").applyInArrow(_merge, schema), name)
@@ -207,46 +214,139 @@ def train(trusted: DataFrame, text: str = "text", name: str = "counts") -> Model
         hist += np.frombuffer(r["hist"], "<i8").reshape(ORDER + 1, 64)
         pairs = np.frombuffer(r["pairs"], "<u2").astype(np.int64)
         np.add.at(bigrams, (pairs >> 8, pairs & 255), np.frombuffer(r["n"], "<i8"))
-    least = np.ones(ORDER + 1, np.int64)
-    for order in range(ORDER, 2, -1):  # prune from the highest order on
-        while hist[3:order].sum() + hist[order, least[order] :].sum() > MAX_NGRAMS and least[order] < 63:
-            least[order] += 1
-        if hist[3:order].sum() <= MAX_NGRAMS:
-            break
     d = np.array([discounts(h) if i > 2 else np.zeros(4) for i, h in enumerate(hist)])
-    rows = shards.mapInArrow(_probabilities(d, least), "level int, keys binary, prob binary, heads binary, weight binary").collect()  # MAX_NGRAMS at most
-    return Model(bigrams, [tuple(r) for r in rows])
+    return bigrams, shards.mapInArrow(_probabilities(d), "shard int, level int, keys binary, prob binary, heads binary, weight binary")
 
 
-def perplexity(df: DataFrame, models: list[Model], half: str = "half", text: str = "text") -> DataFrame:
-    """df without its text, plus perplexity under the model that its half (0 or 1) names."""
-    from pyspark.sql import types as T
+def train(trusted: DataFrame, text: str = "text", name: str = "counts") -> Model:
+    """A model of all texts of trusted in the driver's memory: for tables that fit there."""
+    bigrams, rows = shares(trusted, text, name)
+    return Model(bigrams, [tuple(r)[1:] for r in rows.collect()])
 
-    shared = df.sparkSession.sparkContext.broadcast(models)
-    fields = [f for f in df.schema.fields if f.name != text]
-    columns = [*[f.name for f in fields], text]
+
+def _asked(data: np.ndarray, off: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte, with its text's half above; the distinct ones; their order by half and shard; where each shard's start."""
+    grams = _grams(data, off) | (np.repeat(halves.astype(np.uint64), np.diff(off)) << _U(8 * ORDER))
+    distinct = np.sort(grams)
+    distinct = distinct[np.flatnonzero(np.diff(distinct, prepend=distinct[:1] + _U(1)))]
+    shard = _shard(distinct) + SHARDS * (distinct >> _U(8 * ORDER)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    return grams, distinct, order, np.searchsorted(shard[order], np.arange(TEXTS + 1))
+
+
+def _blocks(half: str, text: str):
+    """Rows packed in blocks, and what each block asks of each shard."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in split_batches(batches, 1_000_000, text):
-            data, off = text_buffers(batch.column(len(fields)))
-            halves = batch.column(batch.schema.get_field_index(half)).to_numpy()
-            n = np.diff(off)
-            value = np.full(batch.num_rows, np.nan)
-            if len(data):
-                logs = np.zeros(len(data) + 1)
-                grams, owner = _grams(data, off), np.repeat(halves, n)
-                for k, model in enumerate(shared.value):
-                    mine = np.flatnonzero(owner == k)
-                    distinct, which = np.unique(grams[mine], return_inverse=True)
-                    logs[1 + mine] = model.log_prob(distinct)[which]
-                logs = np.cumsum(logs)
-                some = n > 0
-                value[some] = np.exp(-(logs[off[1:]] - logs[off[:-1]])[some] / n[some])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value, pa.float64(), mask=n == 0)], names=[*[f.name for f in fields], "perplexity"])
-
-    return df.select(*columns).mapInArrow(run, T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
+        def pack(held):
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            data, off = text_buffers(batch.column(batch.num_columns - 1))
+            _, distinct, order, cut = _asked(data, off, batch.column(batch.schema.get_field_index(half)).to_numpy().astype(np.int64))
+            some = [k for k in range(TEXTS) if cut[k] < cut[k + 1]]
+            rest = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(off))], names=batch.schema.names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rest)
+            none = [None] * len(some)
+            columns = [
+                pa.array([uuid.uuid4().int >> 65] * (len(some) + 1), pa.int64()),
+                pa.array([*some, TEXTS], pa.int32()),
+                pa.array([*[_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some], None], pa.binary()),
+                pa.array([*none, bz2.compress(_FOLD[data].tobytes())], pa.binary()),
+                pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "shard", "keys", "texts", "rest"])
+
+        held, size, rows = [], 0, 0
+        for batch in split_batches(batches, BLOCK_BYTES, text):
+            more = int(text_buffers(batch.column(batch.num_columns - 1))[1][-1])
+            if held and (size + more > BLOCK_BYTES or rows + batch.num_rows > BLOCK_ROWS):
+                yield pack(held)
+                held, size, rows = [], 0, 0
+            held.append(batch)
+            size, rows = size + more, rows + batch.num_rows
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _answers(bigrams):
+    """Of each shard the probabilities come first; then its questions, whose logarithms are returned."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, held, model = None, [], None
+        for batch in batches:
+            out = []
+            for shard, level, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    now, held, model = shard, [], None
+                if level < QUESTION:
+                    held.append((level, *row))
+                    continue
+                model = model or Model(bigrams.value[shard // SHARDS], held)
+                held = []
+                logs = np.maximum(-model.log_prob(_unplanes(row[0], ORDER)), 0) * FIXED
+                out.append((block, shard, _planes(np.rint(logs).astype(np.uint64), 5)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "shard", "answer"])
+
+    return run
+
+
+def _scores(names: list[str], half: str):
+    """Of each block the answers come first, by shard; then its texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, answers = None, []
+        for batch in batches:
+            for block, shard, answer, texts, rest in zip(*batch.columns, strict=True):
+                if block.as_py() != now:
+                    now, answers = block.as_py(), []
+                if shard.as_py() < TEXTS:
+                    answers.append(_unplanes(answer.as_py(), 5) / -FIXED)
+                    continue
+                rows = pa.ipc.open_stream(rest.as_py()).read_next_batch()
+                n = rows.column(rows.num_columns - 1).to_numpy()
+                off = np.concatenate([[0], np.cumsum(n)])
+                halves = rows.column(rows.schema.get_field_index(half)).to_numpy().astype(np.int64)
+                grams, distinct, order, _ = _asked(np.frombuffer(bz2.decompress(texts.as_py()), np.uint8), off, halves)
+                found = np.concatenate([np.zeros(0), *answers])
+                if len(found) != len(distinct):
+                    raise RuntimeError(f"block {now}: {len(found)} answers to {len(distinct)} questions")
+                logs = np.zeros(len(distinct))
+                logs[order] = found
+                value, some = np.full(len(n), np.nan), n > 0
+                if some.any():
+                    value[some] = np.exp(-np.add.reduceat(logs[np.searchsorted(distinct, grams)], off[:-1][some]) / n[some])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(value, pa.float64(), mask=~some)], names=names)
+
+    return run
+
+
+def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half: str = "half", text: str = "text") -> DataFrame:
+    """df without its text, plus perplexity under the model (see shares) that its half (0 or 1) names."""
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    parts = shuffle_partitions(spark)
+    fields = [f for f in df.schema.fields if f.name != text]
+    packed = df.select(*[f.name for f in fields], text).mapInArrow(_blocks(half, text), "block long, shard int, keys binary, texts binary, rest binary")
+    packed = materialize(packed, "blocks")
+    met = packed.where(F.col("shard") < TEXTS).select("shard", F.lit(QUESTION).alias("level"), "block", "keys")
+    for k, (_, rows) in enumerate(models):
+        met = met.unionByName(rows.withColumn("shard", F.col("shard") + k * SHARDS), allowMissingColumns=True)
+    met = met.select("shard", "level", "block", "keys", "prob", "heads", "weight").repartition(parts, "shard").sortWithinPartitions("shard", "level")
+    answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models])), "block long, shard int, answer binary")
+    both = answers.unionByName(packed.where(F.col("shard") == TEXTS).drop("keys"), allowMissingColumns=True)
+    both = both.repartition(parts, "block").sortWithinPartitions("block", "shard")
+    return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
@@ -256,7 +356,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     marked = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     rows = docs.select("doc_id", "lang", "text").join(marked, F.col("doc_id") == F.col("good_id"), "left")
     rows = rows.select("doc_id", "lang", F.col("good_id").isNotNull().alias("trusted"), "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
-    models = [train(rows.where((F.col("trusted")) & (F.col("half") == 1 - k)), name=f"counts-{k}") for k in (0, 1)]
+    models = [shares(rows.where((F.col("trusted")) & (F.col("half") == 1 - k)), name=f"counts-{k}") for k in (0, 1)]
     scored = materialize(perplexity(rows, models), "scored")
     seen = scored.where("trusted and perplexity is not null")
     by_lang = seen.where("lang is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own"), F.count("*").alias("n"))

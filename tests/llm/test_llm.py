@@ -480,6 +480,24 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_keeps_every_ngram(spark):
+    """More distinct n-grams than any bound on a model in memory once was; shards answer as the whole model does."""
+    rng = np.random.default_rng(5)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    texts = [letters[rng.integers(0, 27, 50_000)].tobytes().decode() for _ in range(60)]
+    docs = frame(spark, texts).repartition(4)
+    bigrams, rows = quality.shares(docs)
+    model = quality.Model(bigrams, [tuple(r)[1:] for r in rows.collect()])
+    grams = [quality._grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in texts]
+    assert len(model.levels[5][0]) == len(np.unique(np.concatenate(grams))) > 2_000_000
+    asked = frame(spark, [*texts[:3], "", None, "Unseen 12 \u00e9"]).withColumn("half", (F.col("doc_id") % 2).cast("int"))
+    none = quality.shares(docs.limit(0))
+    got = {r["doc_id"]: r["perplexity"] for r in quality.perplexity(asked, [(bigrams, rows), none]).collect()}
+    for i in (0, 2):
+        assert abs(got[i] / np.exp(-model.log_prob(grams[i]).mean()) - 1) < 1e-5
+    assert abs(got[1] - 256) < 1e-3 and abs(got[5] - 256) < 1e-3 and got[3] is None and got[4] is None
+
+
 # --- pipeline
 
 
