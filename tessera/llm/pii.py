@@ -14,7 +14,8 @@
 A pattern needs MIN_SUPPORT distinct known instances, so that chance neighbours teach nothing.
 
 Defined results: null counts as empty text. Overlaps between kinds among base spans stay. Repeated rows, and rows that
-share an id, each get their own spans. An empty table gives no rows; other columns are ignored.
+share an id or have none, each get their own spans. An empty table gives no rows; other columns are ignored, or
+returned beside the spans.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, materialize, split_batches
 
@@ -119,7 +121,7 @@ def context(text: str, start: int, end: int) -> str:
 def _scan(batches):
     import pyarrow as pa
 
-    names = ["doc_id", "kinds", "starts", "ends", "base", "patterns", "instances"]
+    names = ["doc_id", "kinds", "starts", "ends", "base", "patterns", "instances", "text", "others"]
     kinds_of = pa.list_(pa.int32())
     for batch in split_batches(batches):
         rows = []
@@ -138,14 +140,23 @@ def _scan(batches):
                 )
             )
         types = (kinds_of, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]], names=names)
+        columns = [batch.column(0), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]]
+        if batch.num_columns > 2:  # the row itself goes along
+            columns += [batch.column(1), batch.column(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
 
-def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, found: array of (kind, start, end, learned) by kind, then start; one row for each row of df."""
+def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """doc_id (or all columns of df, if whole), found: array of (kind, start, end, learned) by kind, then start; one row for each row of df."""
     bounded_batches(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, kinds array<int>, starts array<long>, ends array<long>, base int, patterns array<string>, instances array<string>"
+    kept = [F.col("doc_id")]
+    if whole:
+        others = F.struct(*[c for c in df.columns if c != text])
+        docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), others.alias("others"))
+        schema = T.StructType([*T.StructType.fromDDL(schema).fields, docs.schema["text"], docs.schema["others"]])
+        kept = [F.col("text").alias(c) if c == text else F.col("others")[c].alias(c) for c in df.columns]
     scanned = docs.mapInArrow(_scan, schema).withColumn("row", F.monotonically_increasing_id())
     scanned = materialize(scanned, "scanned")
     each = scanned.where("size(kinds) > 0").select(
@@ -168,8 +179,8 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     learned = each.where("not seed").join(confident.select("kind", "pattern"), ["kind", "pattern"], "left_semi")
     learned = learned.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", F.lit(True).alias("learned"))).alias("more"))
     base = F.transform(F.slice(F.arrays_zip("kinds", "starts", "ends"), F.lit(1), F.col("base")), lambda x: F.struct(x["kinds"].alias("kind"), x["starts"].alias("start"), x["ends"].alias("end"), F.lit(False).alias("learned")))
-    rows = scanned.select("row", "doc_id", base.alias("found")).join(learned, "row", "left")
-    return rows.select("doc_id", F.array_sort(F.concat("found", F.coalesce("more", F.slice("found", 1, 0)))).alias("found"))
+    rows = scanned.select("row", *(("text", "others") if whole else ("doc_id",)), base.alias("found")).join(learned, "row", "left")
+    return rows.select(*kept, F.array_sort(F.concat("found", F.coalesce("more", F.slice("found", 1, 0)))).alias("found"))
 
 
 def joined(spans: Column) -> Column:

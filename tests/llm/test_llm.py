@@ -521,6 +521,19 @@ def test_pipeline_against_single_steps(spark):
     check_packed(P.STAGES[-1][1](spark, kept, "").collect(), {i: t for i, (t, _) in text.items()})
 
 
+def test_redaction_is_by_row(spark):
+    """Rows without an id lose their personal data too; rows that share one keep to their own spans."""
+    import corpus_pipeline as P
+
+    texts = [(None, "write to a.b@example.com now"), (None, "or to 10.0.0.1, please"), (None, None), (7, "mail c@example.org"), (7, "clean text that has nothing in it"), (7, "mail c@example.org"), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = P.redact(spark, docs, "")
+    assert rows.schema == docs.schema
+    got = sorted(((r["doc_id"] or 0, r["text"] or "", r["n_chars"]) for r in rows.collect()))
+    clean = ["", "or to [ip], please", "write to [email] now"], ["clean text that has nothing in it", "mail [email]", "mail [email]"], [""]
+    assert got == [(i, t, len(t)) for i, ts in zip((0, 7, 8), clean) for t in ts]
+
+
 def test_pipeline_runs_on_documents(spark):
     import corpus_pipeline as P
 
