@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,30 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a few numbers or short strings that are told to every task; more are shuffled.
+TOLD_ROWS = 1_000_000
+#: A group is hot when it has more rows than a task's share of all rows over this, and more than so many.
+HOT_PARTS, HOT_ROWS = 4, 1000
+
+
+def told(df: DataFrame, most: int = TOLD_ROWS) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many rows. df is counted: it should be a written table."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows with the columns of their group (inner join on columns without nulls); size: the column of groups with their number of rows.
+
+    Groups of more than a small share of all rows are few, so they are told to every task and their rows stay where they
+    are: no task takes a hot group. The others are joined by a shuffle. groups is read twice.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    limit = max(HOT_ROWS, total // (HOT_PARTS * shuffle_partitions(rows.sparkSession)))
+    hot = groups.where(F.col(size) > limit)  # at most total / limit rows
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(size) <= limit), on)
+    return cold.unionByName(rows.join(F.broadcast(hot), on).select(*cold.columns))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that clashes with none of df's (case-insensitively)."""
     taken = {c.lower() for c in df.columns}
@@ -50,6 +75,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with the columns that clash with names (case-insensitively) renamed by underscores before their names."""
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            df = df.withColumnRenamed(c, free_name(df, f"_{c}"))
+    return df
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets (len + 1) of an Arrow string column, without copying; null counts as empty."""
     import pyarrow as pa

@@ -10,15 +10,17 @@ The result gives each document its class, the smallest id reachable by links.
 2. Groups. Texts with equal sets are one class and go on as one representative. Of each
    representative the rarest shingles (as many as a link can't do without) tie it to a neighbourhood;
    linked texts always fall into the same one, as they share one of these shingles.
-3. Token-group matrix. Texts of a neighbourhood are dealt to blocks, in the order of their size. A
-   task takes two blocks, partitions the texts of the second into groups of similar ones, stores each
+3. Token-group matrix. Texts of a neighbourhood are dealt to blocks. A
+   task partitions the texts of a block into groups of similar ones, stores each
    group's token union as a row of a bit matrix and bounds each query's overlap with each group by one matrix
    product. Only groups that reach the query's least overlap are opened: the exact overlap with each
    member decides. A task returns links enough to connect what it linked, not all of them.
-4. The links' connected components, found by joins, are the classes.
+4. Neighbourhoods of many blocks (see neighbour_links): blocks first, then the most linked text of each block's
+   classes, then the pairs of blocks that still hold different classes.
+5. The links' connected components, found by joins, are the classes.
 
-Sets are kept as 64-bit hashes of shingles. Exact comparisons are of whole sets; nothing is capped
-or sampled.
+Shingles are kept as two independent 64-bit digests, and are equal when both are. The first alone may only lead to more
+texts being compared. Comparisons are of whole sets; nothing is capped or sampled.
 
 Hot shingles: a task sends each distinct shingle once, however many of its texts hold it.
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shuffle_partitions, split_batches, text_buffers
+from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, text_buffers, told
 from .components import components
 from .shingles import shingle_sets
 
@@ -45,8 +47,9 @@ BOUND_BYTES = 5
 #: Shingles that a task packs together.
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
-#: Texts of a block, and of a group of the matrix.
+#: Texts and shingles of a block, and texts of a group of the matrix.
 BLOCK_DOCS = 1000
+BLOCK_TOKENS = 2_000_000
 GROUP_DOCS = 32
 #: Rows of three numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -68,15 +71,12 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _fingerprints(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums of each set."""
-    from .common import mix64
-
-    n = len(at) - 1
+def _fingerprints(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit sums of each set, one over each of its shingles' digests."""
     out = []
-    for salt in (0x51ED270B, 0xA24BAED4963EE407):
-        total = np.r_[np.uint64(0), np.cumsum(mix64(tokens ^ np.uint64(salt)), dtype=np.uint64)]
-        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64) if n else np.zeros(0, np.int64))
+    for digest in (one, two):
+        total = np.r_[np.uint64(0), np.cumsum(mix64(digest), dtype=np.uint64)]
+        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
     return out[0], out[1]
 
 
@@ -125,9 +125,9 @@ def _pack(width: int, n_buckets: int):
         n_tokens = n_docs = 0
         for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
-            tokens, at = shingle_sets(data, off, width)
+            tokens, more, at = shingle_sets(data, off, width)
             ids = batch.column(0)
-            held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at), *_fingerprints(tokens, at), tokens))
+            held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at), *_fingerprints(tokens, more, at), tokens))
             n_tokens, n_docs = n_tokens + len(tokens), n_docs + batch.num_rows
             if n_tokens > CHUNK_TOKENS or n_docs > CHUNK_DOCS - 5000:
                 yield flush()
@@ -195,23 +195,28 @@ def _least(n, percent: int):
 
 
 def _links(percent: int):
-    """Links between the texts of two blocks (or of one, when they are the same)."""
+    """Links between the texts of two blocks (sides 0 and 1), or of one (side 2): enough to connect what is linked.
+
+    With them, the most linked text of each class of one block (kind 1), by which it is compared with other blocks' classes.
+    """
 
     def run(key, table):
         import pyarrow as pa
 
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])  # the forest returned doesn't depend on the order of arrival
         ids, sides = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-        sets = [np.frombuffer(x, "<u8") for x in table.column("tokens").to_pylist()]
+        sets = [np.frombuffer(x, "<u8").reshape(2, -1) for x in table.column("tokens").to_pylist()]
         left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
         if not len(left) or not len(right):
-            return none
-        sizes = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
+            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sizes = np.array([s.shape[1] for s in sets])
+        one, two = (np.concatenate([s[k] for s in sets]) for k in (0, 1))
         doc = np.repeat(np.arange(len(sets)), sizes)
-        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-        useful = count > 1
+        order = np.lexsort((two, one))  # shingles are equal when both digests are
+        new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]
+        column = np.empty(len(order), np.int64)
+        column[order] = np.cumsum(new) - 1
+        useful = np.bincount(column) > 1
         place = np.cumsum(useful) - 1
         keep = useful[column]
         doc, column = doc[keep], place[column[keep]]
@@ -261,14 +266,19 @@ def _links(percent: int):
                 x = parent[x]
             return x
 
-        out_a, out_b = [], []
+        out = []
         for i, j in np.argwhere(linked):
             a, b = root(int(ids[left[i]])), root(int(ids[right[j]]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out_a.append(int(ids[left[i]]))
-                out_b.append(int(ids[right[j]]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                out.append((0, int(ids[left[i]]), int(ids[right[j]])))
+        if (sides == 2).all():
+            best: dict = {}
+            for i, n in zip(ids[left].tolist(), linked.sum(axis=1).tolist(), strict=True):
+                c = root(i)
+                best[c] = max(best.get(c, (-1, 0)), (n, -i))
+            out += [(1, -i, c) for c, (_, i) in sorted(best.items())]
+        return pa.table({name: pa.array([r[k] for r in out], t) for k, (name, t) in enumerate((("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())))})
 
     return run
 
@@ -281,11 +291,11 @@ def _token_rows(width: int):
 
         for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
-            tokens, at = shingle_sets(data, off, width)
-            fp1, fp2 = _fingerprints(tokens, at)
+            tokens, more, at = shingle_sets(data, off, width)
+            fp1, fp2 = _fingerprints(tokens, more, at)
             want1, want2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             same = (fp1 == want1) & (fp2 == want2)
-            sets = [tokens[at[i] : at[i + 1]].astype("<u8").tobytes() for i in np.flatnonzero(same)]
+            sets = [tokens[at[i] : at[i + 1]].astype("<u8").tobytes() + more[at[i] : at[i + 1]].astype("<u8").tobytes() for i in np.flatnonzero(same)]
             ids = batch.column(0).filter(pa.array(same))
             columns = [ids, pa.array(np.diff(at)[same], pa.int64()), pa.array(fp1[same]), pa.array(fp2[same]), pa.array(sets, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp1", "fp2", "tokens"])
@@ -297,7 +307,7 @@ def _explode(batches):
     import pyarrow as pa
 
     for batch in batches:
-        sets = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+        sets = [np.frombuffer(x, "<u8", len(x) // 16) for x in batch.column(2).to_pylist()]  # first digests only
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         for lo in range(0, len(flat), 500_000):
@@ -306,19 +316,86 @@ def _explode(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "token"])
 
 
+def _compare(work: DataFrame, percent: int, by: list[str]) -> DataFrame:
+    return work.groupBy(*by).applyInArrow(_links(percent), "kind int, a long, b long")
+
+
+def _dealt(texts: DataFrame, by: list[str]) -> DataFrame:
+    """texts (doc_id, n and by) with the number of blocks of each group, and each text's block by a hash of its id."""
+    sizes = texts.groupBy(*by).agg(F.count("*").alias("c"), F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).alias("blocks"))
+    return join_groups(texts, materialize(sizes, "groups"), by, "c").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+
+
+def neighbour_links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), enough to connect every class, among texts (doc_id, n, hood) of each neighbourhood; sets: doc_id, tokens.
+
+    1. Blocks. A neighbourhood's texts are dealt to blocks, each of which is one task's matrix.
+    2. Central texts. Each class of a block sends its most linked text on; these are dealt and compared in the same way, until
+       a neighbourhood's fit one block or stay as many. Near copies of one text are one class after these rounds, whose cost
+       grows with their number and not with its square.
+    3. What is left. Only pairs of blocks that hold different classes of a neighbourhood are compared: no link is lost.
+    """
+    tokens = sets.select("doc_id", "tokens")
+    dealt = materialize(_dealt(texts, ["hood"]), "dealt-0")
+    found = materialize(_compare(dealt.join(tokens, "doc_id").withColumn("side", F.lit(2)), percent, ["hood", "block"]), "links-0")
+    large = materialize(dealt.where("blocks > 1").select("doc_id", "n", "hood"), "large")
+    n = large.count()
+    if not n:
+        return found.where("kind = 0").select("a", "b")
+    step = 0
+    while True:
+        centres = large.join(found.where("kind = 1").select(F.col("a").alias("doc_id")).distinct(), "doc_id")
+        dealt = materialize(_dealt(centres, ["hood"]), f"dealt-{step + 1}")
+        left = dealt.count()
+        step += 1
+        more = _compare(dealt.join(tokens, "doc_id").withColumn("side", F.lit(2)), percent, ["hood", "block"])
+        # the texts that are not asked again keep their links
+        found = materialize(found.where("kind = 0").unionByName(more), f"links-{step}")
+        if left > n / 2 or dealt.where("blocks > 1").isEmpty():
+            break
+        n = left
+    known = found.where("kind = 0").select("a", "b")
+    classes = components(known, "coarse")
+    held = large.join(classes, large["doc_id"] == classes["node"], "left").select("doc_id", "n", "hood", F.coalesce("component", "doc_id").alias("class"))
+    held = materialize(held, "held")
+    sizes = held.groupBy("hood", "class").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("hood").agg(F.count("*").alias("c"), F.sum("size").alias("texts")).where("c > 1")
+    open_ = join_groups(held, several.select("hood", "texts"), ["hood"], "texts").drop("texts")
+    open_ = join_groups(open_, sizes, ["hood", "class"], "size")
+    # large classes have blocks of their own; the texts of small ones share blocks; texts of about a size lie together
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
+    open_ = open_.select("doc_id", "n", "hood", F.when(F.col("size") >= BLOCK_DOCS, F.col("class")).otherwise(F.lit(None)).alias("own"), band.alias("band"))
+    open_ = materialize(open_, "open")
+    if open_.isEmpty():
+        return known
+    open_ = open_.withColumn("kin", F.coalesce(F.col("own").cast("string"), F.lit("")))
+    dealt = materialize(_dealt(open_, ["hood", "kin", "band"]), "dealt-open")
+    spans = dealt.groupBy("hood", "kin", "band", "block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    spans = materialize(spans.withColumn("x", F.concat_ws(":", "kin", "band", "block")), "spans")
+    one, two = spans.select("hood", "x", F.col("kin").alias("kin1"), F.col("small").alias("s1"), F.col("large").alias("l1")), spans.select("hood", F.col("x").alias("y"), F.col("kin").alias("kin2"), F.col("small").alias("s2"), F.col("large").alias("l2"))
+    near = (100 * F.col("l1") >= percent * F.col("s2")) & (100 * F.col("l2") >= percent * F.col("s1"))
+    pairs = one.join(two, "hood").where((F.col("x") <= F.col("y")) & near & ((F.col("kin1") != F.col("kin2")) | (F.col("kin1") == ""))).select("hood", "x", "y")
+    sides = pairs.select("hood", "x", "y", F.col("x").alias("at"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).union(
+        pairs.where("x <> y").select("hood", "x", "y", F.col("y").alias("at"), F.lit(1).alias("side"))
+    )
+    members = dealt.select("doc_id", "hood", F.concat_ws(":", "kin", "band", "block").alias("at")).join(sides, ["hood", "at"])
+    rest = _compare(members.join(tokens, "doc_id").select("hood", "x", "y", "side", "doc_id", "tokens"), percent, ["hood", "x", "y"])
+    return known.union(rest.where("kind = 0").select("a", "b"))
+
+
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows of docs (doc_id, text), and links (a, b) enough to connect every class."""
     bounded_batches(docs.sparkSession)
     sig = materialize(signatures(docs, width), "signatures")
-    first = sig.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"))
-    able = sig.where((F.col("n") > 0) & (F.col("doc_id").isNotNull()) & (100 * F.col("shared") >= percent * F.col("n")))
+    named = sig.where("n > 0 and doc_id is not null")
+    first = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
+    able = named.where(100 * F.col("shared") >= percent * F.col("n"))
     reps = able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id")).join(first, ["fp1", "fp2"]).where("doc_id = first")
-    equal = sig.where("n > 0 and doc_id is not null").join(first, ["fp1", "fp2"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    equal = join_groups(named, materialize(first.where("c > 1"), "equal"), ["fp1", "fp2"], "c").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
-    wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
     # few wanted texts are told to the readers of docs; with more of them, docs are shuffled
-    told = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = docs.select("doc_id", "text").join(told, "doc_id").select("doc_id", "text", "fp1", "fp2")
+    wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
+    found = docs.select("doc_id", "text").join(told(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "fp1", "fp2")
     sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary").dropDuplicates(["doc_id", "fp1", "fp2"]), "sets")
 
     # neighbourhoods: the shingles, rarest first, of which a linked text must share one
@@ -334,21 +411,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
     near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()
     around = components(near, "neighbourhoods")
-
-    # blocks of each neighbourhood by size; pairs of blocks whose sizes can link
-    placed = sets.select("doc_id", "n", "tokens").join(around, sets["doc_id"] == around["node"]).select("doc_id", "n", "tokens", F.col("component").alias("hood"))
-    light = placed.select("doc_id", "n", "hood")
-    light = materialize(light.withColumn("block", F.floor((F.row_number().over(W.partitionBy("hood").orderBy("n", "doc_id")) - 1) / BLOCK_DOCS)), "blocks")
-    spans = light.groupBy("hood", "block").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    one, two = spans.toDF("hood", "x", "small1", "large1"), spans.toDF("hood", "y", "small2", "large2")
-    pairs = one.join(two, "hood").where((F.col("x") <= F.col("y")) & (100 * F.col("large1") >= percent * F.col("small2"))).select("hood", "x", "y")
-    sides = pairs.select("hood", "x", "y", F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side")).union(
-        pairs.where("x <> y").select("hood", "x", "y", F.col("y").alias("block"), F.lit(1).alias("side"))
-    )
-    members = light.select("doc_id", "hood", "block").join(sides, ["hood", "block"]).join(sets.select("doc_id", "tokens"), "doc_id")
-    work = members.select("hood", "x", "y", "side", "doc_id", "tokens")
-    close = work.groupBy("hood", "x", "y").applyInArrow(_links(percent), "a long, b long")
-    return sig, close.union(equal)
+    texts = sets.select("doc_id", "n").join(around, sets["doc_id"] == around["node"]).select("doc_id", "n", F.col("component").alias("hood"))
+    return sig, neighbour_links(materialize(texts, "texts"), sets, percent).union(equal)
 
 
 def jaccard_classes(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,8 +420,14 @@ def jaccard_classes(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sig, found = links(docs, width, percent)
     classes = components(found, "classes")
-    keyed = sig.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"))
-    nulls = sig.where("doc_id is null").join(keyed.withColumnRenamed("first", "own"), ["fp1", "fp2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("own")).alias("own"))
-    rows = sig.where("doc_id is not null").select("doc_id", "n", F.col("doc_id").alias("own")).union(nulls)
-    joined = rows.join(classes, rows["own"] == classes["node"], "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "own").alias("component_id"))
+    named = sig.where("doc_id is not null")
+    joined = named.join(classes, named["doc_id"] == classes["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    # rows without an id follow an equal set that has one; there may be many of them to one set
+    nulls = sig.where("doc_id is null").select("doc_id", "n", "fp1", "fp2")
+    if nulls.isEmpty():
+        return joined
+    keyed = named.where("n > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("own"))
+    groups = nulls.groupBy("fp1", "fp2").agg(F.count("*").alias("times")).join(keyed, ["fp1", "fp2"], "left")
+    groups = groups.join(classes, groups["own"] == classes["node"], "left").select("fp1", "fp2", "times", F.coalesce("component", "own").alias("class"))
+    rows = join_groups(nulls, materialize(groups, "nulls"), ["fp1", "fp2"], "times")
+    return joined.union(rows.select("doc_id", "n", "class"))

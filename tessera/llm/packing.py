@@ -6,6 +6,8 @@ of others that a bitset subset-sum program brings closest to the capacity, its c
 backtracking. Windows are filled where the texts are read, so nothing is shuffled. What is left
 at the end of a task is packed the same way, so a task pads little more than one window.
 
+Ids are those of the tokenizers library's plain call on the whole text, so a special token's string is that token.
+
 Defined results: null counts as empty text (its one token is the end id); repeated rows are packed each;
 a row with a null id is packed under a null id; an empty table gives no rows; other columns are ignored.
 Sequence ids are unique over the table: the task's number and a count within it.
@@ -22,19 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, split_batches, text_buffers
-from .shingles import words
+from .shingles import digests, eights, same_bytes, word_places
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Pieces that wait in a task before windows are filled down to half of them.
 WAITING = 20_000
-#: Chunks whose ids a worker remembers, about 50 bytes each.
-REMEMBERED = 1_000_000
+#: Chunks whose ids a worker remembers, about 60 bytes each, and bytes of chunks.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32_000_000
 _LETTER_CLASS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"  # letters that stay one letter under the vocabulary's normalisation
 _MARK_CLASS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe
 _SIMPLE = re.compile(f"[{_LETTER_CLASS}]+[{_MARK_CLASS}]*")
 _PARTS = re.compile(f"[{_LETTER_CLASS}]+|[0-9]|[{_MARK_CLASS}]+")
 _COMMON = re.compile(f"[{_LETTER_CLASS}0-9{_MARK_CLASS}]+")
-_LETTERS = np.random.default_rng(9021).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BETWEEN = np.zeros(256, bool)
 _BETWEEN[[0x20, 0x0A]] = True
 
@@ -42,24 +43,24 @@ _BETWEEN[[0x20, 0x0A]] = True
 class ChunkEncoder:
     """Ids of whole texts, by chunks between spaces and newlines, which no token of the vocabulary spans.
 
-    Distinct chunks (by a 64-bit hash) are encoded by the tokenizers library and their ids remembered.
-    Chunks of common letters, digits and marks are encoded many at a time and told apart by the tokens
-    that end a word.
+    Distinct chunks are encoded by the tokenizers library, and their bytes and ids remembered. A chunk is looked up by
+    a 64-bit digest and taken for the remembered one only if its bytes are the same. Chunks of common letters, digits
+    and marks are encoded many at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, "<u4")
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.size, self.at, self.long = (np.zeros(0, np.int64) for _ in range(4))
+        self.pool, self.raw = np.zeros(0, "<u4"), np.zeros(0, np.uint8)
 
     def _encode(self, chunks: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(chunks)
@@ -75,7 +76,7 @@ class ChunkEncoder:
             some = plain[at : at + 200]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join([chunks[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(words[at : at + 200])
-            if len(ends) == last[-1]:
+            if len(ends) == last[-1]:  # a special token in a chunk ends no word, and the numbers differ
                 for i, lo, hi in zip(some, [0, *(cut := ends[last - 1].tolist())][:-1], cut, strict=True):
                     out[i] = ids[lo:hi]
         rest = [i for i, x in enumerate(out) if x is None]
@@ -86,28 +87,40 @@ class ChunkEncoder:
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         raw = data.tobytes()
         found = self._encode([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-        size = np.array([len(x) for x in found], np.int64)
-        start = len(self.pool) + np.cumsum(size) - size
+        size, long = np.array([len(x) for x in found], np.int64), ends - starts
+        start, place = len(self.pool) + np.cumsum(size) - size, len(self.raw) + np.cumsum(long) - long
         self.pool = np.concatenate([self.pool, *found])
+        self.raw = np.concatenate([self.raw, data[np.arange(int(long.sum())) + np.repeat(starts - (np.cumsum(long) - long), long)]])
         at = np.searchsorted(self.hashes, hashes)  # both are in order
-        self.hashes, self.start, self.size = (np.insert(x, at, new) for x, new in ((self.hashes, hashes), (self.start, start), (self.size, size)))
+        pairs = ((self.hashes, hashes), (self.start, start), (self.size, size), (self.at, place), (self.long, long))
+        self.hashes, self.start, self.size, self.at, self.long = (np.insert(x, at, new) for x, new in pairs)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and where each text's begin (len + 1)."""
-        hashes, at, starts, ends = words(data, off, _LETTERS, _BETWEEN)
-        if not len(hashes):
+        starts, ends, at = word_places(data, off, _BETWEEN)
+        if not len(starts):
             return np.zeros(0, "<u4"), np.zeros(len(off), np.int64)
+        word, long = eights(data), ends - starts
+        hashes = digests(word, starts, long)[0]
         distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED or len(self.raw) > REMEMBERED_BYTES:
             self.clear()
         near = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
         new = np.flatnonzero(self.hashes[near] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(new):
             self._learn(distinct[new], data, starts[one[new]], ends[one[new]])
-        place = np.searchsorted(self.hashes, distinct)
-        start, size = self.start[place][which], self.size[place][which]
+        place = np.searchsorted(self.hashes, distinct)[which]
+        start, size, pool = self.start[place], self.size[place], self.pool
+        same = self.long[place] == long
+        same[same] = same_bytes(word, starts[same], eights(self.raw), self.at[place[same]], long[same])
+        if not same.all():  # equal digests of different chunks: these are encoded for themselves
+            odd = np.flatnonzero(~same)
+            found = self._encode([data[starts[i] : ends[i]].tobytes().decode() for i in odd])
+            size[odd] = [len(x) for x in found]
+            start[odd] = len(pool) + np.cumsum(size[odd]) - size[odd]
+            pool = np.concatenate([pool, *found])
         stop = np.cumsum(size)
-        ids = self.pool[np.arange(int(stop[-1])) + np.repeat(start - (stop - size), size)]
+        ids = pool[np.arange(int(stop[-1])) + np.repeat(start - (stop - size), size)]
         return ids, np.r_[0, stop][at]
 
 

@@ -1,4 +1,4 @@
-"""Hashed word shingles of whole texts, vectorised over the bytes of a batch."""
+"""Digests of words and of word shingles of whole texts, vectorised over the bytes of a batch."""
 
 from __future__ import annotations
 
@@ -6,33 +6,69 @@ import numpy as np
 
 from .common import mix64
 
-_RNG = np.random.default_rng(20240229)
-_LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-for _c in range(ord("A"), ord("Z") + 1):
-    _LETTER[_c] = _LETTER[_c + 32]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UP = np.ones(1, np.uint64)
-_DOWN = np.ones(1, np.uint64)
+_U = np.uint64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The low 0 to 8 bytes of a number.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: Two independent digests are told apart by these.
+SALTS = (0x51ED270B27B4F3A5, 0xA24BAED4963EE407)
 
 
-def _powers(n: int) -> None:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        size = n + n // 4
-        _UP = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, _BASE, np.uint64)])
-        _DOWN = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, pow(_BASE, -1, 2**64), np.uint64)])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one little-endian number; zeros beyond the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
 
 
-def words(data: np.ndarray, off: np.ndarray, letter: np.ndarray = _LETTER, space: np.ndarray = _SPACE):
-    """Hash of each word (A-Z as a-z, by the default letters), the number of each text's first word (len + 1), and where words start and end."""
+def _later(starts: np.ndarray, sizes: np.ndarray):
+    """The eight-byte blocks after the first of each stretch: whose they are, their number, place and bytes left."""
+    more = np.maximum((sizes + 7) // 8 - 1, 0)
+    of = np.repeat(np.arange(len(sizes)), more)
+    nth = 1 + np.arange(len(of)) - np.repeat(np.cumsum(more) - more, more)
+    return of, nth, starts[of] + 8 * nth, np.minimum(sizes[of] - 8 * nth, 8)
+
+
+def digests(word: np.ndarray, starts: np.ndarray, sizes: np.ndarray, salts: tuple[int, ...] = SALTS[:1]) -> list[np.ndarray]:
+    """A 64-bit digest of each stretch of bytes for each salt; word: see eights.
+
+    Each eight-byte block goes with its number through a bijection that is not linear before the blocks are
+    added up, so words built against polynomial hashes are told apart like any others.
+    """
+    first = word[starts] & _LOW[np.minimum(sizes, 8)]
+    of, nth, at, left = _later(starts, sizes)
+    blocks = word[at] & _LOW[left]
+    place = mix64(nth.astype(np.uint64) * _STEP)
+    out = []
+    for salt in salts:
+        total = mix64(first ^ _U(salt))
+        if len(of):
+            new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            total[of[new]] += np.add.reduceat(mix64(blocks ^ place ^ _U(salt)), new)
+        out.append(mix64(total + sizes.astype(np.uint64) * _LENGTH))
+    return out
+
+
+def same_bytes(word: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether stretches of equal sizes in two texts (see eights) hold the same bytes."""
+    low = _LOW[np.minimum(sizes, 8)]
+    same = (word[starts] & low) == (other[places] & low)
+    of, nth, at, left = _later(starts, sizes)
+    differ = (word[at] ^ other[places[of] + 8 * nth]) & _LOW[left] != 0
+    same[of[differ]] = False
+    return same
+
+
+def word_places(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end, and the number of each text's first word (len + 1)."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), none, none
-    _powers(n + 1)
+        return none, none, np.zeros(len(off), np.int64)
     solid = ~space[data]
     first = np.zeros(n + 1, bool)
     first[off] = True  # a text starts here
@@ -41,34 +77,38 @@ def words(data: np.ndarray, off: np.ndarray, letter: np.ndarray = _LETTER, space
     stop = solid.copy()
     stop[:-1] &= first[1:n] | ~solid[1:]
     starts, ends = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(letter[data] * _UP[:n], out=total[1:])
-    hashes = mix64((total[ends] - total[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, off), starts, ends
+    return starts, ends, np.searchsorted(starts, off)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each text, sorted, laid end to end, and where each text's begin (len + 1).
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each text, in the order of their first digest, laid end to end: both digests, and where each text's begin (len + 1).
 
     A text of fewer words than the width has its whole sequence as one shingle; one without words has none.
     """
-    hashes, at, _, _ = words(data, off)
-    n = len(hashes)
-    grams = np.zeros(n, np.uint64)
-    for j in range(min(width, n)):
-        grams[: n - j] += hashes[j:] * _PLACE[j]
-    grams = mix64(grams)
-    parts, sizes = [], np.zeros(len(off) - 1, np.int64)
+    starts, ends, at = word_places(data, off)
+    n = len(starts)
+    by_word = digests(eights(LOWER[data]), starts, ends - starts, SALTS) if n else [np.zeros(0, np.uint64)] * 2
+    grams = []
+    for words in by_word:
+        total = np.zeros(n, np.uint64)
+        for j in range(min(width, n)):
+            total[: n - j] += mix64(words[j:] + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        grams.append(mix64(total))
+    one, two, sizes = [], [], np.zeros(len(off) - 1, np.int64)
     for i in range(len(off) - 1):
         lo, hi = at[i], at[i + 1]
         if hi - lo >= width:
-            found = np.sort(grams[lo : hi - width + 1])
-            found = found[np.r_[True, found[1:] != found[:-1]]]
+            mine = grams[0][lo : hi - width + 1]
+            order = np.argsort(mine)
+            mine = mine[order]
+            new = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            one.append(mine[new])
+            two.append(grams[1][lo : hi - width + 1][order[new]])
+            sizes[i] = len(new)
         elif hi > lo:
-            whole = (hashes[lo:hi] * _PLACE[: hi - lo]).sum(dtype=np.uint64) + np.uint64(hi - lo)
-            found = mix64(np.array([whole], np.uint64))
-        else:
-            continue
-        parts.append(found)
-        sizes[i] = len(found)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.r_[0, np.cumsum(sizes)]
+            for words, out in zip(by_word, (one, two), strict=True):
+                whole = mix64(words[lo:hi] + np.arange(1, hi - lo + 1, dtype=np.uint64) * _STEP).sum(dtype=np.uint64)
+                out.append(mix64(np.array([whole + _U(hi - lo)], np.uint64)))
+            sizes[i] = 1
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *one]), np.concatenate([none, *two]), np.r_[0, np.cumsum(sizes)]

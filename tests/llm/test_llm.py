@@ -104,7 +104,6 @@ def test_chunk_encoder_agrees_with_whole_texts():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     texts = [*passages(1), "don't x's <|endoftext|> É́ \x1c 12 3é", "İΣΑΣ ς", "'s 'll\t\r\n 's", "ÿa! abc--def ab12cd;; ##x ß º ª ½", "日本語 テスト русский"]
     coder = packing.ChunkEncoder(WORD_FILE)
     for _ in range(2):
@@ -112,6 +111,43 @@ def test_chunk_encoder_agrees_with_whole_texts():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [e.ids for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
+def thue_morse(n):
+    """Two complementary words of n letters that share every polynomial hash modulo 2^64 from n = 2048 on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_built_against_polynomial_hashes(spark, n):
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(n)
+    assert one != two
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    coder = packing.ChunkEncoder(WORD_FILE)
+    ids, at = coder.encode(*text_buffers(pa.array([one, two])))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two)]
+    texts = [f"{one} p q r", f"{two} p q r", " ".join(one), " ".join(two)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(frame(spark, texts), 4, 85).collect()}
+    assert got == {i: c for i, (_, c) in brute_classes(texts, 4, 85).items()} and got[1] == 1
+
+
+def test_chunks_with_equal_digests(monkeypatch):
+    """Were all digests equal, bytes would still tell chunks apart."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "digests", lambda word, starts, sizes, salts=(0,): [np.full(len(starts), 7, np.uint64)])
+    coder, tokenizer = packing.ChunkEncoder(WORD_FILE), Tokenizer.from_file(WORD_FILE)
+    for texts in (["one two three", "three longer-chunk-than-eight-bytes longer-chunk-than-eight-bytez"], ["two", "one"]):
+        ids, at = coder.encode(*text_buffers(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_are_the_library_s(spark):
+    texts = ["<|endoftext|>", "a<|endoftext|>b c", "<|startoftext|> x <|endof text|> <|ENDOFTEXT|>", "!<|endoftext|><|endoftext|>"]
+    check_packed(packing.pack(frame(spark, texts), WORD_FILE, 2).collect(), dict(enumerate(texts)))
+
+
 def test_closest_against_brute_force():
     rng = random.Random(2)
     for _ in range(300):
@@ -130,7 +166,6 @@ def check_packed(rows, docs, capacity=4096):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -346,6 +381,25 @@ def test_jaccard_against_brute_force(spark, width, percent, monkeypatch):
     assert got == brute_classes(texts, width, percent)
 
 
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_jaccard_in_large_neighbourhoods(spark, monkeypatch, hot):
+    """Near copies of few texts, over many blocks of a few texts, some of them just under the threshold; with and without hot groups."""
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 6)
+    rng = random.Random(77)
+    bases, texts = [[f"w{rng.randrange(900)}" for _ in range(70)] for _ in range(3)], []
+    bases[1] = bases[0][:35] + bases[1][:35]
+    for i in range(240):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = rng.choice(["x", "y", f"z{i}"])
+        texts.append(" ".join(t[: rng.choice([70, 70, 60])]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_classes(frame(spark, texts), 4, 85).collect()}
+    assert got == brute_classes(texts, 4, 85)
+
+
 def test_jaccard_edges(spark):
     assert jaccard.jaccard_classes(frame(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "z"), (9, None)], "doc_id long, text string")
@@ -356,10 +410,10 @@ def test_jaccard_edges(spark):
 def test_shingles_of_batches_and_single_texts():
     texts = [t or "" for t in passages(9)]
     data, off = text_buffers(pa.array(texts))
-    flat, at = shingles.shingle_sets(data, off, 4)
+    flat, more, at = shingles.shingle_sets(data, off, 4)
     for i, t in enumerate(texts):
-        one, _ = shingles.shingle_sets(*text_buffers(pa.array([t])), 4)
-        assert one.tolist() == flat[at[i] : at[i + 1]].tolist()
+        one, two, _ = shingles.shingle_sets(*text_buffers(pa.array([t])), 4)
+        assert one.tolist() == flat[at[i] : at[i + 1]].tolist() and two.tolist() == more[at[i] : at[i + 1]].tolist()
 
 
 def test_components(spark):
