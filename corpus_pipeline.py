@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result into the
 shared folder and reads it back as the next one's documents. All but the last return the columns of documents.
+
+Defined results, for every stage: rows are judged one by one, so rows that share an id or have none are kept, dropped and
+redacted each for itself. A null text has no letter and goes at the first stage; later stages take it as empty. An empty
+table stays empty. Further columns, whatever their names, go along untouched up to packing, which returns pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard, langid, packing, pii
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, told
 
 #: Near copies: word shingles of this width, and the similarity in percent from which two texts are linked.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -21,22 +25,34 @@ END_ID, CAPACITY = 2, 4096
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter go; the others get the predicted language. The model learns from docs' own lang."""
     model = langid.train(docs.select("text", "lang"))
-    found = langid.identify(docs, model)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    found = langid.identify(docs.select("text", others.alias("others")), model).where(F.col("lang_pred") != langid.UNKNOWN)
+    given = {"text": F.col("text"), "lang": F.col("lang_pred")}
+    return found.select(*[given.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, one stays."""
-    decided = exact_dedup.exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
-    digest = F.sha2(exact_dedup.normalized(docs["text"]), 256)
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["kept_id"]) & (digest == decided["text_sha256"]), "left_semi").select(*docs.columns)
+    """Of rows whose texts are equal but for white space one stays, whatever their ids."""
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked texts the one with the smallest id stays; so does every text without words or id."""
-    classes = jaccard.jaccard_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT).where("component_id is not null and doc_id <> component_id")
-    gone = classes.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """Of each class of linked rows one stays, that of the smallest id (a null id comes last); so does every row without words.
+
+    Rows are linked by their own number, so that rows that share an id or have none are told apart.
+    """
+    others = F.struct(*[c for c in docs.columns if c != "text"])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", others.alias("others"))
+    rows = materialize(rows, "numbered")
+    _, found = jaccard.links(rows.select(F.col("row").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR_PERCENT)
+    classes = jaccard.components(found, "classes")
+    linked = materialize(rows.select("row", "doc_id").join(classes, F.col("row") == F.col("node")).select("row", "doc_id", "component"), "linked")
+    # the smallest id as it is ordered: known ids first
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    stays = linked.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first")["row"].alias("row"))
+    gone = materialize(linked.select("row").join(stays, "row", "left_anti"), "gone")
+    stay = rows.join(told(gone), "row", "left_anti")
+    return stay.select(*[F.col("text") if c == "text" else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def redacted(text: Column, found: Column) -> Column:
@@ -56,8 +72,12 @@ def redacted(text: Column, found: Column) -> Column:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the text becomes its kind in brackets; n_chars follows. Each row has its own spans, whatever its id."""
     rows, some = pii.find(docs, whole=True), F.size("found") > 0
-    rows = rows.withColumn("text", F.when(some, redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.when(some, F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    text = F.when(some, redacted(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    rows = rows.select(text.alias("text"), some.alias("some"), "others")
+    given = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        given["n_chars"] = F.when(F.col("some"), F.char_length("text")).otherwise(F.col("others")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[given.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,11 @@ def told(df: DataFrame, most: int = TOLD_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def hot_limit(spark: SparkSession, total: int) -> int:
+    """Groups of more rows than this are hot: there are few of them, at most total over it."""
+    return max(1, HOT_ROWS, total // (HOT_PARTS * shuffle_partitions(spark)))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
     """rows with the columns of their group (inner join on columns without nulls); size: the column of groups with their number of rows.
 
@@ -61,8 +66,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) ->
     are: no task takes a hot group. The others are joined by a shuffle. groups is read twice.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    limit = max(HOT_ROWS, total // (HOT_PARTS * shuffle_partitions(rows.sparkSession)))
-    hot = groups.where(F.col(size) > limit)  # at most total / limit rows
+    limit = hot_limit(rows.sparkSession, total)
+    hot = groups.where(F.col(size) > limit)
     cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(groups.where(F.col(size) <= limit), on)
     return cold.unionByName(rows.join(F.broadcast(hot), on).select(*cold.columns))
 

@@ -1,36 +1,35 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame functions only.
 
-1. Every text is normalised, hashed to a 64-bit key and written as an index entry (id, length, key,
-   digest; no text) to the shared folder.
-2. The entries are pre-aggregated to slots, one for each key and digest. The directory starts with one
-   bucket; a bucket with more slots than it can hold is split by the next leading bit of the key
-   and the directory doubles when the bucket's depth reaches its own. The driver
-   sees bucket counts only, at most one for each DIRECTORY entry.
-3. Owner tasks take the slots by ranges of buckets. Within a bucket, slots of one key form a
-   chain. The texts of slots with several rows are read again and grouped by their bytes; where one
-   digest turns out to stand for different bytes, each of these is a chained entry of its own.
-
-Hot groups: a slot is one row however many copies it has, since counts are aggregated before they are
-shuffled; the join that gives each row its slot's answer may be split by the engine (skew join).
-
-Defined results: null counts as empty text, and all empty texts are equal; rows with a null id take
-part, and a null id is the last choice among rows of equal length; an empty table gives no rows; columns
-of other names are ignored.
+1. Entries. Every row's text is normalised and hashed to a 64-bit key; rows, keys and digests are written to the shared folder.
+2. Directory. The keys are counted by their leading bits. One bucket holds all keys at first; an overfull bucket is split by
+   its next bit, and the directory of 2 ** depth entries doubles when the bucket is as deep as it. The index on
+   shared files holds each key with its bucket and number of rows.
+3. Owner tasks. Rows whose key several rows share go to the tasks that own their buckets. There the entries of one key form a
+   chain, told apart by their bytes; each learns its size and the row that stays.
+4. Probes. Each row finds its bucket by the directory, its key in the bucket, and its text in the chain by the digest, or by
+   the bytes where a chain holds two texts of one digest. A key of one row has no chain: the row stays.
+
+Hot groups: the rows of a key with a large share of all rows are dealt to several owner tasks, and what these found is
+merged; their probes are answered without a shuffle. The driver sees numbers of keys by leading bits only, a few for each of
+MAX_BUCKETS buckets at most: with more keys than MAX_BUCKETS * BUCKET_SLOTS a bucket holds more.
+
+Defined results: null counts as empty text, and all empty texts are equal; rows with a null id take part, and a null id is
+the last choice among rows of equal length. One row of a group is kept: of identical rows, and of rows
+without id and equal in length, the first in the order of reading. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import TOLD_ROWS, hot_limit, join_groups, materialize, shuffle_partitions, told
 
-#: Slots that a bucket holds before it splits.
-BUCKET_SLOTS = 50_000
-#: The deepest directory has 2 ** MAX_DEPTH entries; it bounds what the driver reads.
-MAX_DEPTH = 16
+#: Keys that a bucket holds before it splits, and the most buckets.
+BUCKET_SLOTS = 1_000
+MAX_BUCKETS = 1 << 15
 #: Characters that don't count for equality: [\x20\x09-\x0D].
 IGNORED = " \t\n\x0b\x0c\r"
 
@@ -39,80 +38,107 @@ def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), IGNORED, "")
 
 
-def directory(counts: dict[int, int], bits: int, capacity: int) -> dict[int, int]:
-    """Bucket of each prefix of `bits` bits, from the number of slots by prefix.
+def directory(counts: dict[int, int], bits: int, capacity: int) -> list[int]:
+    """The bucket of each entry of a directory, from the number of keys by their first `bits` bits.
 
-    A directory of 2 ** depth entries points to buckets, each with a depth of its own. A bucket over
-    capacity is split by its next bit; if its depth is the directory's, the directory doubles first.
+    A bucket over capacity is split by its next bit; if its depth is the directory's, the directory doubles. A bucket's
+    entries lie side by side, and buckets are numbered in the order of keys.
     """
-    depth, local, points = 0, {0: 0}, [0]
-    work = [0]
-    load = {0: sum(counts.values())}
+    before = [0, *accumulate(counts.get(p, 0) for p in range(1 << bits))]
+    depth, work, buckets = 1, [(0, 0)], []
     while work:
-        b = work.pop()
-        if load[b] <= capacity or local[b] == bits:
+        low, local = work.pop()
+        half = 1 << (bits - local) >> 1
+        if before[low + (1 << (bits - local))] - before[low] <= capacity or local == bits:
+            buckets.append((low, local))
             continue
-        if local[b] == depth:
-            points = [points[i >> 1] for i in range(2 * len(points))]
-            depth += 1
-        mine = [i for i, x in enumerate(points) if x == b]
-        new = len(local)
-        local[b] += 1
-        local[new] = local[b]
-        moved = mine[len(mine) // 2 :]
-        for i in moved:
-            points[i] = new
-        low, high = moved[0] << (bits - depth), (moved[-1] + 1) << (bits - depth)
-        load[new] = sum(n for p, n in counts.items() if low <= p < high)
-        load[b] -= load[new]
-        work += [b, new]
-    return {p: points[p >> (bits - depth)] for p in range(1 << bits)}
+        depth = max(depth, local + 1)
+        work += [(low, local + 1), (low + half, local + 1)]
+    return [number for number, (_, local) in enumerate(sorted(buckets)) for _ in range(1 << (depth - local))]
+
+
+def index(entries: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame, int]:
+    """The directory (entry, bucket), the index (bucket, key, rows), both on shared files, and the directory's depth."""
+    spark = entries.sparkSession
+    keys = materialize(entries.groupBy("key").agg(F.count("*").alias("rows")), "keys")
+    total = keys.count()
+    capacity = max(capacity, -(-total // MAX_BUCKETS))
+    bits = (total // capacity).bit_length() + 2
+    prefix = F.shiftrightunsigned("key", 64 - bits).cast("int")
+    counts = {r["p"]: r["n"] for r in keys.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
+    points = directory(counts, bits, capacity)
+    depth = len(points).bit_length() - 1
+    entry = F.shiftrightunsigned("key", 64 - depth).cast("int")
+    owners = materialize(spark.createDataFrame(list(enumerate(points)), "entry int, bucket int"), "directory")
+    held = keys.withColumn("entry", entry).join(F.broadcast(owners), "entry").select("bucket", "key", "rows")
+    return owners, materialize(held.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index"), depth
+
+
+def chains(rows: DataFrame, several: DataFrame, total: int) -> DataFrame:
+    """bucket, key, text_sha256, bytes, group_size, best of each distinct text of rows (with their buckets), by owner tasks."""
+    limit = hot_limit(rows.sparkSession, total)
+    hot = several.where(F.col("rows") > limit).select("key", F.ceil(F.col("rows") / limit).alias("parts"))  # few: each has a share of all rows
+    salt = F.coalesce(F.pmod(F.col("at"), F.col("parts")), F.lit(-1).cast("long"))
+    owned = rows.join(F.broadcast(hot), "key", "left").withColumn("salt", salt).repartition(shuffle_partitions(rows.sparkSession), "bucket", "salt")
+    # the longest text, then a known id, the smallest one, the first row
+    rank = F.struct("n", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("inverse_id"), F.bitwise_not("at").alias("inverse_at"))
+    found = owned.groupBy("bucket", "salt", "key", "bytes").agg(F.min("text_sha256").alias("text_sha256"), F.count("*").alias("group_size"), F.max(rank).alias("best"))
+    found = materialize(found, "chained")
+    whole = found.where("salt < 0").drop("salt")
+    parts = found.where("salt >= 0").groupBy("bucket", "key", "bytes").agg(F.min("text_sha256").alias("text_sha256"), F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
+    return materialize(whole.unionByName(parts), "chains")
+
+
+def decide(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_SLOTS, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """All rows of df as written: at (the row's number), doc_id, text and others (its other columns, if whole); and the decisions:
+    at, doc_id, keep_id, group_size, kept, text_sha256."""
+    norm = normalized(F.col("text"))
+    source = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")]
+    if whole:
+        source.append(F.struct(*[F.col(c) for c in df.columns if c != text]).alias("others"))
+    source = df.select(*source).withColumn("at", F.monotonically_increasing_id())
+    entries = materialize(source.select("*", F.char_length(F.coalesce("text", F.lit(""))).alias("n"), F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256")), "entries")
+
+    owners, held, depth = index(entries, capacity)
+    several = held.where("rows > 1")
+    bucketed = entries.withColumn("entry", F.shiftrightunsigned("key", 64 - depth).cast("int")).join(F.broadcast(owners), "entry")
+    light = bucketed.select("at", "doc_id", "n", "bucket", "key", "text_sha256")
+    alone = None
+    asked = bucketed
+    if several.count() <= TOLD_ROWS:  # else all rows go to the owners, and those of a key of their own are chains of one
+        keys = F.broadcast(several.select("key"))
+        asked, alone, light = bucketed.join(keys, "key", "left_semi"), light.join(keys, "key", "left_anti"), light.join(keys, "key", "left_semi")
+    total = held.agg(F.sum("rows")).first()[0] or 0
+    found = chains(asked.select("at", "doc_id", "n", "bucket", "key", "text_sha256", norm.alias("bytes")), several, total)
+
+    def answered(rows: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
+        best = F.col("best")
+        keep = F.when(best["known"], F.bitwise_not(best["inverse_id"]))
+        kept = F.col("at") == F.bitwise_not(best["inverse_at"])
+        return join_groups(rows, by, on, "group_size").select("at", "doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
+
+    place = ["bucket", "key", "text_sha256"]
+    clashes = materialize(found.groupBy(*place).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "clashes")
+    if clashes.isEmpty():
+        out = answered(light, found.drop("bytes"), place)
+    else:  # a digest stands for several texts of a chain: their rows are told apart by their bytes
+        clashes = told(clashes)
+        by_bytes = asked.join(clashes, place, "left_semi").select("at", "doc_id", *place, norm.alias("bytes"))
+        out = answered(light.join(clashes, place, "left_anti"), found.join(clashes, place, "left_anti").drop("bytes"), place)
+        out = out.unionByName(answered(by_bytes, found.join(clashes, place, "left_semi"), [*place, "bytes"]))
+    if alone is not None:
+        out = out.unionByName(alone.select("at", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"))
+    return entries, out
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = BUCKET_SLOTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; one row for each row of df."""
-    spark = df.sparkSession
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    norm = normalized(F.col("text"))
-    entries = source.select("doc_id", F.char_length("text").alias("n"), F.xxhash64(norm).alias("key"), F.sha2(norm, 256).alias("text_sha256"))
-    entries = materialize(entries, "entries")
-
-    # the longest text first, then the smallest id, as one number: the aggregation keeps fixed-width buffers
-    last = 2**63 - 1
-    rank = F.col("n").cast("decimal(10,0)") * F.lit(Decimal(2**64)) - F.coalesce(F.col("doc_id"), F.lit(last)).cast("decimal(20,0)")
-    answers = [F.count("*").alias("group_size"), F.max("n").alias("max_n"), F.max(rank).alias("best")]
-    slots = entries.groupBy("key", "text_sha256").agg(*answers)
-
-    # the directory: counts by the leading bits of the key, at most 2 ** MAX_DEPTH numbers
-    slots = materialize(slots, "slots")
-    total = slots.count()
-    bits = min(MAX_DEPTH, (total // capacity).bit_length() + 3)
-    prefix = F.shiftrightunsigned("key", 64 - bits).cast("int")
-    counts = {r["p"]: r["n"] for r in slots.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    owner = directory(counts, bits, capacity)
-    owners = spark.createDataFrame(sorted(owner.items()), "p int, bucket int")  # 2 ** bits rows
-    owned = slots.withColumn("p", prefix).join(F.broadcast(owners), "p").drop("p")
-    index = materialize(owned.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256"), "index")
-
-    # chains: the bytes of all rows of slots with several rows, grouped by their bytes within bucket and key
-    several = index.where("group_size > 1").select("bucket", "key", "text_sha256")
-    members = entries.join(several, ["key", "text_sha256"], "left_semi").select("doc_id", "key", "text_sha256")
-    texts = source.select(F.col("doc_id").alias("id"), F.char_length("text").alias("n"), norm.alias("bytes"))
-    same_row = (members["doc_id"].eqNullSafe(texts["id"])) & (F.sha2("bytes", 256) == members["text_sha256"])
-    read = members.distinct().join(texts, same_row).drop("id")
-    chains = read.groupBy("key", "text_sha256", "bytes").agg(*answers)
-    clashes = materialize(chains.groupBy("key", "text_sha256").agg(F.count("*").alias("c")).where("c > 1"), "clashes")
+    return decide(df, doc_id, text, capacity)[1].drop("at")
 
-    def answered(rows: DataFrame, by: DataFrame, on: list[str]) -> DataFrame:
-        found = rows.join(by, on)
-        keep = (F.col("max_n").cast("decimal(10,0)") * F.lit(Decimal(2**64)) - F.col("best")).cast("long")
-        keep = F.nullif(keep, F.lit(last))
-        kept = F.col("doc_id").eqNullSafe(keep) & (F.col("n") == F.col("max_n"))
-        return found.select("doc_id", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")
 
-    slot = ["key", "text_sha256"]
-    if clashes.isEmpty():
-        return answered(entries, index.drop("bucket"), slot)
-    plain = answered(entries.join(clashes, slot, "left_anti"), index.drop("bucket"), slot)
-    hit = read.join(clashes, slot, "left_semi")
-    return plain.unionByName(answered(hit, chains.join(clashes, slot, "left_semi"), [*slot, "bytes"]))
+def without_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """df's rows that stay, with all its columns."""
+    entries, decided = decide(df, doc_id, text, whole=True)
+    gone = materialize(decided.where("not kept").select("at"), "gone")
+    stay = entries.join(told(gone), "at", "left_anti")
+    return stay.select(*[F.col("text").alias(c) if c == text else F.col("others")[c].alias(c) for c in df.columns])
