@@ -5,7 +5,7 @@ of one space that stands between two characters other than white space. Decoding
 of the ids, so that ids that cut a character are kept whole.
 
 Defined results: null counts as empty text, which has no ids; repeated rows are encoded each; an empty
-table gives no rows; other columns are passed through, and a clash with a result column raises.
+table gives no rows; other columns are passed through; one that has the name of a result column gets an underscore in front of its own.
 """
 
 from __future__ import annotations
@@ -63,11 +63,10 @@ def codec(rank_file: str, pattern: str) -> Codec:
 def _with(df: DataFrame, text: str, made: list[tuple[str, T.DataType]], work, max_bytes: int = 8_000_000) -> DataFrame:
     import pyarrow as pa
 
-    from .common import split_batches
+    from .common import aside, split_batches
 
-    for name, _ in made:
-        if name.lower() in (c.lower() for c in df.columns):
-            raise ValueError(f"the input has a column {name!r} already")
+    given, df = df.columns.index(text), aside(df, [name for name, _ in made])
+    text = df.columns[given]
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in made]])
 
     def run(batches):
@@ -95,8 +94,10 @@ def decode(df: DataFrame, ids: str, rank_file: str, pattern: str, out: str = "de
     """df plus the raw bytes of its ids; null ids give empty bytes."""
     import pyarrow as pa
 
-    if out.lower() in (c.lower() for c in df.columns):
-        raise ValueError(f"the input has a column {out!r} already")
+    from .common import aside
+
+    given, df = df.columns.index(ids), aside(df, [out])
+    ids = df.columns[given]
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches):

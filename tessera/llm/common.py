@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +81,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def aside(df: DataFrame, names: list[str]) -> DataFrame:
+def aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df with the columns that clash with names (case-insensitively) renamed by underscores before their names."""
+    names = {n.lower() for n in names}
     for c in df.columns:
-        if c.lower() in {n.lower() for n in names}:
+        if c.lower() in names:
             df = df.withColumnRenamed(c, free_name(df, f"_{c}"))
     return df
 

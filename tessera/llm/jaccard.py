@@ -307,13 +307,13 @@ def _explode(batches):
     import pyarrow as pa
 
     for batch in batches:
-        sets = [np.frombuffer(x, "<u8", len(x) // 16) for x in batch.column(2).to_pylist()]  # first digests only
+        sets = [np.frombuffer(x, "<u8", len(x) // 16) for x in batch.column(1).to_pylist()]  # first digests only
         sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        ids = np.repeat(batch.column(0).to_numpy(), sizes)
         for lo in range(0, len(flat), 500_000):
-            hi = lo + 500_000
-            columns = [np.repeat(batch.column(0).to_numpy(), sizes)[lo:hi], np.repeat(batch.column(1).to_numpy(), sizes)[lo:hi], flat.view(np.int64)[lo:hi]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "n", "token"])
+            columns = [ids[lo : lo + 500_000], flat.view(np.int64)[lo : lo + 500_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "token"])
 
 
 def _compare(work: DataFrame, percent: int, by: list[str]) -> DataFrame:
@@ -396,17 +396,17 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
     # few wanted texts are told to the readers of docs; with more of them, docs are shuffled
     wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
     found = docs.select("doc_id", "text").join(told(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "fp1", "fp2")
-    sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary").dropDuplicates(["doc_id", "fp1", "fp2"]), "sets")
+    sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary"), "sets")
+    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows; else nothing is shuffled
+        sets = materialize(sets.dropDuplicates(["doc_id", "fp1", "fp2"]), "sets-once")
 
     # neighbourhoods: the shingles, rarest first, of which a linked text must share one
-    rows = sets.select("doc_id", "n", "tokens").mapInArrow(_explode, "doc_id long, n long, token long")
-    rows = materialize(rows, "rows")
+    rows = sets.select("doc_id", "tokens").mapInArrow(_explode, "doc_id long, token long")
     freq = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(freq, "token").select("doc_id", "n", "token", "df")
-    unique = F.col("n") - F.count("*").over(W.partitionBy("doc_id"))
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "token"))
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ties = shared.select("doc_id", unique.alias("u"), place.alias("p"), prefix.alias("k"), "token").where("u + p <= k")
+    by_text = W.partitionBy("doc_id")
+    shared = rows.join(freq, "token").select("doc_id", "token", F.count("*").over(by_text).alias("m"), F.row_number().over(by_text.orderBy("df", "token")).alias("place"))
+    sizes = sets.select("doc_id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("prefix"))
+    ties = shared.join(sizes, "doc_id").where(F.col("n") - F.col("m") + F.col("place") <= F.col("prefix"))
     least = materialize(ties.select("doc_id", "token"), "ties")
     lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
     near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()

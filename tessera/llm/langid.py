@@ -1,7 +1,7 @@
 """Language identification: scripts narrow the candidates, Viterbi labels the words.
 
 Training counts byte trigrams (A-Z lower-cased; blanks, digits and ASCII marks all one
-blank) of labelled texts by language, and the bytes of each script. Tasks send counts by
+blank) of labelled texts by language, and the letters of each script (ranges of code points). Tasks send counts by
 language and shard; the model is a table of a fixed size for each language.
 
 Prediction scores every word under every language. Languages that don't use the word's script are
@@ -11,7 +11,7 @@ language, labels spans; the language with most bytes is the text's, and its shar
 Defined results: a text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing was learned. Rows with a null language, or null texts, teach nothing. Ties go to the language first in
 alphabetical order. Repeated rows are each predicted; an empty table gives no rows. Input columns are passed
-through; a clash with a result column raises.
+through; one that has the name of a result column gets an underscore in front of its own.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, split_batches, text_buffers
+from .common import aside, bounded_batches, split_batches, text_buffers
 
 #: Trigrams are hashed to so many cells; a language's model is one number for each.
 CELLS = 1 << 16
@@ -31,7 +31,7 @@ MAX_LANGUAGES = 256
 #: Log-likelihood that a change of language costs.
 SWITCH = 10.0
 SMOOTHING = 0.5
-#: A language uses a script that has this share of its letters' bytes.
+#: A language uses a script that has this share of its letters.
 SCRIPT_SHARE = 0.02
 UNKNOWN = "und"
 
@@ -39,27 +39,69 @@ _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[:128] = 32
 for _c in range(26):
     _PLAIN[97 + _c] = _PLAIN[65 + _c] = 97 + _c
-#: Scripts by the first byte of a UTF-8 character: ranges of code points that begin and end with it.
-_SCRIPT = np.zeros(256, np.uint16)
-for _i, (_low, _high) in enumerate(
-    [
-        (0xC3, 0xCA),  # Latin beyond ASCII
-        (0xCD, 0xCF),  # Greek
-        (0xD0, 0xD3),  # Cyrillic
-        (0xD4, 0xD5),  # Armenian
-        (0xD6, 0xD7),  # Hebrew
-        (0xD8, 0xDB),  # Arabic
-        (0xDC, 0xDF),  # Syriac, Thaana, N'Ko
-        (0xE0, 0xE0),  # Indic, Thai, Lao, Tibetan
-        (0xE1, 0xE1),  # Georgian, Ethiopic, Khmer and others
-        (0xE3, 0xE3),  # Kana
-        (0xE4, 0xE9),  # Han
-        (0xEA, 0xED),  # Hangul
-    ]
-):
-    _SCRIPT[_low : _high + 1] = 1 << _i
-_SCRIPT[97:123] = _SCRIPT[65:91] = 1  # Latin
-N_SCRIPTS = 12
+#: Scripts as ranges of code points. Blocks of the Unicode standard.
+SCRIPTS = {
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x2AF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)],
+    "greek": [(0x370, 0x3FF), (0x1F00, 0x1FFF)],
+    "cyrillic": [(0x400, 0x52F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)],
+    "armenian": [(0x530, 0x58F)],
+    "hebrew": [(0x590, 0x5FF), (0xFB1D, 0xFB4F)],
+    "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x870, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
+    "syriac": [(0x700, 0x74F), (0x860, 0x86F)],
+    "thaana": [(0x780, 0x7BF)],
+    "nko": [(0x7C0, 0x7FF)],
+    "devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
+    "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
+    "tamil": [(0xB80, 0xBFF)],
+    "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
+    "thai": [(0xE00, 0xE7F)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "myanmar": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)],
+    "cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "khmer": [(0x1780, 0x17FF), (0x19E0, 0x19FF)],
+    "mongolian": [(0x1800, 0x18AF)],
+    "tifinagh": [(0x2D30, 0x2D7F)],
+    "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F)],
+    "bopomofo": [(0x3100, 0x312F), (0x31A0, 0x31BF)],
+    "han": [(0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)],
+    "yi": [(0xA000, 0xA4CF)],
+    "gothic": [(0x10330, 0x1034F)],
+    "deseret": [(0x10400, 0x1044F)],
+    "adlam": [(0x1E900, 0x1E95F)],
+}
+N_SCRIPTS = len(SCRIPTS)
+_RANGES = sorted((low, high, i) for i, ranges in enumerate(SCRIPTS.values()) for low, high in ranges)
+_FIRST = np.array([low for low, _, _ in _RANGES])
+_LAST = np.array([high for _, high, _ in _RANGES])
+_BIT = np.array([1 << i for _, _, i in _RANGES], np.int64)
+
+
+def script_bits(data: np.ndarray) -> np.ndarray:
+    """The script, as one bit, of the character that starts at each byte; 0 for other bytes and for marks of no script."""
+    bits = np.zeros(len(data), np.int64)
+    letter = data & 0xDF
+    bits[(letter >= 65) & (letter <= 90) & (data < 128)] = 1  # Latin comes first
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        wide = np.zeros(len(data) + 3, np.int64)
+        wide[: len(data)] = data & 0x3F
+        lead = data[at].astype(np.int64)
+        two, three = wide[at + 1], wide[at + 2]
+        point = np.where(lead < 0xE0, (lead & 0x1F) << 6 | two, (lead & 0x0F) << 12 | two << 6 | three)
+        point = np.where(lead < 0xF0, point, (lead & 0x07) << 18 | two << 12 | three << 6 | wide[at + 3])
+        i = np.maximum(np.searchsorted(_FIRST, point, side="right") - 1, 0)
+        bits[at] = np.where((point >= _FIRST[i]) & (point <= _LAST[i]), _BIT[i], 0)
+    return bits
 
 
 def _cells(data: np.ndarray, off: np.ndarray):
@@ -95,8 +137,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             for name in set(langs):
                 mine = (langs == name)[owner]
                 cells[name] = cells.get(name, 0) + np.bincount(cell[mine], minlength=CELLS + 1)[:CELLS]
-                kinds = np.bincount(_SCRIPT[data[mine]], minlength=1 << N_SCRIPTS)
-                scripts[name] = scripts.get(name, 0) + kinds[[1 << i for i in range(N_SCRIPTS)]]
+                used = script_bits(data[mine])
+                scripts[name] = scripts.get(name, 0) + np.bincount(np.frexp(used[used > 0])[1] - 1, minlength=N_SCRIPTS)
         rows = [(name, k, part.astype("<i8").tobytes()) for name, c in cells.items() for k, part in enumerate(np.split(c, SHARDS))]
         rows += [(name, SHARDS, s.astype("<i8").tobytes()) for name, s in scripts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))], names=["lang", "shard", "counts"])
@@ -176,9 +218,8 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if spans:
         made.append(T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())]))))
-    for field in made:
-        if field.name in (c.lower() for c in df.columns):
-            raise ValueError(f"the input has a column {field.name!r} already")
+    given, df = df.columns.index(text), aside(df, [field.name for field in made])
+    text = df.columns[given]
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -200,7 +241,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
                     end = starts[lo + 100_000] if lo + 100_000 < len(starts) else len(cell)
                     scores[lo : lo + 100_000] = np.add.reduceat(table[cell[starts[lo] : end]], starts[lo : lo + 100_000] - starts[lo], axis=0)
                 size = np.add.reduceat((~blank).astype(np.int64), starts)
-                used = np.bitwise_or.reduceat(np.where(blank, 0, _SCRIPT[data]).astype(np.uint16), starts).astype(np.int64)
+                used = np.bitwise_or.reduceat(script_bits(data), starts)
                 fits = (used[:, None] & scripts[None, :]) != 0
                 scores[~fits & fits.any(axis=1)[:, None]] -= 1e4
                 first = np.searchsorted(starts, off)

@@ -1,17 +1,18 @@
 """Exact top-k by integer inner product, with a three-phase uniform threshold.
 
-The components of the vectors are dealt to m slices; a slice's inner product is a local score and a
-candidate's score is the sum of its m local scores. For each block of queries:
+The components of the vectors are dealt to m slices, as if each were a node of its own: a slice holds its part of all vectors,
+in chunks of rows, and knows local scores only. A candidate's score is the sum of its m local scores.
 
-1. every block of rows sends, for each query and slice, its k best local scores with their full
-   scores; the k-th best full score seen is a safe lower bound of the k-th best of all;
-2. the bound divided by m is broadcast as the cutoff: a row whose local scores all lie below it has a
-   full score below the bound, so only rows with a local score at or above it are collected;
-3. the collected rows' full scores are computed exactly, and the k best of each block are merged.
+1. Each slice sends, for each query, the k best entries of its local list. The full scores of these few are
+   worked out; the k-th best of them is a safe lower bound of the k-th best of all.
+2. The bound divided by m is broadcast as the cutoff: a row whose local scores all lie below it has a
+   full score below the bound. So each slice sends the entries at or above the cutoff, which suffice.
+3. A chunk's entries from all slices meet with its rows. Where a row's other parts are unknown and could, by the lengths of the
+   vectors, still reach the bound, the remaining scores are worked out for that entry alone; the k best of each chunk are merged.
 
-The query set is taken in blocks of a bounded size, so neither the broadcast nor a task's score matrix
-grows with the input. Scores are exact: products are formed in float64 while they stay below 2^53 and
-in Python integers beyond that.
+Queries are taken in blocks of a bounded size, all in the same jobs as long as their vectors can be broadcast
+(QUERY_BYTES), so neither the broadcast nor a task's matrix of local scores grows with the input. Scores are exact: products are
+formed in float64 while they stay below 2^53 and in Python integers beyond that.
 
 Defined results: vectors that are null, empty, of another length than the rest or that hold null or
 non-finite components take no part, nor do rows with a null id. Of repeated query ids the
@@ -22,16 +23,20 @@ its answer. Ties go to the smaller id. An empty table gives no rows; other colum
 from __future__ import annotations
 
 import numpy as np
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ceil_div, materialize
+from .common import bounded_batches, materialize, shuffle_partitions
 
-#: Queries of one block: their vectors and cutoffs are what is broadcast.
-QUERY_BLOCK = 2048
-#: Cells of a score matrix held at once.
-CELLS = 4_000_000
+#: Bytes of query vectors of one round of jobs, which are broadcast.
+QUERY_BYTES = 64_000_000
+#: Rows of a chunk, and cells of a matrix of local scores held at once.
+CHUNK_ROWS = 4096
+CELLS = 2_000_000
+#: In place of a slice's number: a chunk's ids.
+IDS = -1
 
 
 def quantize(vector: Column, scale: int = 256) -> Column:
@@ -42,114 +47,253 @@ def quantize(vector: Column, scale: int = 256) -> Column:
     return F.when(ok, F.transform(wide, lambda x: F.floor(x * scale).cast("long")))
 
 
-def _matrix(batch, name: str) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index(name))
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+def _exact(a: np.ndarray, b: np.ndarray):
+    """a and b as numbers whose inner products are exact."""
+    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    kind = np.float64 if top < 2**53 else object
+    return a.astype(kind), b.astype(kind)
 
 
 def _dots(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Exact inner products, rows by queries."""
-    top = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, rows.shape[1])
-    if top < 2**53:
-        return rows.astype(np.float64) @ queries.astype(np.float64).T
-    return rows.astype(object) @ queries.astype(object).T
+    a, b = _exact(rows, queries)
+    return a @ b.T
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of a column, ties to the smaller id, best first."""
+    near = np.arange(len(score))
     if len(score) > 4 * k:
-        edge = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= edge)
-    else:
-        near = np.arange(len(score))
+        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
     return near[np.lexsort((ids[near], -score[near]))][:k]
 
 
-def _blocks(batches, n_queries: int):
-    for batch in batches:
-        step = max(1, CELLS // max(1, n_queries))
-        for at in range(0, batch.num_rows, step):
-            yield batch.slice(at, step)
+def _packed(x: np.ndarray) -> bytes:
+    """A matrix of whole numbers in the smallest of three widths, which comes first."""
+    for code, kind in enumerate(("<i2", "<i4", "<i8")):
+        if kind == "<i8" or not x.size or (x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max):
+            return bytes([code]) + x.astype(kind).tobytes()
+    return b""
 
 
-def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, slices: int = 4, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score."""
-    import pyarrow as pa
+def _unpacked(raw: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(raw, ("<i2", "<i4", "<i8")[raw[0]], offset=1).astype(np.int64).reshape(rows, -1)
 
+
+def _chunks(cuts: list[tuple[int, int]]):
+    """Vectors to chunks: their ids, and each slice's part of them."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                part = batch.slice(at, CHUNK_ROWS)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                data = [part.column(0).to_numpy().astype("<i8").tobytes(), *[_packed(v[:, a:b]) for a, b in cuts]]
+                n = len(data)
+                columns = [pa.array([chunk] * n, pa.int64()), pa.array([IDS, *range(n - 1)], pa.int32()), pa.array([part.num_rows] * n, pa.int32()), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "slice", "rows", "data"])
+                chunk += 1
+
+    return run
+
+
+def _blocks(n_queries: int, rows: int):
+    step = max(1, CELLS // max(1, rows))
+    return [(at, min(n_queries, at + step)) for at in range(0, n_queries, step)]
+
+
+def _local_lists(asked, cuts, k: int):
+    """slice, query, chunk, row, score: the k + 1 best local scores of each query in each slice's chunks of one task (one may be the query itself)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        _, qs = asked.value
+        best: dict = {}
+        for batch in batches:
+            for chunk, s, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v, (a, b) = _unpacked(data, n), cuts[s]
+                held_s, held_c, held_r = best.get(s) or (np.zeros((len(qs), 0)), np.zeros((len(qs), 0), np.int64), np.zeros((len(qs), 0), np.int64))
+                new_s, new_c, new_r = [], [], []
+                for lo, hi in _blocks(len(qs), n):
+                    local = _dots(qs[lo:hi, a:b], v)
+                    top = np.argpartition(-local, min(k, n - 1), axis=1)[:, : k + 1] if n > k + 1 else np.tile(np.arange(n), (hi - lo, 1))
+                    score = np.concatenate([held_s[lo:hi], np.take_along_axis(local, top, 1)], axis=1)
+                    row, at = np.concatenate([held_r[lo:hi], top], axis=1), np.concatenate([held_c[lo:hi], np.full(top.shape, chunk)], axis=1)
+                    keep = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                    for out, x in zip((new_s, new_c, new_r), (score, at, row), strict=True):
+                        out.append(np.take_along_axis(x, keep, 1))
+                best[s] = tuple(np.concatenate(x) for x in (new_s, new_c, new_r))
+        for s, (score, chunk, row) in best.items():
+            of = np.repeat(np.arange(len(qs)), score.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(of), s), pa.int32()), pa.array(of, pa.int64()), pa.array(chunk.ravel()), pa.array(row.ravel().astype(np.int64)), pa.array(score.ravel().astype(np.float64), pa.float64())],
+                names=["slice", "query", "chunk", "row", "score"],
+            )
+
+    return run
+
+
+def _entries(asked, cuts, cutoff):
+    """chunk, slice, data: the entries (query, row, local score) at or above the cutoff of one slice's chunk."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        (_, qs), low = asked.value, cutoff.value[0]
+        for batch in batches:
+            for chunk, s, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                v, (a, b) = _unpacked(data, n), cuts[s]
+                found = []
+                for lo, hi in _blocks(len(qs), n):
+                    local = _dots(qs[lo:hi, a:b], v)
+                    of, row = np.nonzero(local >= low[lo:hi, None])
+                    found.append((of + lo, row, local[of, row].astype(np.int64)))
+                of, row, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+                if len(of):
+                    raw = of.astype("<u4").tobytes() + row.astype("<u2").tobytes() + score.astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([s], pa.int32()), pa.array([len(of)], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "slice", "rows", "data"])
+
+    return run
+
+
+def _resolved(asked, cuts, cutoff, k: int, resolved: Accumulator | None):
+    """A chunk's rows and entries: full scores where the entries alone don't give them; query_id, vec_id, score of the k best."""
+
+    def run(key, entries, rows):
+        import pyarrow as pa
+
+        (ids_q, qs), (_, bound) = asked.value, cutoff.value
+        slices, data, sizes = rows.column("slice").to_pylist(), rows.column("data").to_pylist(), rows.column("rows").to_pylist()
+        n, m = sizes[0], len(cuts)
+        ids = np.frombuffer(data[slices.index(IDS)], "<i8")
+        parts = {s: _unpacked(x, n) for s, x in zip(slices, data, strict=True) if s != IDS}
+        place, of_slice, local = [], [], []
+        for s, count, raw in zip(entries.column("slice").to_pylist(), entries.column("rows").to_pylist(), entries.column("data").to_pylist(), strict=True):
+            q, r = np.frombuffer(raw, "<u4", count).astype(np.int64), np.frombuffer(raw, "<u2", count, 4 * count).astype(np.int64)
+            place.append(q * n + r)
+            of_slice.append(np.full(count, s))
+            local.append(np.frombuffer(raw, "<i8", count, 6 * count))
+        place, of_slice, local = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (place, of_slice, local))
+        pairs, at = np.unique(place, return_inverse=True)
+        q, r = pairs // n, pairs % n
+        other = ids[r] != ids_q[q]
+        known = np.zeros((len(pairs), m), bool)
+        known[at, of_slice] = True
+        score = np.zeros((len(pairs), m), np.int64)
+        score[at, of_slice] = local
+        # what the unknown parts can add at most, by the lengths of the vectors; a little more for rounding
+        most = score.sum(axis=1).astype(np.float64)
+        for s, (a, b) in enumerate(cuts):
+            lengths = np.sqrt((qs[:, a:b].astype(np.float64) ** 2).sum(axis=1)), np.sqrt((parts[s].astype(np.float64) ** 2).sum(axis=1))
+            most += np.where(known[:, s], 0, lengths[0][q] * lengths[1][r] * (1 + 1e-9) + 1)
+        keep = np.flatnonzero(other & (most >= bound[q]))
+        q, r, known, score = q[keep], r[keep], known[keep], score[keep]
+        for s, (a, b) in enumerate(cuts):
+            for lo in range(0, len(q), 100_000):
+                ask = lo + np.flatnonzero(~known[lo : lo + 100_000, s])
+                x, y = _exact(parts[s][r[ask]], qs[q[ask], a:b])
+                score[ask, s] = (x * y).sum(axis=1).astype(np.int64)
+        if resolved is not None:
+            resolved.add(int((~known.all(axis=1)).sum()))
+        total = score.sum(axis=1)
+        order = np.lexsort((ids[r], -total, q))
+        q, r, total = q[order], r[order], total[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        best = rank < k
+        return pa.table({"query_id": pa.array(ids_q[q[best]], pa.int64()), "vec_id": pa.array(ids[r[best]], pa.int64()), "score": pa.array(total[best], pa.int64())})
+
+    return run
+
+
+def _ranked(found: DataFrame, k: int, *by: str) -> DataFrame:
+    order = W.partitionBy(*by).orderBy(F.desc("score"), *(c for c in ("vec_id", "chunk", "row") if c in found.columns))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _answers(chunks: DataFrame, asked, cuts, k: int, resolved: Accumulator | None) -> DataFrame:
+    """query_id, vec_id, score of the k best of each query in each chunk."""
+    sc, n = chunks.sparkSession.sparkContext, len(asked.value[0])
+    m, parts = len(cuts), chunks.where(F.col("slice") != IDS)
+    entry = "chunk long, slice int, rows int, data binary"
+    whole = chunks.groupBy("chunk")
+
+    # 1. local lists; their entries' full scores; the bound
+    lists = parts.mapInArrow(_local_lists(asked, cuts, k), "slice int, query long, chunk long, row long, score double")
+    seen = materialize(_ranked(lists, k + 1, "slice", "query").groupBy("chunk").agg(F.collect_set(F.struct("query", "row")).alias("pairs")), "seen")
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for chunk, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                q, r = np.array([p["query"] for p in pairs]), np.array([p["row"] for p in pairs])
+                raw = q.astype("<u4").tobytes() + r.astype("<u2").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([IDS], pa.int32()), pa.array([len(q)], pa.int32()), pa.array([raw], pa.binary())], names=["chunk", "slice", "rows", "data"])
+
+    first = seen.mapInArrow(pack, entry).groupBy("chunk").cogroup(whole).applyInArrow(_whole_scores(asked, cuts), "query long, vec_id long, score long")
+    kth = _ranked(first, k, "query").where(F.col("rank") == k).select("query", "score").toPandas()  # a number for each query of the round
+    bound = np.full(n, -np.inf)
+    bound[kth["query"]] = np.nextafter(kth["score"].to_numpy(np.float64), -np.inf)  # not above the score itself
+    # 2. and 3. a query with fewer than k candidates has no bound: all rows are collected
+    cutoff = sc.broadcast((np.floor(bound / m), bound))
+    entries = parts.mapInArrow(_entries(asked, cuts, cutoff), entry)
+    return entries.groupBy("chunk").cogroup(whole).applyInArrow(_resolved(asked, cuts, cutoff, k, resolved), "query_id long, vec_id long, score long")
+
+
+def _whole_scores(asked, cuts):
+    """query, vec_id, score of the listed pairs of a chunk, all parts worked out."""
+
+    def run(key, listed, rows):
+        import pyarrow as pa
+
+        ids_q, qs = asked.value
+        slices, data, n = rows.column("slice").to_pylist(), rows.column("data").to_pylist(), rows.column("rows").to_pylist()[0]
+        ids = np.frombuffer(data[slices.index(IDS)], "<i8")
+        q, r = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for count, raw in zip(listed.column("rows").to_pylist(), listed.column("data").to_pylist(), strict=True):
+            q, r = np.r_[q, np.frombuffer(raw, "<u4", count)], np.r_[r, np.frombuffer(raw, "<u2", count, 4 * count)]
+        q, r = q.astype(np.int64), r.astype(np.int64)
+        total = np.zeros(len(q), np.int64)
+        for s, raw in zip(slices, data, strict=True):
+            if s != IDS:
+                x, y = _exact(_unpacked(raw, n)[r], qs[q, cuts[s][0] : cuts[s][1]])
+                total += (x * y).sum(axis=1).astype(np.int64)
+        other = ids[r] != ids_q[q]
+        return pa.table({"query": pa.array(q[other], pa.int64()), "vec_id": pa.array(ids[r[other]], pa.int64()), "score": pa.array(total[other], pa.int64())})
+
+    return run
+
+
+def top_k(df: DataFrame, vec_id: str, vector: str, is_query: Column, k: int = 5, slices: int = 2, scale: int = 256, resolved: Accumulator | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score. resolved, if given, counts the entries whose remaining scores were worked out."""
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), quantize(F.col(vector), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = materialize(rows.where("id is not null and v is not null"), "vectors")
+    bounded_batches(spark)
+    given = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("given"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = given.select("id", quantize(F.col("given"), scale).alias("v"), "q").where("id is not null and v is not null")
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out_schema = "query_id long, vec_id long, score long"
     if length is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.where(F.size("v") == length["d"])
-    queries = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    n_blocks = max(1, ceil_div(n, QUERY_BLOCK))
-    m = max(1, min(slices, length["d"]))
-    cuts = [c for c in np.array_split(np.arange(length["d"]), m)]
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    results = []
-    for b in range(n_blocks):
-        own = queries.where(F.col("block") == b).orderBy("id").toPandas()  # about QUERY_BLOCK rows
+    d = length["d"]
+    rows = rows.where(F.size("v") == d)
+    edges = np.linspace(0, d, max(1, min(slices, d)) + 1).astype(int).tolist()
+    cuts = list(zip(edges, edges[1:], strict=False))
+    chunks = rows.select("id", "v").mapInArrow(_chunks(cuts), "chunk long, slice int, rows int, data binary")
+    chunks = materialize(chunks.repartition(shuffle_partitions(spark), "slice", "chunk"), "chunks")
+    queries = materialize(rows.where("q").groupBy("id").agg(F.min("v").alias("v")), "queries")
+    rounds = max(1, -(-queries.count() * d * 8 // QUERY_BYTES))
+    out = None
+    for i in range(rounds):
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == i).orderBy("id").toPandas()  # about QUERY_BYTES
         if own.empty:
             continue
-        asked = spark.sparkContext.broadcast((own["id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64)))
-
-        def local_lists(batches, asked=asked):
-            ids_q, qs = asked.value
-            for batch in _blocks(batches, len(ids_q)):
-                ids, v = batch.column(0).to_numpy(), _matrix(batch, "v")
-                parts = [_dots(v[:, c], qs[:, c]) for c in cuts]
-                full = sum(parts[1:], parts[0])
-                kept_q, kept_s, kept_v = [], [], []
-                for j in range(len(ids_q)):
-                    seen = np.unique(np.concatenate([_best(p[:, j], ids, k + 1) for p in parts]))
-                    seen = seen[ids[seen] != ids_q[j]]
-                    best = seen[_best(full[seen, j], ids[seen], k)]
-                    kept_q.append(np.full(len(best), ids_q[j]))
-                    kept_v.append(ids[best])
-                    kept_s.append(full[best, j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64), pa.int64()) for x in (kept_q, kept_v, kept_s)], names=["query_id", "vec_id", "score"])
-
-        lists = rows.select("id", "v").mapInArrow(local_lists, out_schema)
-        kth = _ranked(lists, k).where(F.col("rank") == k).select("query_id", "score").toPandas()
-        bound = dict(zip(kth["query_id"], kth["score"], strict=True))
-        # a query with fewer than k candidates has no bound: all rows are collected
-        cutoff = spark.sparkContext.broadcast(np.array([bound.get(i, None) / m if i in bound else -np.inf for i in own["id"]], np.float64))
-
-        def resolve(batches, asked=asked, cutoff=cutoff):
-            (ids_q, qs), low = asked.value, cutoff.value
-            for batch in _blocks(batches, len(ids_q)):
-                ids, v = batch.column(0).to_numpy(), _matrix(batch, "v")
-                parts = [_dots(v[:, c], qs[:, c]) for c in cuts]
-                hit = parts[0] >= low
-                for p in parts[1:]:
-                    hit |= p >= low
-                full = sum(parts[1:], parts[0])
-                full_bound = np.where(np.isfinite(low), low * m, -np.inf)
-                hit &= full >= full_bound
-                at, of = np.nonzero(hit & (ids[:, None] != ids_q[None, :]))
-                if not len(at):
-                    continue
-                score = full[at, of]
-                order = np.lexsort((ids[at], -score, of))
-                at, of, score = at[order], of[order], score[order]
-                start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                place = np.arange(len(of)) - np.repeat(start, np.diff(np.r_[start, len(of)]))
-                keep = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64), pa.int64()) for x in (ids_q[of], ids[at], score)], names=["query_id", "vec_id", "score"])
-
-        results.append(rows.select("id", "v").mapInArrow(resolve, out_schema))
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = results[0]
-    for other in results[1:]:
-        every = every.unionByName(other)
-    return _ranked(every, k).select("query_id", "rank", "vec_id", "score")
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        ids = own["id"].to_numpy(np.int64)
+        asked = spark.sparkContext.broadcast((ids, np.array(own["v"].tolist(), np.int64)))
+        found = _ranked(_answers(chunks, asked, cuts, k, resolved), k, "query_id").select("query_id", "rank", "vec_id", "score")
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -6,18 +6,20 @@ path wins. Two rules on the same host and path: block wins over allow.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and gets
 the default verdict. Repeated rows each get their own answer; an empty table gives no rows; columns of
-the input other than the URL are passed through untouched, and result columns replace none of them
-(a clash raises).
+the input are passed through untouched; one that has the name of a result column gets an underscore in front of its own.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside, free_name
+
 #: Most rules that one broadcast trie holds (under 100 bytes a node, so at most some tens of MB); longer lists are taken in blocks.
 MAX_RULES_PER_TRIE = 50_000
 
@@ -39,9 +41,12 @@ class Trie:
             node = node.setdefault("path", {})
             for segment in whole:
                 node = node.setdefault(("s", segment), {})
-            ends = node.setdefault("ends", {})  # the unfinished last segment, '' after a slash
+            ends = node.setdefault("ends", {})  # the unfinished last segment, '' after a slash, and under None their lengths
             if rest not in ends or action == "block":
                 ends[rest] = (labels, len(path), f"{host}{path}", action)
+            lengths = ends.setdefault(None, [])
+            if len(rest) not in lengths:
+                insort(lengths, len(rest))
 
     def match(self, host: str, path: str):
         best, node = None, self.root
@@ -60,9 +65,11 @@ class Trie:
     def _path(node: dict, segments: Sequence[str]):
         best = None
         for segment in segments:
-            for rest, rule in node.get("ends", {}).items():
-                if segment.startswith(rest) and (best is None or rule[1] > best[1]):
+            ends = node.get("ends", {None: ()})
+            for length in reversed(ends[None]):  # the longest that fits here is longer than any found before
+                if length <= len(segment) and (rule := ends.get(segment[:length])):
                     best = rule
+                    break
             node = node.get(("s", segment))
             if node is None:
                 break
@@ -91,9 +98,9 @@ def _judge(trie):
 
 def filter_urls(df: DataFrame, url: str, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """df plus host, path, rule, verdict. Rules beyond MAX_RULES_PER_TRIE go to further tries, whose answers compete."""
-    for name in ("host", "path", "rule", "verdict"):
-        if name in (c.lower() for c in df.columns):
-            raise ValueError(f"the input has a column {name!r} already")
+    made = ("host", "path", "rule", "verdict")
+    given, df = df.columns.index(url), aside(df, made)
+    url, best_name = df.columns[given], free_name(df, "_best")
     spark = df.sparkSession
     out = df.withColumns({"host": host_of(df[url]), "path": path_of(df[url])})
     found = []
@@ -103,6 +110,7 @@ def filter_urls(df: DataFrame, url: str, rules: Sequence[tuple[str, str, str]],
     if not found:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     best = F.array_max(F.array([F.struct(*[x[c].alias(c) for c in ("labels", "length", "block", "rule")]) for x in found])) if len(found) > 1 else found[0]
-    out = out.withColumn("_best", best)
-    verdict = F.when(F.col("_best.rule").isNull(), default).when(F.col("_best.block") == 1, "block").otherwise("allow")
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": verdict}).drop("_best")
+    out = out.withColumn(best_name, best)
+    rule, block = F.col(best_name)["rule"], F.col(best_name)["block"]
+    verdict = F.when(rule.isNull(), default).when(block == 1, "block").otherwise("allow")
+    return out.withColumns({"rule": rule, "verdict": verdict}).drop(best_name)

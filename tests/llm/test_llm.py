@@ -86,8 +86,22 @@ def test_url_filter_odd_urls(spark):
     assert [got[i]["rule"] for i in range(10)] == [None, None, None, None, "example.net/en/", None, None, "net/", "org/fr/", None]
     assert got[4]["host"] == "www.example.net" and got[4]["verdict"] == "allow" and got[7]["verdict"] == "block" and got[0]["host"] == "" and got[9]["host"] == "b:"
     assert url_filter.filter_urls(rows.limit(0), "url", queries.URL_RULES).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        url_filter.filter_urls(rows.withColumnRenamed("labels", "Host"), "url", [])
+    clash = url_filter.filter_urls(rows.withColumnRenamed("labels", "Host"), "url", queries.URL_RULES)
+    assert clash.columns == ["page_id", "url", "_Host", "host", "path", "rule", "verdict"] and {r["_Host"] for r in clash.collect()} == {"c"}
+    named = url_filter.filter_urls(rows.select("page_id", F.col("url").alias("path")), "path", queries.URL_RULES)
+    assert named.columns == ["page_id", "_path", "host", "path", "rule", "verdict"] and named.where("rule = 'net/'").count() == 1
+
+
+def test_many_rules_on_one_host():
+    """Rules that end in the same segment are not scanned one by one."""
+    import time
+
+    trie = url_filter.Trie([("block", "a.com", f"/x{i}") for i in range(50_000)] + [("allow", "a.com", "/x4")])
+    began = time.time()
+    for i in range(2_000):
+        assert trie.match("w.a.com", f"/x{i % 50_000}z/q")[2] == f"a.com/x{i}"
+    assert time.time() - began < 1
+    assert trie.match("a.com", "/x")is None and trie.match("a.com", "/x499999")[2] == "a.com/x49999"
 
 
 def test_url_rules_in_blocks(spark, monkeypatch):
@@ -227,6 +241,67 @@ def test_language_odd_texts_and_spans(spark):
     assert langid.identify(frame(spark, ["abc"]).limit(0), model).count() == 0
 
 
+def test_scripts_are_ranges_of_code_points():
+    for text, name in (("नमस्ते", "devanagari"), ("ภาษา", "thai"), ("ქართული", "georgian"), ("አማርኛ", "ethiopic"), ("Tiếng Việt ắ", "latin"), ("русский", "cyrillic"), ("日本", "han"), ("かな", "kana"), ("𠀋", "han"), ("한국", "hangul")):
+        bits = set(langid.script_bits(np.frombuffer(text.encode(), np.uint8)).tolist()) - {0}
+        assert bits == {1 << list(langid.SCRIPTS).index(name)}, text
+    assert not langid.script_bits(np.frombuffer("“ — ” 12 🙂 ★".encode(), np.uint8)).any()
+    ranges = sorted(r for rs in langid.SCRIPTS.values() for r in rs)
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
+def brute_language(model, text):
+    """Prediction of one text, a word at a time."""
+    names, table, scripts = model
+    plain = lambda b: b if b >= 128 else b | 32 if 65 <= b & 0xDF <= 90 else 32
+    raw = [plain(b) for b in (text or "").encode()]
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    words, now = [], []
+    for i, b in enumerate([*raw, 32]):
+        if b != 32:
+            now.append(i)
+        elif now:
+            words.append(now)
+            now = []
+    ranges = [(lo, hi, i) for i, rs in enumerate(langid.SCRIPTS.values()) for lo, hi in rs]
+    at = [0.0] * len(names)
+    back, sizes = [], []
+    for n, w in enumerate(words):
+        scores = np.zeros(len(names), np.float32)
+        for i in w:
+            key = (raw[i - 1] if i else 32) << 16 | raw[i] << 8 | (raw[i + 1] if i + 1 < len(raw) else 32)
+            scores = scores + table[key * 2654435761 % 2**32 >> 16]
+        chars = bytes((text or "").encode()[w[0] : w[-1] + 1]).decode()
+        used = {i for c in chars for lo, hi, i in ranges if lo <= ord(c) <= hi}
+        fits = [any(int(s) >> i & 1 for i in used) for s in scripts]
+        if any(fits):
+            scores = scores - np.where(fits, 0, 1e4)
+        best = int(np.argmax(at))
+        back.append([best if at[best] - langid.SWITCH > at[k] and n else k for k in range(len(names))])
+        at = [max(at[k], at[best] - langid.SWITCH if n else at[k]) + float(scores[k]) for k in range(len(names))]
+        sizes.append(len(w))
+    mass, k = [0] * len(names), int(np.argmax(at))
+    for n in range(len(words) - 1, -1, -1):
+        mass[k] += sizes[n]
+        k = back[n][k]
+    return names[int(np.argmax(mass))], max(mass) / sum(mass)
+
+
+def test_language_of_whole_texts_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.select("text", "lang"))
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["und the и не", "नमस्ते the", "", None, "12 — ★", "der " * 30 + "the " * 30]
+    got = langid.identify(frame(spark, texts), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        lang, score = brute_language(model, t)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-9
+    clash = langid.identify(frame(spark, texts[:3]).withColumn("Score", F.lit("mine")), model)
+    assert clash.columns == ["doc_id", "text", "_Score", "lang_pred", "score"] and {r["_Score"] for r in clash.collect()} == {"mine"}
+    named = langid.identify(frame(spark, ["the and"]).select("doc_id", F.col("text").alias("score")), model, text="score")
+    assert named.columns == ["doc_id", "_score", "lang_pred", "score"] and named.count() == 1
+
+
 def test_viterbi_against_single_texts():
     rng = np.random.default_rng(3)
     sizes = [0, 5, 1, 17, 0, 9]
@@ -260,8 +335,10 @@ def test_topk_against_brute_force(spark, monkeypatch):
     vectors = {i: [rng.choice([-0.5, 0.0, 0.25, 0.5, 1.0]) for _ in range(6)] for i in range(160)}
     vectors |= {160: None, 161: [None] * 6, 162: [float("nan")] * 6, 163: [float("inf")] + [0.0] * 5, 164: []}
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors.items()], "vec_id long, embedding array<float>, score string").repartition(5)
-    for block in (2048, 2):
-        monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    for most, rows in ((64_000_000, 4096), (100, 7)):
+        monkeypatch.setattr(topk, "QUERY_BYTES", most)
+        monkeypatch.setattr(topk, "CHUNK_ROWS", rows)
+        monkeypatch.setattr(topk, "CELLS", 10 * rows)
         got = topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0)
         assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(vectors)
     few = df.where("vec_id in (0, 1, 2)")
@@ -269,6 +346,28 @@ def test_topk_against_brute_force(spark, monkeypatch):
     assert topk.top_k(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_repeated_rows_and_large_numbers(spark):
+    """Repeated candidates each count, of repeated queries the smallest vector is asked; products beyond 2^53 stay exact."""
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 9.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    asked = [128, 2304]
+    want = sorted(((-sum(int(256 * x) * y for x, y in zip(v, asked, strict=True)), i) for i, v in rows if i))[:5]
+    assert got == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    big = [(i, [float(2**20 + i), float(2**20 - 3 * i), float(i)]) for i in range(0, 120)]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") == 50).orderBy("rank").collect()]
+    scored = sorted((-sum(int(256 * x) * int(256 * y) for x, y in zip(v, big[50][1], strict=True)), i) for i, v in big if i != 50)[:5]
+    assert got == [(50, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+
+
+def test_topk_works_out_few_full_scores(spark):
+    vectors = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    resolved = spark.sparkContext.accumulator(0)
+    topk.top_k(vectors, "vec_id", "embedding", F.col("vec_id") % 50 == 0, resolved=resolved).collect()
+    assert 0 < resolved.value < 0.15 * vectors.count() ** 2 / 50
+
+
 # --- personal data
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -564,8 +663,9 @@ def test_bpe_round_trip(spark, monkeypatch):
     rows = bpe.decode(bpe.encode(df, "text", RANKS, public_tokenizers.PATTERN), "ids", RANKS, public_tokenizers.PATTERN).collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows) and len(rows) == len(texts)
     assert bpe.round_trip_digest(df.limit(0), "text", RANKS, public_tokenizers.PATTERN).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        bpe.encode(df.withColumn("IDS", F.lit(1)), "text", RANKS, public_tokenizers.PATTERN)
+    clash = bpe.encode(df.withColumn("IDS", F.lit(1)), "text", RANKS, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "text", "label", "_IDS", "ids"] and {r["_IDS"] for r in clash.collect()} == {1}
+    assert bpe.decode(clash.withColumn("Decoded", F.lit(2)), "ids", RANKS, public_tokenizers.PATTERN).columns[-2:] == ["_Decoded", "decoded"]
 
 
 # --- quality
