@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, jaccard, langid, packing, pii
-from tessera.llm.common import materialize, told
+from tessera.llm.common import discard, materialize, temporary, told
 
 #: Near copies: word shingles of this width, and the similarity in percent from which two texts are linked.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -96,7 +96,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """A row for each piece of the packed corpus. What a stage wrote for itself, and its input, are deleted once its result is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark):
+            made = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), outer=True)
+        if last is not None:
+            discard(last)
+        docs = last = made
     return STAGES[-1][1](spark, docs, sf_dir)

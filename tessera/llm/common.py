@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
@@ -17,21 +18,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured, as in tests."""
+    """The folder all executors share; a temporary one only where none is configured and all run on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Paths written since each open block of temporary() began.
+_SCOPES: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables materialised inside are deleted at the end: what is needed later must have been written as an outer one by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    outer: the table is needed after the innermost block of temporary(), and belongs to the one around it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.parquet(f"{folder}/{name}")
+    if len(_SCOPES) > outer:
+        _SCOPES[-1 - outer].append(folder)
+    table = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    table.written_to = folder
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a materialised table that nothing needs any more."""
+    delete(table.sparkSession, table.written_to)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ The model is over bytes (A-Z lower-cased, digits as 0), ORDER of them at a time,
 
 Defined results: a text that is null or empty has no perplexity and isn't kept. A language without
 trusted texts, or a null one, has the quantile of all trusted texts; with no trusted text at
-all every text with a letter is kept and has perplexity 256. Repeated rows are each scored; an empty table gives
+all every text that isn't empty is kept and has perplexity 256. Repeated rows are each scored; an empty table gives
 no rows. A language with fewer than MIN_TRUSTED trusted texts takes the larger of both quantiles. A text is trusted if any of its labels says quality 1; labels without a document have no effect.
 """
 
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, shuffle_partitions, split_batches, text_buffers
+from .common import TOLD_ROWS, bounded_batches, hot_limit, materialize, shuffle_partitions, split_batches, text_buffers
 from .jaccard import _planes, _unplanes
 
 ORDER = 5
@@ -349,6 +349,18 @@ def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half:
     return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
 
 
+def by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows with the values of their key, null without one. Languages are few, and are told to all tasks; of many keys those that
+    rows hold often are, so that no task takes all rows of one."""
+    if values.count() <= TOLD_ROWS:
+        return rows.join(F.broadcast(values), key, "left")
+    often = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > hot_limit(rows.sparkSession, rows.count()))
+    often = F.broadcast(often.select(key).join(values, key, "left"))
+    known = rows.where(F.col(key).isNotNull())
+    none = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in values.schema.fields if f.name != key])
+    return known.join(often, key).unionByName(known.join(often, key, "left_anti").join(values, key, "left")).unionByName(none)
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
     """doc_id, lang, trusted, perplexity, threshold, kept; one row for each row of docs (doc_id, text, lang)."""
     bounded_batches(docs.sparkSession)
@@ -360,8 +372,9 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     scored = materialize(perplexity(rows, models), "scored")
     seen = scored.where("trusted and perplexity is not null")
     by_lang = seen.where("lang is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own"), F.count("*").alias("n"))
+    by_lang = materialize(by_lang, "by-language")
     overall = seen.agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("general"))
-    out = scored.join(by_lang, "lang", "left").crossJoin(F.broadcast(overall))  # one row
+    out = by_key(scored, by_lang, "lang").crossJoin(F.broadcast(overall))  # one row
     threshold = F.when(F.col("n") < MIN_TRUSTED, F.greatest("own", "general")).otherwise(F.coalesce("own", "general"))
     kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
     return out.select("doc_id", "lang", "trusted", "perplexity", threshold.alias("threshold"), kept.alias("kept"))

@@ -700,6 +700,82 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_values_of_hot_keys(spark, monkeypatch):
+    from tessera.llm import common
+
+    rows = spark.createDataFrame([("en", i) for i in range(9)] + [("de", 9), (None, 10), ("xx", 11), ("yy", 12), ("yy", 13)], "lang string, i int")
+    values = spark.createDataFrame([("en", 1.0), ("de", 2.0)], "lang string, own double")
+    want = sorted(map(repr, (tuple(r) for r in rows.join(values, "lang", "left").select("lang", "i", "own").collect())))
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    for told in (10, 0):
+        monkeypatch.setattr(quality, "TOLD_ROWS", told)
+        assert sorted(map(repr, (tuple(r) for r in quality.by_key(rows, values, "lang").select("lang", "i", "own").collect()))) == want
+
+
+def brute_kneser_ney(trusted, text, order=5):
+    """Perplexity of text's bytes under interpolated modified Kneser-Ney, straight from the definitions."""
+    fold = lambda t: bytes(b + 32 if 65 <= b < 91 else 48 if 48 <= b < 58 else b for b in t.encode())
+    counts = {order: collections.Counter()}
+    for t in trusted:
+        raw = b"\n" * (order - 1) + fold(t)
+        counts[order].update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+
+    def cut(n):
+        kinds = collections.Counter(min(c, 5) for c in counts[n].values())
+        if not (kinds[1] and kinds[2] and kinds[3]):
+            return [0, 0.5, 0.75, 0.75]
+        y = kinds[1] / (kinds[1] + 2 * kinds[2])
+        raw = [1 - 2 * y * kinds[2] / kinds[1], 2 - 3 * y * kinds[3] / kinds[2], 3 - 4 * y * kinds[4] / kinds[3]]
+        return [0, *[min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]]
+
+    d = {n: cut(n) for n in range(2, order + 1)}
+    followers = {n: collections.defaultdict(list) for n in range(2, order + 1)}
+    for n in followers:
+        for g, c in counts[n].items():
+            followers[n][g[:-1]].append(c)
+    singles = sum(counts[1].values())
+
+    def probability(g):
+        if len(g) == 1:
+            return (counts[1][g] + 0.5) / (singles + 128)
+        n, after = len(g), followers[len(g)][g[:-1]]
+        if not after:
+            return probability(g[1:])
+        c = counts[n][g]
+        freed = sum(d[n][min(x, 3)] for x in after) / sum(after)
+        return (c - d[n][min(c, 3)]) / sum(after) + freed * probability(g[1:])
+
+    raw = b"\n" * (order - 1) + fold(text)
+    logs = [np.log(probability(raw[i : i + order])) for i in range(len(raw) - order + 1)]
+    return float(np.exp(-np.mean(logs)))
+
+
+def test_quality_against_brute_force(spark):
+    """Perplexities, thresholds and decisions of a small table, straight from the definitions."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))) for _ in range(70)] + ["qx zz 99 QX", "é ü", "", None]
+    langs = ["en" if i % 3 else "de" for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(70)] + [(0, 0, 1), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    half = {r["doc_id"]: r["half"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half")).collect()}
+    trusted = [i for i in range(70) if i % 2 == 0]
+    got = {r["doc_id"]: r for r in quality.classify(docs, labels, quantile=0.5, slack=1.1).collect()}
+    want = {i: brute_kneser_ney([texts[j] for j in trusted if half[j] != half[i]], t) for i, t in enumerate(texts) if t}
+    assert all(abs(got[i]["perplexity"] / w - 1) < 1e-4 for i, w in want.items()) and got[72]["perplexity"] is None and not got[73]["kept"]
+
+    def middle(ids):
+        values = sorted(got[i]["perplexity"] for i in ids)
+        return 1.1 * values[(len(values) + 1) // 2 - 1]
+
+    general, own = middle(trusted), {x: middle([i for i in trusted if langs[i] == x]) for x in ("en", "de")}
+    for i in want:
+        threshold = max(general, own[langs[i]])  # fewer than 50 trusted texts
+        assert abs(got[i]["threshold"] - threshold) < 1e-9 and got[i]["kept"] == (got[i]["perplexity"] <= threshold) and got[i]["trusted"] == (i in trusted)
+
+
 def test_quality_keeps_every_ngram(spark):
     """More distinct n-grams than any bound on a model in memory once was; shards answer as the whole model does."""
     rng = np.random.default_rng(5)
