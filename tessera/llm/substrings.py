@@ -7,15 +7,16 @@ Strings are judged on the texts as they come; they may overlap and never cross t
    anchors at equal places. Each task sends its texts' distinct anchors, packed, to owner
    tasks, each of which has one range of their hashes; the owners answer which occur in several texts. Suffixes
    whose anchor occurs in one text only can't be repeated and go no further.
-2. Suffixes. The suffixes that remain are sent with their leading bytes, those of one anchor as one stretch
-   of text, and range-partitioned by the anchor. Splitters cut the hashes of the leading bytes, which are uniform,
-   at equal distances. A bucket sorts its suffixes on 8-byte words, the leading word first, then on a digest
-   of the rest; neighbours are compared byte by byte, and runs whose digests deceive are sorted by all words.
-   In each run of equal strings those of the smallest id stay, and the others are marked.
-3. Equal strings that meet in one task are sent once, with their smallest id. The suffixes of an anchor
-   that holds a large part of its bucket are partitioned one by one, by all their bytes, so no
-   bucket's boundary has to be compared with another's and no group lands in one task.
-4. The marked strings of a text are merged to spans, and the remaining bytes are digested.
+2. Splitters. Each owner returns the leading eight bytes of a bounded sample of its repeated anchors; the
+   weighted quantiles of all samples are the splitters.
+3. Suffixes. The suffixes that remain are sent, those of one anchor as one stretch
+   of text, and range-partitioned by their anchor's leading bytes. A bucket sorts its suffixes by multikey quicksort on
+   characters of eight bytes: parts that are equal in one character go on to the next.
+   In each run of equal strings those of the smallest id stay, and the others are marked. Splitters are
+   whole characters, so equal strings never lie on both sides of a boundary.
+4. Equal strings that meet in one task are sent once, with their smallest id. The suffixes of an anchor
+   that holds a large part of its bucket are partitioned one by one, by all their bytes, so no group lands in one task.
+5. The marked strings of a text are merged to spans, and the remaining bytes are digested.
 
 Texts that equal one with a smaller id (two 64-bit hashes) go entirely when they have `length` bytes;
 they add no strings of their own.
@@ -31,8 +32,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, mix64, shuffle_partitions, split_batches, text_buffers
+from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, text_buffers
 from .jaccard import _planes, _unplanes
+from .shingles import SALTS, digests, eights
 
 #: Bytes of an anchor (a sum of 16 and 8); must be less than the length of the strings.
 ANCHOR = 24
@@ -43,6 +45,8 @@ CHUNK_DOCS = 12_000
 CHUNK_STRETCHES = 100_000
 #: Buckets for each shuffle partition: a task holds one at a time.
 BUCKETS_PER_PARTITION = 4
+#: One in so many anchors may be a sample, and samples that an owner returns at most.
+SAMPLED, SAMPLES = 64, 256
 #: An anchor is dealt out string by string if it holds more than this share of its bucket, and so many texts.
 HOT_SHARE, HOT_LEAST = 0.5, 256
 
@@ -71,12 +75,13 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int):
-    """Stretches of neighbouring strings with the same anchor: the anchor's hash, text, first string, number of strings (the width of a string's anchors at most)."""
+    """Stretches of neighbouring strings with the same anchor: the anchor's hash, text, first string, number of strings (the width of a string's anchors at most); and the hash of each piece."""
     width = length - ANCHOR + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.uint64), none, none, none
-    low = _slide(_anchor_hashes(data), width, np.minimum)  # of the string that starts here
+        return np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint64)
+    hashes = _anchor_hashes(data)
+    low = _slide(hashes, width, np.minimum)  # of the string that starts here
     # strings that end beyond their text are no strings
     valid = np.ones(len(low), bool)
     for end in off[1:-1].tolist():
@@ -94,15 +99,59 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int):
         of = np.repeat(np.arange(len(n)), times)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         begin, n, doc, h = begin[of] + nth * width, np.minimum(n[of] - nth * width, width), doc[of], h[of]
-    return h, doc, begin, n
+    return h, doc, begin, n, hashes
+
+
+def big_endian(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that sorts as they do; zeros beyond the end."""
+    return eights(data).byteswap()
+
+
+def leading(word: np.ndarray, hashes: np.ndarray, h: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """The leading character of each stretch's anchor (word: see big_endian). The anchor lies in all strings of the stretch."""
+    out, left = np.zeros(len(h), np.uint64), np.arange(len(h))
+    for j in range(length - ANCHOR + 1):
+        at = begin[left] + n[left] - 1 + j
+        hit = hashes[np.minimum(at, len(hashes) - 1)] == h[left]
+        out[left[hit]] = word[at[hit]]
+        left = left[~hit]
+        if not len(left):
+            break
+    return out
+
+
+def multikey(word: np.ndarray, start: np.ndarray, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort of the strings at start: their order, and where runs of equal strings begin in it.
+
+    places: where a string's characters of eight bytes begin (word: see big_endian). All parts that are equal so far
+    are sorted by their next character together; a part whose strings agree in it, or that holds one string, needs no sort.
+    """
+    order = np.argsort(word[start], kind="stable")
+    first = np.r_[True, (c := word[start[order]])[1:] != c[:-1]] if len(order) else np.zeros(0, bool)
+    for p in places[1:]:
+        c = word[start[order] + p]
+        change = np.r_[False, (c[1:] != c[:-1]) & ~first[1:]]  # within a part
+        if not change.any():
+            continue
+        part = np.cumsum(first) - 1
+        mixed = np.bincount(part[change], minlength=part[-1] + 1) > 0
+        at = np.flatnonzero(mixed[part])
+        by = at[np.lexsort((c[at], part[at]))]
+        order[at], c[at] = order[by], c[by]
+        first = first | np.r_[False, (c[1:] != c[:-1]) & ~first[1:]]
+    return order, np.flatnonzero(first)
 
 
 def _short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - 8 * HASH_BYTES)
 
 
+def _sampled(h: np.ndarray) -> np.ndarray:
+    return mix64(h ^ np.uint64(0x2545F4914F6CDD1D)) < np.uint64(2**64 // SAMPLED)
+
+
 def _send_anchors(length: int, n_buckets: int):
-    """kind 0: a chunk's texts and the anchors that several of them hold; kind 1: distinct anchors of one bucket."""
+    """kind 0: a chunk's texts and the anchors that several of them hold; kind 1: distinct anchors of one bucket; kind 2: samples with leading characters."""
 
     def run(batches):
         import pyarrow as pa
@@ -136,6 +185,15 @@ def _send_anchors(length: int, n_buckets: int):
                     buckets.append(k)
                     a.append(_planes(t, HASH_BYTES))
                     b.append(_planes(v.astype(np.uint64), 2))
+            some, which = np.unique(np.concatenate([x[5] for x in held]), return_index=True)
+            word = np.concatenate([x[6] for x in held])[which]
+            edges = np.searchsorted(some, (np.arange(1, n_buckets) * (1 << 8 * HASH_BYTES)) // n_buckets)
+            for k, (t, v) in enumerate(zip(np.split(some, edges), np.split(word, edges), strict=True)):
+                if len(t):
+                    kinds.append(2)
+                    buckets.append(k)
+                    a.append(t.astype("<u8").tobytes())
+                    b.append(v.astype("<u8").tobytes())
             held = []
             return pa.RecordBatch.from_arrays(
                 [pa.array(buckets, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],
@@ -150,8 +208,10 @@ def _send_anchors(length: int, n_buckets: int):
                     yield flush()
                     n = m = 0
                 data, off = text_buffers(part.column(1))
-                h, doc, _, _ = anchors(data, off, length)
-                held.append((*[part.column(k).to_numpy() for k in (0, 2, 3)], _short(h), doc))
+                h, doc, begin, size, hashes = anchors(data, off, length)
+                some = np.flatnonzero(_sampled(_short(h)))
+                word = leading(big_endian(data), hashes, h[some], begin[some], size[some], length)
+                held.append((*[part.column(k).to_numpy() for k in (0, 2, 3)], _short(h), doc, _short(h)[some], word))
                 n, m = n + len(h), m + part.num_rows
             if n > CHUNK_ANCHORS:
                 yield flush()
@@ -190,6 +250,16 @@ def _own_anchors(key, table):
             if len(pick):
                 answer = np.where(multi[pick], _MULTI, value[pick]) | np.where(hot[pick], _HOT, 0)
                 out.append((int(chunks[i]), 1, _planes(tokens[pick], HASH_BYTES), _planes(answer.astype(np.uint64), 2)))
+        rows = np.flatnonzero(kinds == 2)
+        if len(rows):
+            some, which = np.unique(np.concatenate([np.frombuffer(a[i], "<u8") for i in rows]), return_index=True)
+            word = np.concatenate([np.frombuffer(b[i], "<u8") for i in rows])[which]
+            known, lead = np.unique(tokens, return_index=True)
+            weight = held[lead][np.searchsorted(known, some)]
+            pick = np.flatnonzero(weight > 1)
+            pick = pick[np.argsort(mix64(some[pick] ^ np.uint64(0x2545F4914F6CDD1D)))][:SAMPLES]
+            if len(pick):
+                out.append((-1 - int(key[0].as_py()), 2, word[pick].astype("<u8").tobytes(), weight[pick].astype("<u8").tobytes()))
     return pa.Table.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "kind", "a", "b"])
 
 
@@ -199,6 +269,8 @@ def _marks(key, table):
 
     kinds = table.column("kind").to_pylist()
     a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
+    if 0 not in kinds:  # an owner's samples: leading characters, then their weights
+        return pa.table({"doc_id": pa.array([None], pa.int64()), "f1": pa.array([None], pa.int64()), "f2": pa.array([None], pa.int64()), "marks": pa.array([a[0] + b[0]], pa.binary())})
     at = kinds.index(0)
     ids, f1, f2 = np.frombuffer(a[at], "<i8").reshape(3, -1)
     local = _unplanes(b[at], 7)
@@ -227,16 +299,18 @@ def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[index]
 
 
-def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    from . import shingles
-
-    shingles._powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * shingles._UP[: len(data)], out=total[1:])
-    return mix64((total[start + size] - total[start]) * shingles._DOWN[start] + size.astype(np.uint64))
+def splitters(samples: list[bytes], n_buckets: int) -> np.ndarray:
+    """Characters that cut the samples' weight into n_buckets about equal parts; fewer where one character weighs more than a part."""
+    cells = [np.frombuffer(x, "<u8").reshape(2, -1) for x in samples]
+    word, weight = (np.concatenate([np.zeros(0, np.uint64), *[c[k] for c in cells]]) for k in (0, 1))
+    order = np.argsort(word)
+    total = np.cumsum(weight[order].astype(np.float64))
+    if not len(total):
+        return np.zeros(0, np.uint64)
+    return np.unique(word[order][np.searchsorted(total, total[-1] * np.arange(1, n_buckets) / n_buckets)])
 
 
-def _send_suffixes(length: int, n_buckets: int):
+def _send_suffixes(length: int, n_buckets: int, cuts: np.ndarray):
     """kind 0: where a chunk's stretches lie; kind 1: the distinct stretches of one bucket, with their smallest ids."""
 
     def run(batches):
@@ -250,17 +324,17 @@ def _send_suffixes(length: int, n_buckets: int):
             ids, f1, f2 = (np.concatenate([x[k] for x in keys]) for k in range(3))
             counts = np.cumsum([0, *[len(x[0]) for x in keys]])
             doc = np.concatenate([x[0] + c for x, c in zip(held, counts, strict=False)])
-            first, n, route, digest = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4))
-            blob = np.concatenate([x[5] for x in held])
+            first, n, route, digest, second = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3, 4, 5))
+            blob = np.concatenate([x[6] for x in held])
             size = n + length - 1
             begin = np.cumsum(size) - size
-            order = np.lexsort((ids[doc], digest))
-            new = np.r_[True, digest[order][1:] != digest[order][:-1]]
+            order = np.lexsort((ids[doc], second, digest))
+            new = np.r_[True, (digest[order][1:] != digest[order][:-1]) | (second[order][1:] != second[order][:-1])]
             lead = order[new]  # of equal stretches, one of the smallest id
             entry = np.empty(len(order), np.int64)
             entry[order] = np.cumsum(new) - 1
             whole = ids[doc] > ids[doc[lead]][entry]  # a smaller id in this very chunk has the stretch
-            bucket = (route[lead] >> np.uint64(32)).astype(np.int64) * n_buckets >> 32
+            bucket = route[lead]
             chunk = base + seq
             seq += 1
             out = [(int(chunk % n_buckets), chunk, 0, b"".join(x.astype("<i8").tobytes() for x in (np.array([len(ids), len(doc)]), ids, f1, f2)), b"".join(x.astype(t).tobytes() for x, t in ((doc, "<u4"), (first, "<u4"), (entry, "<u4"), (n, "u1"), (whole, "u1"))))]
@@ -276,7 +350,7 @@ def _send_suffixes(length: int, n_buckets: int):
         waiting = 0
         for batch in split_batches((b.filter(b.column(4).is_valid()) for b in batches), 1_000_000):
             data, off = text_buffers(batch.column(1))
-            h, doc, first, n = anchors(data, off, length)
+            h, doc, first, n, hashes = anchors(data, off, length)
             marks = batch.column(4).fill_null(b"").to_pylist()
             mark = np.frombuffer(b"".join(marks), "<u8")
             owner = np.repeat(np.arange(len(marks), dtype=np.uint64), [len(m) // 8 for m in marks])
@@ -288,16 +362,17 @@ def _send_suffixes(length: int, n_buckets: int):
             h, doc, first, n, hot = (x[found] for x in (h, doc, first, n, hot))
             if not len(h):
                 continue
+            bucket = np.searchsorted(cuts, leading(big_endian(data), hashes, h, first, n, length), side="right")
             if hot.any():  # hot stretches are cut into single strings
                 times = np.where(hot, n, 1)
                 of = np.repeat(np.arange(len(n)), times)
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
-                h, doc, first, n, hot = h[of], doc[of], first[of] + nth, np.where(hot, 1, n)[of], hot[of]
+                doc, first, n, hot, bucket = doc[of], first[of] + nth, np.where(hot, 1, n)[of], hot[of], bucket[of]
             size = n + length - 1
-            digest = _digests(data, first, size)
-            route = np.where(hot, digest, mix64(h ^ np.uint64(0x5BF03635)))
+            digest, second = digests(eights(data), first, size, SALTS)
+            route = np.where(hot, (digest >> np.uint64(32)).astype(np.int64) * n_buckets >> 32, bucket)
             keys.append(tuple(batch.column(k).to_numpy() for k in (0, 2, 3)))
-            held.append((doc, first - off[doc], n, route, digest, _take(data, first, size)))
+            held.append((doc, first - off[doc], n, route, digest, second, _take(data, first, size)))
             waiting += len(n)
             if waiting > CHUNK_STRETCHES:
                 yield flush()
@@ -334,27 +409,7 @@ def _own_suffixes(length: int):
             of = np.repeat(np.arange(len(n)), n)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
             start = begin[of] + nth
-            word = np.zeros(len(data) + 8, np.uint64)
-            word[: len(data)] = data
-            for step, bits in ((1, 8), (2, 16), (4, 32)):
-                word[: len(word) - step] = word[: len(word) - step] << np.uint64(bits) | word[step:]
-            rest = _digests(data, start + 8, np.full(len(start), length - 8))
-            order = np.lexsort((rest, word[start]))
-            s = start[order]
-            places = [*range(0, length - 7, 8), length - 8]
-
-            def differ(s):
-                x = np.zeros(len(s) - 1, bool)
-                for p in places:
-                    x |= word[s[1:] + p] != word[s[:-1] + p]
-                return x
-
-            other = differ(s)
-            equal_digest = (rest[order][1:] == rest[order][:-1]) & (word[s][1:] == word[s][:-1])
-            if (other & equal_digest).any():  # digests deceived: sort by all words
-                order = np.lexsort([word[start + p] for p in reversed(places)])
-                other = differ(start[order])
-            lead = np.flatnonzero(np.r_[True, other])
+            order, lead = multikey(big_endian(data), start, [*range(0, length - 7, 8), length - 8])
             smallest = np.minimum.reduceat(ids[of[order]], lead)
             mark = np.zeros(len(order), bool)
             mark[order] = ids[of[order]] > np.repeat(smallest, np.diff(np.r_[lead, len(order)]))
@@ -429,13 +484,16 @@ def repeated_spans(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text
     sent = named.mapInArrow(_send_anchors(length, n_buckets), _PACKED)
     told = sent.groupBy("bucket").applyInArrow(_own_anchors, _ANSWER).groupBy("chunk").applyInArrow(_marks, "doc_id long, f1 long, f2 long, marks binary")
     marks = materialize(told, "marks")
-    firsts = marks.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    marks = marks.join(firsts, ["f1", "f2"]).withColumn("copy", F.col("doc_id") > F.col("first")).drop("first")
+    samples = marks.where("doc_id is null").select("marks").collect()  # SAMPLES pairs of numbers for each bucket at most
+    cuts = splitters([r["marks"] for r in samples], n_buckets)
+    marks = marks.where("doc_id is not null")
+    firsts = materialize(marks.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")), "firsts")
+    marks = join_groups(marks, firsts, ["f1", "f2"], "times").withColumn("copy", F.col("doc_id") > F.col("first")).drop("first", "times")
     known = marks.groupBy(*own).agg(F.max("copy").alias("copy"), F.max("marks").alias("marks"))
     known = materialize(known, "known")
     # left joins both here and below, so that one exchange of the texts serves both; texts without marks are left out by the tasks
     asked = docs.join(known.where("not copy and octet_length(marks) > 0").drop("copy"), own, "left")
-    packed = asked.select("doc_id", "text", "f1", "f2", "marks").mapInArrow(_send_suffixes(length, n_buckets), _PACKED)
+    packed = asked.select("doc_id", "text", "f1", "f2", "marks").mapInArrow(_send_suffixes(length, n_buckets, cuts), _PACKED)
     sorted_ = packed.groupBy("bucket").applyInArrow(_own_suffixes(length), _ANSWER).groupBy("chunk").applyInArrow(_spans(length), "doc_id long, f1 long, f2 long, spans binary")
     found = sorted_.dropDuplicates(own).select(*own, "spans", F.lit(False).alias("copy"))
     found = found.unionByName(known.where("copy").select(*own, F.lit(None).cast("binary").alias("spans"), "copy"))

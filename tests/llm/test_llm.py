@@ -634,6 +634,23 @@ def test_repeats_against_brute_force(spark, share, least, monkeypatch):
     assert got == brute_repeats(enumerate(texts))
 
 
+def test_multikey_quicksort():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 3000).astype(np.uint8)
+    data[1000:1400] = data[200:600]
+    start = np.arange(len(data) - 50)
+    order, runs = substrings.multikey(substrings.big_endian(data), start, [0, 8, 16, 24, 32, 40, 42])
+    strings = [data[i : i + 50].tobytes() for i in start]
+    got = [strings[i] for i in order]
+    assert got == sorted(strings) and [got[i] for i in runs] == sorted(set(strings))
+
+
+def test_splitters_cut_at_weights():
+    pack = lambda words, weights: np.array(words, "<u8").tobytes() + np.array(weights, "<u8").tobytes()
+    cuts = substrings.splitters([pack([5, 1, 9], [1, 1, 1]), pack([7], [1])], 2)
+    assert cuts.tolist() == [5] and substrings.splitters([pack([5, 6], [99, 1])], 4).tolist() == [5] and not len(substrings.splitters([], 4))
+
+
 def test_repeats_edges(spark):
     assert substrings.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
     long = "x" * 20 + "the same passage of more than fifty bytes, again and again"
