@@ -64,6 +64,86 @@ def test_detector_keeps_order():
     assert detect(rows) == [(1, None), (2, None), (3, 1), (4, 2), (5, None), (6, 5)]
 
 
+def listed(spark, sf):
+    from tessera.operators.matching import listings
+
+    rows = [r.asDict() for r in listings(spark, f"/root/testdata/{sf}").orderBy("id").collect()]
+    return [r | {"key": r["key"] or ""} for r in rows]
+
+
+def test_detector_over_all_rows(spark):
+    """Rounds of joins give what the detector gives that takes one row after the other."""
+    from tessera.operators.matching import greedy_duplicates
+
+    got = {r["id"]: r["duplicate_of"] for r in greedy_duplicates(spark, "/root/testdata/sf0.001").collect()}
+    assert got == dict(detect(listed(spark, "sf0.001")))
+
+
+def test_detector_on_made_rows(spark):
+    """Chains: a row that is a duplicate itself hides its phone and domain, and the window of kept rows moves."""
+    import random
+
+    from tessera.operators.matching import duplicates
+
+    rng = random.Random(3)
+    rows = [{"id": i, "phone": rng.choice([None, f"p{rng.randrange(50)}"]), "domain": rng.choice([None, f"d{rng.randrange(50)}"]), "key": rng.choice(["", f"acme cleaning {rng.randrange(40)}", f"window {rng.randrange(400)} wash"]), "address": rng.choice([None, f"{rng.randrange(30)} Main St", f"{rng.randrange(99)} Oak Avenue"])} for i in range(130)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, phone string, domain string, key string, address string").repartition(5)
+    for recent in (6,):
+        assert {r["id"]: r["duplicate_of"] for r in duplicates(df, recent=recent).collect()} == dict(detect(rows, recent=recent))
+
+
+def test_close_names_against_all_pairs(spark):
+    import random
+
+    from tessera.operators.matching import close_names
+
+    rng = random.Random(8)
+    words = ["acme", "clean", "window", "co", "a", "bright", "shine", "wash"]
+    names = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "s", " x", "1"]) for _ in range(160)} | {"aa", "ab", "a", "aaaa", "aaab"})
+    got = {(r["key_1"], r["key_2"]): r["r"] for r in close_names(spark.createDataFrame([("g", n) for n in names] + [("h", names[0])], "group string, key string"), 0.85).collect()}
+    want = {(a, b): SequenceMatcher(None, a, b).ratio() for a in names for b in names if a < b}
+    assert got == {k: v for k, v in want.items() if v >= 0.85}
+
+
+def test_entities_are_as_connected_as_by_all_pairs(spark):
+    """Links connect what the rules connect pair by pair."""
+    from tessera.operators.matching import entity_matches
+
+    rows = listed(spark, "sf0.001")
+
+    def pair(a, b):
+        if a["domain"] and a["domain"] == b["domain"] or a["phone"] and a["phone"] == b["phone"]:
+            return True
+        return bool(a["key"] and b["key"] and a["state"] and a["state"] == b["state"] and SequenceMatcher(None, a["key"], b["key"]).ratio() >= 0.85)
+
+    def classes(links):
+        root = {r["id"]: r["id"] for r in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return {i: find(i) for i in root}
+
+    found = entity_matches(spark, "/root/testdata/sf0.001").collect()
+    assert len({(r["id_1"], r["id_2"]) for r in found}) == len(found) and all(r["confidence"] > 0 for r in found)
+    assert classes([(r["id_1"], r["id_2"]) for r in found]) == classes([(a["id"], b["id"]) for i, a in enumerate(rows) for b in rows[i + 1 :] if pair(a, b)])
+
+
+def test_clusters_of_all_phrases(spark):
+    from tessera.operators.matching import linked_clusters
+
+    phrases = ["window cleaning", "window cleaning cost", "window cleaning price", "roof repair", "roof repair cost", "gutter", "best roof repair near me", "pressure washing", "pressure washing cost", "wash"]
+    got = {}
+    for r in linked_clusters(spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect():
+        got.setdefault(r["cluster"], []).append(r["phrase"])
+    assert sorted(sorted(c) for c in got.values()) == sorted(average_linkage(phrases))
+
+
 def test_average_linkage():
     assert average_linkage(["window cleaning", "window cleaning cost", "roof repair"]) == [["roof repair"], ["window cleaning", "window cleaning cost"]]
 
