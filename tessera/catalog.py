@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, audits, exchange, learning, matching, pages, relational, scalars  # noqa: F401  registration
+from .operators import analytics, audits, exchange, learning, markup, matching, pages, records, relational, scalars  # noqa: F401  registration
 from .plans.registry import COVERS, ORACLES, QUERIES
 from .streaming import state  # noqa: F401  registration
 

@@ -252,3 +252,8 @@ reviews_udf = _of_pages(lambda h, u: reviews(h), "array<struct<rating:double,aut
 @vectorized("struct<title:string,phones:array<string>,mails:array<string>,headings:array<string>,main_text:string>")
 def content_udf(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([site_content(h, u) for h, u in zip(html, url, strict=True)], columns=["title", "phones", "mails", "headings", "main_text"])
+
+
+@vectorized("struct<types:array<string>,business:int,organization:int>")
+def summary_udf(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([schema_summary(h) for h in html], columns=["types", "business", "organization"])

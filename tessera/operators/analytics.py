@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import scores as S
 from ..functions import strings as X
-from ..plans.registry import query
+from ..plans.dialect import SPARK
+from ..plans.registry import frame, query, run_sql
 from ..sources import stand_ins as T
 
 # Fixed values.
@@ -73,14 +76,14 @@ def words_of(d, text: str) -> str:
 @query("content_gaps", "G3 G4 R15 R16")
 def content_gaps(d):
     """Words of two sources at least that source src0 lacks, by coverage; the first hundred."""
-    return f"""WITH w AS (SELECT source, {d.unnest(d.distinct(words_of(d, 'text')))} AS topic FROM documents WHERE lang = 'en'), c AS (SELECT topic, count(DISTINCT source) AS sources, count(*) AS pages FROM w WHERE source <> 'src0' GROUP BY topic),
+    return f"""WITH w AS (SELECT source, {d.unnest(d.distinct(words_of(d, 'text')))} AS topic FROM documents), c AS (SELECT topic, count(DISTINCT source) AS sources, count(*) AS pages FROM w WHERE source <> 'src0' GROUP BY topic),
 ours AS (SELECT DISTINCT topic FROM w WHERE source = 'src0') SELECT c.topic, c.sources, c.pages FROM c LEFT JOIN ours ON c.topic = ours.topic WHERE ours.topic IS NULL AND c.sources >= 2 ORDER BY c.sources DESC, c.pages DESC, c.topic LIMIT 100"""
 
 
 @query("topic_terms", "L18")
 def topic_terms(d):
     """Each source's most frequent words, with their weight."""
-    return f"""WITH w AS (SELECT source, {d.unnest(words_of(d, 'text'))} AS term FROM documents WHERE lang = 'en'), c AS (SELECT source, term, count(*) AS n FROM w GROUP BY source, term),
+    return f"""WITH w AS (SELECT source, {d.unnest(words_of(d, 'text'))} AS term FROM documents), c AS (SELECT source, term, count(*) AS n FROM w GROUP BY source, term),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c) SELECT source, term, n, rank FROM r WHERE rank <= 20"""
 
 
@@ -90,9 +93,8 @@ def topic_coverage(d):
     return f"""WITH p AS (SELECT page_id, lower(html) AS t, html FROM pages) SELECT page_id, least(100, 10 * {d.count('t', 'the')} + 20 * {d.count('t', '<h[1-6][^>]*>[^<]*the')}) AS coverage, {kinds}, {d.count('html', '(?i)<h[1-6][^>]*>[^<]+</h[1-6]>')} AS headings FROM p"""
 
 
-def syllables(d, w: str) -> str:
+def syllables(d, w: str, groups: str) -> str:
     """Vowel groups, less silent endings, at least one; a few words by table. w: in lower case, without marks at its ends."""
-    groups = d.count(w, "[aeiouy]+")
     ends = lambda *s: " OR ".join(d.ends(w, x) for x in s)
     e = f"CASE WHEN {groups} > 1 AND {ends('e')} AND NOT ({ends('le')}) THEN 1 ELSE 0 END"
     ed = f"CASE WHEN {groups} > 1 AND {ends('ed')} AND NOT ({ends('ted', 'ded')}) THEN 1 ELSE 0 END"
@@ -100,21 +102,60 @@ def syllables(d, w: str) -> str:
     return d.lookup(w, SYLLABLES, f"greatest(1, {groups} - {e} - {ed} - {es})")
 
 
-@query("readability", "L14 L15 L16 L17 D9 D22")
-def readability(d):
-    """Grades of English texts; complex words have three syllables or more."""
-    protected = "text"
-    for a in ABBREVIATIONS:
-        protected = f"replace({protected}, '{a}', '{a.replace('.', '~')}')"
-    sentence = d.keep(d.split(d.sub(protected, r"[.!?]+\s+", "|"), "|"), lambda e: f"trim({e}) <> ''")
-    words = d.keep(d.split(d.sub(d.sub("text", r"[^A-Za-z0-9_\s'-]", " "), r"\s+", " "), " "), lambda e: f"length({e}) > 1 AND NOT {d.match(e, '^[0-9]+$')}")
+def _grades(d, counts: str) -> str:
+    """Grades from doc_id, s (sentences), words, chars, syllables, complex_words."""
     level = S.tiers("grade", ((5, "'Elementary'"), (8, "'Middle School'"), (12, "'High School'"), (16, "'College'")), "'Graduate'", "<=")
-    return f"""WITH t AS (SELECT doc_id, source, {d.size(sentence)} AS s, {words} AS words FROM documents WHERE lang = 'en'), u0 AS (SELECT doc_id, {d.unnest('words')} AS raw FROM t), u AS (SELECT doc_id, lower(raw) AS w FROM u0), y AS (SELECT doc_id, w, {syllables(d, 'w')} AS n FROM u),
-g AS (SELECT doc_id, count(*) AS words, sum(length(w)) AS chars, sum(n) AS syllables, count(*) FILTER (WHERE n >= 3) AS complex_words FROM y GROUP BY doc_id),
-m AS (SELECT t.doc_id, t.source, t.s, g.words, g.chars, g.syllables, g.complex_words, greatest(0e0, 0.39e0 * g.words / t.s + 11.8e0 * g.syllables / g.words - 15.59e0) AS grade FROM t JOIN g ON t.doc_id = g.doc_id WHERE t.s > 0)
+    return f"""WITH m AS ({counts}), g AS (SELECT *, greatest(0e0, 0.39e0 * words / s + 11.8e0 * syllables / words - 15.59e0) AS grade FROM m WHERE s > 0 AND words > 0)
 SELECT doc_id, s AS sentences, words, syllables, complex_words, round(grade, 6) AS fk_grade, round(greatest(0e0, least(100e0, 206.835e0 - 1.015e0 * words / s - 84.6e0 * syllables / words)), 6) AS reading_ease,
   round(0.4e0 * (words * 1e0 / s + 100e0 * complex_words / words), 6) AS fog, CASE WHEN s >= 30 THEN round(1.043e0 * sqrt(complex_words * 30e0 / s) + 3.1291e0, 6) END AS smog, round(greatest(0e0, 5.88e0 * chars / words - 29.6e0 * s / words - 15.8e0), 6) AS coleman_liau,
-  round(greatest(0e0, 4.71e0 * chars / words + 0.5e0 * words / s - 21.43e0), 6) AS ari, {level} AS level, words / 200e0 AS minutes FROM m"""
+  round(greatest(0e0, 4.71e0 * chars / words + 0.5e0 * words / s - 21.43e0), 6) AS ari, {level} AS level, words / 200e0 AS minutes FROM g"""
+
+
+def sentences(d) -> str:
+    short = "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS)
+    return d.size(d.keep(d.split(d.sub(d.sub("text", rf"({short})\.", "{1}~"), r"[.!?]+\s+", "|"), "|"), lambda e: f"trim({e}) <> ''"))
+
+
+def _readability_sql(d) -> str:
+    """A list of words, each with its own syllables."""
+    words = d.keep(d.split(d.sub(d.sub("text", r"[^A-Za-z0-9_\s'-]", " "), r"\s+", " "), " "), lambda e: f"length({e}) > 1 AND NOT {d.match(e, '^[0-9]+$')}")
+    counted = d.each("words", lambda e: d.struct(w=f"lower({e})", g=d.count(f"lower({e})", "[aeiouy]+")))
+    return _grades(d, f"""SELECT doc_id, s, size_ AS words, chars, {d.total('each_word')} AS syllables, {d.size(d.keep('each_word', lambda e: f'{e} >= 3'))} AS complex_words FROM (
+  SELECT doc_id, s, {d.size('counted')} AS size_, {d.each('counted', lambda e: syllables(d, f'{e}.w', f'{e}.g'))} AS each_word, {d.total(d.each('counted', lambda e: f'length({e}.w)'))} AS chars FROM (
+    SELECT doc_id, s, {counted} AS counted FROM (SELECT doc_id, {sentences(d)} AS s, {words} AS words FROM documents WHERE text IS NOT NULL) t) c) y""")
+
+
+def _formula(word: str) -> int:
+    """Syllables of a word by its vowel groups and ending."""
+    groups = len(re.findall("[aeiouy]+", word))
+    silent = groups > 1 and (re.search("(?<!l)e$|(?<![td])ed$|(?<![sxz])(?<!ch)(?<!sh)es$", word) is not None)
+    return max(1, groups - silent)
+
+
+@frame("readability", "L14 L15 L16 L17 D9 D22", _readability_sql)
+def readability(spark, sf_dir):
+    """Grades of texts; complex words have three syllables or more.
+
+    Words are not taken apart: all counts are matches of whole-word expressions in the text, within its row and in generated code.
+    """
+    d = SPARK
+    # words of one character and numbers don't count; every word stands between two blanks
+    kept = d.sub(d.sub("concat(' ', lower(text), ' ')", "[^a-z0-9_'-]+", " "), "(?<= )(?:[^ ]|[0-9]+)(?= )", "")
+    times = lambda inner: d.count("w", f"(?<= ){inner}(?= )")
+    groups = lambda n: f"[^ aeiouy]*+(?:[aeiouy]++[^ aeiouy]*+){{{n}}}+"
+    silent = "(?=[^ ]*(?:(?<!l)e|(?<![td])ed|(?<![sxz]|ch|sh)es) )"
+    known = {w: (n, _formula(w)) for w, n in SYLLABLES.items()}
+    more: dict = {}
+    for w, (n, m) in known.items():
+        more.setdefault(n - m, []).append(w)
+    added = "".join(f" + {k} * {times('(?:' + '|'.join(ws) + ')')}" for k, ws in sorted(more.items()) if k)
+    gain = [w for w, (n, m) in known.items() if n >= 3 > m]
+    loss = [w for w, (n, m) in known.items() if m >= 3 > n]
+    listed = "".join(f" {sign} {times('(?:' + '|'.join(ws) + ')')}" for sign, ws in (("+", gain), ("-", loss)) if ws)
+    counts = f"""SELECT doc_id, s, {d.count('w', '[^ ]+')} AS words, length(replace(w, ' ', '')) AS chars,
+  CAST({d.count('w', '[aeiouy]+')} + {times('[^ aeiouy]++')} - {times(silent + groups('2,'))}{added} AS bigint) AS syllables,
+  {times(groups('3,'))} - {times(silent + groups('3'))}{listed} AS complex_words FROM (SELECT doc_id, {sentences(d)} AS s, {kept} AS w FROM documents WHERE text IS NOT NULL) t"""
+    return run_sql(spark, sf_dir, _grades(d, counts))
 
 
 @query("engagement", "J32 R32 R33 R34")
@@ -153,10 +194,25 @@ def page_sections(d):
     return f"WITH s AS (SELECT page_id, {d.unnest(parts)} AS part FROM pages) SELECT page_id, substr({X.squeeze(d, d.sub('part', '(?s)<[^>]*>', ' '))}, 1, 2000) AS content FROM s"
 
 
-@query("known_passages", "L21 R56 C8")
+@query("known_passages", "L21 R56")
 def known_passages(d):
-    """Which texts hold a known passage's first forty characters; the passages are few and are the broadcast side."""
-    return """SELECT b.item_id, count(*) AS n, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY b.item_id"""
+    """Known passages and the texts that hold them whole, white space aside."""
+    plain = lambda x: d.sub(x, r"\s+", " ")
+    # a text that holds a passage holds its first three words: these are the key of the join, the whole passage decides
+    words = lambda x: d.split(f"trim({plain(x)})", " ")
+    three = lambda x, i: " || ' ' || ".join(f"{x}[{i} + {k}]" for k in ((0, 1, 2) if d.name == "spark" else (1, 2, 3)))
+    grams = d.unnest(d.distinct(d.each(d.series("0", f"{d.size('w')} - 3", "1"), lambda e: three("w", e))))
+    return f"""WITH t AS (SELECT doc_id, trim({plain('text')}) AS text, {words('text')} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, {grams} AS gram FROM t WHERE {d.size('w')} >= 3),
+b AS (SELECT item_id, trim({plain('text')}) AS text, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL), k AS (SELECT item_id, text, {three('w', '0')} AS gram FROM b WHERE {d.size('w')} >= 3)
+SELECT k.item_id, count(*) AS n, min(t.doc_id) AS first_doc FROM k JOIN g ON k.gram = g.gram JOIN t ON g.doc_id = t.doc_id WHERE contains(t.text, k.text) GROUP BY k.item_id"""
+
+
+@query("latest_captures", "C8")
+def latest_captures(d):
+    """For every company the latest capture of a search whose question names it: words of the questions are joined with the names."""
+    return f"""WITH c AS (SELECT id, 'acme ' || CAST(id AS string) AS name FROM ({T.companies(d)}) z), s AS ({T.snapshots(d)}), q AS (SELECT snapshot_id, captured_at, 'best acme ' || CAST(query_id AS string) || ' near me' AS query FROM s),
+w AS (SELECT snapshot_id, captured_at, query, {d.unnest(d.distinct(d.split('query', ' ')))} AS word FROM q)
+SELECT c.id, max(w.captured_at) AS captured_at, count(DISTINCT w.snapshot_id) AS captures FROM c JOIN w ON w.word = CAST(c.id AS string) WHERE contains(' ' || w.query || ' ', ' ' || c.name || ' ') GROUP BY c.id"""
 
 
 @query("keyword_similarity", "M10 R29 R30")
@@ -210,9 +266,10 @@ SELECT coalesce(x.query_id, y.query_id) AS query_id, x.position AS position_a, y
 
 @query("action_plan", "R52 R31 R64")
 def action_plan(d):
-    """Capped lists of each kind side by side, and phrases from name and place."""
-    return f"""WITH p AS ({T.results(d)}), k AS ({T.keywords(d)}), l AS (SELECT source_domain AS item, count(*) AS n FROM p WHERE source_domain IS NOT NULL GROUP BY source_domain), a AS (SELECT item, n, row_number() OVER (ORDER BY n DESC, item) AS r FROM l),
-b AS (SELECT keyword AS item, volume AS n, row_number() OVER (ORDER BY volume DESC, id) AS r FROM k) SELECT 'backlink' AS kind, item, n, r FROM a WHERE r <= 10 UNION ALL SELECT 'keyword', item, n, r FROM b WHERE r <= 10"""
+    """Capped lists of each kind side by side: the first ten of each, then their places."""
+    return f"""WITH p AS ({T.results(d)}), k AS ({T.keywords(d)}), l AS (SELECT source_domain AS item, count(*) AS n FROM p WHERE source_domain IS NOT NULL GROUP BY source_domain), a AS (SELECT item, n, CAST(0 AS bigint) AS id FROM l ORDER BY n DESC, item LIMIT 10),
+b AS (SELECT keyword AS item, CAST(volume AS bigint) AS n, id FROM k ORDER BY volume DESC, id LIMIT 10), u AS (SELECT 'backlink' AS kind, item, n, id FROM a UNION ALL SELECT 'keyword' AS kind, item, n, id FROM b)
+SELECT kind, item, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, id, item) AS r FROM u"""
 
 
 @query("audit_scores", "R35 R41 R43")

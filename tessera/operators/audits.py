@@ -102,7 +102,7 @@ def serp_features(d):
 @query("brand_mentions", "R56 L21")
 def brand_mentions(d, terms=("example", "thnt", "ouaux"), around: int = 20):
     """Terms of three letters or more in the texts, case aside, with up to three snippets; sources of the brand's own are left out."""
-    parts = [f"SELECT doc_id, '{t}' AS term, {d.find_all('text', f'(?is).{{0,{around}}}{t}.{{0,{around}}}')} AS found FROM documents WHERE contains(lower(text), '{t}') AND source <> 'src7' AND length(text) >= 100" for t in terms]
+    parts = [f"SELECT doc_id, '{t}' AS term, {d.find_all('text', f'(?is).{{0,{around}}}{t}.{{0,{around}}}')} AS found FROM documents WHERE contains(lower(text), '{t}') AND source <> 'src7'" for t in terms]
     at = {"spark": "try_element_at(found, {})", "duckdb": "list_extract(found, {})"}[d.name]
     snippets = " || '|' || ".join(f"coalesce({at.format(n)}, '')" for n in (1, 2, 3))
     return f"WITH m AS ({' UNION ALL '.join(parts)}) SELECT doc_id, term, {d.size('found')} AS mentions, {d.sha(snippets)} AS snippets FROM m"
@@ -192,7 +192,7 @@ SELECT source, count(*) AS pages, round(avg(words), 6) AS mean_words, round(avg(
 def topic_depth(d):
     """One source's texts against the means of the others."""
     kinds = " + ".join(f"CASE WHEN {d.contains_any('t', w)} THEN 1 ELSE 0 END" for w in FORMATS.values())
-    return f"""WITH p AS (SELECT source, n_chars, lower(text) AS t FROM documents WHERE lang = 'en'), m AS (SELECT source, avg(n_chars) AS chars, avg({kinds}) AS formats FROM p GROUP BY source), o AS (SELECT avg(chars) AS chars, avg(formats) AS formats FROM m WHERE source <> 'src0')
+    return f"""WITH p AS (SELECT source, n_chars, lower(text) AS t FROM documents), m AS (SELECT source, avg(n_chars) AS chars, avg({kinds}) AS formats FROM p GROUP BY source), o AS (SELECT avg(chars) AS chars, avg(formats) AS formats FROM m WHERE source <> 'src0')
 SELECT m.source, round(m.chars, 4) AS chars, round(m.chars / o.chars, 6) AS depth_ratio, m.formats < o.formats AS fewer_formats FROM m CROSS JOIN o"""
 
 

@@ -24,27 +24,7 @@ def page_outline(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.posexplode(H.sections_udf("html", "url")).alias("pos", "x")).select("page_id", "pos", "x.*")
 
 
-@frame("page_schemas", "L2 K6 R41 R43")
-def page_schemas(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", H.types_udf("html", "url").alias("types"))
-
-
 @frame("page_contents", "L1 L3 L4 L5 L8 L7")
 def page_contents(spark, sf_dir):
     found = pages(spark, sf_dir).select("page_id", H.content_udf("html", "url").alias("x"))
     return found.select("page_id", "x.title", "x.phones", "x.mails", "x.headings", F.sha2("x.main_text", 256).alias("text_hash"), F.size(F.split("x.main_text", " ")).alias("words"))
-
-
-@frame("page_results", "L9 R55")
-def page_results(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.explode(H.results_udf("html", "url")).alias("x")).select("page_id", "x.*")
-
-
-@frame("page_listings", "L12")
-def page_listings(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.explode(H.cards_udf("html", "url")).alias("x")).select("page_id", "x.*")
-
-
-@frame("page_reviews", "L22")
-def page_reviews(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", F.explode(H.reviews_udf("html", "url")).alias("x")).select("page_id", "x.*")

@@ -288,9 +288,10 @@ def compare_domains(d):
 @query("rising_competitors", "E8 E9")
 def rising_competitors(d):
     """Classes by change against the mean of a week and a month before; the fifty that rise most."""
-    return f"""WITH {_trend(d)}, x AS (SELECT domain, keyword, current_position, current_position - avg_7d AS week, current_position - avg_30d AS month, deviation FROM a),
+    trend = _trend(d).replace(T.rankings(d), T.drifting_rankings(d))
+    return f"""WITH {trend}, x AS (SELECT domain, keyword, current_position, current_position - avg_7d AS week, current_position - avg_30d AS month, deviation FROM a),
 y AS (SELECT domain, keyword, current_position, round(week, 6) AS week, round(month, 6) AS month, {S.ranking_class('week', 'month', 'deviation')} AS class FROM x)
-SELECT * FROM y WHERE class = 'RISING' AND week < -3 ORDER BY week, keyword, domain LIMIT 50"""
+SELECT * FROM y WHERE class = 'RISING' AND week < -3 ORDER BY week, keyword, domain LIMIT 50"""  # the view's own limit
 
 
 @query("changed_pages", "E10 H34")

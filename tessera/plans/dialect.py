@@ -74,6 +74,13 @@ class Spark(Dialect):
     def each(self, x: str, value) -> str:
         return f"transform({x}, e -> {value('e')})"
 
+    def struct(self, **fields: str) -> str:
+        return f"named_struct({', '.join(f'{text(k)}, {v}' for k, v in fields.items())})"
+
+    def total(self, x: str) -> str:
+        """The sum of an array of whole numbers."""
+        return f"aggregate({x}, CAST(0 AS bigint), (s, e) -> s + e)"
+
     def size(self, x: str) -> str:
         return f"size({x})"
 
@@ -169,6 +176,12 @@ class Ansi(Dialect):
     def each(self, x: str, value) -> str:
         return f"list_transform({x}, lambda e: {value('e')})"
 
+    def struct(self, **fields: str) -> str:
+        return f"struct_pack({', '.join(f'{k} := {v}' for k, v in fields.items())})"
+
+    def total(self, x: str) -> str:
+        return f"coalesce(CAST(list_sum({x}) AS BIGINT), 0)"
+
     def size(self, x: str) -> str:
         return f"CAST(len({x}) AS INTEGER)"
 

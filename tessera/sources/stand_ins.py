@@ -80,6 +80,13 @@ def rankings(d: Dialect) -> str:
     return "SELECT user_id AS keyword, event_type AS domain, CAST(floor(value) AS bigint) % 100 + 1 AS position, ts AS seen_at, event_id AS seq FROM events"
 
 
+def drifting_rankings(d: Dialect) -> str:
+    """The same with positions that move slowly: some keywords rise in the last week, some fall, others stay."""
+    day = f"({d.day('ts')} % 100)"
+    late = f"CASE WHEN {day} > 20 THEN {day} - 20 ELSE 0 END"
+    return f"SELECT user_id % 20 AS keyword, event_type AS domain, CAST(40 + user_id % 20 + CASE user_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END * ({late}) AS bigint) AS position, ts AS seen_at, event_id AS seq FROM events"
+
+
 def keywords(d: Dialect) -> str:
     """Search phrases with a page of results: id, keyword, counts and flags."""
     return """SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN 'buy ' || lower(p_name) WHEN 1 THEN 'how to use ' || lower(p_name) WHEN 2 THEN 'best ' || lower(p_type) WHEN 3 THEN lower(p_name) || ' near me'

@@ -7,16 +7,17 @@ dropped; within a micro-batch a key's events are taken in the order of time and
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.registry import frame
+from ..sources.scratch import shared_path
 
 LATENESS = "1 day"
 
@@ -90,21 +91,15 @@ def token_buckets(requests: DataFrame, size: float = 10.0, per_minute: float = 1
 
 
 def frontiers(found: DataFrame) -> DataFrame:
-    """domain, url, s to the URLs new to their domain, in order: a resumable crawl's queue."""
+    """domain, url, s to the URLs not seen before, with when they were found first: a resumable crawl's queue. Each URL has a state of its own, of one flag."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = list(state.get[0]) if state.exists else []
-        known, out = set(seen), []
-        rows = pd.concat(list(batches)).sort_values(["s", "url"])
-        for url in rows["url"]:
-            if url not in known:
-                known.add(url)
-                seen.append(url)
-                out.append((key[0], url, len(seen)))
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["domain", "url", "place"])
+        first = min(int(x) for b in batches for x in b["s"])
+        if not state.exists:
+            state.update((True,))
+            yield pd.DataFrame([(key[0], key[1], first)], columns=["domain", "url", "s"])
 
-    return found.groupBy("domain").applyInPandasWithState(run, "domain string, url string, place long", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    return found.groupBy("domain", "url").applyInPandasWithState(run, "domain string, url string, s long", "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, length: str = "1 hour") -> DataFrame:
@@ -119,17 +114,31 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it wrote, as a table in the shared folder."""
-    spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    local = None if base else tempfile.mkdtemp(prefix="tessera-stream-")
-    root = f"{(base or local).rstrip('/')}/stream-{name}-{spark.sparkContext.applicationId}-{id(stream)}"
-    if local:
-        shutil.rmtree(root, ignore_errors=True)
-    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
+def _root(spark: SparkSession, name: str) -> str:
+    return shared_path(spark, f"stream-{name}")
+
+
+def drain(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there and return what it appended, as a table in the shared folder."""
+    root = _root(stream.sparkSession, name)
+    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The same for a stream that updates its rows, open windows too: each key's last row. A batch that runs again writes over itself."""
+    root = _root(stream.sparkSession, name)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{root}/out/{batch}")
+
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    rows = stream.sparkSession.read.schema(schema).parquet(f"{root}/out/*")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("x")).select(*keys, "x.*")
 
 
 def _alerts_sql(d) -> str:
@@ -148,8 +157,9 @@ def stream_alerts(spark, sf_dir):
 
 @frame("stream_quarantine", "P8 P9")
 def stream_quarantine(spark, sf_dir):
-    errors = event_stream(spark, sf_dir).where("event_type = 'error'").select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("s"))
-    return drain(quarantines(errors), "quarantine")
+    """Five errors of a tenth of the users within six hours hold it for a day."""
+    errors = event_stream(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 10).alias("key"), F.unix_timestamp("ts").alias("s"))
+    return drain(quarantines(errors, 5, 6 * 3600, 24 * 3600), "quarantine")
 
 
 @frame("stream_rate_limit", "P10 P11")
@@ -158,13 +168,25 @@ def stream_rate_limit(spark, sf_dir):
     return drain(token_buckets(requests, 2.0, 0.01), "rate")
 
 
-@frame("stream_frontier", "P6")
+def _frontier_sql(d) -> str:
+    return f"""WITH f AS (SELECT 'd' || CAST(user_id % 20 AS string) AS domain, '/p' || CAST(CAST(floor(value) AS bigint) AS string) AS url, {d.epoch('ts')} AS s FROM events), u AS (SELECT domain, url, min(s) AS s FROM f GROUP BY domain, url)
+SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY s, url) AS place FROM u"""
+
+
+@frame("stream_frontier", "P6", _frontier_sql)
 def stream_frontier(spark, sf_dir):
+    """New URLs as they come, and their place in their domain's queue."""
     found = event_stream(spark, sf_dir).select(F.concat(F.lit("d"), (F.col("user_id") % 20).cast("string")).alias("domain"), F.concat(F.lit("/p"), F.floor("value").cast("string")).alias("url"), F.unix_timestamp("ts").alias("s"))
-    return drain(frontiers(found), "frontier")
+    rows = drain(frontiers(found), "frontier")
+    return rows.select("domain", "url", F.row_number().over(W.partitionBy("domain").orderBy("s", "url")).alias("place"))
+
+
+def _windows_sql(d) -> str:
+    return f"SELECT {d.epoch('ts')} - {d.epoch('ts')} % 3600 AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2"
 
 
-@frame("stream_windows", "P4 P12")
+@frame("stream_windows", "P4 P12", _windows_sql)
 def stream_windows(spark, sf_dir):
-    """Closed windows only: those that the watermark has passed."""
-    return drain(event_windows(event_stream(spark, sf_dir)), "windows").select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    """Counts and sums of every hour, closed by the watermark or still open."""
+    rows = event_windows(event_stream(spark, sf_dir)).select(F.unix_timestamp("window.start").alias("start"), "event_type", "n", "total")
+    return drain_updates(rows, "windows", ["start", "event_type"])
