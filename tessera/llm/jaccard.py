@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, text_buffers, told
+from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, temporary, text_buffers, told
 from .components import components
 from .shingles import shingle_sets
 
@@ -386,33 +386,35 @@ def neighbour_links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows of docs (doc_id, text), and links (a, b) enough to connect every class."""
     bounded_batches(docs.sparkSession)
-    sig = materialize(signatures(docs, width), "signatures")
-    named = sig.where("n > 0 and doc_id is not null")
-    first = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
-    able = named.where(100 * F.col("shared") >= percent * F.col("n"))
-    reps = able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id")).join(first, ["fp1", "fp2"]).where("doc_id = first")
-    equal = join_groups(named, materialize(first.where("c > 1"), "equal"), ["fp1", "fp2"], "c").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-
-    # few wanted texts are told to the readers of docs; with more of them, docs are shuffled
-    wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
-    found = docs.select("doc_id", "text").join(told(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "fp1", "fp2")
-    sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary"), "sets")
-    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows; else nothing is shuffled
-        sets = materialize(sets.dropDuplicates(["doc_id", "fp1", "fp2"]), "sets-once")
-
-    # neighbourhoods: the shingles, rarest first, of which a linked text must share one
-    rows = sets.select("doc_id", "tokens").mapInArrow(_explode, "doc_id long, token long")
-    freq = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    by_text = W.partitionBy("doc_id")
-    shared = rows.join(freq, "token").select("doc_id", "token", F.count("*").over(by_text).alias("m"), F.row_number().over(by_text.orderBy("df", "token")).alias("place"))
-    sizes = sets.select("doc_id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("prefix"))
-    ties = shared.join(sizes, "doc_id").where(F.col("n") - F.col("m") + F.col("place") <= F.col("prefix"))
-    least = materialize(ties.select("doc_id", "token"), "ties")
-    lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
-    near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()
-    around = components(near, "neighbourhoods")
-    texts = sets.select("doc_id", "n").join(around, sets["doc_id"] == around["node"]).select("doc_id", "n", F.col("component").alias("hood"))
-    return sig, neighbour_links(materialize(texts, "texts"), sets, percent).union(equal)
+    with temporary(docs.sparkSession):
+        sig = materialize(signatures(docs, width), "signatures", outer=True)
+        named = sig.where("n > 0 and doc_id is not null")
+        first = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("first"), F.count("*").alias("c"))
+        able = named.where(100 * F.col("shared") >= percent * F.col("n"))
+        reps = able.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("doc_id")).join(first, ["fp1", "fp2"]).where("doc_id = first")
+        equal = join_groups(named, materialize(first.where("c > 1"), "equal"), ["fp1", "fp2"], "c").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+
+        # few wanted texts are told to the readers of docs; with more of them, docs are shuffled
+        wanted = materialize(reps.select("doc_id", "fp1", "fp2"), "wanted")
+        found = docs.select("doc_id", "text").join(told(wanted, BROADCAST_ROWS), "doc_id").select("doc_id", "text", "fp1", "fp2")
+        sets = materialize(found.mapInArrow(_token_rows(width), "doc_id long, n long, fp1 long, fp2 long, tokens binary"), "sets")
+        if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows; else nothing is shuffled
+            sets = materialize(sets.dropDuplicates(["doc_id", "fp1", "fp2"]), "sets-once")
+
+        # neighbourhoods: the shingles, rarest first, of which a linked text must share one
+        rows = sets.select("doc_id", "tokens").mapInArrow(_explode, "doc_id long, token long")
+        freq = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        by_text = W.partitionBy("doc_id")
+        shared = rows.join(freq, "token").select("doc_id", "token", F.count("*").over(by_text).alias("m"), F.row_number().over(by_text.orderBy("df", "token")).alias("place"))
+        sizes = sets.select("doc_id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("prefix"))
+        ties = shared.join(sizes, "doc_id").where(F.col("n") - F.col("m") + F.col("place") <= F.col("prefix"))
+        least = materialize(ties.select("doc_id", "token"), "ties")
+        lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
+        near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()
+        around = components(near, "neighbourhoods")
+        texts = sets.select("doc_id", "n").join(around, sets["doc_id"] == around["node"]).select("doc_id", "n", F.col("component").alias("hood"))
+        found = materialize(neighbour_links(materialize(texts, "texts"), sets, percent).union(equal), "links", outer=True)
+    return sig, found
 
 
 def jaccard_classes(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
