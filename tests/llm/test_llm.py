@@ -811,6 +811,59 @@ def test_quality_keeps_every_ngram(spark):
     assert abs(got[1] - 256) < 1e-3 and abs(got[5] - 256) < 1e-3 and got[3] is None and got[4] is None
 
 
+# --- every operator on long texts, repeated rows, nulls, empty tables and clashing columns
+
+LONG = ["word " * 60_000, "x" * 300_000, "".join(chr(97 + i * i % 26) + (" " if i % 7 == 0 else "") for i in range(200_000)), "1 2 " * 50_000]
+OWN_NAMES = ("n", "key", "bucket", "label", "first", "found", "row", "at", "others", "slice", "half", "lang_pred", "ids", "host")
+
+
+def on_rows(name, df):
+    """An operator's result with the id of each row."""
+    model_free = {
+        "packing": lambda: packing.pack(df, WORD_FILE, 2).groupBy("doc_id").agg(F.countDistinct("doc_tokens").alias("kinds"), F.sum("length").alias("tokens")),
+        "language": lambda: langid.identify(df, langid.train(df)).select("doc_id", "lang_pred", "score"),
+        "pii": lambda: pii.digest(df),
+        "exact": lambda: exact_dedup.exact_dedup(df).drop("kept"),
+        "quality": lambda: quality.classify(df, df.select("doc_id", F.lit(1).alias("quality"))),
+        "jaccard": lambda: jaccard.jaccard_classes(df),
+        "repeats": lambda: substrings.remove_repeats(df),
+        "bpe": lambda: bpe.round_trip_digest(df.select("doc_id", "text"), "text", RANKS, public_tokenizers.PATTERN).drop("text"),
+    }
+    return model_free[name]()
+
+
+@pytest.mark.parametrize("name", ["packing", "language", "pii", "exact", "quality", "jaccard", "repeats", "bpe"])
+def test_long_texts_and_repeated_rows(spark, name):
+    """Rows that are repeated get equal results, whole long texts go through, and columns of any name or null values are no hindrance."""
+    texts = [*LONG, "a short text of some words", "", None]
+    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[4], rows[4], (None, "a text without an id", None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(None).cast("string") for c in OWN_NAMES}).repartition(3)
+    got = on_rows(name, df)
+    assert on_rows(name, df.limit(0)).columns == got.columns
+    by_id = collections.defaultdict(set)
+    counts = collections.Counter()
+    for r in got.collect():
+        by_id[r["doc_id"]].add(tuple(r))
+        counts[r["doc_id"]] += 1
+    assert set(by_id) == {*range(len(texts)), None}
+    assert all(len(by_id[i]) == 1 for i in range(len(texts)))
+    if name == "packing":
+        assert all(k == 1 for i, (x,) in ((i, by_id[i]) for i in range(len(texts))) for k in [x[1]])
+        return
+    assert counts[4] == 3 and counts[0] == 2 and counts[None] == 2
+    first = lambda i: next(iter(by_id[i]))
+    if name == "bpe":
+        assert first(1)[3] == hashlib.sha256(LONG[1].encode()).hexdigest()
+    if name == "repeats":
+        assert [first(i)[1] for i in range(4)] == [len(t) for t in LONG]
+    if name == "exact":
+        assert first(1)[3] == hashlib.sha256(LONG[1].encode()).hexdigest() and first(5)[2] == 3
+    if name == "jaccard":
+        words = [t.split() for t in LONG]
+        assert [first(i)[1] for i in range(4)] == [len({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))}) for w in words]
+
+
 # --- pipeline
 
 
@@ -847,6 +900,39 @@ def test_redaction_is_by_row(spark):
     assert got == [(i, t, len(t)) for i, ts in zip((0, 7, 8), clean) for t in ts]
 
 
+def test_pipeline_whole_result_against_brute_force(spark, tmp_path):
+    """Every stage of run() by plain Python on a small table: which rows stay, their redacted texts and their tokens."""
+    import corpus_pipeline as P
+
+    rng = random.Random(41)
+    own = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2500").limit(50).collect()]
+    texts = [*own, *[t for t in passages(5, 30)], None, "", "12 34", *[own[i] for i in (3, 4)], *[own[i].replace(" ", "  ") for i in (5, 6)]]
+    for i in (7, 8, 9):
+        w = own[i].split(" ")
+        w[len(w) // 2] = "changed"
+        texts.append(" ".join(w))
+    texts += [f"mail u{i}@example.org or +1 (212) 555-01{i:02d} or 10.0.0.{i} about {rng.random()}" for i in range(6)]
+    docs = spark.createDataFrame([(i, t, ("en", "de", None)[i % 3], "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [i for i, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+    groups = collections.defaultdict(list)
+    for i in kept:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", texts[i])].append(i)
+    kept = sorted(min(g, key=lambda i: (-len(texts[i]), i)) for g in groups.values())
+    classes = brute_classes([texts[i] for i in kept], 5, 80)
+    kept = [i for n, i in enumerate(kept) if classes[n][1] == n]
+
+    def redact(t):
+        out, at = "", 0
+        for a, b, kind in sorted((a, b, pii.KINDS.index(k)) for k, a, b in brute_spans(t)):
+            out += t[at : max(at, a)] + (f"[{pii.KINDS[kind]}]" if a >= at else "")
+            at = max(at, b)
+        return out + t[at:]
+
+    sequences = check_packed(P.run(spark, str(tmp_path)).collect(), {i: redact(texts[i]) for i in kept})
+    assert len(kept) < len(texts) - 8 and sequences
+
+
 CLASHES = ("found", "kept_id", "gone", "row", "others", "at", "key", "lang_pred", "score", "n", "component", "bytes")
 
 
