@@ -61,9 +61,9 @@ SELECT a.query_id, a.domain, a.position AS current_position, b.position AS previ
 FROM q a LEFT JOIN q b ON a.query_id = b.query_id AND a.domain = b.domain AND b.rn = 2 WHERE a.rn = 1"""
 
 
-@query("scrape_priorities", "C8 F9 I2")
+@query("scrape_priorities", "F9 I2")
 def scrape_priorities(d):
-    """Companies by the days since a query that names them was captured; the join key is a containment, so the small side is one row for each name."""
+    """Companies by the days since they were updated last, in bands of priority."""
     days = f"{d.idiv(f'{d.epoch(AS_OF)} - {d.epoch('last_updated')}', '86400')}"
     band = f"CASE WHEN last_updated IS NULL THEN 'never' WHEN {days} < 14 THEN 'skip' WHEN {days} > 60 THEN 'high' WHEN {days} > 30 THEN 'medium' ELSE 'low' END"
     return f"""WITH c AS ({T.companies(d)}) SELECT {band} AS priority, count(*) AS companies, min({days}) AS least_days, max({days}) AS most_days FROM c GROUP BY {band}"""
