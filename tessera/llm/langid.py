@@ -227,7 +227,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], tex
         import pyarrow as pa
 
         names, table, scripts = shared.value
-        for batch in split_batches(batches, 4_000_000, text):
+        for batch in split_batches(batches, 2_000_000, text):
             data, off = text_buffers(batch.column(batch.schema.get_field_index(text)))
             n = batch.num_rows
             pred, score = np.full(n, -1), np.zeros(n)

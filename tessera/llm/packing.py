@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Pieces that wait in a task before windows are filled down to half of them.
 WAITING = 20_000
 #: Chunks whose ids a worker remembers, about 60 bytes each, and bytes of chunks.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32_000_000
+REMEMBERED, REMEMBERED_BYTES = 400_000, 8_000_000
 _LETTER_CLASS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"  # letters that stay one letter under the vocabulary's normalisation
 _MARK_CLASS = r"!-&(-/:-@\[-`{-~"  # ASCII marks but the apostrophe
 _SIMPLE = re.compile(f"[{_LETTER_CLASS}]+[{_MARK_CLASS}]*")
