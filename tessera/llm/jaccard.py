@@ -71,6 +71,19 @@ def _unplanes(raw: bytes, width: int) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _squeezed(raw: bytes) -> bytes:
+    """raw in few bytes, its length first: the shuffle's own compression finds repeats only, not numbers that are small."""
+    import pyarrow as pa
+
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _spread(raw: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True)
+
+
 def _fingerprints(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit sums of each set, one over each of its shingles' digests."""
     out = []
@@ -116,8 +129,8 @@ def _pack(width: int, n_buckets: int):
                 if len(t):
                     kinds.append(1)
                     buckets.append(k)
-                    a.append(_planes(t, BOUND_BYTES))
-                    b.append(_planes(o.astype(np.uint64), 2))
+                    a.append(_squeezed(_planes(np.diff(t, prepend=np.uint64(0)), BOUND_BYTES)))  # in order: steps are small
+                    b.append(_squeezed(_planes(o.astype(np.uint64), 2)))
             held = []
             columns = [pa.array(buckets, pa.int32()), pa.array([chunk] * len(kinds), pa.int64()), pa.array(kinds, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "kind", "a", "b"])
@@ -148,8 +161,8 @@ def _owner(key, table):
     out = [(int(chunks[i]), 0, a[i], b[i]) for i in np.flatnonzero(kinds == 0)]
     rows = np.flatnonzero(kinds == 1)
     if len(rows):
-        parts = [_unplanes(a[i], BOUND_BYTES) for i in rows]
-        owners = np.concatenate([_unplanes(b[i], 2) for i in rows])
+        parts = [np.cumsum(_unplanes(_spread(a[i]), BOUND_BYTES), dtype=np.uint64) for i in rows]
+        owners = np.concatenate([_unplanes(_spread(b[i]), 2) for i in rows])
         sizes = np.array([len(p) for p in parts])
         tokens = np.concatenate(parts)
         order = np.argsort(tokens, kind="stable")
