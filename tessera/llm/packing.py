@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, split_batches, text_buffers
+from .common import bounded_batches, give_back, split_batches, text_buffers
 from .shingles import digests, eights, same_bytes, word_places
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -235,5 +235,8 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096,
                 yield made()
         packer.fill(0)
         yield made()
+        _ENCODERS.clear()  # a reused worker would hold on to it in stages that need no tokenizer
+        del coder
+        give_back()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
