@@ -40,8 +40,8 @@ SHARDS = 64
 BLOCK_BYTES, BLOCK_ROWS = 4_000_000, 50_000
 #: In place of a shard's number and a level: a block's texts, and a question.
 TEXTS, QUESTION = 2 * SHARDS, ORDER + 1
-#: Answers are logarithms as whole numbers of five bytes, in parts of this.
-FIXED = 2.0**33
+#: Answers are logarithms as whole numbers of four bytes, in parts of this.
+FIXED = 2.0**26
 QUANTILE, SLACK = 0.995, 1.5
 MIN_TRUSTED = 50
 #: Ids of trusted texts that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -235,7 +235,7 @@ def _asked(data: np.ndarray, off: np.ndarray, halves: np.ndarray) -> tuple[np.nd
 
 
 def _blocks(half: str, text: str):
-    """Rows packed in blocks, and what each block asks of each shard."""
+    """Rows packed in blocks: their texts, and their other columns with the texts' lengths last."""
 
     def run(batches):
         import pyarrow as pa
@@ -243,21 +243,12 @@ def _blocks(half: str, text: str):
         def pack(held):
             batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             data, off = text_buffers(batch.column(batch.num_columns - 1))
-            _, distinct, order, cut = _asked(data, off, batch.column(batch.schema.get_field_index(half)).to_numpy().astype(np.int64))
-            some = [k for k in range(TEXTS) if cut[k] < cut[k + 1]]
             rest = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(off))], names=batch.schema.names)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(rest)
-            none = [None] * len(some)
-            columns = [
-                pa.array([uuid.uuid4().int >> 65] * (len(some) + 1), pa.int64()),
-                pa.array([*some, TEXTS], pa.int32()),
-                pa.array([*[_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some], None], pa.binary()),
-                pa.array([*none, bz2.compress(_FOLD[data].tobytes())], pa.binary()),
-                pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "shard", "keys", "texts", "rest"])
+            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([bz2.compress(_FOLD[data].tobytes())], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "texts", "rest"])
 
         held, size, rows = [], 0, 0
         for batch in split_batches(batches, BLOCK_BYTES, text):
@@ -273,6 +264,33 @@ def _blocks(half: str, text: str):
     return run
 
 
+def _opened(texts: bytes, rest: bytes, half: str):
+    """A block's other columns, lengths and offsets of its texts, and what it asks (see _asked)."""
+    import pyarrow as pa
+
+    rows = pa.ipc.open_stream(rest).read_next_batch()
+    n = rows.column(rows.num_columns - 1).to_numpy()
+    off = np.concatenate([[0], np.cumsum(n)])
+    halves = rows.column(rows.schema.get_field_index(half)).to_numpy().astype(np.int64)
+    return rows, n, off, _asked(np.frombuffer(bz2.decompress(texts), np.uint8), off, halves)
+
+
+def _questions(half: str):
+    """What each block asks of each shard."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, texts, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, _, _, (_, distinct, order, cut) = _opened(texts, rest, half)
+                some = [k for k in range(TEXTS) if cut[k] < cut[k + 1]]
+                keys = [_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(keys, pa.binary())], names=["block", "shard", "keys"])
+
+    return run
+
+
 def _answers(bigrams):
     """Of each shard the probabilities come first; then its questions, whose logarithms are returned."""
 
@@ -291,7 +309,7 @@ def _answers(bigrams):
                 model = model or Model(bigrams.value[shard // SHARDS], held)
                 held = []
                 logs = np.maximum(-model.log_prob(_unplanes(row[0], ORDER)), 0) * FIXED
-                out.append((block, shard, _planes(np.rint(logs).astype(np.uint64), 5)))
+                out.append((block, shard, np.rint(np.minimum(logs, 2.0**32 - 1)).astype("<u4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "shard", "answer"])
 
@@ -310,13 +328,9 @@ def _scores(names: list[str], half: str):
                 if block.as_py() != now:
                     now, answers = block.as_py(), []
                 if shard.as_py() < TEXTS:
-                    answers.append(_unplanes(answer.as_py(), 5) / -FIXED)
+                    answers.append(np.frombuffer(answer.as_py(), "<u4") / -FIXED)
                     continue
-                rows = pa.ipc.open_stream(rest.as_py()).read_next_batch()
-                n = rows.column(rows.num_columns - 1).to_numpy()
-                off = np.concatenate([[0], np.cumsum(n)])
-                halves = rows.column(rows.schema.get_field_index(half)).to_numpy().astype(np.int64)
-                grams, distinct, order, _ = _asked(np.frombuffer(bz2.decompress(texts.as_py()), np.uint8), off, halves)
+                rows, n, off, (grams, distinct, order, _) = _opened(texts.as_py(), rest.as_py(), half)
                 found = np.concatenate([np.zeros(0), *answers])
                 if len(found) != len(distinct):
                     raise RuntimeError(f"block {now}: {len(found)} answers to {len(distinct)} questions")
@@ -337,14 +351,14 @@ def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half:
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     fields = [f for f in df.schema.fields if f.name != text]
-    packed = df.select(*[f.name for f in fields], text).mapInArrow(_blocks(half, text), "block long, shard int, keys binary, texts binary, rest binary")
+    packed = df.select(*[f.name for f in fields], text).mapInArrow(_blocks(half, text), "block long, texts binary, rest binary")
     packed = materialize(packed, "blocks")
-    met = packed.where(F.col("shard") < TEXTS).select("shard", F.lit(QUESTION).alias("level"), "block", "keys")
+    met = packed.mapInArrow(_questions(half), "block long, shard int, keys binary").withColumn("level", F.lit(QUESTION))
     for k, (_, rows) in enumerate(models):
         met = met.unionByName(rows.withColumn("shard", F.col("shard") + k * SHARDS), allowMissingColumns=True)
     met = met.select("shard", "level", "block", "keys", "prob", "heads", "weight").repartition(parts, "shard").sortWithinPartitions("shard", "level")
     answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models])), "block long, shard int, answer binary")
-    both = answers.unionByName(packed.where(F.col("shard") == TEXTS).drop("keys"), allowMissingColumns=True)
+    both = answers.unionByName(packed.withColumn("shard", F.lit(TEXTS)), allowMissingColumns=True)
     both = both.repartition(parts, "block").sortWithinPartitions("block", "shard")
     return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
 
