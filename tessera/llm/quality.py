@@ -37,7 +37,7 @@ from .jaccard import _planes, _unplanes
 ORDER = 5
 SHARDS = 64
 #: A block's bytes of text and rows at most (one text at least).
-BLOCK_BYTES, BLOCK_ROWS = 4_000_000, 50_000
+BLOCK_BYTES, BLOCK_ROWS = 6_000_000, 50_000
 #: In place of a shard's number and a level: a block's texts, and a question.
 TEXTS, QUESTION = 2 * SHARDS, ORDER + 1
 #: Answers are logarithms as whole numbers of four bytes, in parts of this.
