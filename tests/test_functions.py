@@ -94,4 +94,4 @@ def test_syllables(spark, duck):
     from tessera.operators.analytics import syllables
 
     for word, n in (("cake", 1), ("table", 2), ("wanted", 2), ("jumped", 1), ("boxes", 2), ("family", 3), ("a", 1)):
-        assert both(spark, duck, lambda d, w=word: syllables(d, f"'{w}'")) == n
+        assert both(spark, duck, lambda d, w=word: syllables(d, f"'{w}'", d.count(f"'{w}'", "[aeiouy]+"))) == n
