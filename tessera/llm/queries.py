@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
+from .automata import remove_repeats as remove_repeated_words
 from .bpe import round_trip_digest
 from .common import table
 from .exact_dedup import exact_dedup
@@ -14,6 +18,7 @@ from .langid import held_out, identify, train
 from .packing import pack
 from .pii import digest
 from .quality import classify
+from .spelling import variants, word_counts
 from .substrings import remove_repeats
 from .topk import top_k
 from .url_filter import filter_urls
@@ -66,8 +71,34 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(docs, "text", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("text")
 
 
+def op11_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_words(table(spark, sf_dir, "documents"), length=20).drop("spans")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def misspelt(doc_id, word: str) -> str:
+    """The word, without one of its characters in one of 199 cases, chosen by the document and the word."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+    at = h % len(word)
+    return word if h % 199 else word[:at] + word[at + 1 :]
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_counts(table(spark, sf_dir, "documents"), "[a-z\u00c0-\u00ff]+", misspelt, min_chars=6, least=5)
+    return variants(words, factor=5, min_chars=6)
+
+
+QUERIES = (
+    op1_url_filter, op2_packing, op3_language, op4_topk, op5_pii, op6_exact_dedup, op7_quality, op8_jaccard, op9_repeats, op10_bpe, op11_automata, op12_alignment, op13_spelling,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_packing, op3_language, op4_topk, op5_pii, op6_exact_dedup, op7_quality, op8_jaccard, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP1_SQL = r"""
