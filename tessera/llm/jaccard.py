@@ -19,7 +19,8 @@ The result gives each document its class, the smallest id reachable by links.
    classes, then the pairs of blocks that still hold different classes.
 5. The links' connected components, found by joins, are the classes.
 
-Shingles are kept as two independent 64-bit digests, and are equal when both are. The first alone may only lead to more
+A word is known by its BLAKE2b digest of 128 bits, a shingle by two 64-bit chains over its words' digests, a set by the
+BLAKE2b digest of its shingles. Shingles are equal when both their chains are; the first alone may only lead to more
 texts being compared. Comparisons are of whole sets; nothing is capped or sampled.
 
 Hot shingles: a task sends each distinct shingle once, however many of its texts hold it.
@@ -33,14 +34,16 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, temporary, text_buffers, told
+from .common import bounded_batches, join_groups, materialize, shuffle_partitions, split_batches, temporary, text_buffers, told
 from .components import components
-from .shingles import shingle_sets
+from .shingles import WordDigests, shingle_sets
 
 #: Bytes of a shingle's hash that the first bound compares; equal bytes of unequal shingles only let more texts go on.
 BOUND_BYTES = 5
@@ -85,12 +88,10 @@ def _spread(raw: bytes) -> bytes:
 
 
 def _fingerprints(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums of each set, one over each of its shingles' digests."""
-    out = []
-    for digest in (one, two):
-        total = np.r_[np.uint64(0), np.cumsum(mix64(digest), dtype=np.uint64)]
-        out.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-    return out[0], out[1]
+    """The BLAKE2b digest of each set's shingles in their order, as two numbers."""
+    raw = b"".join(blake2b(one[i:j].tobytes() + two[i:j].tobytes(), digest_size=16).digest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    cells = np.frombuffer(raw, "<i8").reshape(-1, 2)
+    return cells[:, 0], cells[:, 1]
 
 
 def _pack(width: int, n_buckets: int):
@@ -102,6 +103,7 @@ def _pack(width: int, n_buckets: int):
 
         base, seq = TaskContext.get().partitionId() << 24, 0
         held: list = []
+        words = WordDigests()
 
         def flush():
             nonlocal seq, held
@@ -138,7 +140,7 @@ def _pack(width: int, n_buckets: int):
         n_tokens = n_docs = 0
         for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
-            tokens, more, at = shingle_sets(data, off, width)
+            tokens, more, at = shingle_sets(data, off, width, words)
             ids = batch.column(0)
             held.append((ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), np.diff(at), *_fingerprints(tokens, more, at), tokens))
             n_tokens, n_docs = n_tokens + len(tokens), n_docs + batch.num_rows
@@ -302,9 +304,10 @@ def _token_rows(width: int):
     def run(batches):
         import pyarrow as pa
 
+        words = WordDigests()
         for batch in split_batches(batches, 1_000_000):
             data, off = text_buffers(batch.column(1))
-            tokens, more, at = shingle_sets(data, off, width)
+            tokens, more, at = shingle_sets(data, off, width, words)
             fp1, fp2 = _fingerprints(tokens, more, at)
             want1, want2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             same = (fp1 == want1) & (fp2 == want2)

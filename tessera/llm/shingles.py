@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 from .common import mix64
@@ -37,7 +39,7 @@ def digests(word: np.ndarray, starts: np.ndarray, sizes: np.ndarray, salts: tupl
     """A 64-bit digest of each stretch of bytes for each salt; word: see eights.
 
     Each eight-byte block goes with its number through a bijection that is not linear before the blocks are
-    added up, so words built against polynomial hashes are told apart like any others.
+    added up. Built stretches can still agree, so whoever takes equal digests for equal bytes compares the bytes.
     """
     first = word[starts] & _LOW[np.minimum(sizes, 8)]
     of, nth, at, left = _later(starts, sizes)
@@ -80,20 +82,43 @@ def word_places(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, off)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class WordDigests(dict):
+    """The place of each word's BLAKE2b digest of 128 bits in two lists of 64: built words can't share one."""
+
+    def __init__(self, most: int = 300_000):
+        super().__init__()
+        self.most, self.raw = most, bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.raw += blake2b(word, digest_size=16).digest()
+        return at
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > self.most:
+            self.clear()
+            self.raw = bytearray()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        cells = np.frombuffer(bytes(self.raw), "<u8").reshape(-1, 2)[at]
+        return cells[:, 0].copy(), cells[:, 1].copy()
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, width: int, known: WordDigests | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, in the order of their first digest, laid end to end: both digests, and where each text's begin (len + 1).
 
-    A text of fewer words than the width has its whole sequence as one shingle; one without words has none.
+    A text of fewer words than the width has its whole sequence as one shingle; one without words has none. The digests of a
+    shingle's words are chained. known: remembers words from call to call.
     """
     starts, ends, at = word_places(data, off)
     n = len(starts)
-    by_word = digests(eights(LOWER[data]), starts, ends - starts, SALTS) if n else [np.zeros(0, np.uint64)] * 2
+    lowered = LOWER[data].tobytes()
+    by_word = (WordDigests() if known is None else known).of([lowered[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
     grams = []
-    for words in by_word:
-        total = np.zeros(n, np.uint64)
-        for j in range(min(width, n)):
-            total[: n - j] += mix64(words[j:] + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        grams.append(mix64(total))
+    for words, salt in zip(by_word, SALTS, strict=True):
+        chain = np.full(max(0, n - width + 1), salt, np.uint64)
+        for j in range(width if len(chain) else 0):
+            chain = mix64(chain ^ words[j : j + len(chain)])
+        grams.append(chain)
     one, two, sizes = [], [], np.zeros(len(off) - 1, np.int64)
     for i in range(len(off) - 1):
         lo, hi = at[i], at[i + 1]
@@ -106,9 +131,9 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
             two.append(grams[1][lo : hi - width + 1][order[new]])
             sizes[i] = len(new)
         elif hi > lo:
-            for words, out in zip(by_word, (one, two), strict=True):
-                whole = mix64(words[lo:hi] + np.arange(1, hi - lo + 1, dtype=np.uint64) * _STEP).sum(dtype=np.uint64)
-                out.append(mix64(np.array([whole + _U(hi - lo)], np.uint64)))
+            whole = blake2b(b" ".join(lowered[s:e] for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)), digest_size=16)
+            for value, out in zip(np.frombuffer(whole.digest(), "<u8"), (one, two), strict=True):
+                out.append(np.array([value], np.uint64))
             sizes[i] = 1
     none = np.zeros(0, np.uint64)
     return np.concatenate([none, *one]), np.concatenate([none, *two]), np.r_[0, np.cumsum(sizes)]

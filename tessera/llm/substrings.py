@@ -14,11 +14,11 @@ Strings are judged on the texts as they come; they may overlap and never cross t
    characters of eight bytes: parts that are equal in one character go on to the next.
    In each run of equal strings those of the smallest id stay, and the others are marked. Splitters are
    whole characters, so equal strings never lie on both sides of a boundary.
-4. Equal strings that meet in one task are sent once, with their smallest id. The suffixes of an anchor
+4. Equal stretches that meet in one task (their bytes are compared) are sent once, with their smallest id. The suffixes of an anchor
    that holds a large part of its bucket are partitioned one by one, by all their bytes, so no group lands in one task.
 5. The marked strings of a text are merged to spans, and the remaining bytes are digested.
 
-Texts that equal one with a smaller id (two 64-bit hashes) go entirely when they have `length` bytes;
+Texts that equal one with a smaller id (120 bits of SHA-256) go entirely when they have `length` bytes;
 they add no strings of their own.
 
 Defined results: null counts as empty. A text shorter than the length loses nothing. Rows of equal id
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches, text_buffers
 from .jaccard import _planes, _unplanes
-from .shingles import SALTS, digests, eights
+from .shingles import SALTS, digests, eights, same_bytes
 
 #: Bytes of an anchor (a sum of 16 and 8); must be less than the length of the strings.
 ANCHOR = 24
@@ -329,7 +329,10 @@ def _send_suffixes(length: int, n_buckets: int, cuts: np.ndarray):
             size = n + length - 1
             begin = np.cumsum(size) - size
             order = np.lexsort((ids[doc], second, digest))
-            new = np.r_[True, (digest[order][1:] != digest[order][:-1]) | (second[order][1:] != second[order][:-1])]
+            near = np.flatnonzero((digest[order][1:] == digest[order][:-1]) & (second[order][1:] == second[order][:-1]) & (size[order][1:] == size[order][:-1]))
+            word = eights(blob)
+            new = np.ones(len(order), bool)
+            new[near + 1] = ~same_bytes(word, begin[order[near]], word, begin[order[near + 1]], size[order[near]])
             lead = order[new]  # of equal stretches, one of the smallest id
             entry = np.empty(len(order), np.int64)
             entry[order] = np.cumsum(new) - 1
@@ -478,7 +481,8 @@ def repeated_spans(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text
     bounded_batches(df.sparkSession)
     n_buckets = BUCKETS_PER_PARTITION * shuffle_partitions(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("f1"), F.xxhash64(F.lit(length), body).alias("f2"))
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.sha2(body, 256).alias("sha"))
+    docs = docs.select("doc_id", "text", *[F.conv(F.substring("sha", at, 15), 16, 10).cast("long").alias(name) for name, at in (("f1", 1), ("f2", 16))])
     own = ["doc_id", "f1", "f2"]
     named = docs.where("doc_id is not null")
     sent = named.mapInArrow(_send_anchors(length, n_buckets), _PACKED)

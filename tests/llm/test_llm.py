@@ -581,6 +581,42 @@ def test_shingles_of_batches_and_single_texts():
         assert one.tolist() == flat[at[i] : at[i + 1]].tolist() and two.tolist() == more[at[i] : at[i + 1]].tolist()
 
 
+def _swapped(n: int) -> list[str]:
+    """Two printable texts whose blocks of eight bytes, each mixed with its number and added up, agree whatever the salt."""
+    from tessera.llm.common import mix64
+
+    place = lambda k: int(mix64(np.array([k * 0x9E3779B97F4A7C15 % 2**64], np.uint64))[0])
+    rng = random.Random(17)
+    for i, j in ((i, j) for i in range(1, n) for j in range(i + 1, n)):
+        d = (place(i) ^ place(j)).to_bytes(8, "little")
+        if not any(x & 128 for x in d):
+            pick = [[c for c in range(33, 127) if 33 <= c ^ x < 127 and not chr(c).isupper() and not chr(c ^ x).isupper()] for x in d]
+            if all(pick):
+                a, b = (bytes(rng.choice(p) for p in pick) for _ in range(2))
+                one = [bytes(rng.choice(b"abcdefgh") for _ in range(8)) for _ in range(j + 1)]
+                two = list(one)
+                flip = lambda x: bytes(p ^ q for p, q in zip(x, d, strict=True))
+                one[i], one[j], two[i], two[j] = a, b, flip(b), flip(a)
+                return [b"".join(x).decode() for x in (one, two)]
+    raise AssertionError("no such blocks")
+
+
+def test_built_words_have_sets_of_their_own(spark):
+    words = _swapped(400)
+    raw = [np.frombuffer(w.encode(), np.uint8) for w in words]
+    one, two = (shingles.digests(shingles.eights(r), np.zeros(1, np.int64), np.array([len(r)]), shingles.SALTS) for r in raw)
+    assert words[0] != words[1] and [x[0] for x in one] == [x[0] for x in two]  # the digests that bytes must back
+    rows = jaccard.jaccard_classes(frame(spark, words), width=4, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(0, 0), (1, 1)]
+
+
+def test_texts_of_equal_xxhash64_keep_their_bytes(spark):
+    pair = ["bushbkirlufjuyuvygfeveafobwnkusqaT?xT+}vqsrnihsikgsmhkthzkcbjqgp", "bushbki>lufjuyuvygfeveafobwnkusqaT?.Pk&Sqsrnihsikgsmhkthzkcbjqgp"]
+    hashes = [r[0] for r in frame(spark, pair).select(F.xxhash64("text")).collect()]
+    assert hashes[0] == hashes[1]
+    assert [r["n_removed"] for r in substrings.remove_repeats(frame(spark, pair), 50).collect()] == [0, 0]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 102), (102, 101), (7, 7), (200, 200)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
