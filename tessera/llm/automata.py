@@ -3,7 +3,7 @@
 A word goes when a window of `length` words covers it whose words also start earlier: in a text with a smaller id, or
 before it in the same text. Windows are judged on the texts as they come and never cross texts.
 
-1. Anchors. A window's anchor is its gram of five words with the smallest hash, so equal windows have equal anchors at equal places.
+1. Anchors. A window's anchor is its gram of eight words (fewer for short windows) with the smallest hash, so equal windows have equal anchors at equal places.
    Windows whose anchor occurs only once, or only in copies of one text, can't be repeated and go no further.
 2. Shards. The stretches of words around repeated anchors are the reference. They are dealt to shards by their
    anchor; the stretches of an anchor that would fill a large part of a shard are cut into single windows and dealt by
@@ -31,10 +31,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, join_groups, materialize, mix64, shuffle_partitions, split_batches
 from .substrings import _slide
 
-#: Words of an anchor.
-GRAM = 5
-#: Distinct words whose hashes a task remembers.
-REMEMBERED = 500_000
+#: Words of an anchor at most; long ones seldom come again by chance, so little but repeated text is looked at.
+GRAM = 8
 #: Stretches that a task merges before it sends them.
 CHUNK_STRETCHES = 100_000
 #: Stretches of a shard, about; an anchor with more than a quarter of them is dealt window by window.
@@ -42,43 +40,51 @@ SHARD_STRETCHES = 4096
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; equal words have equal ones, whatever the task."""
+def gram_of(length: int) -> int:
+    return max(2, min(GRAM, 2 * length // 5))
 
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
 
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
+def words_of(bodies: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of many texts, end to end, where each text's begin (len + 1), and a 32-bit hash of each word: equal words have equal ones, whatever the task."""
+    from zlib import crc32
 
+    words, at = [], [0]
+    for body in bodies:
+        words += body.split()
+        at.append(len(words))
+    return words, np.array(at), np.fromiter(map(crc32, words), np.uint64, len(words))
 
-def anchors(hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of neighbouring windows with the same anchor: the anchor (even, positive), the first window, the number of windows, and whether windows of the stretch may equal each other."""
-    none, width = np.zeros(0, np.int64), length - GRAM + 1
+
+def anchors(hashes: np.ndarray, at: np.ndarray, length: int, again: bool = False):
+    """Stretches of neighbouring windows of a text with the same anchor: the anchor (even, positive), the text, the first window, the number of windows.
+
+    again: and whether windows of the stretch may equal each other. Windows and texts begin at words (see words_of).
+    """
+    none, gram = np.zeros(0, np.int64), gram_of(length)
+    width = length - gram + 1
     if len(hashes) < length:
-        return none, none, none, none
+        return none, none, none, none, none
     h = hashes
-    for k in range(1, GRAM):
+    for k in range(1, gram):
         h = h[:-1] * _MUL + hashes[k:]
     low = (_slide(mix64(h), width, np.minimum) >> np.uint64(2)).astype(np.int64) << 1
-    again = np.zeros(len(h) + 1, np.int64)  # grams that come again so soon that one stretch can hold both
-    for d in range(1, width):
-        again[1 : len(h) - d + 1] |= h[d:] == h[:-d]
-    again = np.cumsum(again)
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+    doc = np.searchsorted(at, np.arange(len(low)), side="right") - 1
+    valid = np.arange(len(low)) + length <= at[doc + 1]
+    new = np.ones(len(low), bool)
+    new[1:] = (low[1:] != low[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
     n = np.diff(np.r_[first, len(low)])
-    if n.max() > width:  # a periodic text
+    first, n = first[valid[first]], n[valid[first]]
+    if len(n) and n.max() > width:  # a periodic text
         times = -(-n // width)
         of = np.repeat(np.arange(len(n)), times)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
         first, n = first[of] + nth * width, np.minimum(n[of] - nth * width, width)
-    return low[first], first, n, again[first + n + width - 1] > again[first]
-
-
-def _hashed(words: list[bytes], hashes: _Hashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    soon = np.zeros(len(h) + 1, np.int64)  # grams that come again so soon that one stretch can hold both
+    for d in range(1, width if again else 1):
+        soon[1 : len(h) - d + 1] |= h[d:] == h[:-d]
+    soon = np.cumsum(soon)
+    return low[first], doc[first], first, n, soon[first + n + width - 1] > soon[first]
 
 
 def _part(body: bytes) -> int:
@@ -98,18 +104,18 @@ def _send_anchors(length: int):
     def run(batches):
         import pyarrow as pa
 
-        hashes = _Hashes()
-        for batch in split_batches(batches):
-            out = [[np.zeros(0, np.int64)] for _ in range(4)]
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                body = (body or "").encode()
-                words = body.split()
-                if i is not None and len(words) >= length:
-                    anchor, _, _, again = anchors(_hashed(words, hashes), length)
-                    found, n = np.unique(np.r_[anchor, anchor[again]], return_counts=True)
-                    for column, value in zip(out, (found, np.full(len(found), i), np.full(len(found), _part(body)), n), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["anchor", "doc_id", "part", "n"])
+        for batch in split_batches(batches, 4_000_000):
+            bodies = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            parts = np.array([_part(b) for b in bodies], np.int64)
+            _, at, hashes = words_of(bodies)
+            anchor, doc, _, _, again = anchors(hashes, at, length, again=True)
+            weight = 1 + again.astype(np.int64)
+            order = np.lexsort((anchor, doc))
+            anchor, doc, weight = anchor[order], doc[order], weight[order]
+            lead = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])][: len(anchor)])
+            n = np.add.reduceat(weight, lead) if len(lead) else weight
+            ids = batch.column(0).to_numpy()[doc[lead]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor[lead], ids, parts[doc[lead]], n)], names=["anchor", "doc_id", "part", "n"])
 
     return run
 
@@ -123,7 +129,7 @@ def _send_stretches(length: int, shards: int):
     def run(batches):
         import pyarrow as pa
 
-        hashes, held = _Hashes(), []
+        held = []
 
         def merged():
             lead, rows = {}, []  # the place of the first stretch with these words
@@ -137,28 +143,26 @@ def _send_stretches(length: int, shards: int):
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["shard", "doc_id", "part", "first", "n", "words", "bits"])
 
-        for batch in split_batches(batches):
-            for i, body, marks, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not marks:
-                    continue
-                body = body.encode()
-                words, part = body.split(), _part(body)
-                if len(words) < length or part in (copies or ()):
-                    continue
-                anchor, first, n, _ = anchors(_hashed(words, hashes), length)
+        for batch in split_batches(batches, 4_000_000):
+            ids, texts, marks, copies = (c.to_pylist() for c in batch.columns)
+            rows = [(i, t.encode(), m, c or ()) for i, t, m, c in zip(ids, texts, marks, copies, strict=True) if m]
+            rows = [(i, t, _part(t), m) for i, t, m, c in rows if not c or _part(t) not in c]
+            words, at, hashes = words_of([t for _, t, _, _ in rows])
+            anchor, doc, first, n, _ = anchors(hashes, at, length)
+            bounds = np.searchsorted(doc, np.arange(len(rows) + 1))
+            for (i, _, part, marks), begin, lo, hi in zip(rows, at[:-1].tolist(), bounds[:-1], bounds[1:], strict=True):
                 marks = np.sort(np.array(marks, np.int64))
-                at = np.minimum(np.searchsorted(marks, anchor), len(marks) - 1)
-                hit = marks[at] >> 1 == anchor >> 1
-                hot = marks[at] & 1
-                for a, f, k, h in zip(anchor[hit].tolist(), first[hit].tolist(), n[hit].tolist(), hot[hit].tolist(), strict=True):
+                near = marks[np.minimum(np.searchsorted(marks, anchor[lo:hi]), len(marks) - 1)]
+                hit = np.flatnonzero(near >> 1 == anchor[lo:hi] >> 1)
+                for a, f, k, h in zip(anchor[lo:hi][hit].tolist(), first[lo:hi][hit].tolist(), n[lo:hi][hit].tolist(), (near[hit] & 1).tolist(), strict=True):
                     if h:
                         for j in range(f, f + k):
                             window = b" ".join(words[j : j + length])
-                            held.append((hashes_of(window) % shards, i, part, j, 1, window))
+                            held.append((hashes_of(window) % shards, i, part, j - begin, 1, window))
                     else:
-                        held.append(((a >> 1) % shards, i, part, f, k, b" ".join(words[f : f + k + length - 1])))
-                if len(held) > CHUNK_STRETCHES:
-                    yield merged()
+                        held.append(((a >> 1) % shards, i, part, f - begin, k, b" ".join(words[f : f + k + length - 1])))
+            if len(held) > CHUNK_STRETCHES:
+                yield merged()
         if held:
             yield merged()
 
@@ -238,9 +242,9 @@ def _judge(length: int):
 
         columns = [table.column(c).to_pylist() for c in ("doc_id", "part", "first", "n", "words", "bits")]
         doc_id, part, first, n, words, bits = columns
-        place = lambda r: (doc_id[r], part[r], first[r])
         # rows that are equal in id and text send equal stretches
-        order = sorted({(*place(r), words[r] is None): r for r in range(len(bits))}.values(), key=place)
+        places = {(i, p, f, w is None): r for r, (i, p, f, w) in enumerate(zip(doc_id, part, first, words, strict=True))}
+        order = [places[x] for x in sorted(places)]
         parts, several = {}, set()  # ids with several texts here
         for r in order:
             if words[r] is not None and parts.setdefault(doc_id[r], part[r]) != part[r]:
@@ -267,8 +271,8 @@ def _judge(length: int):
 
 def repeated_windows(df: DataFrame, length: int = 20, doc_id: str = "doc_id", text: str = "text", shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
     """doc_id, text, repeats of each row of df: repeats holds (part, first, bits): the text they belong to, a window, and which of it and those after it are repeated; first is -1 for a whole copy."""
-    if not GRAM < length <= GRAM + 25:
-        raise ValueError(f"length must lie between {GRAM + 1} and {GRAM + 25}")
+    if not 4 <= length <= GRAM + 25:
+        raise ValueError(f"length must lie between 4 and {GRAM + 25}")
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
