@@ -194,37 +194,6 @@ def page_sections(d):
     return f"WITH s AS (SELECT page_id, {d.unnest(parts)} AS part FROM pages) SELECT page_id, substr({X.squeeze(d, d.sub('part', '(?s)<[^>]*>', ' '))}, 1, 2000) AS content FROM s"
 
 
-@query("known_passages", "L21 R56")
-def known_passages(d):
-    """Known passages and the texts that hold them whole, white space aside."""
-    plain = lambda x: d.sub(x, r"\s+", " ")
-    # a text that holds a passage holds its first three words: these are the key of the join, the whole passage decides
-    words = lambda x: d.split(f"trim({plain(x)})", " ")
-    three = lambda x, i: " || ' ' || ".join(f"{x}[{i} + {k}]" for k in ((0, 1, 2) if d.name == "spark" else (1, 2, 3)))
-    grams = d.unnest(d.distinct(d.each(d.series("0", f"{d.size('w')} - 3", "1"), lambda e: three("w", e))))
-    return f"""WITH t AS (SELECT doc_id, trim({plain('text')}) AS text, {words('text')} AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT doc_id, {grams} AS gram FROM t WHERE {d.size('w')} >= 3),
-b AS (SELECT item_id, trim({plain('text')}) AS text, {words('text')} AS w FROM benchmark WHERE text IS NOT NULL), k AS (SELECT item_id, text, {three('w', '0')} AS gram FROM b WHERE {d.size('w')} >= 3)
-SELECT k.item_id, count(*) AS n, min(t.doc_id) AS first_doc FROM k JOIN g ON k.gram = g.gram JOIN t ON g.doc_id = t.doc_id WHERE contains(t.text, k.text) GROUP BY k.item_id"""
-
-
-@query("latest_captures", "C8")
-def latest_captures(d):
-    """For every company the latest capture of a search whose question names it: words of the questions are joined with the names."""
-    return f"""WITH c AS (SELECT id, 'acme ' || CAST(id AS string) AS name FROM ({T.companies(d)}) z), s AS ({T.snapshots(d)}), q AS (SELECT snapshot_id, captured_at, 'best acme ' || CAST(query_id AS string) || ' near me' AS query FROM s),
-w AS (SELECT snapshot_id, captured_at, query, {d.unnest(d.distinct(d.split('query', ' ')))} AS word FROM q)
-SELECT c.id, max(w.captured_at) AS captured_at, count(DISTINCT w.snapshot_id) AS captures FROM c JOIN w ON w.word = CAST(c.id AS string) WHERE contains(' ' || w.query || ' ', ' ' || c.name || ' ') GROUP BY c.id"""
-
-
-@query("keyword_similarity", "M10 R29 R30")
-def keyword_similarity(d):
-    """Pairs of phrases of one brand and first word: token Jaccard 0.7 and trigram Jaccard 0.3."""
-    tri = lambda k: d.distinct(d.each(d.series("1", f"greatest(1, length({k}) - 2)", "1"), lambda e: f"substr({k}, CAST({e} AS int), 3)"))
-    both = "array_intersect" if d.name == "spark" else "list_intersect"
-    jac = lambda a, b: f"{d.size(f'{both}({a}, {b})')} * 1e0 / ({d.size(a)} + {d.size(b)} - {d.size(f'{both}({a}, {b})')})"
-    return f"""WITH k AS (SELECT p_partkey AS id, p_brand AS brand, split_part(p_name, ' ', 1) AS head, lower(p_name || ' ' || p_type) AS phrase FROM part), t AS (SELECT id, brand, head, phrase, {d.distinct(d.split('phrase', ' '))} AS w, {tri('phrase')} AS g FROM k)
-SELECT a.id AS id_1, b.id AS id_2, round(0.7e0 * ({jac('a.w', 'b.w')}) + 0.3e0 * ({jac('a.g', 'b.g')}), 6) AS similarity FROM t a JOIN t b ON a.brand = b.brand AND a.head = b.head AND a.id < b.id"""
-
-
 @query("similar_vectors", "N1 N2")
 def similar_vectors(d, of: int = 7, label: int = 3, limit: int = 10):
     """Nearest by cosine to one vector among those of a label."""

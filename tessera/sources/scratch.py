@@ -1,11 +1,15 @@
-"""A folder that driver and executors share."""
+"""Tables in a folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers or short strings that may be told to every task; more are shuffled.
+TOLD_ROWS = 1_000_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +20,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def told(df: DataFrame, most: int = TOLD_ROWS) -> DataFrame:
+    """df, to be broadcast in a join if it has at most so many rows. df is counted: it should be a written table."""
+    return F.broadcast(df) if df.count() <= most else df

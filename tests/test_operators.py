@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from tessera.functions import html as H
-from tessera.operators.matching import average_linkage, detect, dict_hash, similarity_ratio, title_case
+from tessera.operators.matching import dict_hash, similarity_ratio, title_case
 from tessera.sources import files
 
 PAGE = """<html><head><title>T &amp; x</title><script type="application/ld+json">{"@type": "LocalBusiness", "x": [{"@type": ["A", "B"]}]}</script><script type="application/ld+json">{bad</script></head>
@@ -58,6 +58,24 @@ def test_fuzzy_functions(spark):
     assert same[0] == same[1] and same[2][0] is None
 
 
+def detect(rows, name_threshold=0.85, recent=100):
+    """One row after the other, in order: each is a duplicate of the first kept row that it matches by phone, by domain, or by name and address among the last `recent` kept."""
+    phones, domains, kept, out = {}, {}, [], []
+    ratio = lambda a, b: SequenceMatcher(None, a, b).ratio()
+    for r in rows:
+        hit = (r["phone"] and phones.get(r["phone"])) or (r["domain"] and domains.get(r["domain"])) or None
+        if hit is None and r["key"] and r["address"]:
+            near = (k for k in kept[-recent:] if k["key"] and k["address"] and ratio(r["key"], k["key"]) >= name_threshold and ratio(r["address"].lower(), k["address"].lower()) >= 0.8)
+            hit = next(near, None)
+        if hit is None:
+            kept.append(r)
+            for known, field in ((phones, "phone"), (domains, "domain")):
+                if r[field]:
+                    known.setdefault(r[field], r)
+        out.append((r["id"], None if hit is None else hit["id"]))
+    return out
+
+
 def test_detector_keeps_order():
     row = lambda i, **k: {"id": i, "phone": None, "domain": None, "key": "", "address": None} | k
     rows = [row(1, phone="p"), row(2, domain="d"), row(3, phone="p", domain="d"), row(4, domain="d"), row(5, key="acme cleaning", address="1 Main St"), row(6, key="acme cleanin", address="1 Main St.")]
@@ -134,20 +152,6 @@ def test_entities_are_as_connected_as_by_all_pairs(spark):
     assert classes([(r["id_1"], r["id_2"]) for r in found]) == classes([(a["id"], b["id"]) for i, a in enumerate(rows) for b in rows[i + 1 :] if pair(a, b)])
 
 
-def test_clusters_of_all_phrases(spark):
-    from tessera.operators.matching import linked_clusters
-
-    phrases = ["window cleaning", "window cleaning cost", "window cleaning price", "roof repair", "roof repair cost", "gutter", "best roof repair near me", "pressure washing", "pressure washing cost", "wash"]
-    got = {}
-    for r in linked_clusters(spark.createDataFrame([(p,) for p in phrases], "phrase string")).collect():
-        got.setdefault(r["cluster"], []).append(r["phrase"])
-    assert sorted(sorted(c) for c in got.values()) == sorted(average_linkage(phrases))
-
-
-def test_average_linkage():
-    assert average_linkage(["window cleaning", "window cleaning cost", "roof repair"]) == [["roof repair"], ["window cleaning", "window cleaning cost"]]
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "cities.csv").write_text("city,city_ascii,state_id,state_name,county_fips,county_name,lat,lng,population,density,timezone,zips,ranking,source,military,incorporated\n" "Salem,Salem,OR,x,1,Marion,1.5,2,150000,x,t,z,1,s,FALSE,TRUE\nSalem,Salem,OR,x,1,Polk,1,2,bad,,t,z,,s,TRUE,TRUE\nNowhere,N,OR,x,1,P,,2,5,,t,z,,s,FALSE,TRUE\n")
     got = files.city_registry(files.read_cities(spark, str(tmp_path / "cities.csv"))).orderBy("slug").collect()

@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.functions import html as H
-from tessera.operators.matching import average_linkage, detect
+from tests.plain import average_linkage
+from tests.test_operators import detect
 from tessera.streaming.state import alert_type
 
 
