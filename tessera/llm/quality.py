@@ -2,7 +2,7 @@
 
 The model is over bytes (A-Z lower-cased, digits as 0), ORDER of them at a time, so its tables saturate.
 
-1. Every trusted text is counted. Tasks send their distinct n-grams with counts to shards. A shard
+1. Every trusted text is counted. Tasks send their distinct n-grams with counts to shards, whose number grows with the texts. A shard
    holds all n-grams whose contexts end in the same two bytes, so that
    counts, contexts and continuation counts of all orders above two meet in one shard.
 2. Counts of counts over all shards give each order's three discounts. Each shard joins its counts with
@@ -35,11 +35,12 @@ from .common import TOLD_ROWS, bounded_batches, hot_limit, materialize, shuffle_
 from .jaccard import _planes, _unplanes
 
 ORDER = 5
-SHARDS = 64
+#: Bytes of text for each shard of the model, and shards at least and at most (one for each two bytes that end a context).
+SHARD_BYTES, LEAST_SHARDS, MOST_SHARDS = 16_000_000, 64, 65536
 #: A block's bytes of text and rows at most (one text at least).
 BLOCK_BYTES, BLOCK_ROWS = 6_000_000, 50_000
-#: In place of a shard's number and a level: a block's texts, and a question.
-TEXTS, QUESTION = 2 * SHARDS, ORDER + 1
+#: In place of a level: a question.
+QUESTION = ORDER + 1
 #: Answers are logarithms as whole numbers of four bytes, in parts of this.
 FIXED = 2.0**26
 QUANTILE, SLACK = 0.995, 1.5
@@ -67,35 +68,47 @@ def _grams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return key
 
 
-def _shard(key: np.ndarray) -> np.ndarray:
+def shards_for(size: int) -> int:
+    """Shards of a model of so many bytes of text: as the text grows there are more of them, of about a size."""
+    return min(MOST_SHARDS, max(LEAST_SHARDS, 1 << max(0, size // SHARD_BYTES).bit_length()))
+
+
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
     """By the last two bytes of the context."""
-    return ((key >> _U(8)) & _U(0xFFFF)).astype(np.int64) * 40503 % 65536 * SHARDS // 65536
+    return ((key >> _U(8)) & _U(0xFFFF)).astype(np.int64) * 40503 % 65536 * shards // 65536
 
 
-def _count(batches):
-    import pyarrow as pa
+def _cut(shard: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the rows by shard, and where each shard's begin (n + 1)."""
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(n + 1))
 
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def rows():
-        shard = _shard(keys)
-        order = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-        found = [(s, order[cut[s] : cut[s + 1]]) for s in range(SHARDS) if cut[s] < cut[s + 1]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in found], pa.int32()), pa.array([_planes(keys[i], ORDER) for _, i in found], pa.binary()), pa.array([counts[i].astype("<u4").tobytes() for _, i in found], pa.binary())],
-            names=["shard", "keys", "counts"],
-        )
-
-    for batch in split_batches(batches, 1_000_000):
-        new, n = np.unique(_grams(*text_buffers(batch.column(0))), return_counts=True)
-        keys, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        counts = np.bincount(which, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        if len(keys) > 1_000_000:
+
+def _count(shards: int):
+    def run(batches):
+        import pyarrow as pa
+
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows():
+            order, cut = _cut(_shard(keys, shards), shards)
+            found = [(s, order[cut[s] : cut[s + 1]]) for s in np.flatnonzero(np.diff(cut)).tolist()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in found], pa.int32()), pa.array([_planes(keys[i], ORDER) for _, i in found], pa.binary()), pa.array([counts[i].astype("<u4").tobytes() for _, i in found], pa.binary())],
+                names=["shard", "keys", "counts"],
+            )
+
+        for batch in split_batches(batches, 1_000_000):
+            new, n = np.unique(_grams(*text_buffers(batch.column(0))), return_counts=True)
+            keys, which = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(which, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+            if len(keys) > 1_000_000:
+                yield rows()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
             yield rows()
-            keys, counts = keys[:0], counts[:0]
-    if len(keys):
-        yield rows()
+
+    return run
 
 
 def _merge(key, table):
@@ -119,17 +132,18 @@ def _lower(keys: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray,
 
 
 def _of_counts(batches):
-    """How many n-grams of each order have each count (to 4), by powers of two beyond; and the bigrams' continuation counts."""
+    """How many n-grams of each order have each count (to 63), as kind 0, order * 64 + count; the bigrams' continuation counts, as kind 1, bigram."""
     import pyarrow as pa
 
     for batch in batches:
+        out = [[np.zeros(0, np.int64)] for _ in range(3)]
         for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             levels = _lower(_unplanes(keys, ORDER), np.frombuffer(counts, "<i8"))
-            hist = np.zeros((ORDER + 1, 64), np.int64)
-            for order in range(3, ORDER + 1):
-                hist[order] = np.bincount(np.minimum(levels[order][1], 63), minlength=64)
-            pairs, n = levels[2]
-            yield pa.RecordBatch.from_arrays([pa.array([hist.astype("<i8").tobytes()]), pa.array([pairs.astype("<u2").tobytes()]), pa.array([n.astype("<i8").tobytes()])], names=["hist", "pairs", "n"])
+            found = [(0, 64 * order + np.arange(64), np.bincount(np.minimum(levels[order][1], 63), minlength=64)) for order in range(3, ORDER + 1)]
+            for kind, at, n in (*found, (1, levels[2][0].astype(np.int64), levels[2][1])):
+                for column, value in zip(out, (np.full(len(at), kind), at, n), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["kind", "at", "n"])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -203,35 +217,27 @@ class Model:
         return np.log(p)
 
 
-def shares(trusted: DataFrame, text: str = "text", name: str = "counts") -> tuple[np.ndarray, DataFrame]:
+def shares(trusted: DataFrame, text: str = "text", name: str = "counts", shards: int = LEAST_SHARDS) -> tuple[np.ndarray, DataFrame]:
     """The bigrams' continuation counts, and each shard's probabilities of the higher orders, of all texts of trusted."""
     schema = "shard int, keys binary, counts binary"
     texts = trusted.where(F.length(text) > 0).select(F.col(text).alias("text"))
-    shards = materialize(texts.mapInArrow(_count, schema).groupBy("shard").applyInArrow(_merge, schema), name)
-    found = shards.mapInArrow(_of_counts, "hist binary, pairs binary, n binary").collect()  # SHARDS rows
+    merged = materialize(texts.mapInArrow(_count(shards), schema).groupBy("shard").applyInArrow(_merge, schema), name)
+    # a row for each order and count, and for each bigram: 66,000 at most
+    found = merged.mapInArrow(_of_counts, "kind long, at long, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).collect()
     hist, bigrams = np.zeros((ORDER + 1, 64), np.int64), np.zeros((256, 256), np.int64)
     for r in found:
-        hist += np.frombuffer(r["hist"], "<i8").reshape(ORDER + 1, 64)
-        pairs = np.frombuffer(r["pairs"], "<u2").astype(np.int64)
-        np.add.at(bigrams, (pairs >> 8, pairs & 255), np.frombuffer(r["n"], "<i8"))
+        (bigrams if r["kind"] else hist).ravel()[r["at"]] = r["n"]
     d = np.array([discounts(h) if i > 2 else np.zeros(4) for i, h in enumerate(hist)])
-    return bigrams, shards.mapInArrow(_probabilities(d), "shard int, level int, keys binary, prob binary, heads binary, weight binary")
+    return bigrams, merged.mapInArrow(_probabilities(d), "shard int, level int, keys binary, prob binary, heads binary, weight binary")
 
 
-def train(trusted: DataFrame, text: str = "text", name: str = "counts") -> Model:
-    """A model of all texts of trusted in the driver's memory: for tables that fit there."""
-    bigrams, rows = shares(trusted, text, name)
-    return Model(bigrams, [tuple(r)[1:] for r in rows.collect()])
-
-
-def _asked(data: np.ndarray, off: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _asked(data: np.ndarray, off: np.ndarray, halves: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The n-gram that ends at each byte, with its text's half above; the distinct ones; their order by half and shard; where each shard's start."""
     grams = _grams(data, off) | (np.repeat(halves.astype(np.uint64), np.diff(off)) << _U(8 * ORDER))
     distinct = np.sort(grams)
     distinct = distinct[np.flatnonzero(np.diff(distinct, prepend=distinct[:1] + _U(1)))]
-    shard = _shard(distinct) + SHARDS * (distinct >> _U(8 * ORDER)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    return grams, distinct, order, np.searchsorted(shard[order], np.arange(TEXTS + 1))
+    shard = _shard(distinct, shards) + shards * (distinct >> _U(8 * ORDER)).astype(np.int64)
+    return grams, distinct, *_cut(shard, 2 * shards)
 
 
 def _blocks(half: str, text: str):
@@ -264,7 +270,7 @@ def _blocks(half: str, text: str):
     return run
 
 
-def _opened(texts: bytes, rest: bytes, half: str):
+def _opened(texts: bytes, rest: bytes, half: str, shards: int):
     """A block's other columns, lengths and offsets of its texts, and what it asks (see _asked)."""
     import pyarrow as pa
 
@@ -272,10 +278,10 @@ def _opened(texts: bytes, rest: bytes, half: str):
     n = rows.column(rows.num_columns - 1).to_numpy()
     off = np.concatenate([[0], np.cumsum(n)])
     halves = rows.column(rows.schema.get_field_index(half)).to_numpy().astype(np.int64)
-    return rows, n, off, _asked(np.frombuffer(bz2.decompress(texts), np.uint8), off, halves)
+    return rows, n, off, _asked(np.frombuffer(bz2.decompress(texts), np.uint8), off, halves, shards)
 
 
-def _questions(half: str):
+def _questions(half: str, shards: int):
     """What each block asks of each shard."""
 
     def run(batches):
@@ -283,15 +289,15 @@ def _questions(half: str):
 
         for batch in batches:
             for block, texts, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, _, (_, distinct, order, cut) = _opened(texts, rest, half)
-                some = [k for k in range(TEXTS) if cut[k] < cut[k + 1]]
+                _, _, _, (_, distinct, order, cut) = _opened(texts, rest, half, shards)
+                some = np.flatnonzero(np.diff(cut)).tolist()
                 keys = [_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(keys, pa.binary())], names=["block", "shard", "keys"])
 
     return run
 
 
-def _answers(bigrams):
+def _answers(bigrams, shards: int):
     """Of each shard the probabilities come first; then its questions, whose logarithms are returned."""
 
     def run(batches):
@@ -306,7 +312,7 @@ def _answers(bigrams):
                 if level < QUESTION:
                     held.append((level, *row))
                     continue
-                model = model or Model(bigrams.value[shard // SHARDS], held)
+                model = model or Model(bigrams.value[shard // shards], held)
                 held = []
                 logs = np.maximum(-model.log_prob(_unplanes(row[0], ORDER)), 0) * FIXED
                 out.append((block, shard, np.rint(np.minimum(logs, 2.0**32 - 1)).astype("<u4").tobytes()))
@@ -316,7 +322,7 @@ def _answers(bigrams):
     return run
 
 
-def _scores(names: list[str], half: str):
+def _scores(names: list[str], half: str, shards: int):
     """Of each block the answers come first, by shard; then its texts."""
 
     def run(batches):
@@ -327,10 +333,10 @@ def _scores(names: list[str], half: str):
             for block, shard, answer, texts, rest in zip(*batch.columns, strict=True):
                 if block.as_py() != now:
                     now, answers = block.as_py(), []
-                if shard.as_py() < TEXTS:
+                if shard.as_py() < 2 * shards:
                     answers.append(np.frombuffer(answer.as_py(), "<u4") / -FIXED)
                     continue
-                rows, n, off, (grams, distinct, order, _) = _opened(texts.as_py(), rest.as_py(), half)
+                rows, n, off, (grams, distinct, order, _) = _opened(texts.as_py(), rest.as_py(), half, shards)
                 found = np.concatenate([np.zeros(0), *answers])
                 if len(found) != len(distinct):
                     raise RuntimeError(f"block {now}: {len(found)} answers to {len(distinct)} questions")
@@ -344,8 +350,8 @@ def _scores(names: list[str], half: str):
     return run
 
 
-def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half: str = "half", text: str = "text") -> DataFrame:
-    """df without its text, plus perplexity under the model (see shares) that its half (0 or 1) names."""
+def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half: str = "half", text: str = "text", shards: int = LEAST_SHARDS) -> DataFrame:
+    """df without its text, plus perplexity under the model (see shares; of so many shards) that its half (0 or 1) names."""
     from pyspark.sql import types as T
 
     spark = df.sparkSession
@@ -353,14 +359,14 @@ def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half:
     fields = [f for f in df.schema.fields if f.name != text]
     packed = df.select(*[f.name for f in fields], text).mapInArrow(_blocks(half, text), "block long, texts binary, rest binary")
     packed = materialize(packed, "blocks")
-    met = packed.mapInArrow(_questions(half), "block long, shard int, keys binary").withColumn("level", F.lit(QUESTION))
+    met = packed.mapInArrow(_questions(half, shards), "block long, shard int, keys binary").withColumn("level", F.lit(QUESTION))
     for k, (_, rows) in enumerate(models):
-        met = met.unionByName(rows.withColumn("shard", F.col("shard") + k * SHARDS), allowMissingColumns=True)
+        met = met.unionByName(rows.withColumn("shard", F.col("shard") + k * shards), allowMissingColumns=True)
     met = met.select("shard", "level", "block", "keys", "prob", "heads", "weight").repartition(parts, "shard").sortWithinPartitions("shard", "level")
-    answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models])), "block long, shard int, answer binary")
-    both = answers.unionByName(packed.withColumn("shard", F.lit(TEXTS)), allowMissingColumns=True)
+    answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models]), shards), "block long, shard int, answer binary")
+    both = answers.unionByName(packed.withColumn("shard", F.lit(2 * shards)), allowMissingColumns=True)
     both = both.repartition(parts, "block").sortWithinPartitions("block", "shard")
-    return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
+    return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half, shards), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
 
 
 def by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
@@ -375,15 +381,16 @@ def by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return known.join(often, key).unionByName(known.join(often, key, "left_anti").join(values, key, "left")).unionByName(none)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang, trusted, perplexity, threshold, kept; one row for each row of docs (doc_id, text, lang)."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, shards: int | None = None) -> DataFrame:
+    """doc_id, lang, trusted, perplexity, threshold, kept; one row for each row of docs (doc_id, text, lang). shards: of the model; by default as many as the texts' size asks for."""
     bounded_batches(docs.sparkSession)
     good = materialize(labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("good_id")).distinct(), "trusted")
     marked = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     rows = docs.select("doc_id", "lang", "text").join(marked, F.col("doc_id") == F.col("good_id"), "left")
     rows = rows.select("doc_id", "lang", F.col("good_id").isNotNull().alias("trusted"), "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
-    models = [shares(rows.where((F.col("trusted")) & (F.col("half") == 1 - k)), name=f"counts-{k}") for k in (0, 1)]
-    scored = materialize(perplexity(rows, models), "scored")
+    shards = shards or shards_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    models = [shares(rows.where((F.col("trusted")) & (F.col("half") == 1 - k)), name=f"counts-{k}", shards=shards) for k in (0, 1)]
+    scored = materialize(perplexity(rows, models, shards=shards), "scored")
     seen = scored.where("trusted and perplexity is not null")
     by_lang = seen.where("lang is not null").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10_000) * slack).alias("own"), F.count("*").alias("n"))
     by_lang = materialize(by_lang, "by-language")

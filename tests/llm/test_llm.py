@@ -726,7 +726,8 @@ def test_bpe_round_trip(spark, monkeypatch):
 
 def test_quality_probabilities_sum_to_one(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
-    model = quality.train(docs)
+    bigrams, rows = quality.shares(docs)
+    model = quality.Model(bigrams, [tuple(r)[1:] for r in rows.collect()])
     context = np.frombuffer(b" the", np.uint8).astype(np.uint64)
     head = sum(int(c) << (8 * (3 - i)) for i, c in enumerate(context)) << 8
     total = np.exp(model.log_prob(np.array([head | c for c in range(256)], np.uint64))).sum()
@@ -735,6 +736,13 @@ def test_quality_probabilities_sum_to_one(spark):
     assert abs(unseen - 1) < 1e-3
 
 
+def test_quality_with_any_number_of_shards(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    few, many = ({r["doc_id"]: r["perplexity"] for r in quality.classify(docs, labels, shards=n).collect()} for n in (64, 4096))
+    assert few.keys() == many.keys() and all(abs(few[i] - many[i]) < 1e-9 for i in few if few[i] is not None)
+    assert [quality.shards_for(n) for n in (0, 10**9, 10**10, 10**14)] == [64, 64, 1024, 65536]
+
+
 def test_quality_keeps_clean_and_drops_junk(spark):
     rows = queries.op7_quality(spark, f"{DATA}/sf0.01")
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
