@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, audits, containment, exchange, learning, markup, matching, pages, phrases, records, relational, scalars, vectors  # noqa: F401  registration
+from .operators import analytics, asof, audits, containment, exchange, learning, markup, matching, pages, phrases, records, relational, scalars, vectors  # noqa: F401  registration
 from .plans.registry import COVERS, ORACLES, QUERIES
 from .streaming import state  # noqa: F401  registration
 

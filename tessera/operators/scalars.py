@@ -151,19 +151,6 @@ SELECT id, r1 AS lcp_rating, r2 AS cls_rating, r3 AS fid_rating, {S.vitals_score
   (CASE WHEN coalesce(r1, 'GOOD') <> 'GOOD' THEN 1 ELSE 0 END + CASE WHEN coalesce(r2, 'GOOD') <> 'GOOD' THEN 1 ELSE 0 END + CASE WHEN r3 <> 'GOOD' THEN 1 ELSE 0 END) AS issues FROM r"""
 
 
-@query("local_authority", "J4 J5 J6 J7 J8")
-def local_authority(d):
-    """Citations 0.4, links 0.3, reviews 0.2, completeness 0.1, and a grade."""
-    key = {"google_business": 25, "yelp": 15, "bbb": 10, "facebook": 10}
-    points = " + ".join(f"coalesce(max(CASE WHEN source_type = '{s}' AND status = 'ok' THEN {w} * (0.6e0 + 0.4e0 * coalesce(score, 0) / 100e0) END), 0e0)" for s, w in key.items())
-    return f"""WITH b AS ({T.claims(d)}), a AS (SELECT company_id, least(100e0, {points} + least(30, 3 * count(DISTINCT CASE WHEN source_type IN ('manta', 'YP') AND status = 'ok' THEN source_type END))) AS citation,
-  {S.tiers('count(DISTINCT source_id)', ((21, 40), (11, 30), (6, 20), (1, 10)), 0)} + count(*) FILTER (WHERE status = 'ok') * 30e0 / count(*) + {S.tiers('avg(score)', ((41, 30), (21, 20), (1, 10)), 0)} AS link,
-  {S.tiers('sum(score)', ((51, 50), (26, 35), (11, 25), (1, 15)), 0)} + {S.tiers('avg(score) / 20', (('4.5e0', 50), ('4.0e0', 40), ('3.5e0', 30), ('3.0e0', 20)), 10)} AS review,
-  max(CASE WHEN source_type = 'google_business' THEN 50 ELSE 0 END) + 30 + CASE WHEN count(DISTINCT source_type) >= 5 THEN 20 WHEN count(DISTINCT source_type) >= 3 THEN 10 ELSE 0 END AS complete FROM b GROUP BY company_id),
-s AS (SELECT company_id, citation, least(100e0, link) AS link, least(100, review) AS review, complete, citation * 0.4e0 + least(100e0, link) * 0.3e0 + least(100, review) * 0.2e0 + complete * 0.1e0 AS total FROM a)
-SELECT company_id, round(citation, 6) AS citation, round(link, 6) AS link, review, complete, round(total, 6) AS total, {S.grade('round(total, 6)')} AS grade FROM s"""
-
-
 @query("nap_scores", "J33")
 def nap_scores(d):
     """Stored against claimed name and phone: containment of names, last ten digits of phones."""
