@@ -241,14 +241,6 @@ b AS (SELECT keyword AS item, CAST(volume AS bigint) AS n, id FROM k ORDER BY vo
 SELECT kind, item, n, row_number() OVER (PARTITION BY kind ORDER BY n DESC, id, item) AS r FROM u"""
 
 
-@query("audit_scores", "R35 R41 R43")
-def audit_scores(d):
-    """Deductions by severity and category, each category from 100 and not below 0, weighted."""
-    cat = lambda n: f"greatest(0, 100 - coalesce(sum(CASE WHEN event_id % 4 = {n} THEN off END), 0))"
-    return f"""WITH i AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 25 WHEN 'purchase' THEN 15 WHEN 'click' THEN 8 ELSE 3 END AS off FROM events), g AS (SELECT user_id, {cat(0)} AS speed, {cat(1)} AS content, {cat(2)} AS mobile, {cat(3)} AS safety FROM i GROUP BY user_id)
-SELECT user_id, speed, content, mobile, safety, round(speed * 0.15e0 + content * 0.40e0 + mobile * 0.20e0 + safety * 0.25e0, 6) AS total FROM g"""
-
-
 @query("suggestions", "R54 K6")
 def suggestions(d):
     """Keys and values of stored JSON objects."""

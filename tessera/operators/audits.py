@@ -54,21 +54,65 @@ PAGE_RULES = (
     ("h2 = 0", "missing_h2", "low", "seo"),
     ("no_alt > 0", "images_missing_alt", "medium", "accessibility"),
     ("empty_links > 0", "empty_link_text", "medium", "accessibility"),
+    ("no_https", "no_ssl", "critical", "security"),
+    ("schemas = 0", "missing_schema", "medium", "seo"),
+    ("blocking > 3", "render_blocking_scripts", "medium", "performance"),
+    ("html_chars > 500000", "large_html", "medium", "performance"),
+    ("raw_words > 0 AND words > 1.5e0 * raw_words", "js_dependent_content", "medium", "seo"),
+    ("links - raw_links > 20", "js_loaded_links", "low", "seo"),
 )
+#: What each category counts in the whole.
+CATEGORY_WEIGHTS = {"security": "0.15e0", "seo": "0.40e0", "accessibility": "0.20e0", "performance": "0.25e0"}
 
 
-@query("page_audit", "R35 R37 R38 R39 R40")
+def page_facts(d) -> str:
+    """What the rules look at, of every page; its raw form is the page without what scripts and templates put in."""
+    h, q = "html", "[\"']"
+    title = f"trim({d.find(h, '(?is)<title[^>]*>(.*?)</title>', 1)})"
+    description = d.find(h, f"(?is)<meta[^>]*name={q}description{q}[^>]*content={q}([^\"']*){q}", 1)
+    text = lambda x: X.squeeze(d, d.sub(d.sub(x, "(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " "), "(?s)<[^>]*>", " "))
+    words = lambda x: d.size(d.keep(d.split(text(x), " "), lambda e: f"{e} <> ''"))
+    raw = d.sub(h, "(?is)<(article|main)[^>]*>.*?</(article|main)>", " ")
+    facts = {
+        "no_title": f"NOT {d.match(h, '(?is)<title')}", "title_chars": f"length({title})", "has_description": d.match(h, f"(?i)<meta[^>]*name={q}description"), "description_chars": f"length({description})",
+        "has_canonical": d.match(h, f"(?i)<link[^>]*rel={q}canonical"), "has_viewport": d.match(h, f"(?i)<meta[^>]*name={q}viewport"), "h1": d.count(h, "(?i)<h1[^>]*>"), "h2": d.count(h, "(?i)<h2[^>]*>"),
+        "no_alt": f"{d.count(h, '(?i)<img[^>]*>')} - {d.count(h, '(?i)<img[^>]*alt=[^>]*>')}", "empty_links": d.count(h, "(?i)<a[^>]*href=[^>]*>[ ]*</a>"), "no_https": f"NOT {d.match('url', '^https://')}",
+        "schemas": d.count(h, "(?i)<script[^>]*ld[+]json"), "blocking": f"{d.count(h, '(?i)<script[^>]*src=[^>]*>')} - {d.count(h, '(?i)<script[^>]*(async|defer)[^>]*src=[^>]*>')} - {d.count(h, '(?i)<script[^>]*src=[^>]*(async|defer)[^>]*>')}",
+        "html_chars": f"length({h})", "words": words(h), "raw_words": words(raw), "links": d.count(h, "(?i)<a[^>]*href="), "raw_links": d.count(raw, "(?i)<a[^>]*href="),
+    }
+    return f"SELECT page_id, {', '.join(f'{x} AS {n}' for n, x in facts.items())} FROM pages"
+
+
+@query("page_audit", "R37 R38 R39 R40")
 def page_audit(d):
     """Issues of every page by rule and the scores that their severities leave; mobile issues count half for two categories."""
-    h = "html"
-    title = f"trim({d.find(h, '(?is)<title[^>]*>(.*?)</title>', 1)})"
-    description = d.find(h, "(?is)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
-    facts = f"""{d.match(h, '(?is)<title')} = false AS no_title, length({title}) AS title_chars, {d.match(h, "(?i)<meta[^>]*name=[" + chr(34) + "']description")} AS has_description, length({description}) AS description_chars, {d.match(h, "(?i)<link[^>]*rel=[" + chr(34) + "']canonical")} AS has_canonical,
-  {d.match(h, "(?i)<meta[^>]*name=[" + chr(34) + "']viewport")} AS has_viewport, {d.count(h, '(?i)<h1[^>]*>')} AS h1, {d.count(h, '(?i)<h2[^>]*>')} AS h2, {d.count(h, '(?i)<img[^>]*>')} - {d.count(h, '(?i)<img[^>]*alt=[^>]*>')} AS no_alt, {d.count(h, '(?i)<a[^>]*href=[^>]*>[ ]*</a>')} AS empty_links"""
     off = lambda kind: " + ".join(f"CASE WHEN {c} THEN {SEVERITY[s]} ELSE 0 END" for c, _, s, k in PAGE_RULES if k == kind)
-    seo, access = f"greatest(0e0, 100 - ({off('seo')}) - ({off('mobile')}) / 2e0)", f"greatest(0e0, 100 - ({off('accessibility')}) - ({off('mobile')}) / 2e0)"
-    return f"""WITH f AS (SELECT page_id, {facts} FROM pages), s AS (SELECT page_id, {issue_list(d, [(c, n) for c, n, _, _ in PAGE_RULES])} AS issues, {seo} AS seo, {access} AS accessibility FROM f)
-SELECT page_id, issues, seo, accessibility, round(15e0 + seo * 0.40e0 + accessibility * 0.20e0 + 25e0, 6) AS overall FROM s"""
+    score = {k: f"greatest(0e0, 100 - ({off(k)})" + (f" - ({off('mobile')}) / 2e0)" if k in ("seo", "accessibility") else ")") for k in CATEGORY_WEIGHTS}
+    return f"""WITH f AS ({page_facts(d)}), s AS (SELECT page_id, {issue_list(d, [(c, n) for c, n, _, _ in PAGE_RULES])} AS issues, {', '.join(f'{x} AS {k}' for k, x in score.items())} FROM f)
+SELECT page_id, issues, {', '.join(CATEGORY_WEIGHTS)}, round({' + '.join(f'{k} * {w}' for k, w in CATEGORY_WEIGHTS.items())}, 6) AS overall FROM s"""
+
+
+def page_issue_rows(d) -> str:
+    items = d.array(*[d.struct(issue=f"CASE WHEN coalesce({c}, false) THEN '{n}' ELSE '' END", severity=f"'{s}'", category=f"'{k}'") for c, n, s, k in PAGE_RULES])
+    return f"SELECT page_id, x.issue AS issue, x.severity AS severity, x.category AS category FROM (SELECT page_id, {d.unnest(d.keep(items, lambda e: f'{e}.issue <> {chr(39) * 2}'))} AS x FROM ({page_facts(d)}) f) y"
+
+
+@query("page_issues", "R36 R37 R38 R39 R40 R41")
+def page_issues(d):
+    """One row for each issue of a page, with its severity and category."""
+    return page_issue_rows(d)
+
+
+@query("audit_scores", "R35")
+def audit_scores(d):
+    """Scores of every page from its issues: each category from 100 by severity, not below 0, mobile issues half for two of them; then weighted."""
+    off = f"CASE severity {' '.join(f'WHEN {chr(39)}{s}{chr(39)} THEN {n}' for s, n in SEVERITY.items())} ELSE 0 END"
+    share = lambda k: f"CASE WHEN category = '{k}' THEN {off} * 1e0" + (f" WHEN category = 'mobile' THEN {off} / 2e0" if k in ("seo", "accessibility") else "") + " ELSE 0e0 END"
+    lost = ", ".join(f"sum({share(k)}) AS {k}" for k in CATEGORY_WEIGHTS)
+    left = ", ".join(f"greatest(0e0, 100 - coalesce(g.{k}, 0e0)) AS {k}" for k in CATEGORY_WEIGHTS)
+    return f"""WITH i AS ({page_issue_rows(d)}), g AS (SELECT page_id, count(*) AS issues, count(*) FILTER (WHERE severity = 'critical') AS critical, {lost} FROM i GROUP BY page_id),
+s AS (SELECT p.page_id, coalesce(g.issues, 0) AS issues, coalesce(g.critical, 0) AS critical, {left} FROM pages p LEFT JOIN g ON p.page_id = g.page_id)
+SELECT page_id, issues, critical, {', '.join(CATEGORY_WEIGHTS)}, round({' + '.join(f'{k} * {w}' for k, w in CATEGORY_WEIGHTS.items())}, 6) AS overall FROM s"""
 
 
 @query("rendering_change", "R36")

@@ -179,3 +179,15 @@ def test_equal_names_cost_their_number(spark):
         rows = [(i, "acme", None, None, f"{i % 50} Main Street") for i in range(n)]
         sizes.append(matching.business_links(spark.createDataFrame(rows, "id long, key string, phone string, domain string, address string")).count())
     assert sizes[1] <= 5 * sizes[0] and sizes[1] < 1000
+
+
+def test_scores_follow_from_issues(spark):
+    """The scores made of the issue table are those of the rules, page by page."""
+    from tessera import catalog
+
+    sf = f"{DATA}/sf0.001"
+    by_rule = {r["page_id"]: r for r in catalog.queries()["page_audit"](spark, sf).collect()}
+    rows = catalog.queries()["audit_scores"](spark, sf).collect()
+    names = ("security", "seo", "accessibility", "performance", "overall")
+    assert len(rows) == len(by_rule) and {r["page_id"]: [r[n] for n in names] for r in rows} == {i: [r[n] for n in names] for i, r in by_rule.items()}
+    assert len({r["overall"] for r in rows}) > 3 and any(r["security"] == 75 for r in rows)
