@@ -1,10 +1,15 @@
-"""Feature vectors, a provider classifier and hashed text embeddings."""
+"""Feature vectors, a provider classifier and text embeddings by truncated singular value decomposition."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +49,126 @@ def provider_probability(spark, sf_dir):
     return model.transform(rows).select("doc_id", held.alias("held_out"), "label", "prediction", F.round(vector_to_array("probability")[1], 6).alias("probability"))
 
 
+#: Terms are hashed to so many columns; the tables that passes send to the driver have a row of SIZE + SPARE numbers for each.
+TERMS, SIZE, SPARE = 1 << 15, 128, 8
+
+
+def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of a text's terms, and 1 + the logarithm of how often each occurs."""
+    from zlib import crc32
+
+    counts = Counter(w for w in re.split(r"\W+", (text or "").lower()) if w)
+    columns, which = np.unique(np.array([crc32(w.encode()) % TERMS for w in counts], np.int64), return_inverse=True)
+    return columns, 1 + np.log(np.bincount(which, weights=list(counts.values()), minlength=len(columns)))
+
+
+@dataclass
+class Topics:
+    """Each term's inverse document frequency and its row of the leading right singular vectors: TERMS rows, told to every task."""
+
+    rarity: np.ndarray
+    vectors: np.ndarray
+
+    def rows(self, texts: list) -> tuple[list, list]:
+        """Texts as sparse rows of length one."""
+        out = [], []
+        for t in texts:
+            columns, weights = term_weights(t)
+            weights = weights * self.rarity[columns]
+            norm = np.sqrt((weights * weights).sum())
+            out[0].append(columns)
+            out[1].append(weights / norm if norm else weights)
+        return out
+
+    def embed(self, texts: list) -> np.ndarray:
+        out = np.zeros((len(texts), self.vectors.shape[1]))
+        for k, (columns, weights) in enumerate(zip(*self.rows(texts), strict=True)):
+            out[k] = weights @ self.vectors[columns]
+        norm = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(norm > 0, norm, 1)
+
+
+def _by_column(texts: DataFrame, work, width: int) -> np.ndarray:
+    """The sum over all texts of what work adds to a table of TERMS rows. Each task sends the rows that it touched; they are added up by row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, touched = np.zeros((TERMS, width)), np.zeros(TERMS, bool)
+        for batch in batches:
+            work(batch.column(0).to_pylist(), total, touched)
+        rows = np.flatnonzero(touched)
+        for at in range(0, len(rows), 4096):
+            part = rows[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in total[part]], pa.binary())], names=["term", "row"])
+
+    def add(key, table):
+        import pyarrow as pa
+
+        total = sum(np.frombuffer(x) for x in sorted(table.column("row").to_pylist()))  # in one order, so that sums are the same in every run
+        return pa.table({"term": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "term int, row binary"
+    # tasks many times the shuffle's would send as many tables
+    texts = texts.coalesce(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = texts.mapInArrow(run, schema).groupBy("term").applyInArrow(add, schema).collect()
+    out = np.zeros((TERMS, width))
+    for r in found:
+        out[r["term"]] = np.frombuffer(r["row"])
+    return out
+
+
+def topics(texts: DataFrame, size: int = SIZE, rounds: int = 2, seed: int = 11) -> Topics:
+    """Topics of texts (text): a truncated singular value decomposition of their weighted term matrix A, in 1 + rounds passes.
+
+    A random table of size + SPARE columns is multiplied by A'A and made orthogonal in each round; the last product gives the leading
+    singular vectors within its span. The largest number of each vector is positive, so that they are the same in every run.
+    """
+
+    def count(rows, total, touched):
+        for t in rows:
+            columns, _ = term_weights(t)
+            total[columns] += 1
+            touched[columns] = True
+
+    n = texts.count()
+    often = _by_column(texts, count, 1)[:, 0]
+    rarity = np.where(often > 0, np.log((1 + n) / (1 + often)) + 1, 0)
+    basis = np.random.default_rng(seed).normal(size=(TERMS, size + SPARE)) * (often > 0)[:, None]
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(basis)
+        told = texts.sparkSession.sparkContext.broadcast(Topics(rarity, basis))
+
+        def multiply(rows, total, touched, told=told):
+            model = told.value
+            for columns, weights in zip(*model.rows(rows), strict=True):
+                total[columns] += np.outer(weights, weights @ model.vectors[columns])
+                touched[columns] = True
+
+        product = _by_column(texts, multiply, size + SPARE)
+        values, turn = np.linalg.eigh(basis.T @ product)
+        leading = basis @ turn[:, np.argsort(-values)[:size]]
+        basis = product
+    sign = np.sign(leading[np.abs(leading).argmax(0), np.arange(leading.shape[1])])
+    return Topics(rarity, leading * np.where(sign == 0, 1, sign))
+
+
+def embedded(docs: DataFrame, model: Topics) -> DataFrame:
+    """doc_id, vector (length one; zeros for a text without known terms) of docs (doc_id, text)."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            vectors = told.value.embed(batch.column(1).to_pylist()).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], names=["doc_id", "vector"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, vector array<float>")
+
+
 @frame("text_embeddings", "N5")
-def text_embeddings(spark, sf_dir, size: int = 384):
-    """Hashed bags of words, normalised: a stand-in of the same size where no sentence model is at hand."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    steps = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=size), Normalizer(inputCol="counts", outputCol="vector", p=2.0)]
-    return Pipeline(stages=steps).fit(docs).transform(docs).select("doc_id", vector_to_array("vector", "float32").alias("vector"))
+def text_embeddings(spark, sf_dir):
+    """Vectors of all texts by the topics of the texts themselves; no sentence model is at hand."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return embedded(docs, topics(docs.select("text")))

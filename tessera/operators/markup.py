@@ -11,10 +11,15 @@ from ..plans.registry import frame, query, run_sql
 from ..sources import stand_ins as T
 
 
-def pages_of(rows: DataFrame, key: str, order: str, around: tuple[str, str] = ("<html><body>", "</body></html>")) -> DataFrame:
-    """A page for each key: the pieces (key, order, piece) in order."""
+#: Pieces of a page at most, where a key's pieces are numbered: a key with more has several pages.
+PER_PAGE = 200
+
+
+def pages_of(rows: DataFrame, key: str, order: str, numbered: bool = False, around: tuple[str, str] = ("<html><body>", "</body></html>")) -> DataFrame:
+    """Pages of each key: the pieces (key, order, piece) in order. numbered: order is a number of the piece's own, by which pages are cut."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"])
-    return rows.groupBy(key).agg(F.concat(F.lit(around[0]), F.array_join(parts, ""), F.lit(around[1])).alias("html")).withColumn("base", F.lit("https://host.example/"))
+    page = F.floor(F.col(order) / PER_PAGE) if numbered else F.lit(0)
+    return rows.groupBy(key, page.alias("page")).agg(F.concat(F.lit(around[0]), F.array_join(parts, ""), F.lit(around[1])).alias("html")).withColumn("base", F.lit("https://host.example/"))
 
 
 def parsed(pages: DataFrame, key: str, parser) -> DataFrame:
@@ -41,11 +46,11 @@ def _listings_sql(d) -> str:
 
 @frame("page_listings", "L12", _listings_sql)
 def page_listings(spark, sf_dir):
-    """Listings of a directory's pages, one page for each nation."""
+    """Listings of a directory's pages, by nation."""
     rows = run_sql(spark, sf_dir, T.companies(SPARK))
     given = lambda kind, c: F.coalesce(F.concat(F.lit(f'<div class="{kind}">'), c, F.lit("</div>")), F.lit(""))
     piece = F.concat(F.lit('<div class="result"><a class="business-name">Shop '), F.col("id").cast("string"), F.lit("</a>"), given("phones phone", F.col("phone")), given("adr", F.col("street")), F.lit('<div class="categories"><a>'), "segment", F.lit('</a></div></div><div class="result"><p>no name</p></div>'))
-    found = parsed(pages_of(rows.select("nation_id", "id", piece.alias("piece")), "nation_id", "id"), "nation_id", H.cards_udf)
+    found = parsed(pages_of(rows.select("nation_id", "id", piece.alias("piece")), "nation_id", "id", numbered=True), "nation_id", H.cards_udf)
     return found.select("nation_id", "name", "phone", "address", F.col("tags")[0].alias("tag"))
 
 
@@ -55,10 +60,10 @@ def _reviews_sql(d) -> str:
 
 @frame("page_reviews", "L22", _reviews_sql)
 def page_reviews(spark, sf_dir):
-    """Ratings, authors and texts of the reviews on each user's page."""
+    """Ratings, authors and texts of the reviews on each user's pages."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     piece = F.concat(F.lit('<div itemprop="review"><span itemprop="ratingValue" content="'), (F.col("event_id") % 9 / 2).cast("string"), F.lit('"></span><b itemprop="author">user '), "event_type", F.lit('</b><p itemprop="reviewBody">Visit '), F.col("event_id").cast("string"), F.lit("</p></div>"))
-    return parsed(pages_of(e.select("user_id", "event_id", piece.alias("piece")), "user_id", "event_id"), "user_id", H.reviews_udf)
+    return parsed(pages_of(e.select("user_id", "event_id", piece.alias("piece")), "user_id", "event_id", numbered=True), "user_id", H.reviews_udf)
 
 
 _PLACES = {0: ("<nav>", "</nav>", "navigation"), 1: ("<footer>", "</footer>", "footer"), 2: ("<aside>", "</aside>", "sidebar"), 3: ('<div class="comments">', "</div>", "comments"), 4: ("<article>", "</article>", "content")}
@@ -87,13 +92,14 @@ def _schemas_sql(d) -> str:
 
 @frame("page_schemas", "L2 K6 R41 R43", _schemas_sql)
 def page_schemas(spark, sf_dir):
-    """Types of each page's JSON-LD blocks, broken ones left out, and how complete its most complete business block is."""
+    """Types of the JSON-LD blocks of each nation's pages, broken ones left out, and how complete the most complete business block is."""
     rows = run_sql(spark, sf_dir, T.companies(SPARK))
     kind = F.when(F.col("id") % 3 == 0, "LocalBusiness").when(F.col("id") % 3 == 1, "Organization").otherwise("FAQPage")
     block = F.to_json(F.struct(F.col("name"), F.col("street").alias("address"), F.col("phone").alias("telephone"), kind.alias("@type")))
     piece = F.concat(F.lit('<script type="application/ld+json">'), block, F.lit('</script><script type="application/ld+json">{"@type": "Broken"</script>'))
-    pages = pages_of(rows.select("nation_id", "id", piece.alias("piece")), "nation_id", "id")
-    return pages.select("nation_id", H.summary_udf("html", "base").alias("x")).select("nation_id", F.array_join("x.types", ",").alias("types"), F.col("x.business").alias("business"))
+    pages = pages_of(rows.select("nation_id", "id", piece.alias("piece")), "nation_id", "id", numbered=True).select("nation_id", H.summary_udf("html", "base").alias("x"))
+    kinds = pages.select("nation_id", F.explode_outer("x.types").alias("kind")).groupBy("nation_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("types"))
+    return kinds.join(pages.groupBy("nation_id").agg(F.max("x.business").alias("business")), "nation_id")
 
 
 @query("page_headings", "R17 L11")

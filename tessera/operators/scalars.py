@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import scores as S
 from ..functions import strings as X
-from ..plans.registry import query
+from ..plans.dialect import SPARK
+from ..plans.registry import frame, query, run_sql
 from ..sources import stand_ins as T
+from ..sources.scratch import ranked
 
 
 @query("url_functions", "H1 H2 H3 H4 H5 H13 H14")
@@ -134,12 +138,17 @@ c AS (SELECT *, {d.trunc('volume * ctr')} AS clicks, {d.trunc('volume * top_ctr'
 SELECT id, position, round(ctr, 4) AS ctr, clicks, round(clicks * {value}, 2) AS value, quality, top_clicks - clicks AS gain, {scored} AS volume_from_score FROM c"""
 
 
-@query("domain_traffic", "J22 J23")
-def domain_traffic(d):
+def _domain_traffic(d) -> str:
+    return f"""WITH k AS ({T.keywords(d)}), b AS (SELECT id % 12 AS domain, position, {d.trunc(f'volume * {S.blended_ctr(d, "position")}')} AS clicks FROM k)
+SELECT domain, count(*) AS keywords, count(*) FILTER (WHERE position <= 3) AS top_3, count(*) FILTER (WHERE position <= 10) AS top_10, coalesce(sum(clicks), 0) AS traffic FROM b GROUP BY domain"""
+
+
+@frame("domain_traffic", "J22 J23", lambda d: f"SELECT *, row_number() OVER (ORDER BY traffic DESC, domain) AS rank, round(traffic * 100e0 / nullif(sum(traffic) OVER (), 0), 6) AS share FROM ({_domain_traffic(d)}) g")
+def domain_traffic(spark, sf_dir):
     """Traffic of each brand's keywords, rank and share of all."""
-    return f"""WITH k AS ({T.keywords(d)}), b AS (SELECT id % 12 AS domain, position, {d.trunc(f'volume * {S.blended_ctr(d, "position")}')} AS clicks FROM k),
-g AS (SELECT domain, count(*) AS keywords, count(*) FILTER (WHERE position <= 3) AS top_3, count(*) FILTER (WHERE position <= 10) AS top_10, coalesce(sum(clicks), 0) AS traffic FROM b GROUP BY domain)
-SELECT domain, keywords, top_3, top_10, traffic, row_number() OVER (ORDER BY traffic DESC, domain) AS rank, round(traffic * 100e0 / nullif(sum(traffic) OVER (), 0), 6) AS share FROM g"""
+    rows = ranked(run_sql(spark, sf_dir, _domain_traffic(SPARK)), [F.desc("traffic"), F.asc("domain")], "rank")
+    total = rows.agg(F.nullif(F.sum("traffic"), F.lit(0)).alias("total"))  # one row
+    return rows.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("traffic") * 100.0 / F.col("total"), 6)).drop("total")
 
 
 @query("vitals", "J26 J27 J28 J29 R18 R19")

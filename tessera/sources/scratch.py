@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows of a few numbers or short strings that may be told to every task; more are shuffled.
@@ -32,3 +33,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def told(df: DataFrame, most: int = TOLD_ROWS) -> DataFrame:
     """df, to be broadcast in a join if it has at most so many rows. df is counted: it should be a written table."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with each row's place in an order without ties, from 1. Ranges of the order are numbered apart; what lies before each range is a row of its own, told to all."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = laid.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return laid.withColumn(name, here).join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

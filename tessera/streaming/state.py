@@ -162,7 +162,7 @@ def stream_quarantine(spark, sf_dir):
     return drain(quarantines(errors, 5, 6 * 3600, 24 * 3600), "quarantine")
 
 
-@frame("stream_rate_limit", "P10 P11")
+@frame("stream_rate_limit", "P10")
 def stream_rate_limit(spark, sf_dir):
     requests = event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("key"), F.unix_timestamp("ts").alias("s"))
     return drain(token_buckets(requests, 2.0, 0.01), "rate")

@@ -191,3 +191,44 @@ def test_scores_follow_from_issues(spark):
     names = ("security", "seo", "accessibility", "performance", "overall")
     assert len(rows) == len(by_rule) and {r["page_id"]: [r[n] for n in names] for r in rows} == {i: [r[n] for n in names] for i, r in by_rule.items()}
     assert len({r["overall"] for r in rows}) > 3 and any(r["security"] == 75 for r in rows)
+
+
+def test_embeddings_by_topics(spark):
+    """Texts of one topic lie nearer to each other than under hashed counts, texts of two topics no nearer; every run gives the same."""
+    from tessera.operators import learning
+
+    rng = random.Random(2)
+    words = [[f"{chr(97 + t)}{k:02d}x" for k in range(60)] for t in range(6)]
+    texts = [" ".join(rng.choice(words[i % 6]) for _ in range(12)) for i in range(600)] + [None, "", "never seen"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    model = learning.topics(df.where("doc_id < 600").select("text"), size=6)
+    again = learning.topics(df.where("doc_id < 600").select("text").repartition(3), size=6)
+    assert np.allclose(model.vectors, again.vectors, atol=1e-8)
+    rows = {r["doc_id"]: np.array(r["vector"]) for r in learning.embedded(df, model).collect()}
+    assert len(rows) == 603 and not rows[600].any() and not rows[601].any()
+
+    def counted(i):
+        out = np.zeros(learning.TERMS)
+        columns, weights = learning.term_weights(texts[i])
+        out[columns] = weights
+        return out / np.sqrt((out * out).sum())
+
+    pairs = [(rng.randrange(600), rng.randrange(600)) for _ in range(800)]
+    same, other = [p for p in pairs if p[0] % 6 == p[1] % 6 and p[0] != p[1]], [p for p in pairs if p[0] % 6 != p[1] % 6]
+    mean = lambda of, some: float(np.mean([of(a) @ of(b) for a, b in some]))
+    learnt, plain = mean(rows.get, same) - mean(rows.get, other), mean(counted, same) - mean(counted, other)
+    print("gap of topics", learnt, "of counts", plain)
+    assert learnt > 0.8 > 3 * plain
+
+
+def test_near_copies_have_near_vectors(spark):
+    from tessera.operators import learning
+
+    docs = [r for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").collect() if r["text"] and len(r["text"]) > 400][:60]
+    near = [(r["doc_id"], r["text"]) for r in docs] + [(r["doc_id"] + 10**6, r["text"][: len(r["text"]) * 9 // 10]) for r in docs]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    rows = {r["doc_id"]: np.array(r["vector"]) for r in learning.embedded(df, learning.topics(df.select("text"), size=32)).collect()}
+    ids = [r["doc_id"] for r in docs]
+    copies = [rows[i] @ rows[i + 10**6] for i in ids]
+    others = [rows[i] @ rows[j] for i in ids for j in ids if i < j]
+    assert np.mean(copies) > 0.95 and np.mean(copies) > np.quantile(others, 0.95)
