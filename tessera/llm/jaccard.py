@@ -8,7 +8,7 @@ The result gives each document its class, the smallest id reachable by links.
    to owner tasks, which answer which of them occur in more than one text. Only texts whose
    share of such shingles reaches t go on; no other text can have a link.
 2. Groups. Texts with equal sets are one class and go on as one representative. Of each
-   representative the rarest shingles (as many as a link can't do without) tie it to a neighbourhood;
+   representative some shingles, common ones last (as many as a link can't do without), tie it to a neighbourhood;
    linked texts always fall into the same one, as they share one of these shingles.
 3. Token-group matrix. Texts of a neighbourhood are dealt to blocks. A
    task partitions the texts of a block into groups of similar ones, stores each
@@ -38,15 +38,19 @@ from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_groups, materialize, shuffle_partitions, split_batches, temporary, text_buffers, told
 from .components import components
 from .shingles import WordDigests, shingle_sets
 
-#: Bytes of a shingle's hash that the first bound compares; equal bytes of unequal shingles only let more texts go on.
-BOUND_BYTES = 5
+#: Bits of a shingle's hash that the first bound compares: so many more than the number of shingles takes, and at most as many as BOUND_BYTES
+#: hold. Equal bits of unequal shingles only let more texts go on; of all shingles about one in 2^SPARE_BITS meets another so.
+SPARE_BITS, BOUND_BYTES = 6, 5
+#: A shingle is common if so many texts hold it, or more where over COMMON_TOLD would be; common ones are told to every task (8 bytes each).
+COMMON, COMMON_TOLD = 64, 1_000_000
+#: A task tells of shingles that so many of its texts at least hold.
+COMMON_HERE = 4
 #: Shingles that a task packs together.
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
@@ -94,7 +98,7 @@ def _fingerprints(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.
     return cells[:, 0], cells[:, 1]
 
 
-def _pack(width: int, n_buckets: int):
+def _pack(width: int, n_buckets: int, bits: int):
     """Texts to packed rows: kind 0, a chunk's documents; kind 1, its distinct shingles of one bucket."""
 
     def run(batches):
@@ -111,7 +115,7 @@ def _pack(width: int, n_buckets: int):
             known = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
             fp = [np.concatenate([h[k] for h in held]) for k in (3, 4)]
-            tokens = np.concatenate([h[5] for h in held]) >> np.uint64(64 - 8 * BOUND_BYTES)
+            tokens = np.concatenate([h[5] for h in held]) >> np.uint64(64 - bits)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(tokens, kind="stable")
             tokens, doc = tokens[order], doc[order]
@@ -126,7 +130,7 @@ def _pack(width: int, n_buckets: int):
             kinds, buckets = [0], [int(chunk % n_buckets)]
             a = [b"".join(x.astype("<i8").tobytes() for x in (ids, sizes, local, *fp))]
             b = [known.astype(np.uint8).tobytes()]
-            edges = np.searchsorted(distinct, (np.arange(1, n_buckets) * (1 << 8 * BOUND_BYTES)) // n_buckets)
+            edges = np.searchsorted(distinct, (np.arange(1, n_buckets) * (1 << bits)) // n_buckets)
             for k, (t, o) in enumerate(zip(np.split(distinct, edges), np.split(owner, edges), strict=True)):
                 if len(t):
                     kinds.append(1)
@@ -199,7 +203,9 @@ def _signatures(key, table):
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, shared, fp1, fp2 of each row of docs (doc_id, text)."""
     n_buckets = shuffle_partitions(docs.sparkSession)
-    packed = docs.select("doc_id", "text").mapInArrow(_pack(width, n_buckets), _PACKED)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(8 * BOUND_BYTES, max(24, (size // 6).bit_length() + SPARE_BITS))  # a word takes some six bytes
+    packed = docs.select("doc_id", "text").mapInArrow(_pack(width, n_buckets, bits), _PACKED)
     answers = packed.groupBy("bucket").applyInArrow(_owner, "chunk long, kind int, a binary, b binary")
     return answers.groupBy("chunk").applyInArrow(_signatures, "doc_id long, n long, shared long, fp1 long, fp2 long")
 
@@ -319,17 +325,45 @@ def _token_rows(width: int):
     return run
 
 
-def _explode(batches):
+def _common(batches):
+    """The shingles that many texts of a chunk hold, by their first digests."""
     import pyarrow as pa
 
+    def told(held):
+        tokens, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= COMMON_HERE
+        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], names=["token", "n"])
+
+    held, size = [], 0
     for batch in batches:
-        sets = [np.frombuffer(x, "<u8", len(x) // 16) for x in batch.column(1).to_pylist()]  # first digests only
-        sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        ids = np.repeat(batch.column(0).to_numpy(), sizes)
-        for lo in range(0, len(flat), 500_000):
-            columns = [ids[lo : lo + 500_000], flat.view(np.int64)[lo : lo + 500_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "token"])
+        for x in batch.column(0).to_pylist():
+            held.append(np.frombuffer(x, "<u8", len(x) // 16))
+            size += len(held[-1])
+            if size > 2 * CHUNK_TOKENS:
+                yield told(held)
+                held, size = [], 0
+    if held:
+        yield told(held)
+
+
+def _prefixes(percent: int, common):
+    """The shingles of which a linked text must share one: common ones come last, the others and these in the order of their digests."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = common.value
+        for batch in batches:
+            ids, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for i, x in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_pylist(), strict=True):
+                mine = np.frombuffer(x, "<u8", len(x) // 16)
+                late = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine if len(last) else np.zeros(len(mine), bool)
+                first = np.concatenate([mine[~late], mine[late]])[: len(mine) - _least(len(mine), percent) + 1]
+                ids.append(np.full(len(first), i))
+                tokens.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))], names=["doc_id", "token"])
+
+    return run
 
 
 def _compare(work: DataFrame, percent: int, by: list[str]) -> DataFrame:
@@ -417,16 +451,15 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows; else nothing is shuffled
             sets = materialize(sets.dropDuplicates(["doc_id", "fp1", "fp2"]), "sets-once")
 
-        # neighbourhoods: the shingles, rarest first, of which a linked text must share one
-        rows = sets.select("doc_id", "tokens").mapInArrow(_explode, "doc_id long, token long")
-        freq = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        by_text = W.partitionBy("doc_id")
-        shared = rows.join(freq, "token").select("doc_id", "token", F.count("*").over(by_text).alias("m"), F.row_number().over(by_text.orderBy("df", "token")).alias("place"))
-        sizes = sets.select("doc_id", "n", (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("prefix"))
-        ties = shared.join(sizes, "doc_id").where(F.col("n") - F.col("m") + F.col("place") <= F.col("prefix"))
-        least = materialize(ties.select("doc_id", "token"), "ties")
+        # neighbourhoods: the shingles, common ones last, of which a linked text must share one
+        total = sets.agg(F.sum("n")).first()[0] or 0
+        limit = max(COMMON, -(-total // COMMON_TOLD))
+        common = sets.select("tokens").mapInArrow(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
+        common = np.sort(np.array([r["token"] for r in common.select("token").collect()], np.int64).view(np.uint64))  # COMMON_TOLD at most
+        prefixes = _prefixes(percent, docs.sparkSession.sparkContext.broadcast(common))
+        least = materialize(sets.select("doc_id", "tokens").mapInArrow(prefixes, "doc_id long, token long"), "ties")
         lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
-        near = least.join(lows, "token").select("a", F.col("doc_id").alias("b")).distinct()
+        near = join_groups(least, materialize(lows, "lows"), ["token"], "c").select("a", F.col("doc_id").alias("b")).distinct()
         around = components(near, "neighbourhoods")
         texts = sets.select("doc_id", "n").join(around, sets["doc_id"] == around["node"]).select("doc_id", "n", F.col("component").alias("hood"))
         found = materialize(neighbour_links(materialize(texts, "texts"), sets, percent).union(equal), "links", outer=True)
