@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import math
 import tempfile
 import uuid
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Paths written since each open block of temporary() began.
-_SCOPES: list[list[str]] = []
+#: Paths written since each open block of temporary() began, the innermost last; every thread and context has its own.
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -40,11 +41,13 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
     """Tables materialised inside are deleted at the end: what is needed later must have been written as an outer one by then."""
-    _SCOPES.append([])
+    mine: list[str] = []
+    before = _SCOPES.set((*_SCOPES.get(), mine))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(before)
+        for path in mine:
             delete(spark, path)
 
 
@@ -57,8 +60,9 @@ def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     folder = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.parquet(f"{folder}/{name}")
-    if len(_SCOPES) > outer:
-        _SCOPES[-1 - outer].append(folder)
+    scopes = _SCOPES.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(folder)
     table = spark.read.schema(schema).parquet(f"{folder}/{name}")
     table.written_to = folder
     return table

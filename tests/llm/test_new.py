@@ -279,3 +279,29 @@ def test_word_counts_of_odd_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("word", F.lit("y"))
     found = spelling.word_counts(df, "[a-zÀ-ÿ]+", queries.misspelt, min_chars=6, least=5)
     assert {r["word"]: r["n"] for r in found.collect()} == counted_words(rows)
+
+
+def test_two_threads_delete_their_own_tables(spark):
+    """Blocks of temporary() in two threads overlap in time; each deletes what was written inside it."""
+    import threading
+
+    from tessera.llm.common import materialize, temporary
+
+    first, second, kept = threading.Event(), threading.Event(), []
+
+    def run():
+        with temporary(spark):
+            first.wait(60)
+            kept.append(materialize(spark.range(3), "inner"))
+        second.set()
+
+    other = threading.Thread(target=run)
+    other.start()
+    with temporary(spark):
+        mine = materialize(spark.range(5), "outer")
+        first.set()
+        second.wait(60)
+        other.join()
+        assert mine.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.schema("id long").parquet(kept[0].written_to).count()
