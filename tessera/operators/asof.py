@@ -43,7 +43,7 @@ SECONDARY_DIRECTORIES = ("angies_list", "thumbtack", "homeadvisor", "mapquest",
 
 
 def observations(d: Dialect) -> str:
-    """What a directory was seen to say of a company: company_id, directory, seen, present, nap, reviews, rating; the last of each instant.
+    """What a directory was seen to say of a company: company_id, directory, seen, present, nap, reviews; the last of each instant.
 
     nap: how far name, phone and street agree with the company's own record, 0.4, 0.3 and 0.3.
     """
@@ -51,8 +51,8 @@ def observations(d: Dialect) -> str:
     street = d.sub("street", "Street$", "St")
     nap = f"""CASE WHEN trim(lower(name)) = 'acme ' || CAST(company_id AS string) THEN 0.4e0 ELSE 0e0 END + CASE WHEN phone = '212555' || lpad(CAST(company_id % 10000 AS string), 4, '0') THEN 0.3e0 ELSE 0e0 END
     + CASE WHEN {street} = CAST(company_id % 100 AS string) || ' Main St' THEN 0.3e0 ELSE 0e0 END"""
-    return f"""SELECT company_id, directory, seen, present, nap, reviews, rating FROM (SELECT *, row_number() OVER (PARTITION BY company_id, directory, seen ORDER BY source_id DESC) AS r FROM (
-    SELECT company_id, {kind} AS directory, CAST(first_seen AS timestamp) AS seen, source_id, status = 'ok' AS present, {nap} AS nap, score AS reviews, score / 20e0 AS rating FROM ({T.claims(d)}) c WHERE source_type IS NOT NULL) o) p WHERE r = 1"""
+    return f"""SELECT company_id, directory, seen, present, nap, reviews FROM (SELECT *, row_number() OVER (PARTITION BY company_id, directory, seen ORDER BY source_id DESC) AS r FROM (
+    SELECT company_id, {kind} AS directory, CAST(first_seen AS timestamp) AS seen, source_id, status = 'ok' AS present, {nap} AS nap, score AS reviews FROM ({T.claims(d)}) c WHERE source_type IS NOT NULL) o) p WHERE r = 1"""
 
 
 def link_totals(d: Dialect) -> str:
@@ -73,8 +73,10 @@ def _scores(d: Dialect, listed: str, linked: str) -> str:
     points = " + ".join(f"coalesce(max(CASE WHEN {of(name)} THEN {w} * (0.6e0 + 0.4e0 * nap) END), 0e0)" for name, w in KEY_DIRECTORIES.items())
     second = f"least(30, 3 * count(*) FILTER (WHERE present AND directory IN ({', '.join(repr(x) for x in SECONDARY_DIRECTORIES)})))"
     volume = S.tiers("coalesce(sum(CASE WHEN present THEN reviews END), 0)", ((51, 50), (26, 35), (11, 25), (1, 15)), 0)
-    rating = "avg(CASE WHEN present AND rating > 0 THEN rating END)"
-    stars = f"CASE WHEN {rating} IS NULL THEN 0 ELSE {S.tiers(rating, (('4.5e0', 50), ('4.0e0', 40), ('3.5e0', 30), ('3.0e0', 20)), 10)} END"
+    # the mean of ratings, which are twentieths: sums of whole numbers are the same in any order
+    rated = "CASE WHEN present AND reviews > 0 THEN reviews END"
+    rating = f"(sum({rated}) / (20e0 * count({rated})))"
+    stars = f"CASE WHEN count({rated}) = 0 THEN 0 ELSE {S.tiers(rating, (('4.5e0', 50), ('4.0e0', 40), ('3.5e0', 30), ('3.0e0', 20)), 10)} END"
     shown = "count(*) FILTER (WHERE present)"
     google = f"coalesce(max(CASE WHEN {of('google_business')} THEN 30 + CASE WHEN nap >= 0.8e0 THEN 20 ELSE 0 END END), 0)"
     links = f"""CASE WHEN domain IS NULL OR coalesce(links, 0) = 0 THEN 0e0 ELSE {S.tiers('domains', ((21, 40), (11, 30), (6, 20), (1, 10)), 0)} + 30e0 * followed / links + {S.tiers('authority * 1e0 / domains', ((41, 30), (21, 20), (1, 10)), 0)} END"""
@@ -88,7 +90,7 @@ def _scores(d: Dialect, listed: str, linked: str) -> str:
 def _authority_sql(d: Dialect) -> str:
     names = ", ".join(f"('{x}')" for x in (*KEY_DIRECTORIES, *SECONDARY_DIRECTORIES))
     return f"""WITH a AS ({audits(d)}), obs AS ({observations(d)}), tot AS ({link_totals(d)}), names(directory) AS (VALUES {names}),
-listed AS (SELECT q.company_id, q.audited_at, q.directory, o.present, o.nap, o.reviews, o.rating FROM (SELECT a.company_id, a.audited_at, names.directory FROM a CROSS JOIN names) q
+listed AS (SELECT q.company_id, q.audited_at, q.directory, o.present, o.nap, o.reviews FROM (SELECT a.company_id, a.audited_at, names.directory FROM a CROSS JOIN names) q
   ASOF LEFT JOIN obs o ON q.company_id = o.company_id AND q.directory = o.directory AND q.audited_at >= o.seen),
 linked AS (SELECT a.company_id, a.audited_at, a.domain, t.links, t.domains, t.followed, t.authority FROM a ASOF LEFT JOIN tot t ON a.domain = t.domain AND a.audited_at >= t.seen)
 {_scores(d, 'listed', 'linked')}"""
@@ -100,6 +102,6 @@ def local_authority(spark, sf_dir) -> DataFrame:
     d = SPARK
     asked = run_sql(spark, sf_dir, audits(d))
     each = asked.select("company_id", "audited_at", F.explode(F.array(*[F.lit(x) for x in (*KEY_DIRECTORIES, *SECONDARY_DIRECTORIES)])).alias("directory"))
-    listed = as_of(each, run_sql(spark, sf_dir, observations(d)), ["company_id", "directory"], "audited_at", "seen", ["present", "nap", "reviews", "rating"])
+    listed = as_of(each, run_sql(spark, sf_dir, observations(d)), ["company_id", "directory"], "audited_at", "seen", ["present", "nap", "reviews"])
     linked = as_of(asked, run_sql(spark, sf_dir, link_totals(d)), ["domain"], "audited_at", "seen", ["links", "domains", "followed", "authority"])
     return spark.sql(_scores(d, "{listed}", "{linked}"), listed=listed, linked=linked)

@@ -51,6 +51,8 @@ def provider_probability(spark, sf_dir):
 
 #: Terms are hashed to so many columns; the tables that passes send to the driver have a row of SIZE + SPARE numbers for each.
 TERMS, SIZE, SPARE = 1 << 15, 128, 8
+#: Parts in which a table is added up.
+LOTS = 64
 
 
 def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class Topics:
 
 
 def _by_column(texts: DataFrame, work, width: int) -> np.ndarray:
-    """The sum over all texts of what work adds to a table of TERMS rows. Each task sends the rows that it touched; they are added up by row."""
+    """The sum over all texts of what work adds to a table of TERMS rows. Each task sends the rows that it touched; they are added up in parts."""
 
     def run(batches):
         import pyarrow as pa
@@ -97,24 +99,26 @@ def _by_column(texts: DataFrame, work, width: int) -> np.ndarray:
         total, touched = np.zeros((TERMS, width)), np.zeros(TERMS, bool)
         for batch in batches:
             work(batch.column(0).to_pylist(), total, touched)
-        rows = np.flatnonzero(touched)
-        for at in range(0, len(rows), 4096):
-            part = rows[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in total[part]], pa.binary())], names=["term", "row"])
+        for lot in range(LOTS):
+            rows = np.flatnonzero(touched[lot::LOTS]) * LOTS + lot
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([lot], pa.int32()), pa.array([rows.astype("<i4").tobytes()], pa.binary()), pa.array([total[rows].tobytes()], pa.binary())], names=["lot", "terms", "rows"])
 
     def add(key, table):
         import pyarrow as pa
 
-        total = sum(np.frombuffer(x) for x in sorted(table.column("row").to_pylist()))  # in one order, so that sums are the same in every run
-        return pa.table({"term": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros((TERMS // LOTS, width))
+        # in one order, so that sums are the same in every run
+        for terms, rows in sorted(zip(table.column("terms").to_pylist(), table.column("rows").to_pylist(), strict=True)):
+            total[np.frombuffer(terms, "<i4") // LOTS] += np.frombuffer(rows).reshape(-1, width)
+        return pa.table({"lot": pa.array([key[0].as_py()], pa.int32()), "terms": pa.array([b""], pa.binary()), "rows": pa.array([total.tobytes()], pa.binary())})
 
-    schema = "term int, row binary"
+    schema = "lot int, terms binary, rows binary"
     # tasks many times the shuffle's would send as many tables
     texts = texts.coalesce(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = texts.mapInArrow(run, schema).groupBy("term").applyInArrow(add, schema).collect()
     out = np.zeros((TERMS, width))
-    for r in found:
-        out[r["term"]] = np.frombuffer(r["row"])
+    for r in texts.mapInArrow(run, schema).groupBy("lot").applyInArrow(add, schema).collect():
+        out[r["lot"] :: LOTS] = np.frombuffer(r["rows"]).reshape(-1, width)
     return out
 
 
