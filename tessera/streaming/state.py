@@ -8,13 +8,15 @@ dropped; within a micro-batch a key's events are taken in the order of time and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..plans.registry import frame
 from ..sources.scratch import shared_path
@@ -71,6 +73,39 @@ def quarantines(events: DataFrame, errors: int = 3, window_s: int = 3600, hold_s
     return events.groupBy("key").applyInPandasWithState(run, "key long, from_s long, until_s long", "recent array<long>, until long", "append", GroupStateTimeout.NoTimeout)
 
 
+class Holds(StatefulProcessor):
+    """A key's recent errors and the end of its hold; the end of a hold is a timer, so a release is an event of its own."""
+
+    def __init__(self, errors: int, window_s: int, hold_s: int):
+        self.errors, self.window_s, self.hold_s = errors, window_s, hold_s
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("held", "recent array<long>, until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        recent, until = (list(self.state.get()[0]), self.state.get()[1]) if self.state.exists() else ([], 0)
+        for s in sorted(r["s"] for r in rows):
+            recent = [x for x in recent if x >= s - self.window_s] + [s]
+            if len(recent) >= self.errors and s >= until:
+                until = s + self.hold_s
+                self.handle.registerTimer(until * 1000)
+                yield Row(key=key[0], event="hold", s=s, ts=datetime.fromtimestamp(s, UTC))
+        self.state.update((recent, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        s = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        yield Row(key=key[0], event="release", s=s, ts=datetime.fromtimestamp(s, UTC))
+
+    def close(self) -> None:
+        pass
+
+
+def holds(events: DataFrame, errors: int = 3, window_s: int = 3600, hold_s: int = 3600) -> DataFrame:
+    """key, event (hold, release), s of errors (key, s, ts; under a watermark): a hold for `errors` errors within the window, a release when the watermark passes its end."""
+    return events.groupBy("key").transformWithState(Holds(errors, window_s, hold_s), "key long, event string, s long, ts timestamp", "Append", "EventTime", eventTimeColumnName="ts").select("key", "event", "s")
+
+
 def token_buckets(requests: DataFrame, size: float = 10.0, per_minute: float = 10.0) -> DataFrame:
     """key, s to whether each request passes or how long it waits; the state is the tokens and the last time."""
 
@@ -118,9 +153,13 @@ def _root(spark: SparkSession, name: str) -> str:
     return shared_path(spark, f"stream-{name}")
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is there and return what it appended, as a table in the shared folder."""
-    root = _root(stream.sparkSession, name)
+#: The state store that timers and states with several columns need.
+TIMED_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def drain(stream: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Run a stream over what is there and return what it appended, as a table in the shared folder. root: where it ran before, to go on from there."""
+    root = root or _root(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
@@ -155,11 +194,42 @@ def stream_alerts(spark, sf_dir):
     return drain(alerts(events), "alerts").select("keyword", "domain", "alert", "old", "new", "seq")
 
 
-@frame("stream_quarantine", "P8 P9")
+def _holds_ctes(d, errors: int, window_s: int, hold_s: int) -> str:
+    """holds: key, s of each hold. A hold begins at the first moment with errors enough that no hold covers; the moment after a hold is looked up for each."""
+    return f"""RECURSIVE e AS (SELECT user_id % 10 AS key, {d.epoch('ts')} AS s FROM events WHERE event_type = 'error'),
+m AS (SELECT DISTINCT key, s FROM (SELECT key, s, count(*) OVER (PARTITION BY key ORDER BY s RANGE BETWEEN {window_s} PRECEDING AND CURRENT ROW) AS n FROM e) w WHERE n >= {errors}),
+n AS (SELECT a.key, a.s, min(b.s) AS next FROM m a JOIN m b ON a.key = b.key AND b.s >= a.s + {hold_s} GROUP BY a.key, a.s),
+holds AS (SELECT key, min(s) AS s FROM m GROUP BY key UNION ALL SELECT n.key, n.next AS s FROM holds JOIN n ON holds.key = n.key AND holds.s = n.s)"""
+
+
+def _quarantine_sql(d) -> str:
+    return f"WITH {_holds_ctes(d, 5, 6 * 3600, 24 * 3600)} SELECT key, s AS from_s, s + {24 * 3600} AS until_s FROM holds"
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    return event_stream(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 10).alias("key"), F.unix_timestamp("ts").alias("s"), "ts")
+
+
+@frame("stream_quarantine", "P8 P9", _quarantine_sql)
 def stream_quarantine(spark, sf_dir):
     """Five errors of a tenth of the users within six hours hold it for a day."""
-    errors = event_stream(spark, sf_dir).where("event_type = 'error'").select((F.col("user_id") % 10).alias("key"), F.unix_timestamp("ts").alias("s"))
-    return drain(quarantines(errors, 5, 6 * 3600, 24 * 3600), "quarantine")
+    return drain(quarantines(_errors(spark, sf_dir).drop("ts"), 5, 6 * 3600, 24 * 3600), "quarantine")
+
+
+def _releases_sql(d) -> str:
+    end = f"(SELECT max({d.epoch('ts')}) - 86400 FROM events WHERE event_type = 'error')"
+    return f"WITH {_holds_ctes(d, 5, 6 * 3600, 24 * 3600)} SELECT key, 'hold' AS event, s FROM holds UNION ALL SELECT key, 'release' AS event, s + {24 * 3600} AS s FROM holds WHERE s + {24 * 3600} <= {end}"
+
+
+@frame("stream_releases", "P8 P9 P13", _releases_sql)
+def stream_releases(spark, sf_dir):
+    """Holds of a tenth of the users, and their ends as events of their own: those that the watermark, a day behind the last error, has passed."""
+    before = spark.conf.get(TIMED_STORE[0])
+    spark.conf.set(*TIMED_STORE)
+    try:
+        return drain(holds(_errors(spark, sf_dir).withWatermark("ts", LATENESS), 5, 6 * 3600, 24 * 3600), "releases")
+    finally:
+        spark.conf.set(TIMED_STORE[0], before)
 
 
 @frame("stream_rate_limit", "P10")
