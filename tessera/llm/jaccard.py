@@ -8,7 +8,7 @@ The result gives each document its class, the smallest id reachable by links.
    to owner tasks, which answer which of them occur in more than one text. Only texts whose
    share of such shingles reaches t go on; no other text can have a link.
 2. Groups. Texts with equal sets are one class and go on as one representative. Of each
-   representative some shingles, common ones last (as many as a link can't do without), tie it to a neighbourhood;
+   representative the rarest shingles by a sketch of their numbers (as many as a link can't do without) tie it to a neighbourhood;
    linked texts always fall into the same one, as they share one of these shingles.
 3. Token-group matrix. Texts of a neighbourhood are dealt to blocks. A
    task partitions the texts of a block into groups of similar ones, stores each
@@ -47,10 +47,8 @@ from .shingles import WordDigests, shingle_sets
 #: Bits of a shingle's hash that the first bound compares: so many more than the number of shingles takes, and at most as many as BOUND_BYTES
 #: hold. Equal bits of unequal shingles only let more texts go on; of all shingles about one in 2^SPARE_BITS meets another so.
 SPARE_BITS, BOUND_BYTES = 6, 5
-#: A shingle is common if so many texts hold it, or more where over COMMON_TOLD would be; common ones are told to every task (8 bytes each).
-COMMON, COMMON_TOLD = 64, 1_000_000
-#: A task tells of shingles that so many of its texts at least hold.
-COMMON_HERE = 4
+#: Cells of the sketch of how many texts hold a shingle, a byte each; it orders shingles only, so any size gives right results.
+SKETCH_BITS, SKETCH_PARTS = 24, 64
 #: Shingles that a task packs together.
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
@@ -325,14 +323,21 @@ def _token_rows(width: int):
     return run
 
 
-def _common(batches):
-    """The shingles that many texts of a chunk hold, by their first digests."""
+def _cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(batches):
+    """How many of a chunk's shingles fall into each cell, cut into parts: the cells that are not empty as steps, and their numbers."""
     import pyarrow as pa
 
     def told(held):
-        tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        some = n >= COMMON_HERE
-        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], names=["token", "n"])
+        cell, n = np.unique(_cells(np.concatenate(held)), return_counts=True)
+        bounds = np.searchsorted(cell, np.arange(SKETCH_PARTS + 1) << SKETCH_BITS - 6)
+        parts = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if lo < hi]
+        steps = [_squeezed(_planes(np.diff(cell[lo:hi] - (k << SKETCH_BITS - 6), prepend=0).astype(np.uint64), 3)) for k, lo, hi in parts]
+        numbers = [_squeezed(np.minimum(n[lo:hi], 255).astype(np.uint8).tobytes()) for _, lo, hi in parts]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int32()), pa.array(steps, pa.binary()), pa.array(numbers, pa.binary())], names=["part", "steps", "numbers"])
 
     held, size = [], 0
     for batch in batches:
@@ -346,21 +351,39 @@ def _common(batches):
         yield told(held)
 
 
-def _prefixes(percent: int, common):
-    """The shingles of which a linked text must share one: common ones come last, the others and these in the order of their digests."""
+def _add_sketches(key, table):
+    import pyarrow as pa
+
+    total = np.zeros(1 << SKETCH_BITS - 6, np.int64)
+    for steps, numbers in zip(table.column("steps").to_pylist(), table.column("numbers").to_pylist(), strict=True):
+        total[np.cumsum(_unplanes(_spread(steps), 3)).astype(np.int64)] += np.frombuffer(_spread(numbers), np.uint8)
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def _often(sets: DataFrame) -> np.ndarray:
+    """The sketch over all sets (tokens): at least how often each cell's shingles occur, 255 at most."""
+    rows = sets.select("tokens").mapInArrow(_sketch, "part int, steps binary, numbers binary").groupBy("part").applyInArrow(_add_sketches, "part int, cells binary")
+    out = np.zeros((SKETCH_PARTS, 1 << SKETCH_BITS - 6), np.uint8)
+    for r in rows.collect():  # SKETCH_PARTS rows, 2^SKETCH_BITS bytes
+        out[r["part"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.ravel()
+
+
+def _prefixes(percent: int, often):
+    """The shingles of which a linked text must share one: those that seem rarest; one that certainly is the only one of its kind ties nothing."""
 
     def run(batches):
         import pyarrow as pa
 
-        last = common.value
         for batch in batches:
             ids, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, x in zip(batch.column(0).to_numpy().tolist(), batch.column(1).to_pylist(), strict=True):
                 mine = np.frombuffer(x, "<u8", len(x) // 16)
-                late = last[np.minimum(np.searchsorted(last, mine), len(last) - 1)] == mine if len(last) else np.zeros(len(mine), bool)
-                first = np.concatenate([mine[~late], mine[late]])[: len(mine) - _least(len(mine), percent) + 1]
-                ids.append(np.full(len(first), i))
-                tokens.append(first)
+                n = often.value[_cells(mine)]
+                order = np.argsort(n, kind="stable")[: len(mine) - _least(len(mine), percent) + 1]  # mine is in order: so are equal ones
+                order = order[n[order] > 1]
+                ids.append(np.full(len(order), i))
+                tokens.append(mine[order])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))], names=["doc_id", "token"])
 
     return run
@@ -451,12 +474,8 @@ def links(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFra
         if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():  # repeated rows; else nothing is shuffled
             sets = materialize(sets.dropDuplicates(["doc_id", "fp1", "fp2"]), "sets-once")
 
-        # neighbourhoods: the shingles, common ones last, of which a linked text must share one
-        total = sets.agg(F.sum("n")).first()[0] or 0
-        limit = max(COMMON, -(-total // COMMON_TOLD))
-        common = sets.select("tokens").mapInArrow(_common, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= limit)
-        common = np.sort(np.array([r["token"] for r in common.select("token").collect()], np.int64).view(np.uint64))  # COMMON_TOLD at most
-        prefixes = _prefixes(percent, docs.sparkSession.sparkContext.broadcast(common))
+        # neighbourhoods: the shingles, rarest first by a sketch, of which a linked text must share one
+        prefixes = _prefixes(percent, docs.sparkSession.sparkContext.broadcast(_often(sets)))
         least = materialize(sets.select("doc_id", "tokens").mapInArrow(prefixes, "doc_id long, token long"), "ties")
         lows = least.groupBy("token").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1")
         near = join_groups(least, materialize(lows, "lows"), ["token"], "c").select("a", F.col("doc_id").alias("b")).distinct()
