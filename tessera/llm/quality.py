@@ -25,7 +25,7 @@ no rows. A language with fewer than MIN_TRUSTED trusted texts takes the larger o
 from __future__ import annotations
 
 import bz2
-import uuid
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -240,36 +240,69 @@ def _asked(data: np.ndarray, off: np.ndarray, halves: np.ndarray, shards: int) -
     return grams, distinct, *_cut(shard, 2 * shards)
 
 
-def _blocks(half: str, text: str):
-    """Rows packed in blocks: their texts, and their other columns with the texts' lengths last."""
+def _blocks(make):
+    """Rows packed in blocks, in the order in which they come: make(block, batch) gives each block's record batch."""
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        def pack(held):
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            data, off = text_buffers(batch.column(batch.num_columns - 1))
-            rest = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(off))], names=batch.schema.names)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rest)
-            columns = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([bz2.compress(_FOLD[data].tobytes())], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "texts", "rest"])
-
-        held, size, rows = [], 0, 0
-        for batch in split_batches(batches, BLOCK_BYTES, text):
+        block, held, size, rows = TaskContext.get().partitionId() << 24, [], 0, 0
+        whole = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        for batch in split_batches(batches, BLOCK_BYTES, batches_text):
             more = int(text_buffers(batch.column(batch.num_columns - 1))[1][-1])
             if held and (size + more > BLOCK_BYTES or rows + batch.num_rows > BLOCK_ROWS):
-                yield pack(held)
-                held, size, rows = [], 0, 0
+                yield make(block, whole())
+                block, held, size, rows = block + 1, [], 0, 0
             held.append(batch)
             size, rows = size + more, rows + batch.num_rows
         if held:
-            yield pack(held)
+            yield make(block, whole())
 
+    batches_text = make.text
     return run
 
 
+class _Texts:
+    """Blocks as their texts, and their other columns with the texts' lengths last."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    def __call__(self, block: int, batch):
+        import pyarrow as pa
+
+        data, off = text_buffers(batch.column(batch.num_columns - 1))
+        rest = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.diff(off))], names=batch.schema.names)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rest)
+        columns = [pa.array([block], pa.int64()), pa.array([bz2.compress(_FOLD[data].tobytes())], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "texts", "rest"])
+
+
+class _Questions:
+    """What each block asks of each shard, with a check of all that it asks."""
+
+    def __init__(self, text: str, half: str, shards: int):
+        self.text, self.half, self.shards = text, half, shards
+
+    def __call__(self, block: int, batch):
+        import pyarrow as pa
+
+        data, off = text_buffers(batch.column(batch.num_columns - 1))
+        halves = batch.column(batch.schema.get_field_index(self.half)).to_numpy().astype(np.int64)
+        _, distinct, order, cut = _asked(data, off, halves, self.shards)
+        some = np.flatnonzero(np.diff(cut)).tolist()
+        keys = [_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some]
+        columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(keys, pa.binary()), pa.array([_check(distinct)] * len(some), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "shard", "keys", "check"])
+
+
+def _check(distinct: np.ndarray) -> int:
+    return zlib.crc32(distinct.tobytes())
+
+
 def _opened(texts: bytes, rest: bytes, half: str, shards: int):
     """A block's other columns, lengths and offsets of its texts, and what it asks (see _asked)."""
     import pyarrow as pa
@@ -281,22 +314,6 @@ def _opened(texts: bytes, rest: bytes, half: str, shards: int):
     return rows, n, off, _asked(np.frombuffer(bz2.decompress(texts), np.uint8), off, halves, shards)
 
 
-def _questions(half: str, shards: int):
-    """What each block asks of each shard."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for block, texts, rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                _, _, _, (_, distinct, order, cut) = _opened(texts, rest, half, shards)
-                some = np.flatnonzero(np.diff(cut)).tolist()
-                keys = [_planes(distinct[order[cut[k] : cut[k + 1]]], ORDER) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(keys, pa.binary())], names=["block", "shard", "keys"])
-
-    return run
-
-
 def _answers(bigrams, shards: int):
     """Of each shard the probabilities come first; then its questions, whose logarithms are returned."""
 
@@ -306,7 +323,7 @@ def _answers(bigrams, shards: int):
         now, held, model = None, [], None
         for batch in batches:
             out = []
-            for shard, level, block, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, level, block, check, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now:
                     now, held, model = shard, [], None
                 if level < QUESTION:
@@ -315,58 +332,56 @@ def _answers(bigrams, shards: int):
                 model = model or Model(bigrams.value[shard // shards], held)
                 held = []
                 logs = np.maximum(-model.log_prob(_unplanes(row[0], ORDER)), 0) * FIXED
-                out.append((block, shard, np.rint(np.minimum(logs, 2.0**32 - 1)).astype("<u4").tobytes()))
+                out.append((block, shard, check, np.rint(np.minimum(logs, 2.0**32 - 1)).astype("<u4").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "shard", "answer"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["block", "shard", "check", "answer"])
 
     return run
 
 
 def _scores(names: list[str], half: str, shards: int):
-    """Of each block the answers come first, by shard; then its texts."""
+    """A block's texts with the answers to what it asks."""
 
-    def run(batches):
+    def run(key, answers, blocks):
         import pyarrow as pa
 
-        now, answers = None, []
-        for batch in batches:
-            for block, shard, answer, texts, rest in zip(*batch.columns, strict=True):
-                if block.as_py() != now:
-                    now, answers = block.as_py(), []
-                if shard.as_py() < 2 * shards:
-                    answers.append(np.frombuffer(answer.as_py(), "<u4") / -FIXED)
-                    continue
-                rows, n, off, (grams, distinct, order, _) = _opened(texts.as_py(), rest.as_py(), half, shards)
-                found = np.concatenate([np.zeros(0), *answers])
-                if len(found) != len(distinct):
-                    raise RuntimeError(f"block {now}: {len(found)} answers to {len(distinct)} questions")
-                logs = np.zeros(len(distinct))
-                logs[order] = found
-                value, some = np.full(len(n), np.nan), n > 0
-                if some.any():
-                    value[some] = np.exp(-np.add.reduceat(logs[np.searchsorted(distinct, grams)], off[:-1][some]) / n[some])
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(value, pa.float64(), mask=~some)], names=names)
+        texts, rest = (blocks.column(c).to_pylist()[0] for c in ("texts", "rest"))
+        rows, n, off, (grams, distinct, order, _) = _opened(texts, rest, half, shards)
+        answers = answers.sort_by("shard")
+        found = np.concatenate([np.zeros(0), *[np.frombuffer(x, "<u4") / -FIXED for x in answers.column("answer").to_pylist()]])
+        if len(found) != len(distinct) or {*answers.column("check").to_pylist()} - {_check(distinct)}:
+            raise RuntimeError(f"block {key[0]}: {len(found)} answers to {len(distinct)} questions, or to others: the rows came in another order when they were read again; write them to a table first")
+        logs = np.zeros(len(distinct))
+        logs[order] = found
+        value, some = np.full(len(n), np.nan), n > 0
+        if some.any():
+            value[some] = np.exp(-np.add.reduceat(logs[np.searchsorted(distinct, grams)], off[:-1][some]) / n[some])
+        return pa.Table.from_arrays([*rows.columns[:-1], pa.array(value, pa.float64(), mask=~some)], names=names)
 
     return run
 
 
 def perplexity(df: DataFrame, models: list[tuple[np.ndarray, DataFrame]], half: str = "half", text: str = "text", shards: int = LEAST_SHARDS) -> DataFrame:
-    """df without its text, plus perplexity under the model (see shares; of so many shards) that its half (0 or 1) names."""
+    """df without its text, plus perplexity under the model (see shares; of so many shards) that its half (0 or 1) names.
+
+    df is read twice, for what its blocks ask and for their texts, and must give its rows in one order, as written tables do; else an
+    error is raised.
+    """
     from pyspark.sql import types as T
 
     spark = df.sparkSession
     parts = shuffle_partitions(spark)
     fields = [f for f in df.schema.fields if f.name != text]
-    packed = df.select(*[f.name for f in fields], text).mapInArrow(_blocks(half, text), "block long, texts binary, rest binary")
-    packed = materialize(packed, "blocks")
-    met = packed.mapInArrow(_questions(half, shards), "block long, shard int, keys binary").withColumn("level", F.lit(QUESTION))
+    rows_of = df.select(*[f.name for f in fields], text)
+    packed = rows_of.mapInArrow(_blocks(_Texts(text)), "block long, texts binary, rest binary")
+    met = rows_of.mapInArrow(_blocks(_Questions(text, half, shards)), "block long, shard int, keys binary, check long").withColumn("level", F.lit(QUESTION))
     for k, (_, rows) in enumerate(models):
         met = met.unionByName(rows.withColumn("shard", F.col("shard") + k * shards), allowMissingColumns=True)
-    met = met.select("shard", "level", "block", "keys", "prob", "heads", "weight").repartition(parts, "shard").sortWithinPartitions("shard", "level")
-    answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models]), shards), "block long, shard int, answer binary")
-    both = answers.unionByName(packed.withColumn("shard", F.lit(2 * shards)), allowMissingColumns=True)
-    both = both.repartition(parts, "block").sortWithinPartitions("block", "shard")
-    return both.mapInArrow(_scores([*[f.name for f in fields], "perplexity"], half, shards), T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
+    met = met.select("shard", "level", "block", "check", "keys", "prob", "heads", "weight").repartition(parts, "shard").sortWithinPartitions("shard", "level")
+    answers = met.mapInArrow(_answers(spark.sparkContext.broadcast([b for b, _ in models]), shards), "block long, shard int, check long, answer binary")
+    scores = _scores([*[f.name for f in fields], "perplexity"], half, shards)
+    # cogrouped, not united: a block's number holds its partition's, which a union would shift
+    return answers.groupBy("block").cogroup(packed.withColumnRenamed("block", "of").groupBy("of")).applyInArrow(scores, T.StructType([*fields, T.StructField("perplexity", T.DoubleType())]))
 
 
 def by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
@@ -388,6 +403,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     marked = F.broadcast(good) if good.count() <= BROADCAST_IDS else good
     rows = docs.select("doc_id", "lang", "text").join(marked, F.col("doc_id") == F.col("good_id"), "left")
     rows = rows.select("doc_id", "lang", F.col("good_id").isNotNull().alias("trusted"), "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"))
+    if good.count() > BROADCAST_IDS:
+        rows = materialize(rows, "marked")  # a shuffle gives no order twice
     shards = shards or shards_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     models = [shares(rows.where((F.col("trusted")) & (F.col("half") == 1 - k)), name=f"counts-{k}", shards=shards) for k in (0, 1)]
     scored = materialize(perplexity(rows, models, shards=shards), "scored")
