@@ -409,8 +409,10 @@ def neighbour_links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFram
     3. What is left. Only pairs of blocks that hold different classes of a neighbourhood are compared: no link is lost.
     """
     tokens = sets.select("doc_id", "tokens")
+    # the sets are large and stay where they are: a few numbers for each text are told to all tasks, unless they are too many
+    placed = lambda rows: tokens.join(told(rows, BROADCAST_ROWS), "doc_id")
     dealt = materialize(_dealt(texts, ["hood"]), "dealt-0")
-    found = materialize(_compare(dealt.join(tokens, "doc_id").withColumn("side", F.lit(2)), percent, ["hood", "block"]), "links-0")
+    found = materialize(_compare(placed(dealt.select("doc_id", "hood", "block")).withColumn("side", F.lit(2)), percent, ["hood", "block"]), "links-0")
     large = materialize(dealt.where("blocks > 1").select("doc_id", "n", "hood"), "large")
     n = large.count()
     if not n:
@@ -421,7 +423,7 @@ def neighbour_links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFram
         dealt = materialize(_dealt(centres, ["hood"]), f"dealt-{step + 1}")
         left = dealt.count()
         step += 1
-        more = _compare(dealt.join(tokens, "doc_id").withColumn("side", F.lit(2)), percent, ["hood", "block"])
+        more = _compare(placed(dealt.select("doc_id", "hood", "block")).withColumn("side", F.lit(2)), percent, ["hood", "block"])
         # the texts that are not asked again keep their links
         found = materialize(found.where("kind = 0").unionByName(more), f"links-{step}")
         if left > n / 2 or dealt.where("blocks > 1").isEmpty():
@@ -452,7 +454,8 @@ def neighbour_links(texts: DataFrame, sets: DataFrame, percent: int) -> DataFram
         pairs.where("x <> y").select("hood", "x", "y", F.col("y").alias("at"), F.lit(1).alias("side"))
     )
     members = dealt.select("doc_id", "hood", F.concat_ws(":", "kin", "band", "block").alias("at")).join(sides, ["hood", "at"])
-    rest = _compare(members.join(tokens, "doc_id").select("hood", "x", "y", "side", "doc_id", "tokens"), percent, ["hood", "x", "y"])
+    members = materialize(members.select("doc_id", "hood", "x", "y", "side"), "members")
+    rest = _compare(placed(members).select("hood", "x", "y", "side", "doc_id", "tokens"), percent, ["hood", "x", "y"])
     return known.union(rest.where("kind = 0").select("a", "b"))
 
 
