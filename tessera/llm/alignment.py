@@ -242,16 +242,21 @@ def _compose(id_name: str):
         groups = [None] * segments.num_rows
         for k, g in zip(segments.column("number").to_pylist(), segments.column("groups").to_pylist(), strict=True):
             groups[k] = g
-        index, pairs, figures, starts = {}, [], np.zeros((len(groups), 4), np.int64), [0]
-        for k, g in enumerate(groups):
+        index, pairs, figures, starts = {}, [], [], [0]
+        for g in groups:
+            n_a = n_b = n_groups = n_links = 0
             for group in g.split(";") if g is not None else ():
-                left, right = group.split("|")
-                left, right = left.split(","), right.split(",")
-                figures[k] += (len(left), len(right), 1, len(left) * len(right))
-                for x in left:
-                    for y in right:
-                        pairs.append(index.setdefault((x, y), len(index)))
+                n_groups += 1
+                if "," not in group:  # one token on each side: the group is the pair
+                    n_a, n_b, n_links = n_a + 1, n_b + 1, n_links + 1
+                    pairs.append(index.setdefault(group, len(index)))
+                    continue
+                left, right = (x.split(",") for x in group.split("|"))
+                n_a, n_b, n_links = n_a + len(left), n_b + len(right), n_links + len(left) * len(right)
+                pairs.extend([index.setdefault(f"{x}|{y}", len(index)) for x in left for y in right])
+            figures.append((n_a, n_b, n_groups, n_links))
             starts.append(len(pairs))
+        figures = np.array(figures, np.int64).reshape(-1, 4)
         pairs, starts = np.array(pairs, np.int64), np.array(starts)
         size = np.diff(starts)
         docs_of = np.zeros(len(index), np.int64)
@@ -273,7 +278,7 @@ def _compose(id_name: str):
                 column.append(v)
         chunk, m, p = key[0].as_py(), texts.num_rows, len(index)
         none = lambda t, k: pa.nulls(k, t)
-        a, b = (pa.array([int(x[k]) for x in index], pa.int32()) for k in (0, 1))
+        a, b = (pa.array([int(x.split("|")[k]) for x in index], pa.int32()) for k in (0, 1))
         both = {
             "chunk": (pa.array([chunk] * m, pa.int64()), pa.array([chunk] * p, pa.int64())),
             id_name: (ids, none(ids.type, p)),
