@@ -181,6 +181,20 @@ def test_page_cache(spark, tmp_path):
     assert [r["html"] for r in files.get_pages(spark, str(tmp_path / "cache"), "2024-01-02 01:00:00", 48).collect()] == ["new"]
 
 
+def test_cached_pages_with_shared_urls(spark, tmp_path):
+    """Two even pages with one URL, an odd one with an even one's, two odd ones, and none: as the SQL has them."""
+    import duckdb
+
+    from tessera import catalog
+    from tests.compare import same_rows
+
+    urls = ["a", "b", "a", "a", "c", "d", None, "d", None, None]
+    spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert same_rows(catalog.queries()["cached_pages"](spark, str(tmp_path)), con, catalog.oracle_sql()["cached_pages"]) == 5
+
+
 #: Ids that no query covers: a simulator of a client-side limiter.
 NOT_DONE = {"P11"}
 
