@@ -195,6 +195,21 @@ def test_cached_pages_with_shared_urls(spark, tmp_path):
     assert same_rows(catalog.queries()["cached_pages"](spark, str(tmp_path)), con, catalog.oracle_sql()["cached_pages"]) == 5
 
 
+def test_ranking_trends_round_as_their_sql(spark, tmp_path):
+    """Means of 640 positions, k / 640: halves of a millionth in decimal, more or less in binary."""
+    import duckdb
+
+    from tessera import catalog
+    from tests.compare import same_rows
+
+    spark.sql("""SELECT u * 640 + i AS event_id, TIMESTAMP '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, i) AS ts, u AS user_id, 'view' AS event_type, CAST(CASE WHEN i = 5 THEN u ELSE 0 END AS double) AS value
+      FROM (SELECT id AS i FROM range(640)) a CROSS JOIN (SELECT id AS u FROM range(1, 40)) b""").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert "round(avg_30d, 6)" in catalog.oracle_sql()["ranking_trends"]
+    assert same_rows(catalog.queries()["ranking_trends"](spark, str(tmp_path)), con, catalog.oracle_sql()["ranking_trends"]) == 39
+
+
 #: Ids that no query covers: a simulator of a client-side limiter.
 NOT_DONE = {"P11"}
 
