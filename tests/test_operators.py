@@ -110,6 +110,21 @@ def test_detector_on_made_rows(spark):
         assert {r["id"]: r["duplicate_of"] for r in duplicates(df, recent=recent).collect()} == dict(detect(rows, recent=recent))
 
 
+def test_detector_needs_no_more_rounds_than_ranges(spark, monkeypatch):
+    """Every decision hangs on those just before it: rounds are bounded by the ranges of ids, not by the chain."""
+    import random
+
+    from tessera.operators import matching
+
+    rng = random.Random(5)
+    rows = [{"id": i, "phone": None, "domain": None, "key": "acme cleaning", "address": rng.choice("ABCDEF") * 12} for i in range(240)]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "id long, phone string, domain string, key string, address string")
+    rounds, written = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: (rounds.append(name), written(df, name))[1])
+    assert {r["id"]: r["duplicate_of"] for r in matching.duplicates(df, recent=3).collect()} == dict(detect(rows, recent=3))
+    assert rounds.count("decided") <= 9
+
+
 def test_close_names_against_all_pairs(spark):
     import random
 
