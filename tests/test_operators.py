@@ -138,6 +138,18 @@ def test_close_names_against_all_pairs(spark):
     assert got == {k: v for k, v in want.items() if v >= 0.85}
 
 
+def test_classes_of_long_chains(spark, monkeypatch):
+    """A chain of 600 links: doublings, not a round for each link."""
+    from tessera.operators import matching
+
+    steps, written = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: (steps.append(name), written(df, name))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(600)] + [(2000, 1999), (1999, 2001), (3000, 3000)], "id_1 long, id_2 long")
+    got = {r["id"]: r["first"] for r in matching.classes(links).collect()}
+    assert got == {i: 0 for i in range(601)} | {1999: 1999, 2000: 1999, 2001: 1999}
+    assert len(steps) < 40
+
+
 def test_entities_are_as_connected_as_by_all_pairs(spark):
     """Links connect what the rules connect pair by pair."""
     from tessera.operators.matching import entity_matches
