@@ -136,6 +136,17 @@ def test_few_pairs_are_made(spark):
     assert len(items) * 3 / 2 <= made < len(items) * (len(items) - 1) / 2 / 25
 
 
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_shared_trigrams_make_no_pairs(spark, least):
+    """Words of few syllables share their trigrams, but pairs without a common word are not made for them."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice(["th", "er", "an", "in", "re", "ed", "on", "st"]) for _ in range(4))
+    items = sorted({f"{word()} {word()}" for _ in range(500)})
+    found = {(r["a"], r["b"]) for r in phrases.similar_phrases(sets_of(spark, items), least).select("a", "b").collect()}
+    assert found == {(a, b) for i, a in enumerate(items) for b in items[i + 1 :] if round(phrase_similarity(a, b), 12) >= least}
+    assert phrases.candidates(sets_of(spark, items), least).count() < len(items) * (len(items) - 1) / 2 / 50
+
+
 def made_listings(n, seed):
     rng = random.Random(seed)
     pick = lambda *x: rng.choice(x)
