@@ -1,5 +1,6 @@
 """Containment, vector search and phrases against plain comparison with everything."""
 
+import os
 import random
 
 import numpy as np
@@ -120,6 +121,14 @@ def test_clusters_of_all_phrases(spark):
     assert all(c == min(v) for c, v in got.items())
 
 
+def test_rounds_leave_no_tables(spark):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    phrases.linked_clusters(sets_of(spark, made_phrases(25, 8))).count()
+    left = [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before]
+    assert left.count("edges") <= 1 and left.count("turned") == 0 and left.count("labels") == 1
+
+
 def test_a_mean_at_the_threshold_merges(spark):
     items = ["aaa bbb ccc", "aaa ddd eee"]
     least = round(phrase_similarity(*items), 12)
