@@ -20,3 +20,16 @@ def vectorized(schema: str) -> Callable:
         return call
 
     return wrap
+
+
+def arrow(schema: str) -> Callable:
+    """The same for functions of Arrow arrays."""
+
+    def wrap(function) -> Callable[..., Column]:
+        @functools.wraps(function)
+        def call(*columns) -> Column:
+            return F.arrow_udf(function, schema)(*columns)
+
+        return call
+
+    return wrap

@@ -1,5 +1,6 @@
 """HTML structure, matching, files and streams on small inputs."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -49,6 +50,34 @@ def test_broken_pages(page):
     assert H.links(page) == [] and isinstance(H.sections(page), list) and H.schema_types(page) == []
 
 
+def test_plain_pages_have_the_parsers_tree():
+    """Pages of plain pieces are read without the parser, and others are not; both give the same tree."""
+    rng = random.Random(3)
+    some = ["<div>", "</div>", '<a href="x?a=1&amp;b=2">', '<a href="https://d.com/p1">', "</a>", "text ", " \n", "<br>", '<p class="review" id="a">', "</p>", "<h2>", "</h2>", "</b>"]
+    odd = ["&amp;", "<b", "<script>", "</script>", "<!-- c -->", "<A HREF=x>", "<title>", ">", '</div x="1">', '<p  class="a">', "&", '<a href="&lt;">', "<img/>"]
+    tree = lambda n: n if isinstance(n, str) else (n.tag, tuple(n.attrs.items()), tuple(tree(c) for c in n.children))
+    read = 0
+    for k in range(3000):
+        page = "".join(rng.choice(some + odd * (k % 3 == 0)) for _ in range(rng.randrange(1, 12)))
+        builder = H._Builder()
+        builder.feed(page)
+        if (root := H._plain(page)) is not None:
+            read += 1
+            assert tree(root) == tree(builder.root)
+        assert tree(H.parse(page)) == tree(builder.root)
+    assert read >= 2000
+
+
+@pytest.mark.parametrize("href", ["https://d7.com/p1", "http://www.d.com", "/p?q=1", "//o.org/x", "https://A.com/x", "/url?q=https://d8.com/p&sa=U", "/url?q=https://d8.com/%41&sa=U", "https://u@h.de:8/x#f"])
+def test_short_ways_of_urls(href):
+    from urllib.parse import parse_qs, urljoin, urlparse
+
+    whole = urlparse(urljoin("https://host.example/a", href))
+    assert H._target("https://host.example/a", href) == (whole.geturl(), whole.netloc.lower(), whole.netloc == "host.example")
+    to = parse_qs(urlparse(href).query)["q"][0] if href.startswith("/url?") else href
+    assert H._result(href) == (to, urlparse(to).netloc.lower().removeprefix("www.") if to.startswith("http") else "")
+
+
 def test_fuzzy_functions(spark):
     rows = spark.createDataFrame([("Clean Windows", "clean window"), (None, "x"), ("", "")], "a string, b string")
     got = [r[0] for r in rows.select(similarity_ratio("a", "b")).collect()]
