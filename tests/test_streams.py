@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from tessera.streaming import state
 
 
@@ -34,3 +36,36 @@ def test_holds_and_releases_over_a_restart(spark, tmp_path):
     end = errors[-1][1] - 3600
     want = sorted([(k, "hold", s) for k, s in starts] + [(k, "release", s + 7200) for k, s in starts if s + 7200 <= end])
     assert got == want and len(starts) > 20
+
+
+def test_alerts_over_a_restart(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(6), rng.choice("ab"), rng.randrange(1, 130), 1_000_000 + rng.randrange(300), i) for i in range(500)]
+    path, root = str(tmp_path / "in"), str(tmp_path / "run")
+    want, last = [], {}
+    for part in (rows[:300], rows[300:]):
+        made = spark.createDataFrame(part, "keyword long, domain string, position long, s long, seq long").selectExpr("keyword", "domain", "position", "timestamp_seconds(s) AS seen_at", "seq")
+        made.coalesce(1).write.mode("append").parquet(path)
+        out = state.drain_alerts(spark.readStream.schema(made.schema).parquet(path), "x", root)
+        for k, d, p, _, i in sorted(part, key=lambda x: (x[3], x[4])):
+            if kind := state.alert_type(p, last.get((k, d))):
+                want.append((k, d, kind, last.get((k, d)), p, i))
+            last[k, d] = p
+    assert sorted(tuple(r) for r in out.select("keyword", "domain", "alert", "old", "new", "seq").collect()) == sorted(want) and len(want) > 100
+
+
+def test_tokens_of_a_key_with_many_requests(spark, tmp_path):
+    rng = random.Random(6)
+    times = [10**6 + rng.randrange(200_000) for _ in range(2 * state.AT_ONCE + 5)]
+    rows = spark.createDataFrame([(1, s) for s in times], "key long, s long")
+    rows.write.parquet(str(tmp_path / "in"))
+    got = state.drain(state.token_buckets(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), 5.0, 2.0), "x", str(tmp_path / "run"))
+    tokens, last, want = 5.0, None, []
+    for s in sorted(times):
+        tokens = tokens if last is None else min(5.0, tokens + (s - last) / 60.0 * 2.0)
+        last, passed = s, tokens >= 1
+        want.append((1, s, passed, 0.0 if passed else (1 - tokens) / 2.0 * 60.0))
+        tokens -= passed
+    assert sorted(tuple(r) for r in got.select("key", "s", "passed", "wait_s").collect()) == sorted(want)
+    batches = [pd.DataFrame({"s": times[i : i + 1000]}) for i in range(0, len(times), 1000)]
+    assert state._times(iter(batches)).nbytes == 8 * len(times)
