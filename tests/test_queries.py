@@ -26,3 +26,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["nap_conflict_summary", "source_variants"])
+def test_distinct_counts_write_each_row_once(spark, name):
+    plan = QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "collect_set" in plan
