@@ -37,6 +37,31 @@ def as_of(asked: DataFrame, seen: DataFrame, on: list[str], at: str, since: str,
     return found.select(*asked.columns, *[F.col("_found")[c].alias(c) for c in carry])
 
 
+def as_of_each(asked: DataFrame, seen: DataFrame, on: list[str], kind: str, kinds: list[str], at: str, since: str, carry: list[str], stretch: int = STRETCH) -> DataFrame:
+    """asked, a row for each of kinds, with the columns `carry` of the latest row of seen of that kind, as as_of gives them for asked times kinds on on and kind.
+
+    An instant is sorted among its key's observations once, not once for each kind: it takes the last of every kind there, and becomes a row for each at the end.
+    """
+    held = F.struct(*carry)
+    none = F.lit(None).cast(seen.select(held.alias("x")).schema[0].dataType)
+    part = lambda c: F.floor(F.unix_timestamp(c) / stretch)
+    rows = asked.withColumns({"_when": F.col(at), "_held": none, "_kind": F.lit(None).cast("int"), "_asks": F.lit(1)})
+    place = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col(kind)).cast("int")
+    known = seen.dropna(subset=[*on, since]).select(*on, F.col(since).alias("_when"), held.alias("_held"), place.alias("_kind"), F.lit(0).alias("_asks")).where("_kind > 0")
+    both = rows.unionByName(known, allowMissingColumns=True).withColumn("_part", part("_when"))
+    mine = lambda k: F.when(F.col("_kind") == k, F.col("_held"))
+    each = range(1, len(kinds) + 1)
+    in_part = W.partitionBy(*on, "_part").orderBy("_when", "_asks")
+    ends = both.groupBy(*on, "_part").agg(*[F.max_by("_held", F.when(F.col("_kind") == k, F.col("_when"))).alias(f"_end{k}") for k in each])
+    earlier = W.partitionBy(*on).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*on, "_part", *[F.last(f"_end{k}", ignorenulls=True).over(earlier).alias(f"_before{k}") for k in each])
+    found = both.select("*", *[F.last(mine(k), ignorenulls=True).over(in_part).alias(f"_here{k}") for k in each]).where("_asks = 1")
+    found = found.join(ends, [*on, "_part"], "left")
+    one = lambda k, name: F.struct(F.lit(name).alias(kind), F.coalesce(f"_here{k}", f"_before{k}").alias("_found"))
+    found = found.select(*asked.columns, F.explode(F.array(*[one(k, name) for k, name in zip(each, kinds, strict=True)])).alias("_x"))
+    return found.select(*asked.columns, F.col("_x")[kind].alias(kind), *[F.col("_x")["_found"][c].alias(c) for c in carry])
+
+
 #: Directories and their points, and those that count together.
 KEY_DIRECTORIES = {"google_business": 25, "yelp": 15, "yellowpages": 10, "bbb": 10, "facebook": 10}
 SECONDARY_DIRECTORIES = ("angies_list", "thumbtack", "homeadvisor", "mapquest", "manta")
@@ -101,7 +126,7 @@ def local_authority(spark, sf_dir) -> DataFrame:
     """Citations 0.4, links 0.3, reviews 0.2, completeness 0.1 and a grade of each company whenever it is looked at, from what each directory and each linking domain had last been seen to say by then."""
     d = SPARK
     asked = run_sql(spark, sf_dir, audits(d))
-    each = asked.select("company_id", "audited_at", F.explode(F.array(*[F.lit(x) for x in (*KEY_DIRECTORIES, *SECONDARY_DIRECTORIES)])).alias("directory"))
-    listed = as_of(each, run_sql(spark, sf_dir, observations(d)), ["company_id", "directory"], "audited_at", "seen", ["present", "nap", "reviews"])
+    directories = [*KEY_DIRECTORIES, *SECONDARY_DIRECTORIES]
+    listed = as_of_each(asked.select("company_id", "audited_at"), run_sql(spark, sf_dir, observations(d)), ["company_id"], "directory", directories, "audited_at", "seen", ["present", "nap", "reviews"])
     linked = as_of(asked, run_sql(spark, sf_dir, link_totals(d)), ["domain"], "audited_at", "seen", ["links", "domains", "followed", "authority"])
     return spark.sql(_scores(d, "{listed}", "{linked}"), listed=listed, linked=linked)

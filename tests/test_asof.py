@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tessera.operators.asof import as_of
+from tessera.operators.asof import as_of, as_of_each
 
 
 @pytest.mark.parametrize("stretch", [1, 3600, 90 * 86400])
@@ -32,3 +32,18 @@ def test_one_key_is_many_tasks(spark):
     found = as_of(rows, rows.selectExpr("k", "at AS seen", "id AS x"), ["k"], "at", "seen", ["x"], 30 * 86400)
     assert found.where("x = id").count() == 3000
     assert "_part" in found._jdf.queryExecution().executedPlan().toString().split("hashpartitioning", 1)[1][:80]
+
+
+@pytest.mark.parametrize("stretch", [3600, 90 * 86400])
+def test_latest_of_each_kind(spark, stretch):
+    """All kinds at once give what each gives alone, and an instant is sorted once."""
+    rng = random.Random(stretch)
+    rows = {(rng.choice("ab"), rng.choice(["x", "y", "z", None]), rng.randrange(50_000)): (rng.choice([None, i]), str(i)) for i in range(300)}
+    asked = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.randrange(60_000)])) for i in range(200)]
+    left = spark.createDataFrame(asked, "id int, k string, s long").selectExpr("id", "k", "timestamp_seconds(s) AS at")
+    right = spark.createDataFrame([(*key, *v) for key, v in rows.items()], "k string, kind string, s long, v int, w string").selectExpr("k", "kind", "timestamp_seconds(s) AS seen", "v", "w")
+    each = left.crossJoin(spark.createDataFrame([("x",), ("y",), ("q",)], "kind string"))
+    want = as_of(each, right, ["k", "kind"], "at", "seen", ["v", "w"], stretch)
+    got = as_of_each(left, right, ["k"], "kind", ["x", "y", "q"], "at", "seen", ["v", "w"], stretch)
+    take = lambda df: sorted((tuple(r) for r in df.select("id", "kind", "v", "w").collect()), key=repr)
+    assert take(got) == take(want) and sum(r[3] is not None for r in take(got)) > 100
