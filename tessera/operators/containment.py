@@ -7,6 +7,7 @@ those of its grams that are some name's rarest. Names and texts of a gram meet i
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 from ..plans.dialect import SPARK, Dialect
 from ..plans.registry import frame, run_sql
 from ..sources import stand_ins as T
-from ..sources.scratch import told, written
+from ..sources.scratch import small_batches, told, written
 
 #: Characters of all names that are told to every task at most.
 TOLD_CHARS = 8_000_000
+#: Characters of the names of one automaton, which takes some hundred bytes for each in every task at a time.
+AUTOMATON_CHARS = 1_000_000
+#: Pairs that a reader hands on at once.
+AT_ONCE = 50_000
 #: Characters of a gram; shorter names are looked up by all their characters.
 GRAM = 4
 #: Names of an automaton, and texts that it reads, in one task.
@@ -66,16 +71,31 @@ def _reader(names):
             automaton.make_automaton()
         for batch in batches:
             found, ids = [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = {name for _, name in automaton.iter(text)} if len(automaton) else ()
+            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+                mine = {name for _, name in automaton.iter(text.as_py())} if len(automaton) else ()
                 found.extend(mine)
-                ids.extend([i] * len(mine))
+                ids.extend([i.as_py()] * len(mine))
+                if len(found) >= AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], names=["name", "text_id"])
+                    found, ids = [], []
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], names=["name", "text_id"])
 
     return run
 
 
-def contained_names(names: DataFrame, texts: DataFrame, gram: int = GRAM, shard_names: int = SHARD_NAMES, block_texts: int = BLOCK_TEXTS, told_chars: int = TOLD_CHARS) -> DataFrame:
+def slices(names: list[str], chars: int) -> list[list[str]]:
+    """Names in parts of so many characters, or one name; at least one part. In their order, so that names that begin alike share their nodes."""
+    parts, size = [[]], 0
+    for name in sorted(names):
+        if parts[-1] and size + len(name) > chars:
+            parts.append([])
+            size = 0
+        parts[-1].append(name)
+        size += len(name)
+    return parts
+
+
+def contained_names(names: DataFrame, texts: DataFrame, gram: int = GRAM, shard_names: int = SHARD_NAMES, block_texts: int = BLOCK_TEXTS, told_chars: int = TOLD_CHARS, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """name, text_id: the distinct names of names (name) that occur in texts (text_id, text) as runs of characters, as `text LIKE '%name%'` without wildcards.
 
     By grams: how many texts hold a gram is counted for the names' grams; a name with a gram that no text holds goes no further. A
@@ -86,7 +106,11 @@ def contained_names(names: DataFrame, texts: DataFrame, gram: int = GRAM, shard_
     names = written(names.where("name <> ''").select("name").distinct(), "names")
     texts = texts.where("text <> ''").select(F.col("text_id").cast("long").alias("text_id"), "text")
     if (names.agg(F.sum(F.char_length("name"))).first()[0] or 0) <= told_chars:
-        return texts.mapInArrow(_reader(spark.sparkContext.broadcast([r["name"] for r in names.collect()])), "name string, text_id long")
+        small_batches(spark)
+        # each text is read by one automaton after the other, so that a task holds a part of the names
+        told_names = slices([r["name"] for r in names.collect()], automaton_chars)
+        read = [texts.mapInArrow(_reader(spark.sparkContext.broadcast(part)), "name string, text_id long") for part in told_names]
+        return functools.reduce(DataFrame.union, read)
     texts = written(texts, "texts")
     sized = names.withColumn("size", F.least(F.char_length("name"), F.lit(gram)))
     of_names = written(sized.select("name", "size", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram")), "name-grams")

@@ -28,6 +28,18 @@ def test_contained_names(spark, sizes):
     assert containment.contained_names(left, right.limit(0), **sizes).collect() == []
 
 
+def test_names_of_several_automata(spark):
+    """Names are told in parts, each an automaton of its own, and every text is read by all of them."""
+    names = [f"{a}{b}" for a in "abcd" for b in ("", "x", "yz", "☃")]
+    texts = [(i, " ".join(names[i : i + 3])) for i in range(len(names))]
+    left, right = spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(texts, "text_id long, text string")
+    got = sorted(tuple(r) for r in containment.contained_names(left, right, automaton_chars=5).collect())
+    assert got == sorted((n, i) for n in names for i, t in texts if n in t)
+    parts = containment.slices([*names, "q" * 9], 5)
+    assert sorted(sum(parts, [])) == sorted([*names, "q" * 9]) and len(parts) > 5 and all(len("".join(p)) <= 5 or len(p) == 1 for p in parts)
+    assert containment.slices([], 5) == [[]]
+
+
 def made_vectors(n, size, seed):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(12, size))
