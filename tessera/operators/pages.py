@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..plans.registry import frame
+from ..sources.scratch import small_batches
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
 
 

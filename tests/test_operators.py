@@ -342,3 +342,18 @@ def test_quarantine_against_single_events(spark):
             want.append((r["key"], r["s"], until[r["key"]]))
     got = sorted(tuple(x) for x in catalog.queries()["stream_quarantine"](spark, "/root/testdata/sf0.01").collect())
     assert got == sorted(want) and got
+
+
+def test_pages_go_to_python_in_small_batches(spark):
+    from tessera.operators.pages import page_outline
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        page_outline(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(keys[0])) <= 1000 and int(spark.conf.get(keys[1])) <= 4 << 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
