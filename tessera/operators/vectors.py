@@ -34,17 +34,55 @@ PARTS, CODES = 16, 256
 MOST_CELLS = 4096
 #: Vectors of a cell, and queries, that meet in one task.
 BLOCK_VECTORS, BLOCK_QUERIES = 100_000, 2_000
+#: Numbers that a task holds at once in a table of distances or scores (8 bytes each), and rows of vectors that it hands on at once.
+HELD, HANDED = 1 << 21, 4_096
 
 
 def matrix(column, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The valid rows of an Arrow list column as vectors of length one, and which rows they are; size: their length, else that of the first."""
-    rows = column.to_pylist()
-    size = size or next((len(r) for r in rows if r), 0)
-    full = [r if r is not None and len(r) == size and None not in r else [math.nan] * size for r in rows]
-    x = np.array(full, np.float64).reshape(len(rows), size)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    size = size or next((int(n) for n in lengths if n), 0)
+    full = np.flatnonzero(lengths == size) if size else np.zeros(0, np.int64)
+    # null components become NaN
+    x = column.take(pa.array(full)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(full), size)
     norm = np.sqrt((x * x).sum(1))
     good = np.isfinite(norm) & (norm > 0)
-    return x[good] / norm[good, None], np.flatnonzero(good)
+    return x[good] / norm[good, None], full[good]
+
+
+def _lists(x: np.ndarray):
+    """Rows as an Arrow list column."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
+def _rows(column) -> np.ndarray:
+    """Rows of an Arrow list column without nulls, all of one length."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _slices(n: int, width: int):
+    """Ranges of n rows whose table with so many columns is held at once."""
+    step = max(1, HELD // max(1, width))
+    return (slice(low, min(n, low + step)) for low in range(0, n, step))
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centre, and its squared distance less the vector's own square."""
+    own, least, squares = np.zeros(len(x), np.int64), np.zeros(len(x)), (centres * centres).sum(1)
+    for at in _slices(len(x), len(centres)):
+        far = -2 * x[at] @ centres.T + squares
+        own[at] = far.argmin(1)
+        least[at] = far[np.arange(len(far)), own[at]]
+    return own, least
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
@@ -52,15 +90,14 @@ def k_means(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarra
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        far = -2 * x @ centres.T + (centres * centres).sum(1)
-        own = far.argmin(1)
+        own, far = _nearest(x, centres)
         count = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
         lost = np.flatnonzero(count == 0)
         if len(lost):
-            centres[lost] = x[np.argsort(-far[np.arange(len(x)), own], kind="stable")[: len(lost)]]
+            centres[lost] = x[np.argsort(-far, kind="stable")[: len(lost)]]
     return centres
 
 
@@ -79,6 +116,8 @@ class Cells:
 
     def cell(self, x: np.ndarray, n: int = 1) -> np.ndarray:
         """The n nearest cells of each vector, nearest first."""
+        if n == 1:
+            return _nearest(x, self.centres)[0][:, None]
         far = -2 * x @ self.centres.T + (self.centres * self.centres).sum(1)
         return np.argsort(far, axis=1, kind="stable")[:, :n]
 
@@ -87,12 +126,18 @@ class Cells:
         norm = np.sqrt((self.centres * self.centres).sum(1))
         return np.arccos(np.clip(x @ (self.centres / np.maximum(norm, 1e-12)[:, None]).T, -1, 1))
 
+    def angle(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The angle of each vector to the centre of its cell."""
+        centres = self.centres[cell]
+        norm = np.sqrt((centres * centres).sum(1))
+        return np.arccos(np.clip((x * centres).sum(1) / np.maximum(norm, 1e-12), -1, 1))
+
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, a:b] for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
     def codes(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
         rest = self.parts(x - self.centres[cell])
-        return np.stack([(-2 * r @ b.T + (b * b).sum(1)).argmin(1) for r, b in zip(rest, self.books, strict=True)], 1).astype(np.uint8)
+        return np.stack([_nearest(r, b)[0] for r, b in zip(rest, self.books, strict=True)], 1).astype(np.uint8)
 
     def scores(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate cosines of vectors with those that have the codes, in a cell."""
@@ -140,10 +185,10 @@ def index(vectors: DataFrame, cells: Cells) -> DataFrame:
         for batch in batches:
             x, rows = matrix(batch.column(0), cells.size)
             cell = cells.cell(x)[:, 0]
-            angle = cells.angles(x)[np.arange(len(x)), cell]
+            angle = cells.angle(x, cell)
             codes = cells.codes(x, cell)
             own = batch.take(pa.array(rows))
-            made = [pa.array(cell, pa.int32()), pa.array(angle), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(x), pa.list_(pa.float64()))]
+            made = [pa.array(cell, pa.int32()), pa.array(angle), pa.array([c.tobytes() for c in codes], pa.binary()), _lists(x)]
             yield pa.RecordBatch.from_arrays([*own.columns[1:], *made], names=["id", *others, "cell", "angle", "code", "unit"])
 
     kinds = (("cell", "int"), ("angle", "double"), ("code", "binary"), ("unit", "array<double>"))
@@ -152,10 +197,22 @@ def index(vectors: DataFrame, cells: Cells) -> DataFrame:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of each row's k best scores; ties go to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    pick = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
-    return np.repeat(np.arange(len(scores)), pick.shape[1]), order[pick].ravel()
+    """Rows and columns of each row's k best scores; ties go to smaller ids (of the columns)."""
+    width, order = scores.shape[1], np.argsort(ids, kind="stable")
+    scores = scores[:, order]
+    bar = np.partition(scores, width - k, axis=1)[:, width - k, None] if width > k else np.full((len(scores), 1), -np.inf)
+    above, level = scores > bar, scores == bar
+    row, column = np.nonzero(above | (level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - above.sum(1)[:, None])))
+    return row, order[column]
+
+
+def _joined(found: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among what its pieces (row, id, score) found."""
+    row, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], score[keep]
 
 
 def _meet(told_cells, k: int, exact: bool):
@@ -167,22 +224,38 @@ def _meet(told_cells, k: int, exact: bool):
         none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not vectors.num_rows:
             return none
-        x, ids = np.array(queries.column("unit").to_pylist()), vectors.column("id").to_numpy()
-        if exact:
-            scores = np.round(x @ np.array(vectors.column("unit").to_pylist()).T, 6)
-        else:
-            codes = np.stack([np.frombuffer(c, np.uint8) for c in vectors.column("code").to_pylist()])
-            scores = told_cells.value.scores(x, key[0].as_py(), codes)
-        own = queries.column("query_id").to_numpy()
-        scores[own[:, None] == ids] = -np.inf
-        row, column = _best(scores, ids, k)
-        keep = np.isfinite(scores[row, column])
-        row, column = row[keep], column[keep]
-        return pa.table({"query_id": pa.array(own[row]), "id": pa.array(ids[column]), "score": pa.array(scores[row, column])})
+        x, own, found = _rows(queries.column("unit")), queries.column("query_id").to_numpy(), []
+        for at in _slices(vectors.num_rows, len(x)):
+            some = vectors.slice(at.start, at.stop - at.start)
+            ids = some.column("id").to_numpy()
+            if exact:
+                scores = np.round(x @ _rows(some.column("unit")).T, 6)
+            else:
+                codes = np.stack([np.frombuffer(c, np.uint8) for c in some.column("code").to_pylist()])
+                scores = told_cells.value.scores(x, key[0].as_py(), codes)
+            scores[own[:, None] == ids] = -np.inf
+            row, column = _best(scores, ids, k)
+            score = scores[row, column]
+            keep = np.isfinite(score)
+            found.append((row[keep], ids[column[keep]], score[keep]))
+            # what is kept stays small, however many pieces there are
+            found = [_joined(found, k)]
+        row, ids, score = found[0]
+        return pa.table({"query_id": pa.array(own[row]), "id": pa.array(ids), "score": pa.array(score)})
 
     return run
 
 
+def _asked(ids: np.ndarray, x: np.ndarray, row: np.ndarray, cell: np.ndarray):
+    """query_id, unit, cell of so many pairs of a query's row and a cell, in pieces: each pair has its vector with it."""
+    import pyarrow as pa
+
+    for low in range(0, len(row), HANDED):
+        some = row[low : low + HANDED]
+        columns = [pa.array(ids[some], pa.int64()), _lists(x[some]), pa.array(cell[low : low + HANDED], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "unit", "cell"])
+
+
 def _scan(spark: SparkSession, asked: DataFrame, found: DataFrame, told_cells, k: int, exact: bool) -> DataFrame:
     """query_id, id, score: the k best of each cell that a query asks (query_id, unit, cell)."""
     sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("blocks"))
@@ -212,15 +285,12 @@ def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int = 10, pr
     found = indexed.where(where)
 
     def nearest(batches):
-        import pyarrow as pa
-
         for batch in batches:
             x, rows = matrix(batch.column(1), cells.size)
-            near = told_cells.value.cell(x, probes)
             ids = batch.column(0).to_numpy()[rows]
-            of = np.repeat(np.arange(len(x)), near.shape[1])
-            columns = [pa.array(ids[of], pa.int64()), pa.array(list(x[of]), pa.list_(pa.float64())), pa.array(near.ravel(), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "unit", "cell"])
+            for at in _slices(len(x), len(cells.centres)):
+                near = told_cells.value.cell(x[at], probes)
+                yield from _asked(ids[at], x[at], np.repeat(np.arange(len(near)), near.shape[1]), near.ravel())
 
     asked = written(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").mapInArrow(nearest, "query_id long, unit array<double>, cell int"), "asked")
     units = asked.groupBy("query_id").agg(F.first("unit").alias("query_unit"))
@@ -238,18 +308,15 @@ def search(queries: DataFrame, indexed: DataFrame, cells: Cells, k: int = 10, pr
         open_ = seen.join(bars, "query_id", "left").select("query_id", "unit", F.coalesce("bar", F.lit(-2.0)).alias("bar"))
 
         def reachable(batches):
-            import pyarrow as pa
-
             cell, widest = (np.array(x) for x in zip(*told_widest.value, strict=True)) if told_widest.value else (np.zeros(0, np.int32), np.zeros(0))
             for batch in batches:
-                x = np.array(batch.column(1).to_pylist()).reshape(batch.num_rows, -1)
-                bar = batch.column(2).to_numpy()
-                if not len(x) or not len(cell):
+                if not batch.num_rows or not len(cell):
                     continue
-                least = np.maximum(0, told_cells.value.angles(x)[:, cell] - widest)
-                row, column = np.nonzero(np.cos(least) >= bar[:, None] - 1e-5)
-                columns = [pa.array(batch.column(0).to_numpy()[row], pa.int64()), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell[column], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "unit", "cell"])
+                ids, x, bar = batch.column(0).to_numpy(), _rows(batch.column(1)), batch.column(2).to_numpy()
+                for at in _slices(len(x), len(told_cells.value.centres)):
+                    least = np.maximum(0, told_cells.value.angles(x[at])[:, cell] - widest)
+                    row, column = np.nonzero(np.cos(least) >= bar[at, None] - 1e-5)
+                    yield from _asked(ids[at], x[at], row, cell[column])
 
         more = written(open_.mapInArrow(reachable, "query_id long, unit array<double>, cell int"), "open")
         best = _top(_scan(spark, more, found.select("id", "cell", "unit"), told_cells, k, exact=True), k)

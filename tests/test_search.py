@@ -103,6 +103,30 @@ def test_recall_of_the_registered_index(spark):
     assert recall >= 0.9
 
 
+def test_vector_search_holds_little_at_once():
+    """A cell's scores are made and cut in pieces, and a query's vector is handed on with a bounded number of cells at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    asked, held = rng.integers(-3, 4, (800, 8)) / 4.0, rng.integers(-3, 4, (20_000, 8)) / 4.0  # many ties
+    ids = rng.permutation(20_000) + 100
+    queries = pa.table({"query_id": pa.array(np.arange(800) + 100), "unit": pa.array(list(asked), pa.list_(pa.float64()))})
+    found = pa.table({"id": pa.array(ids), "unit": pa.array(list(held), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    got = vectors._meet(None, 5, True)((pa.scalar(0),), queries, found).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # all scores at once are 128 MB, and were copied
+    for q in (0, 5, 799):
+        scores = sorted(zip(-np.round(held @ asked[q], 6), ids, strict=True))
+        mine = got[got.query_id == q + 100].sort_values(["score", "id"], ascending=[False, True])
+        assert [(-s, i) for s, i in zip(mine.score, mine.id, strict=True)] == [x for x in scores if x[1] != q + 100][:5]
+    pieces = list(vectors._asked(np.arange(90), rng.normal(size=(90, 8)), np.repeat(np.arange(90), 100), np.tile(np.arange(100), 90)))
+    assert sum(p.num_rows for p in pieces) == 9000 and max(p.num_rows for p in pieces) <= vectors.HANDED
+
+
 def made_phrases(n, seed):
     rng = random.Random(seed)
     words = ["window", "windows", "cleaning", "cleaner", "roof", "roofs", "repair", "cost", "price", "best", "near", "me", "gutter", "pressure", "washing", "wash", "the", "of", "ab", "abab"]
