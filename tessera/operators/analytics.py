@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from ..functions import scores as S
 from ..functions import strings as X
 from ..plans.dialect import SPARK
-from ..plans.registry import frame, query, run_sql
+from ..plans.registry import frame, query
 from ..sources import stand_ins as T
+from ..sources.scratch import small_batches
 
 # Fixed values.
 STOP_WORDS = (
@@ -111,9 +114,14 @@ SELECT doc_id, s AS sentences, words, syllables, complex_words, round(grade, 6)
   round(greatest(0e0, 4.71e0 * chars / words + 0.5e0 * words / s - 21.43e0), 6) AS ari, {level} AS level, words / 200e0 AS minutes FROM g"""
 
 
-def sentences(d) -> str:
+def sentences(d, ahead: str = "") -> str:
+    """How many; ahead: what an engine that can look ahead tests first."""
     short = "|".join(re.escape(a[:-1]) for a in ABBREVIATIONS)
-    return d.size(d.keep(d.split(d.sub(d.sub("text", rf"({short})\.", "{1}~"), r"[.!?]+\s+", "|"), "|"), lambda e: f"trim({e}) <> ''"))
+    return d.size(d.keep(d.split(d.sub(d.sub("text", rf"{ahead}({short})\.", "{1}~"), r"[.!?]+\s+", "|"), "|"), lambda e: f"trim({e}) <> ''"))
+
+
+#: The first two characters of an abbreviation are of these: few places in a text are tried against all of them.
+MAYBE_SHORT = "(?=" + "".join(f"[{''.join(sorted({a[k] for a in ABBREVIATIONS}))}]" for k in (0, 1)) + ")"
 
 
 def _readability_sql(d) -> str:
@@ -125,37 +133,53 @@ def _readability_sql(d) -> str:
     SELECT doc_id, s, {counted} AS counted FROM (SELECT doc_id, {sentences(d)} AS s, {words} AS words FROM documents WHERE text IS NOT NULL) t) c) y""")
 
 
-def _formula(word: str) -> int:
-    """Syllables of a word by its vowel groups and ending."""
+class WordCounts(dict):
+    """Of each word as written: whether it counts, its characters, syllables and whether it is complex, as four numbers of BITS bits in one, so that a text's words add up in one sum."""
+
+    BITS, MOST = 32, 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        n = 0 if word.isdigit() else word_syllables(word.lower())
+        self[word] = found = n and 1 + (len(word) << self.BITS) + (n << 2 * self.BITS) + ((n >= 3) << 3 * self.BITS)
+        return found
+
+    def of(self, text: str) -> list[int]:
+        # words of one character don't count
+        total = sum(map(self.__getitem__, re.findall("[A-Za-z0-9_'-]{2,}", text)))
+        return [total >> k * self.BITS & (1 << self.BITS) - 1 for k in range(4)]
+
+
+def word_syllables(word: str) -> int:
+    """What syllables says, of a word in lower case."""
     groups = len(re.findall("[aeiouy]+", word))
-    silent = groups > 1 and (re.search("(?<!l)e$|(?<![td])ed$|(?<![sxz])(?<!ch)(?<!sh)es$", word) is not None)
-    return max(1, groups - silent)
+    silent = groups > 1 and (word.endswith("e") and not word.endswith("le")) + (word.endswith("ed") and not word.endswith(("ted", "ded"))) + (word.endswith("es") and not word.endswith(("ses", "xes", "zes", "ches", "shes")))
+    return SYLLABLES.get(word, max(1, groups - silent))
+
+
+def _counted(batches):
+    import pyarrow as pa
+
+    known = WordCounts()
+    for batch in batches:
+        ids, texts, s = batch.columns
+        words, chars, spoken, hard = zip(*map(known.of, texts.to_pylist()), strict=True) if batch.num_rows else ((),) * 4
+        columns = [ids, s, pa.array(words, pa.int32()), pa.array(chars, pa.int32()), pa.array(spoken, pa.int64()), pa.array(hard, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "s", "words", "chars", "syllables", "complex_words"])
 
 
 @frame("readability", "L14 L15 L16 L17 D9 D22", _readability_sql)
 def readability(spark, sf_dir):
     """Grades of texts; complex words have three syllables or more.
 
-    Words are not taken apart: all counts are matches of whole-word expressions in the text, within its row and in generated code.
+    Sentences are counted by an expression. Words go through one look-up each: a word's counts are worked out when a task first meets it.
     """
-    d = SPARK
-    # words of one character and numbers don't count; every word stands between two blanks
-    kept = d.sub(d.sub("concat(' ', lower(text), ' ')", "[^a-z0-9_'-]+", " "), "(?<= )(?:[^ ]|[0-9]+)(?= )", "")
-    times = lambda inner: d.count("w", f"(?<= ){inner}(?= )")
-    groups = lambda n: f"[^ aeiouy]*+(?:[aeiouy]++[^ aeiouy]*+){{{n}}}+"
-    silent = "(?=[^ ]*(?:(?<!l)e|(?<![td])ed|(?<![sxz]|ch|sh)es) )"
-    known = {w: (n, _formula(w)) for w, n in SYLLABLES.items()}
-    more: dict = {}
-    for w, (n, m) in known.items():
-        more.setdefault(n - m, []).append(w)
-    added = "".join(f" + {k} * {times('(?:' + '|'.join(ws) + ')')}" for k, ws in sorted(more.items()) if k)
-    gain = [w for w, (n, m) in known.items() if n >= 3 > m]
-    loss = [w for w, (n, m) in known.items() if m >= 3 > n]
-    listed = "".join(f" {sign} {times('(?:' + '|'.join(ws) + ')')}" for sign, ws in (("+", gain), ("-", loss)) if ws)
-    counts = f"""SELECT doc_id, s, {d.count('w', '[^ ]+')} AS words, length(replace(w, ' ', '')) AS chars,
-  CAST({d.count('w', '[aeiouy]+')} + {times('[^ aeiouy]++')} - {times(silent + groups('2,'))}{added} AS bigint) AS syllables,
-  {times(groups('3,'))} - {times(silent + groups('3'))}{listed} AS complex_words FROM (SELECT doc_id, {sentences(d)} AS s, {kept} AS w FROM documents WHERE text IS NOT NULL) t"""
-    return run_sql(spark, sf_dir, _grades(d, counts))
+    small_batches(spark)
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("doc_id", "text", F.expr(sentences(SPARK, MAYBE_SHORT)).alias("s"))
+    counted = (("words", "int"), ("chars", "int"), ("syllables", "bigint"), ("complex_words", "int"))
+    schema = texts.select("doc_id", "s", *(F.lit(0).cast(t).alias(n) for n, t in counted)).schema
+    return spark.sql(_grades(SPARK, "SELECT * FROM {counts}"), counts=texts.mapInArrow(_counted, schema))
 
 
 @query("engagement", "J32 R32 R33 R34")

@@ -1,5 +1,7 @@
 """String and score functions on the examples that define them."""
 
+import random
+
 import pytest
 
 from tessera.functions import scores as S
@@ -95,3 +97,21 @@ def test_syllables(spark, duck):
 
     for word, n in (("cake", 1), ("table", 2), ("wanted", 2), ("jumped", 1), ("boxes", 2), ("family", 3), ("a", 1)):
         assert both(spark, duck, lambda d, w=word: syllables(d, f"'{w}'", d.count(f"'{w}'", "[aeiouy]+"))) == n
+
+
+def test_readability_of_odd_texts(spark, duck, tmp_path):
+    """The look-up of words and the list of words with their endings agree, whatever the words and marks."""
+    from tessera.operators import analytics
+    from tests.compare import same_rows
+
+    words = [*analytics.SYLLABLES, "table", "Boxes", "wanted", "jumped", "ES", "ed", "e", "42", "4e2", "--", "it's", "_", "x_1", "\u212aelvin", "Stra\u00dfe", "\u0130de", "caf\u00e9", "Dr.", "e.g.", "U.S.", "Corp. ", "end. ", "what?! ", "a|b", "| | ", "\t", "\n"]
+    rng = random.Random(8)
+    texts = [None, "", " ", ". ", "42 7", *words, *(rng.choice((" ", "", "-")).join(rng.choices(words, k=rng.randrange(1, 80))) for _ in range(300)), "word. " * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert same_rows(analytics.readability(spark, str(tmp_path)), con, analytics._readability_sql(ANSI)) > 300
+    known = analytics.WordCounts()
+    known.MOST = 50  # words beyond it are worked out again
+    many = [f"word{k}e" for k in range(120)]
+    assert known.of(" ".join(many * 2)) == [240, 2 * sum(map(len, many)), 240, 0] and len(known) <= 50
