@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.ml import Pipeline
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import frame
+from ..sources.scratch import small_batches, written
 
 FEATURES = ("n_chars", "n_words", "mean_word", "digit_share", "upper_share", "mark_share", "n_lines")
 
@@ -55,13 +56,51 @@ TERMS, SIZE, SPARE = 1 << 15, 128, 8
 LOTS = 64
 
 
+class TermColumns(dict):
+    """The column of each word met, of a bounded number of words."""
+
+    MOST = 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = column = crc32(word.encode()) % TERMS
+        return column
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The columns of a text's terms, and how often each occurs."""
+        words = re.findall(r"\w+", (text or "").lower())
+        return np.unique(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), return_counts=True)
+
+
 def term_weights(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The columns of a text's terms, and 1 + the logarithm of how often each occurs."""
-    from zlib import crc32
+    columns, times = TermColumns().counts(text)
+    return columns, 1 + np.log(times)
+
+
+def term_rows(texts: DataFrame) -> DataFrame:
+    """terms, times: the columns of each text's terms and how often each occurs, as four-byte numbers, beside what texts (text) has besides its text."""
+    small_batches(texts.sparkSession)
+    others = [c for c in texts.columns if c != "text"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        known = TermColumns()
+        for batch in batches:
+            found = [known.counts(t) for t in batch.column(0).to_pylist()]
+            made = [pa.array([x[k].astype("<i4").tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*others, "terms", "times"])
+
+    schema = texts.select(*others, *(F.lit(None).cast("binary").alias(n) for n in ("terms", "times"))).schema
+    return texts.select("text", *others).mapInArrow(run, schema)
+
 
-    counts = Counter(w for w in re.split(r"\W+", (text or "").lower()) if w)
-    columns, which = np.unique(np.array([crc32(w.encode()) % TERMS for w in counts], np.int64), return_inverse=True)
-    return columns, 1 + np.log(np.bincount(which, weights=list(counts.values()), minlength=len(columns)))
+def _read(batch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a batch of term_rows, whose last columns are terms and times."""
+    terms, times = (c.to_pylist() for c in batch.columns[-2:])
+    return [(np.frombuffer(c, "<i4"), np.frombuffer(n, "<i4")) for c, n in zip(terms, times, strict=True)]
 
 
 @dataclass
@@ -71,34 +110,32 @@ class Topics:
     rarity: np.ndarray
     vectors: np.ndarray
 
-    def rows(self, texts: list) -> tuple[list, list]:
-        """Texts as sparse rows of length one."""
-        out = [], []
-        for t in texts:
-            columns, weights = term_weights(t)
-            weights = weights * self.rarity[columns]
+    def rows(self, counted: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Texts, as columns and counts, as sparse rows of length one."""
+        out = []
+        for columns, times in counted:
+            weights = (1 + np.log(times)) * self.rarity[columns]
             norm = np.sqrt((weights * weights).sum())
-            out[0].append(columns)
-            out[1].append(weights / norm if norm else weights)
+            out.append((columns, weights / norm if norm else weights))
         return out
 
-    def embed(self, texts: list) -> np.ndarray:
-        out = np.zeros((len(texts), self.vectors.shape[1]))
-        for k, (columns, weights) in enumerate(zip(*self.rows(texts), strict=True)):
+    def embed(self, counted: list) -> np.ndarray:
+        out = np.zeros((len(counted), self.vectors.shape[1]))
+        for k, (columns, weights) in enumerate(self.rows(counted)):
             out[k] = weights @ self.vectors[columns]
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(norm > 0, norm, 1)
 
 
-def _by_column(texts: DataFrame, work, width: int) -> np.ndarray:
-    """The sum over all texts of what work adds to a table of TERMS rows. Each task sends the rows that it touched; they are added up in parts."""
+def _by_column(rows: DataFrame, work, width: int) -> np.ndarray:
+    """The sum over all of term_rows of what work adds to a table of TERMS rows. Each task sends the rows that it touched; they are added up in parts."""
 
     def run(batches):
         import pyarrow as pa
 
         total, touched = np.zeros((TERMS, width)), np.zeros(TERMS, bool)
         for batch in batches:
-            work(batch.column(0).to_pylist(), total, touched)
+            work(_read(batch), total, touched)
         for lot in range(LOTS):
             rows = np.flatnonzero(touched[lot::LOTS]) * LOTS + lot
             if len(rows):
@@ -114,42 +151,46 @@ def _by_column(texts: DataFrame, work, width: int) -> np.ndarray:
         return pa.table({"lot": pa.array([key[0].as_py()], pa.int32()), "terms": pa.array([b""], pa.binary()), "rows": pa.array([total.tobytes()], pa.binary())})
 
     schema = "lot int, terms binary, rows binary"
-    # tasks many times the shuffle's would send as many tables
-    texts = texts.coalesce(4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # each task sends a table: as many as the cores can use, however much there is to read
+    rows = rows.select("terms", "times").coalesce(4 * rows.sparkSession.sparkContext.defaultParallelism)
     out = np.zeros((TERMS, width))
-    for r in texts.mapInArrow(run, schema).groupBy("lot").applyInArrow(add, schema).collect():
+    for r in rows.mapInArrow(run, schema).groupBy("lot").applyInArrow(add, schema).collect():
         out[r["lot"] :: LOTS] = np.frombuffer(r["rows"]).reshape(-1, width)
     return out
 
 
 def topics(texts: DataFrame, size: int = SIZE, rounds: int = 2, seed: int = 11) -> Topics:
-    """Topics of texts (text): a truncated singular value decomposition of their weighted term matrix A, in 1 + rounds passes.
+    """Topics of texts (text)."""
+    return topics_of(written(term_rows(texts.select("text")), "terms"), size, rounds, seed)
+
+
+def topics_of(rows: DataFrame, size: int = SIZE, rounds: int = 2, seed: int = 11) -> Topics:
+    """Topics of a written table of term_rows: a truncated singular value decomposition of their weighted matrix A, in 1 + rounds passes.
 
     A random table of size + SPARE columns is multiplied by A'A and made orthogonal in each round; the last product gives the leading
     singular vectors within its span. The largest number of each vector is positive, so that they are the same in every run.
     """
 
-    def count(rows, total, touched):
-        for t in rows:
-            columns, _ = term_weights(t)
+    def count(counted, total, touched):
+        for columns, _ in counted:
             total[columns] += 1
             touched[columns] = True
 
-    n = texts.count()
-    often = _by_column(texts, count, 1)[:, 0]
+    n = rows.count()
+    often = _by_column(rows, count, 1)[:, 0]
     rarity = np.where(often > 0, np.log((1 + n) / (1 + often)) + 1, 0)
     basis = np.random.default_rng(seed).normal(size=(TERMS, size + SPARE)) * (often > 0)[:, None]
     for _ in range(rounds):
         basis, _ = np.linalg.qr(basis)
-        told = texts.sparkSession.sparkContext.broadcast(Topics(rarity, basis))
+        told = rows.sparkSession.sparkContext.broadcast(Topics(rarity, basis))
 
-        def multiply(rows, total, touched, told=told):
+        def multiply(counted, total, touched, told=told):
             model = told.value
-            for columns, weights in zip(*model.rows(rows), strict=True):
+            for columns, weights in model.rows(counted):
                 total[columns] += np.outer(weights, weights @ model.vectors[columns])
                 touched[columns] = True
 
-        product = _by_column(texts, multiply, size + SPARE)
+        product = _by_column(rows, multiply, size + SPARE)
         values, turn = np.linalg.eigh(basis.T @ product)
         leading = basis @ turn[:, np.argsort(-values)[:size]]
         basis = product
@@ -159,20 +200,26 @@ def topics(texts: DataFrame, size: int = SIZE, rounds: int = 2, seed: int = 11)
 
 def embedded(docs: DataFrame, model: Topics) -> DataFrame:
     """doc_id, vector (length one; zeros for a text without known terms) of docs (doc_id, text)."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
+    return embedded_rows(term_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), model)
+
+
+def embedded_rows(rows: DataFrame, model: Topics) -> DataFrame:
+    """doc_id, vector of term_rows with a doc_id."""
+    told = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            vectors = told.value.embed(batch.column(1).to_pylist()).astype(np.float32)
+            vectors = told.value.embed(_read(batch)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], names=["doc_id", "vector"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, vector array<float>")
+    return rows.select("doc_id", "terms", "times").mapInArrow(run, "doc_id long, vector array<float>")
 
 
 @frame("text_embeddings", "N5")
 def text_embeddings(spark, sf_dir):
-    """Vectors of all texts by the topics of the texts themselves; no sentence model is at hand."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return embedded(docs, topics(docs.select("text")))
+    """Vectors of all texts by the topics of the texts themselves; no sentence model is at hand. Texts are taken apart once."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(term_rows(docs), "terms")
+    return embedded_rows(rows, topics_of(rows))

@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -277,6 +279,32 @@ def test_embeddings_by_topics(spark):
     assert learnt > 0.8 > 3 * plain
 
 
+def test_texts_are_taken_apart_once(spark, monkeypatch, tmp_path):
+    """All passes read the terms that one pass wrote, in a bounded number of tasks; rows with and without terms are there."""
+    from tessera.operators import learning
+
+    made, sums = [], []
+    monkeypatch.setattr(learning, "written", lambda df, name, f=learning.written: made.append(f(df, name)) or made[-1])
+    monkeypatch.setattr(learning, "_by_column", lambda rows, *a, f=learning._by_column: sums.append(rows) or f(rows, *a))
+    texts = ["One two two", None, "", "...", "\u00c9t\u00e9 one_1 \u4e2d\u6587 \u0130", *(f"word{k % 7} two x{k}" for k in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: np.array(r["vector"]) for r in learning.text_embeddings(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) and [i for i, v in rows.items() if not v.any()] and all(not rows[i].any() for i in (1, 2, 3))
+    assert len(made) == 1 and len(sums) == 3 and all("text" not in s.columns for s in sums)
+    held = {r["doc_id"]: r for r in made[0].collect()}
+    for i, t in enumerate(texts):
+        words = [w for w in re.split(r"\W+", (t or "").lower()) if w]
+        want = {}
+        for w in words:
+            column = zlib.crc32(w.encode()) % learning.TERMS
+            want[column] = want.get(column, 0) + 1
+        got = zip(np.frombuffer(held[i]["terms"], "<i4").tolist(), np.frombuffer(held[i]["times"], "<i4").tolist(), strict=True)
+        assert list(got) == sorted(want.items())
+    known = learning.TermColumns()
+    known.MOST = 5  # words beyond it are hashed again
+    assert known.counts("a b c d e f g a b")[1].sum() == 9 and len(known) <= 5
+
+
 def test_near_copies_have_near_vectors(spark):
     from tessera.operators import learning
 
