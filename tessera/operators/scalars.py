@@ -160,13 +160,24 @@ SELECT id, r1 AS lcp_rating, r2 AS cls_rating, r3 AS fid_rating, {S.vitals_score
   (CASE WHEN coalesce(r1, 'GOOD') <> 'GOOD' THEN 1 ELSE 0 END + CASE WHEN coalesce(r2, 'GOOD') <> 'GOOD' THEN 1 ELSE 0 END + CASE WHEN r3 <> 'GOOD' THEN 1 ELSE 0 END) AS issues FROM r"""
 
 
-@query("nap_scores", "J33")
-def nap_scores(d):
-    """Stored against claimed name and phone: containment of names, last ten digits of phones."""
+NAP_SCORES = """SELECT source_id, n1 <> '' AND n2 <> '' AND (contains(n1, n2) OR contains(n2, n1)) AS name_match, coalesce(p1 <> '' AND p2 <> '' AND right(p1, 10) = right(p2, 10), false) AS phone_match FROM j)
+SELECT source_id, name_match, phone_match, CASE WHEN name_match THEN 0.4e0 ELSE 0e0 END + CASE WHEN phone_match THEN 0.3e0 ELSE 0e0 END AS score FROM m"""
+
+
+def _nap_scores_sql(d) -> str:
     a, b = X.name_citation(d, "c.name"), X.name_citation(d, "b.name")
     return f"""WITH c AS ({T.companies(d)}), b AS ({T.claims(d)}), j AS (SELECT b.source_id, {a} AS n1, {b} AS n2, {X.digits(d, 'c.phone')} AS p1, {X.digits(d, 'b.phone')} AS p2 FROM b JOIN c ON b.company_id = c.id),
-m AS (SELECT source_id, n1 <> '' AND n2 <> '' AND (contains(n1, n2) OR contains(n2, n1)) AS name_match, coalesce(p1 <> '' AND p2 <> '' AND right(p1, 10) = right(p2, 10), false) AS phone_match FROM j)
-SELECT source_id, name_match, phone_match, CASE WHEN name_match THEN 0.4e0 ELSE 0e0 END + CASE WHEN phone_match THEN 0.3e0 ELSE 0e0 END AS score FROM m"""
+m AS ({NAP_SCORES}"""
+
+
+@frame("nap_scores", "J33", _nap_scores_sql)
+def nap_scores(spark, sf_dir):
+    """Stored against claimed name and phone: containment of names, last ten digits of phones. A company's are read once, not for each of its claims."""
+    d = SPARK
+    companies = X.name_citations(d, f"SELECT id, name, {X.digits(d, 'phone')} AS p1 FROM ({T.companies(d)}) z", "name", "n1")
+    claimed = f"SELECT b.source_id, b.name, c.n1, c.p1, {X.digits(d, 'b.phone')} AS p2 FROM b JOIN c ON b.company_id = c.id"
+    return run_sql(spark, sf_dir, f"""WITH c AS ({companies}), b AS ({T.claims(d)}), j AS ({X.name_citations(d, claimed, 'name', 'n2')}),
+m AS ({NAP_SCORES}""")
 
 
 @query("html_signals", "L6 L2 R37 R38 R39 R40 R42 R45 R46 R47 R55")

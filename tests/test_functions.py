@@ -1,12 +1,14 @@
 """String and score functions on the examples that define them."""
 
 import random
+import re
 
 import pytest
 
 from tessera.functions import scores as S
 from tessera.functions import strings as X
 from tessera.plans.dialect import ANSI, SPARK, text
+from tests.conftest import DATA
 
 
 def both(spark, duck, build):
@@ -115,3 +117,32 @@ def test_readability_of_odd_texts(spark, duck, tmp_path):
     known.MOST = 50  # words beyond it are worked out again
     many = [f"word{k}e" for k in range(120)]
     assert known.of(" ".join(many * 2)) == [240, 2 * sum(map(len, many)), 240, 0] and len(known) <= 50
+
+
+def test_citation_names_by_one_look(spark, duck):
+    """Names taken apart only where something is to be dropped equal those that go through every expression."""
+    ends = ["llc", "inc", "corp", "co", "company", "ltd", "l.l.c.", "inc.", "LLC.", "lxlxcx", "incx", "co."]
+    rng = random.Random(5)
+    names = [None, "", " ", "llc", " LLC", "acme 12", " Acme 12 ", "a  b", "a\tb", "caf\u00e9 co", "Joe's, Ltd.", "x_1-2", "acme l l co", "a\nco", "a - b", *ends]
+    names += [rng.choice(("Acme", "A&B  C", "", "d e")) + "".join(rng.choice((" ", "  ", "")) + rng.choice(ends) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    got = {r["id"]: r["n"] for r in spark.sql(X.name_citations(SPARK, "SELECT id, name FROM {rows}", "name", "n"), rows=rows).collect()}
+    want = {r["id"]: r["n"] for r in rows.selectExpr("id", f"{X.name_citation(SPARK, 'name')} AS n").collect()}
+    assert got == want and len(set(got.values())) > 20
+    for i, name in enumerate(names):
+        found = duck.execute(f"SELECT {X.name_citation(ANSI, 'x')} FROM (SELECT CAST(? AS VARCHAR) AS x)", [name]).fetchone()[0]
+        assert got[i] == found
+
+
+def test_names_of_claims_are_read_in_compiled_code(spark):
+    """A company's name is read before the join, and no generated method is too long for the JVM to compile (8,000 bytes)."""
+    from tessera.operators import scalars
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = scalars.nap_scores(spark, f"{DATA}/sf0.001")._jdf.queryExecution()
+        said = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said)]
+    assert sizes and max(sizes) < 8000
