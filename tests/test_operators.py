@@ -266,6 +266,24 @@ def test_ranking_trends_round_as_their_sql(spark, tmp_path):
     assert same_rows(catalog.queries()["ranking_trends"](spark, str(tmp_path)), con, catalog.oracle_sql()["ranking_trends"]) == 39
 
 
+def test_ranking_trends_classes_at_their_limits(spark, tmp_path):
+    """Positions whose deviation is just 10 and just 20, the first class that these limits leave out."""
+    import duckdb
+
+    from tessera import catalog
+    from tests.compare import same_rows
+
+    kept = {1: [32, 29, 3, 17, 12, 6, 8, 21], 2: [67, 2, 29, 20, 10, 39, 2, 39, 38], 3: [10, 14], 4: [7]}
+    rows = [(100 * u + i, u, float(p - 1)) for u, positions in kept.items() for i, p in enumerate(positions)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "TIMESTAMP '2024-01-02 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id) AS ts", "user_id", "'view' AS event_type", "value").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert "stddev_pop(position) AS deviation" in catalog.oracle_sql()["ranking_trends"]
+    found = catalog.queries()["ranking_trends"](spark, str(tmp_path))
+    assert same_rows(found, con, catalog.oracle_sql()["ranking_trends"]) == 4
+    assert {r["keyword"]: r["volatility"] for r in found.collect()} == {1: "high", 2: "extreme", 3: "low", 4: "stable"}
+
+
 def test_conflict_pairs_hold_all_pairs(spark, duck):
     """Rows for companies, not for pairs; the pairs of each group are those of the self-joins."""
     from tessera import catalog
