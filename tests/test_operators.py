@@ -362,6 +362,18 @@ def test_quarantine_against_single_events(spark):
     assert got == sorted(want) and got
 
 
+def test_sections_are_whole(spark, tmp_path):
+    """Of a long section, and of a long page without headings, no word is left out."""
+    from tessera.operators.pages import page_outline
+
+    long = " ".join(f"w{i}" for i in range(3000))
+    pages = [(1, "u", f"<h2>One</h2><p>{long}</p><h2>Two</h2><p>short</p>"), (2, "u", f"<p>{long}</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {(r["page_id"], r["pos"]): r for r in page_outline(spark, str(tmp_path)).collect()}
+    assert found[1, 0]["content"] == found[2, 0]["content"] == long and found[1, 1]["content"] == "short"
+    assert all(r["words"] == len(r["content"].split()) for r in found.values())
+
+
 def test_pages_go_to_python_in_small_batches(spark):
     from tessera.operators.pages import page_outline
 
