@@ -284,24 +284,22 @@ def test_ranking_trends_classes_at_their_limits(spark, tmp_path):
     assert {r["keyword"]: r["volatility"] for r in found.collect()} == {1: "high", 2: "extreme", 3: "low", 4: "stable"}
 
 
-def test_conflict_pairs_hold_all_pairs(spark, duck):
-    """Rows for companies, not for pairs; the pairs of each group are those of the self-joins."""
+def test_conflict_pairs_hold_all_pairs(spark, duck, monkeypatch):
+    """Every pair of a key is a row, also where a key is dealt out in parts."""
     from tessera import catalog
     from tessera.functions import strings as X
+    from tessera.operators import relational
     from tessera.plans.dialect import ANSI
     from tessera.sources import stand_ins as T
     from tests.conftest import DATA
 
-    d, groups = ANSI, {}
-    rows = catalog.queries()["conflict_pairs"](spark, f"{DATA}/sf0.001").collect()
-    for r in rows:
-        groups.setdefault((r["matched"], r["first_id"]), []).append(r["id"])
-        assert r["links"] > 0
-    assert all(len(groups[r["matched"], r["first_id"]]) == r["links"] + 1 for r in rows)
-    got = {(a, b, m) for (m, _), ids in groups.items() for a in ids for b in ids if a < b}
+    d = ANSI
     want = duck.execute(f"""WITH c AS ({T.companies(d)}), k AS (SELECT id, CASE WHEN NOT {d.contains_any('lower(website)', X.NOT_WEBSITES)} THEN {X.host(d, 'website')} END AS host, {X.phone_e164(d, 'phone')} AS phone FROM c)
 SELECT a.id, b.id, 'domain' FROM k a JOIN k b ON a.host = b.host AND a.id < b.id WHERE a.host <> '' UNION ALL SELECT a.id, b.id, 'phone' FROM k a JOIN k b ON a.phone = b.phone AND a.id < b.id""").fetchall()
-    assert got == set(want) and len(want) > 2 * len(rows)
+    for together in (1000, 7):
+        monkeypatch.setattr(relational, "TOGETHER", together)
+        rows = catalog.queries()["conflict_pairs"](spark, f"{DATA}/sf0.001").select("id_1", "id_2", "matched").collect()
+        assert sorted(map(tuple, rows)) == sorted(want) and len(want) > 300
 
 
 #: Ids that no query covers: a simulator of a client-side limiter.
