@@ -1,5 +1,6 @@
 """HTML structure, matching, files and streams on small inputs."""
 
+import functools
 import random
 from difflib import SequenceMatcher
 
@@ -208,6 +209,44 @@ def test_entities_are_as_connected_as_by_all_pairs(spark):
     assert classes([(r["id_1"], r["id_2"]) for r in found]) == classes([(a["id"], b["id"]) for i, a in enumerate(rows) for b in rows[i + 1 :] if pair(a, b)])
 
 
+def test_names_of_many_numbers_leave_few_classes(spark):
+    """Names that differ in their digits alone are mostly connected before names are compared between classes."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.matching import classes, name_neighbours
+
+    names = spark.range(0, 90_000, 63).select(F.lit("g").alias("group"), F.concat(F.lit("customer "), F.lpad("id", 9, "0")).alias("key"))
+    found = [r for order in (F.col("key"), F.reverse("key")) for r in name_neighbours(names, order, 0.85).collect()]
+    assert all(r["key_1"] < r["key_2"] and r["r"] >= 0.85 for r in found)
+    assert all(r["r"] in {SequenceMatcher(None, a, b).ratio() for a, b in ((r["key_1"], r["key_2"]), (r["key_2"], r["key_1"]))} for r in found)
+    labels = classes(spark.createDataFrame([(r["key_1"], r["key_2"]) for r in found], "id_1 string, id_2 string")).collect()
+    assert names.count() - len(labels) + len({r["first"] for r in labels}) <= 20
+
+
+def test_common_subsequences_bound_ratios():
+    """The bound is that of the longest common subsequence, and says no more of strings that it can't hold."""
+    import random
+
+    from tessera.operators.matching import may_reach_by_order, reached
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = functools.reduce(lambda now, j: [*now, row[j] + 1 if x == b[j] else max(row[j + 1], now[j])], range(len(b)), [0])
+        return row[-1]
+
+    rng = random.Random(5)
+    a = ["".join(rng.choices("abc 01\u00e9\u4e00", k=rng.choice((0, 1, 3, 10, 30, 63, 64, 65, 80)))) for _ in range(300)] + ["a\0b"]
+    b = [x if rng.random() < 0.2 else "".join(rng.choices("abc 01\u00e9\u4e00", k=max(0, len(x) + rng.choice((0, -1, 1))))) for x in a[:-1]] + ["a\0b"]
+    for least in (0.6, 0.85):
+        may = may_reach_by_order(a, b, least)
+        for x, y, m, r in zip(a, b, may, reached(a, b, least), strict=True):
+            held = not x or not y or max(len(x), len(y)) > 64 or "\0" in x + y
+            assert m == (held or 2 * longest(x, y) >= least * (len(x) + len(y)) - 1e-9)
+            ratio = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+            assert (r >= least) == (ratio >= least) and (r < least or r == ratio)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "cities.csv").write_text("city,city_ascii,state_id,state_name,county_fips,county_name,lat,lng,population,density,timezone,zips,ranking,source,military,incorporated\n" "Salem,Salem,OR,x,1,Marion,1.5,2,150000,x,t,z,1,s,FALSE,TRUE\nSalem,Salem,OR,x,1,Polk,1,2,bad,,t,z,,s,TRUE,TRUE\nNowhere,N,OR,x,1,P,,2,5,,t,z,,s,FALSE,TRUE\n")
     got = files.city_registry(files.read_cities(spark, str(tmp_path / "cities.csv"))).orderBy("slug").collect()
