@@ -159,6 +159,27 @@ def test_clusters_of_all_phrases(spark):
     assert all(c == min(v) for c, v in got.items())
 
 
+@pytest.mark.parametrize("most", [1, 9])
+def test_clusters_of_components_taken_apart(spark, monkeypatch, most):
+    """Where components are too large for a task, higher levels come first; at one phrase, only nearest pairs are merged."""
+    items = made_phrases(14 if most == 1 else 60, 9)
+    monkeypatch.setattr(phrases, "COMPONENT_PHRASES", most)
+    got = {}
+    for r in phrases.linked_clusters(sets_of(spark, items)).collect():
+        got.setdefault(r["cluster"], []).append(r["phrase"])
+    assert sorted(sorted(c) for c in got.values()) == average_linkage(items)
+
+
+def test_ties_take_few_rounds(spark, monkeypatch):
+    """Phrases that are all equally similar merge one after the other, but not in a round each."""
+    rounds = []
+    whole = phrases.components
+    monkeypatch.setattr(phrases, "components", lambda *a: rounds.append(1) or whole(*a))
+    items = [f"tool w{a}x{a}" for a in "bcdfghjklmnpqrst"]
+    assert len({r["cluster"] for r in phrases.linked_clusters(sets_of(spark, items)).collect()}) == len(average_linkage(items))
+    assert len(rounds) <= 1
+
+
 def test_rounds_leave_no_tables(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(folder))
